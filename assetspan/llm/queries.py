@@ -5,16 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assetspan.llm import bpe
+from assetspan.llm import bpe, decontaminate
 from assetspan.llm._common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, ids=False)
 
 
-QUERIES = {"op5_byte_bpe": op5_byte_bpe}
+QUERIES = {"op1_benchmark_decontamination": op1_benchmark_decontamination, "op5_byte_bpe": op5_byte_bpe}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.SQL}
