@@ -103,3 +103,25 @@ def word_bounds(buffer: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np
     flag[1:-1] = is_word[buffer]
     step = np.diff(flag)
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns inside one struct, where their names clash with nothing."""
+    from pyspark.sql import functions as F
+
+    rest = [docs[f"`{c}`"] for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(None).cast("string")).alias("_row"))
+
+
+def unpacked(df: DataFrame, like: DataFrame, changed=None) -> DataFrame:
+    """The columns of `like` from a packed frame; n_chars is counted anew where `changed` holds."""
+    from pyspark.sql import functions as F
+
+    out = []
+    for field in like.schema:
+        c = field.name
+        col = F.col(c) if c in ("doc_id", "text") else F.col("_row").getField(c)
+        if c == "n_chars" and changed is not None:
+            col = F.when(changed, F.char_length("text").cast(field.dataType)).otherwise(col)
+        out.append(col.alias(c))
+    return df.select(*out)

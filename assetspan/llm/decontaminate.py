@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetspan.llm._common import ALNUM, chunks, raw
+from assetspan.llm._common import ALNUM, chunks, packed, raw, unpacked
 
 WINDOW = 10
 SAMPLE = 8
@@ -220,9 +220,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     Words are maximal runs of ASCII letters and digits and non-ASCII characters, lower-cased in A-Z.  A window is
     `window` consecutive words of an item, or all words of a shorter one.  Null and empty texts have no words; an
     item without words has no window; equal items count each by its id, an item without id by the empty string.  Every row of
-    docs gives one row, repeated ones too.  Columns of docs with those three names are replaced.
+    docs gives one row, repeated ones too; docs must not have columns of those three names.
     """
-    out = docs.drop("_words", "_spans", "_items").withColumns(
+    out = docs.withColumns(
         {"_words": F.lit(0).cast("long"), "_spans": F.lit(None).cast("array<struct<start:int,end:int>>"), "_items": F.lit(None).cast("array<string>")}
     )
     for items in blocks(benchmark, block_bytes):
@@ -245,8 +245,8 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with the hit words cut from text, n_chars recounted; documents of which no word is left go, others stay."""
-    found = find(docs, benchmark, window)
+    """docs with the hit words cut from text and n_chars recounted; documents of which no word is left go, others stay."""
+    found = find(packed(docs), benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -259,9 +259,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 
     hit = F.aggregate(F.col("_spans"), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     out = found.mapInArrow(run, found.schema).where(F.col("_spans").isNull() | (hit < F.col("_words")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return unpacked(out, docs, F.col("_spans").isNotNull())
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assetspan.llm import bpe, decontaminate
+from assetspan.llm import bpe, decontaminate, substring
 from assetspan.llm._common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -19,6 +19,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, ids=False)
 
 
-QUERIES = {"op1_benchmark_decontamination": op1_benchmark_decontamination, "op5_byte_bpe": op5_byte_bpe}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.SQL}
+
+QUERIES = {"op1_benchmark_decontamination": op1_benchmark_decontamination, "op5_byte_bpe": op5_byte_bpe, "op6_substring_dedup": op6_substring_dedup}
+
+ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.SQL, "op6_substring_dedup": substring.SQL}
