@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assetspan.llm import bpe, decontaminate, neardup, substring
+from assetspan.llm import bpe, decontaminate, neardup, sharding, substring
 from assetspan.llm._common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -15,6 +15,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,6 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_benchmark_decontamination": op1_benchmark_decontamination, "op4_minhash_neardup": op4_minhash_neardup, "op5_byte_bpe": op5_byte_bpe, "op6_substring_dedup": op6_substring_dedup}
+QUERIES = {"op1_benchmark_decontamination": op1_benchmark_decontamination, "op3_sharding": op3_sharding, "op4_minhash_neardup": op4_minhash_neardup, "op5_byte_bpe": op5_byte_bpe, "op6_substring_dedup": op6_substring_dedup}
 
 ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.SQL, "op4_minhash_neardup": neardup.SQL, "op6_substring_dedup": substring.SQL}
