@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assetspan.llm import bpe, decontaminate, neardup, sharding, substring
+from assetspan.llm import bpe, decontaminate, extract, neardup, quality_fm, quality_rules, sharding, substring
 from assetspan.llm._common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -15,6 +15,11 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,24 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_benchmark_decontamination": op1_benchmark_decontamination, "op3_sharding": op3_sharding, "op4_minhash_neardup": op4_minhash_neardup, "op5_byte_bpe": op5_byte_bpe, "op6_substring_dedup": op6_substring_dedup}
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_fm.score(docs, quality_fm.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_sharding": op3_sharding,
+    "op4_minhash_neardup": op4_minhash_neardup,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op9_html_extraction": op9_html_extraction,
+}
 
 ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.SQL, "op4_minhash_neardup": neardup.SQL, "op6_substring_dedup": substring.SQL}

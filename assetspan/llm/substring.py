@@ -1,9 +1,9 @@
 """Substring dedup: relative Lempel-Ziv factors of every document against all earlier ones.
 
 The reference is the corpus itself, in blocks of fingerprints: a block holds, for the runs of WINDOW words that Spark's
-hash partitioning deals to it, the earliest document and position where each starts.  Every document is looked up in every block
+hash partitioning deals to it, the earliest document where each starts.  Every document is looked up in every block
 that could hold one of its runs, and is then parsed greedily from left to right: a factor grows as long as the next
-run continues at the next position of the same earlier document, else it ends and a new one starts.  As each start
+run is found in the same earlier document, else it ends and a new one starts.  As each start
 position has been looked up, runs across the boundary of two factors are checked too, so that no run of
 WINDOW words is missed and the factors' words are exactly the words of such runs.
 
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from assetspan.llm._common import Rolling, chunks, cut, mix, packed, raw, unpacked, word_bounds
 
 WINDOW = 50
-GRAM = 10
+GRAM = 20
 #: Bytes of \x20 and \x09-\x0D, which part words.
 IS_WORD = np.array([not (i == 32 or 9 <= i <= 13) for i in range(256)])
 BYTES, WORDS, OTHER = Rolling(0x2545F4914F6CDD1D), Rolling(0x5851F42D4C957F2D), Rolling(0x14057B7EF767814F)
@@ -82,31 +82,34 @@ def _anchors(window: int):
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "_th", "pos", "h1", "h2"]
-        for b in chunks(batches, "text"):
-            part = Part(b)
-            anchor = part.anchors(window)
-            shared = b.column(b.schema.get_field_index("shared")).to_pylist()
-            own = []
-            for a, e, s in zip(part.begin[:-1].tolist(), part.begin[1:].tolist(), shared):
-                keep = np.isin(anchor[a : max(a, e - window + 1)], np.array(s, np.int64))
-                own.append(a + np.flatnonzero(keep))
-            row = np.repeat(np.arange(len(own)), [len(x) for x in own])
-            at = np.concatenate([*own, np.zeros(0, np.int64)]).astype(np.int64)
-            hashes = [mix(r.runs(r.prefix(part.word), at, at + window)).view(np.int64) for r in (WORDS, OTHER)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(at - part.begin[row]).cast(pa.int32()), *map(pa.array, hashes)], names)
+        for b in batches:
+            some = b.column(b.schema.get_field_index("shared")).is_valid()
+            for c in chunks(iter([b.filter(some)]), "text"):
+                part = Part(c)
+                anchor = part.anchors(window)
+                shared = c.column(c.schema.get_field_index("shared")).to_pylist()
+                own = []
+                for a, e, s in zip(part.begin[:-1].tolist(), part.begin[1:].tolist(), shared):
+                    keep = np.isin(anchor[a : max(a, e - window + 1)], np.array(s, np.int64))
+                    own.append(a + np.flatnonzero(keep))
+                row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+                at = np.concatenate([*own, np.zeros(0, np.int64)]).astype(np.int64)
+                hashes = [mix(r.runs(r.prefix(part.word), at, at + window)).view(np.int64) for r in (WORDS, OTHER)]
+                keys = [c.column(c.schema.get_field_index(k)).take(pa.array(row)) for k in names[:2]]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(at - part.begin[row]).cast(pa.int32()), *map(pa.array, hashes)], names)
 
     return run
 
 
-def parse(pos: np.ndarray, ref: np.ndarray, ref_pos: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, end, earlier document, its position) of one document, from its looked-up run starts in order."""
+def parse(pos: np.ndarray, ref: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """Greedy factors (start, end, earlier document) of one document, from its looked-up run starts in order."""
     if not len(pos):
         return []
     new = np.ones(len(pos), bool)
-    new[1:] = (np.diff(pos) != 1) | (np.diff(ref) != 0) | (np.diff(ref_pos) != 1)
+    new[1:] = (np.diff(pos) != 1) | (np.diff(ref) != 0)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(pos)) - 1
-    return list(zip(pos[first].tolist(), (pos[last] + window).tolist(), ref[first].tolist(), ref_pos[first].tolist()))
+    return list(zip(pos[first].tolist(), (pos[last] + window).tolist(), ref[first].tolist()))
 
 
 def merge_factors(factors: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -119,26 +122,21 @@ def merge_factors(factors: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def factors(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+def factors(base: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(copies, parsed): keys (doc_id, _th) of texts equal to an earlier one, and of the others
-    their long factors as arrays pos, ref, ref_pos of looked-up starts.  _th is xxhash64 of the text."""
-    keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("_th"), F.sha2("text", 256).alias("_sha"), "text")
-    own = cut(keyed.select("doc_id", "_th", "_sha", "text").mapInArrow(_keyed(window), "doc_id long, _th long, _sha string, anchors array<long>"))
-    firsts = own.groupBy("_th", "_sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = cut(own.select("doc_id", "_th", "_sha").join(firsts, ["_th", "_sha"]).where("first < doc_id").select("doc_id", "_th", "first").dropDuplicates(["doc_id", "_th"]))
+    the starts of runs found in an earlier document, as one sorted array of (pos, ref).  base: a frame with doc_id, text and
+    _th, which is xxhash64 of the text; it stands in the plan just as the caller joins it again, so that its shuffle is shared."""
+    keyed = base.where("doc_id is not null and text is not null").select("doc_id", "_th", F.sha2("text", 256).alias("_sha"), "text")
+    own = cut(keyed.mapInArrow(_keyed(window), "doc_id long, _th long, _sha string, anchors array<long>"))
+    firsts = own.groupBy("_th", "_sha").agg(F.min("doc_id").alias("_first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = cut(own.select("doc_id", "_th", "_sha").join(firsts, ["_th", "_sha"]).where("_first < doc_id").select("doc_id", "_th", "_first").dropDuplicates(["doc_id", "_th"]))
     rest = own.join(copies, ["doc_id", "_th"], "left_anti").select("doc_id", "_th", F.explode("anchors").alias("anchor"))
     common = rest.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    shared = rest.join(common, "anchor").groupBy("doc_id", "_th").agg(F.collect_set("anchor").alias("shared"))
-    looked = (
-        docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("_th"), "text")
-        .join(shared, ["doc_id", "_th"])
-        .mapInArrow(_windows(window), "doc_id long, _th long, pos int, h1 long, h2 long")
-    )
-    looked = cut(looked)
-    blocks = looked.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("ref"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = looked.join(blocks, ["h1", "h2"]).where("ref.doc_id < doc_id")
-    starts = F.array_sort(F.collect_set(F.struct("pos", F.col("ref.doc_id").alias("ref"), F.col("ref.pos").alias("ref_pos"))))
-    return copies, hits.groupBy("doc_id", "_th").agg(starts.alias("starts"))
+    shared = cut(rest.join(common, "anchor").groupBy("doc_id", "_th").agg(F.collect_set("anchor").alias("shared")))
+    looked = base.join(shared, ["doc_id", "_th"], "left").mapInArrow(_windows(window), "doc_id long, _th long, pos int, h1 long, h2 long")
+    blocks = looked.groupBy("h1", "h2").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("end")).where("ref < end").drop("end")
+    hits = looked.join(blocks, ["h1", "h2"]).where("ref < doc_id")
+    return copies, hits.groupBy("doc_id", "_th").agg(F.array_sort(F.collect_set(F.struct("pos", "ref"))).alias("_starts"))
 
 
 def _keyed(window: int):
@@ -155,12 +153,12 @@ def _keyed(window: int):
 
 
 def _spans(batch: pa.RecordBatch, window: int) -> list[list[tuple[int, int]]]:
-    col = batch.column(batch.schema.get_field_index("starts"))
+    col = batch.column(batch.schema.get_field_index("_starts"))
     flat = col.flatten()
-    pos, ref, at = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+    pos, ref = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
     size = [0 if n is None else n for n in pa.compute.list_value_length(col).to_pylist()]
     ends = np.cumsum(size)
-    return [merge_factors([f[:2] for f in parse(pos[e - n : e], ref[e - n : e], at[e - n : e], window)]) for e, n in zip(ends.tolist(), size)]
+    return [merge_factors([f[:2] for f in parse(pos[e - n : e], ref[e - n : e], window)]) for e, n in zip(ends.tolist(), size)]
 
 
 def _finish(window: int, rewrite: bool):
@@ -168,7 +166,7 @@ def _finish(window: int, rewrite: bool):
         for b in chunks(batches, "text"):
             texts = raw(b, "text")
             spans = _spans(b, window)
-            copy = b.column(b.schema.get_field_index("first")).is_valid().to_pylist()
+            copy = b.column(b.schema.get_field_index("_first")).is_valid().to_pylist()
             n_words, n_removed, kept = [], [], []
             for t, s, c in zip(texts, spans, copy):
                 words = (t or b"").split()
@@ -205,10 +203,10 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _marked(docs: DataFrame, window: int) -> DataFrame:
-    copies, parsed = factors(docs, window)
-    keys = docs.withColumn("_th", F.xxhash64("text"))
-    marks = parsed.join(copies, ["doc_id", "_th"], "full_outer").select(F.col("doc_id").alias("_doc"), F.col("_th").alias("_key"), "starts", "first")
-    return keys.join(marks, (keys.doc_id == marks._doc) & (keys._th == marks._key), "left").drop("_doc", "_key", "_th")
+    base = docs.withColumn("_th", F.xxhash64("text"))
+    copies, parsed = factors(base, window)
+    marks = parsed.join(copies, ["doc_id", "_th"], "full_outer").select("doc_id", "_th", "_starts", "_first")
+    return base.join(marks, ["doc_id", "_th"], "left")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
