@@ -11,8 +11,9 @@ Equal texts are one node from the start, so that copies make no pairs.  Inside a
 2. in buckets that still hold several classes, small ones compare members of different classes, larger ones members outside the
    hub's class with HUBS more hubs;
 3. members that are still outside are compared with all members of other classes, as far as the sizes of both and the shingles that
-   occur in no other text allow a similarity of 0.8 at all.
-So the pairs grow with the bucket, not with its square, and no link between classes is given up.
+   occur in no other text allow a similarity of 0.8 at all, in blocks of bounded size.
+Pairs become rows in the first two steps only, where their number grows with the bucket and not with its square; no
+link between classes is given up.
 Verification is exact: Jaccard similarity of the shingle sets of at least THRESHOLD.  Classes are
 the connected components, found by spreading least ids with pointer jumping.
 """
@@ -22,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,7 @@ from assetspan.llm._common import ALNUM, Rolling, chunks, cut, mix, raw, word_bo
 SHINGLE, THRESHOLD = 5, 0.8
 REGISTERS, ROWS, BANDS = 160, 5, 32
 SMALL, HUBS = 32, 4
+BLOCK_OUTSIDE, BLOCK_ALL = 128, 512
 #: Up to so many keys (16 bytes each) of documents in buckets are broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 300_000
 
@@ -168,7 +171,7 @@ def classes(docs: DataFrame) -> DataFrame:
     own = cut(usable.mapInArrow(_sign, "doc_id long, md5 string, th long, bands array<long>"))
     nodes = own.groupBy("md5").agg(F.min("doc_id").alias("node"))
     chosen = own.join(nodes, (own.md5 == nodes.md5) & (own.doc_id == nodes.node)).select("node", "th", "bands").dropDuplicates(["node", "th"])
-    exploded = cut(chosen.select("node", "th", F.explode("bands").alias("key")))
+    exploded = cut(chosen).select("node", "th", F.explode("bands").alias("key"))
     buckets = exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(exploded.join(buckets, "key").select("key", "node", "th", "n"))
     center = members.groupBy("node").agg(F.sum("n").alias("center"))
@@ -199,15 +202,49 @@ def classes(docs: DataFrame) -> DataFrame:
             opened = mixed.join(size, "node").where(f"common >= {THRESHOLD} * size - 1e-9")
             major = opened.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("m")).select("key", F.col("m.label").alias("major"))
             opened = cut(opened.join(major, "key"))
-            bound = f"(1 + {THRESHOLD}) * least(x.common, y.common) >= {THRESHOLD} * (x.size + y.size) - 1e-9"
-            last = _pairs(opened.where("label <> major"), opened, bound).join(again, ["a", "b"], "left_anti")
-            edges = cut(edges.union(linked(last, sets)))
+            edges = cut(edges.union(_blocks(opened, sets)))
             labels = components(edges)
 
     found = nodes.join(labels, "node", "left").select("md5", F.coalesce("label", "node").alias("class_id"))
     return keyed.select("doc_id", "md5").join(found, "md5", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
+def _blocks(opened: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between members outside a bucket's largest class and members of other classes, one per member, class and block.
+
+    A bucket is dealt to blocks of about BLOCK_OUTSIDE members outside by BLOCK_ALL members of all, so that a block is bounded however
+    large the bucket is; the sets go along, and pairs are compared inside a block without becoming rows.
+    """
+    count = opened.groupBy("key").agg(F.count("*").alias("all"), F.count_if(F.col("label") != F.col("major")).alias("outside"))
+    parts = count.select("key", F.ceil(F.col("outside") / BLOCK_OUTSIDE).cast("int").alias("ox"), F.ceil(F.col("all") / BLOCK_ALL).cast("int").alias("oy"))
+    dealt = opened.join(sets, "node").join(parts, "key").withColumn("h", F.xxhash64("node"))
+    columns = ["key", "bx", "by", "role", "node", "label", "common", "set"]
+    outside = dealt.where("label <> major").select("*", F.lit("x").alias("role"), F.pmod("h", "ox").cast("int").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("oy") - 1)).alias("by"))
+    every = dealt.select("*", F.lit("y").alias("role"), F.explode(F.sequence(F.lit(0), F.col("ox") - 1)).alias("bx"), F.pmod("h", "oy").cast("int").alias("by"))
+    return outside.select(columns).union(every.select(columns)).groupBy("key", "bx", "by").applyInPandas(_compare, "a long, b long").distinct()
+
+
+def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    x, y = (pdf[pdf["role"] == r] for r in "xy")
+    if not len(x) or not len(y):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    tokens, at = np.unique(np.concatenate(list(x["set"])), return_inverse=True)
+    nx = x["set"].map(len).to_numpy()
+    has = np.zeros((len(tokens) + 1, len(x)), np.int16)
+    has[at, np.repeat(np.arange(len(x)), nx)] = 1
+    xn, xl, xc = (x[c].to_numpy() for c in ("node", "label", "common"))
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    for node, label, common, own in zip(y["node"], y["label"], y["common"], y["set"]):
+        near = (xl != label) & ((1 + THRESHOLD) * np.minimum(xc, common) >= THRESHOLD * (nx + len(own)) - 1e-9)
+        if near.any():
+            place = np.searchsorted(tokens, own)
+            place[place == len(tokens)] = 0
+            shared = has[place[tokens[place] == own]].sum(0, dtype=np.int64)
+            for i in np.flatnonzero(near & (shared >= THRESHOLD * (nx + len(own) - shared) - 1e-9)):
+                found.setdefault((int(xn[i]), int(label)), (min(int(xn[i]), int(node)), max(int(xn[i]), int(node))))
+    return pd.DataFrame(list(found.values()), columns=["a", "b"], dtype="int64")
+
+
 def survivors(docs: DataFrame) -> DataFrame:
     """docs without the documents whose class has one with a smaller doc_id; of rows with one doc_id one stays, rows without doc_id stay."""
     ids = cut(classes(docs.select("doc_id", "text")))

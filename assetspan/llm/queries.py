@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assetspan.llm import bpe, decontaminate, extract, neardup, quality_fm, quality_rules, sharding, substring
+from assetspan.llm import bpe, decontaminate, extract, langid, neardup, quality_fm, quality_rules, sharding, substring, toxicity
 from assetspan.llm._common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -41,10 +41,20 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score(docs, quality_fm.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.learn(docs))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_quality_rules": op2_quality_rules,
@@ -53,7 +63,9 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_toxicity": op8_toxicity,
     "op9_html_extraction": op9_html_extraction,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.SQL, "op4_minhash_neardup": neardup.SQL, "op6_substring_dedup": substring.SQL}
