@@ -26,6 +26,8 @@ from assetspan.llm.labelled import remainder, sample
 
 TRAIN_ROWS = 4000
 STEMS, LEAST_CONTEXTS, LEAST_ODDS, WHOLE = (4, 5, 6), 15, 20.0, 24
+#: A beginning is passed over for a longer one with odds so many times higher.
+SHARPER = 1.5
 
 WORDS = {
     "insult": "idiot moron stupid imbecile scum loser pathetic worthless disgusting trash clown bastard dumbass arschloch trottel dummkopf connard abruti crétin gilipollas imbécil estúpido".split(),
@@ -168,11 +170,13 @@ def stems(train: DataFrame) -> dict[str, float]:
         .withColumn("odds", (F.col("toxic") + 0.5) / n[1] / ((F.col("clean") + 0.5) / n[0]))
         .where(f"odds >= {LEAST_ODDS}")
     )
-    # at most one stem per LEAST_CONTEXTS contexts of a bounded sample
+    odds = {r["stem"]: r["odds"] for r in found.collect()}  # of a bounded sample
     out: dict[str, float] = {}
-    for r in sorted(found.collect(), key=lambda r: (len(r["stem"].rstrip("$")) + r["stem"].endswith("$"), r["stem"])):
-        if not any(r["stem"].rstrip("$")[:k] in out for k in STEMS):
-            out[r["stem"]] = float(np.log(r["odds"]))
+    for stem in sorted(odds, key=lambda w: (len(w.rstrip("$")) + w.endswith("$"), w)):
+        word = stem.rstrip("$")
+        sharper = any(odds[x] >= SHARPER * odds[stem] for x in odds if x != stem and x.startswith(word) and not stem.endswith("$"))
+        if not sharper and not any(word[:k] in out for k in STEMS):
+            out[stem] = float(np.log(odds[stem]))
     return out
 
 
