@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -21,3 +21,17 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(target))
         sc._assetspan_shipped = True
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder of the session and read it from there.
+
+    The folder is what spark.checkpoint.dir names; a local session that has none gets a temporary one.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
