@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from assetspan.functions.scalars import canonical_url
 
@@ -60,7 +61,7 @@ def content_fingerprint(raw: Column, text: Column) -> Column:
     return F.when(pdf, F.sha2(raw.cast("binary"), 256)).otherwise(F.sha2(text, 256))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_hash(values: pd.Series) -> pd.Series:
     """SHA-256 of key-sorted compact JSON, for small JSON payloads; null and what is no JSON give null."""
 

@@ -81,3 +81,9 @@ def axis_domain(observations: DataFrame, band: DataFrame | None = None, from_yea
     hi = F.coalesce(F.ceil((F.col("hi") + pad) / step) * step, F.lit(550_000)).cast("long")
     ticks = F.when(F.col("lo").isNull(), F.array().cast("array<bigint>")).otherwise(F.sequence(lo, hi, F.lit(step).cast("long")))
     return x.select(first.cast("int").alias("first_year"), last.cast("int").alias("last_year"), lo.alias("low"), hi.alias("high"), ticks.alias("ticks"))
+
+
+def timeline_order(assets: DataFrame, generations: list[str]) -> DataFrame:
+    """assets with `rank` of their class (newest highest, unknown ones 0), highest first, then by company and id."""
+    dim = F.broadcast(dimension(assets.sparkSession, "generation", generations)).select("generation", (F.col("rank") + 1).alias("rank"))
+    return assets.join(dim, "generation", "left").fillna(0, ["rank"]).orderBy(F.desc("rank"), "company", "asset_id")
