@@ -77,7 +77,7 @@ def axis_domain(observations: DataFrame, band: DataFrame | None = None, from_yea
         x = x.join(F.broadcast(band.agg(F.min("band_lo").alias("blo"), F.max("band_hi").alias("bhi"))), F.lit(True)).withColumns({"lo": F.least("lo", "blo"), "hi": F.greatest("hi", "bhi")})
     first = F.lit(from_year) if from_year is not None else F.coalesce("y0", F.lit(2021))
     last = F.greatest(first, F.coalesce("y1", F.lit((from_year or 2026))))
-    lo = F.coalesce(F.greatest(F.lit(0), F.floor((F.col("lo") - pad) / step) * step), F.lit(200_000)).cast("long")
+    lo = F.when(F.col("lo").isNull(), 200_000).otherwise(F.greatest(F.lit(0), F.floor((F.col("lo") - pad) / step) * step)).cast("long")
     hi = F.coalesce(F.ceil((F.col("hi") + pad) / step) * step, F.lit(550_000)).cast("long")
     ticks = F.when(F.col("lo").isNull(), F.array().cast("array<bigint>")).otherwise(F.sequence(lo, hi, F.lit(step).cast("long")))
     return x.select(first.cast("int").alias("first_year"), last.cast("int").alias("last_year"), lo.alias("low"), hi.alias("high"), ticks.alias("ticks"))

@@ -91,11 +91,15 @@ def rate_trend(observations: DataFrame, by: str = "generation") -> DataFrame:
     nearest = F.greatest(F.lit(4), F.ceil(F.col("n") * F.col("span"))).alias("k")
     sums = residual.groupBy(by, "x", nearest).agg(F.count("*").alias("m"), F.sum("r").alias("r1"), F.sum(F.col("r") * F.col("r")).alias("r2"))
     band = sums.groupBy(by).applyInPandas(_spread(by), f"{by} string, x int, sd double")
-    fitted = fits.join(band, [by, "x"]).join(enough.select(by, "n", "span"), by)
+    # a day whose whole neighbourhood was weighed down to nothing has no fit, and its group then no valid trend
+    whole = counts.groupBy(by).agg(F.count("*").alias("_days")).join(fits.groupBy(by).agg(F.count("*").alias("_fits")), by, "left")
+    broken = F.broadcast(whole.where("not _days <=> _fits").select(by))  # one row per group at most
+    fitted = fits.join(band, [by, "x"]).join(enough.select(by, "n", "span"), by).join(broken, by, "left_anti")
     sd = F.col("sd")
     out = fitted.select(
         by, "n", "span", F.lit(None).cast("string").alias("reason"), F.date_from_unix_date("x").alias("date"), F.col("fit").alias("rate"),
         F.greatest(F.lit(0.0), F.col("fit") - sd).alias("band_lo"), (F.col("fit") + sd).alias("band_hi"),
     )
     none = [F.lit(None).cast(t).alias(c) for c, t in (("date", "date"), ("rate", "double"), ("band_lo", "double"), ("band_hi", "double"))]
-    return out.union(sizes.where("few").select(by, "n", "span", F.lit("too few observations").alias("reason"), *none))
+    invalid = enough.join(broken, by, "left_semi").select(by, "n", "span", F.lit("no valid trend").alias("reason"), *none)
+    return out.union(sizes.where("few").select(by, "n", "span", F.lit("too few observations").alias("reason"), *none)).union(invalid)
