@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assetspan.llm._common import chunks, packed, raw, unpacked
 from assetspan.llm.labelled import remainder
@@ -213,7 +214,8 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
 def accepted(docs: DataFrame, network: Network | None, least: float = LEAST_SCORE) -> DataFrame:
     """docs without those whose language is unknown or less likely than `least`; without a network those with a letter stay."""
     p = packed(docs)
-    out = p.mapInArrow(_predict(network), p.schema.add("lang_pred", "string").add("score", "double"))
+    schema = T.StructType([*p.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = p.mapInArrow(_predict(network), schema)
     if network is None:
         return unpacked(out.where(F.col("text").rlike(r"\p{L}")), docs)
     return unpacked(out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs)
