@@ -33,7 +33,7 @@ from assetspan.llm._common import ALNUM, Rolling, chunks, cut, mix, raw, word_bo
 SHINGLE, THRESHOLD = 5, 0.8
 REGISTERS, ROWS, BANDS = 160, 5, 32
 SMALL, HUBS = 32, 4
-BLOCK_OUTSIDE, BLOCK_ALL = 128, 512
+BLOCK_OUTSIDE, BLOCK_ALL = 2048, 2048
 #: Up to so many keys (16 bytes each) of documents in buckets are broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 300_000
 
@@ -134,11 +134,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component, for the nodes that have an edge."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")))
+    small = F.broadcast if labels.count() <= BROADCAST_ROWS else lambda df: df
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(small(labels.select(F.col("node").alias("b"), "label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        low = near.join(small(labels), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = cut(low.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        new = cut(low.join(small(jump), "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
         changed = not new.where("label < old").isEmpty()
         labels = new.select("node", "label")
         if not changed:
@@ -228,18 +229,19 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     x, y = (pdf[pdf["role"] == r] for r in "xy")
     if not len(x) or not len(y):
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    tokens, at = np.unique(np.concatenate(list(x["set"])), return_inverse=True)
     nx = x["set"].map(len).to_numpy()
-    has = np.zeros((len(tokens) + 1, len(x)), np.int16)
-    has[at, np.repeat(np.arange(len(x)), nx)] = 1
+    token, owner = np.concatenate(list(x["set"])), np.repeat(np.arange(len(x)), nx)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
     xn, xl, xc = (x[c].to_numpy() for c in ("node", "label", "common"))
     found: dict[tuple[int, int], tuple[int, int]] = {}
     for node, label, common, own in zip(y["node"], y["label"], y["common"], y["set"]):
         near = (xl != label) & ((1 + THRESHOLD) * np.minimum(xc, common) >= THRESHOLD * (nx + len(own)) - 1e-9)
         if near.any():
-            place = np.searchsorted(tokens, own)
-            place[place == len(tokens)] = 0
-            shared = has[place[tokens[place] == own]].sum(0, dtype=np.int64)
+            low, high = np.searchsorted(token, own, "left"), np.searchsorted(token, own, "right")
+            size = high - low
+            at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+            shared = np.bincount(owner[at], minlength=len(x))
             for i in np.flatnonzero(near & (shared >= THRESHOLD * (nx + len(own) - shared) - 1e-9)):
                 found.setdefault((int(xn[i]), int(label)), (min(int(xn[i]), int(node)), max(int(xn[i]), int(node))))
     return pd.DataFrame(list(found.values()), columns=["a", "b"], dtype="int64")
