@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,12 +88,14 @@ def _windows(window: int):
                 anchor = part.anchors(window)
                 shared = c.column(c.schema.get_field_index("shared")).to_pylist()
                 own = []
+                first = part.runs(window, WORDS)
                 for a, e, s in zip(part.begin[:-1].tolist(), part.begin[1:].tolist(), shared):
-                    keep = np.isin(anchor[a : max(a, e - window + 1)], np.array(s, np.int64))
-                    own.append(a + np.flatnonzero(keep))
+                    end = max(a, e - window + 1)
+                    at = a + np.flatnonzero(np.isin(anchor[a:end], np.array(s, np.int64)))
+                    own.append(at[np.sort(np.unique(first[at], return_index=True)[1])])  # a run that recurs in the text is looked up once
                 row = np.repeat(np.arange(len(own)), [len(x) for x in own])
                 at = np.concatenate([*own, np.zeros(0, np.int64)]).astype(np.int64)
-                hashes = [mix(r.runs(r.prefix(part.word), at, at + window)).view(np.int64) for r in (WORDS, OTHER)]
+                hashes = [first[at].view(np.int64), mix(OTHER.runs(OTHER.prefix(part.word), at, at + window)).view(np.int64)]
                 keys = [c.column(c.schema.get_field_index(k)).take(pa.array(row)) for k in names[:2]]
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(at - part.begin[row]).cast(pa.int32()), *map(pa.array, hashes)], names)
 
@@ -153,12 +154,24 @@ def _keyed(window: int):
 
 
 def _spans(batch: pa.RecordBatch, window: int) -> list[list[tuple[int, int]]]:
+    """Merged spans of each row's factors; a run that was found is so wherever it recurs in the text."""
     col = batch.column(batch.schema.get_field_index("_starts"))
-    flat = col.flatten()
-    pos, ref = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
-    size = [0 if n is None else n for n in pa.compute.list_value_length(col).to_pylist()]
-    ends = np.cumsum(size)
-    return [merge_factors([f[:2] for f in parse(pos[e - n : e], ref[e - n : e], window)]) for e, n in zip(ends.tolist(), size)]
+    out: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
+    some = np.flatnonzero(col.is_valid().to_numpy(zero_copy_only=False))
+    if len(some):
+        rows = batch.take(pa.array(some))
+        part = Part(rows)
+        runs = part.runs(window, WORDS)
+        for i, k in enumerate(some.tolist()):
+            found = rows.column(rows.schema.get_field_index("_starts"))[i].values
+            pos, ref = (found.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            a = int(part.begin[i])
+            own = runs[a : max(a, int(part.begin[i + 1]) - window + 1)]
+            known, first = np.unique(own[pos], return_index=True)
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            every = np.flatnonzero(known[at] == own)
+            out[k] = merge_factors([f[:2] for f in parse(every, ref[first][at[every]], window)])
+    return out
 
 
 def _finish(window: int, rewrite: bool):
