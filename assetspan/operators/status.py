@@ -66,3 +66,8 @@ def economic_utilization(assets: DataFrame, contracts: DataFrame, as_of: dt.date
 
 def average_rate(assets: DataFrame, contracts: DataFrame, as_of: dt.date, by: list[str] | None = None) -> DataFrame:
     return current_rates(assets, contracts, as_of).groupBy(*(by or [])).agg(F.count("*").alias("n"), F.avg("day_rate").alias("avg_rate"))
+
+
+def filter_company(assets: DataFrame, company: str | None) -> DataFrame:
+    """The assets of one company, or all."""
+    return assets if company is None else assets.where(F.col("company") == company)

@@ -364,3 +364,65 @@ def timeline_order(spark, sf):
 def contract_digest(spark, sf):
     """The order-free digest under which a snapshot of contracts is published."""
     return hashes.table_digest(contracts(spark, sf))
+
+
+@query(f"WITH {JOURNAL} SELECT source_id, document_sha256 FROM journal WHERE (kind = 'fleet-report' AND k < 50) OR (kind = 'official-news' AND (k >= 90 OR user_id < 10))".replace("status, CASE WHEN title = 'view' THEN 'applied' END AS outcome", "status, user_id, CASE WHEN title = 'view' THEN 'applied' END AS outcome"), plain=True)
+def handled(spark, sf):
+    """Captures that an older pipeline knew: reports by hash, news by URL or text hash."""
+    e, j = announcements(spark, sf).select(F.col("event_id").alias("job_id"), "k", "user_id"), journal(spark, sf)
+    c = j.join(e, "job_id").withColumns({"raw_sha256": F.lit(None).cast("string"), "final_url": F.lit(None).cast("string"), "legacy_sha256": F.when(F.col("k") >= 90, F.col("document_sha256"))})
+    known = c.where("kind = 'fleet-report' and k < 50").select("company", F.col("document_sha256").alias("sha256"))
+    urls = c.where("user_id < 10").select("url").distinct()
+    hashes_ = c.where("k >= 90").select(F.col("legacy_sha256").alias("sha256"))
+    return jobs.handled(c, known, urls, hashes_).select("source_id", "document_sha256")
+
+
+@query(f"""WITH {JOURNAL}, n AS (SELECT DISTINCT source_id, sha256(source_id) AS sha FROM journal WHERE status <> 'completed')
+SELECT job_id, status FROM journal WHERE status = 'completed' UNION ALL SELECT 'job-' || sha256(source_id || chr(10) || sha)[1:32], 'pending' FROM n""", plain=True)
+def requeue_changed(spark, sf):
+    """Every source's document has changed when it is looked at again."""
+    j = journal(spark, sf)
+    return jobs.requeue_changed(j, j.select("source_id", F.sha2("source_id", 256).alias("document_sha256")).distinct()).select("job_id", "status")
+
+
+@query(f"""WITH {JOURNAL} SELECT job_id, status FROM journal UNION ALL SELECT DISTINCT 'job-' || sha256(source_id || chr(10) || document_sha256)[1:32], 'pending' FROM journal WHERE status = 'failed'""", plain=True)
+def enqueue_stored(spark, sf):
+    j = journal(spark, sf)
+    reviews = j.where("status = 'failed'").select("source_id", "company", "kind", "url", "document_sha256")
+    return jobs.enqueue_stored(j, reviews).select("job_id", "status")
+
+
+@query(f"""WITH {JOURNAL} SELECT source_id, min(CASE WHEN kind = 'fleet-report' THEN 0 ELSE 1 END) AS priority FROM journal GROUP BY source_id""", plain=True)
+def dedupe_sources(spark, sf):
+    """Reports before news, one candidate per source."""
+    j = journal(spark, sf).select("source_id", "company", "kind", "url", "document_sha256")
+    feeds = jobs.candidate_union(j.where("kind = 'fleet-report'"), j.where("kind = 'official-news'"))
+    return jobs.dedupe_sources(feeds).select("source_id", "priority")
+
+
+@query(f"""WITH {JOURNAL} SELECT rule, n FROM (SELECT 'company' AS rule, count(*) FILTER (company = 'C3') AS n FROM journal WHERE status <> 'completed' UNION ALL SELECT 'count', 1) WHERE n > 0""", plain=True)
+def backlog_violations(spark, sf):
+    """Of a backlog published with a wrong count, by a list of companies that lacks one."""
+    b = jobs.job_backlog(journal(spark, sf))
+    return quality.backlog_violations(b, 2, -1, ["fleet-report", "official-news"], COMPANIES[:3]).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS job_id, rule FROM (
+ SELECT doc_id, 'pages' AS rule FROM documents WHERE coalesce(text, '') = '' UNION ALL SELECT doc_id, 'locators' FROM documents WHERE len(string_split(text, chr(10))) > len(list_distinct(string_split(text, chr(10)))) AND coalesce(text, '') <> '')""", plain=True)
+def input_violations(spark, sf):
+    """Documents as reading inputs: a page per line, found by its text."""
+    pages = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("locator"), x.alias("text")))
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("job_id"), F.lit("official-news").alias("kind"), F.when(F.col("text") != "", pages).alias("pages"))
+    return quality.input_violations(d, ["official-news"])
+
+
+@query(""" SELECT strftime(date_trunc('quarter', start_date), '%Y-%m-%d') AS quarter, company, count(*) AS contracts, CAST(sum(end_date - start_date + 1) AS BIGINT) AS days FROM contracts JOIN assets USING (asset_id) GROUP BY 1, 2""")
+def contracts_by_quarter(spark, sf):
+    c = contracts(spark, sf).join(assets(spark, sf).select("asset_id", "company"), "asset_id")
+    quarter = F.date_format(scalars.quarter_start(F.col("start_date")), "yyyy-MM-dd").alias("quarter")
+    return c.groupBy(quarter, "company").agg(F.count("*").alias("contracts"), F.sum(scalars.duration_days_incl(F.col("start_date"), F.col("end_date"))).alias("days"))
+
+
+@query(""" SELECT count(*) AS total, count(*) FILTER (effective_status = 'Active') AS active FROM statuses WHERE company = 'C1'""")
+def one_company(spark, sf):
+    return status.fleet_kpis(status.filter_company(assets(spark, sf), "C1"), contracts(spark, sf), AS_OF).select("total", "active")
