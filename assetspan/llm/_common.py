@@ -34,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches' rows, regrouped so that one batch holds about `most` bytes of the column, and one row at least."""
     for batch in batches:
         if not batch.num_rows:
