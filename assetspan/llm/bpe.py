@@ -26,7 +26,7 @@ from assetspan.llm._common import chunks
 
 LONG = 1024
 #: Distinct pieces that a worker remembers; above it forgets all and starts again.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 NONE = np.int64(1 << 40)
 
 
@@ -196,7 +196,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
-        for b in chunks(batches, "text", 4 << 20):
+        for b in chunks(batches, "text"):
             coded = enc.encode(b.column(1).to_pylist())
             cols = [
                 b.column(0).cast(pa.int64()),

@@ -26,7 +26,7 @@ from assetspan.llm._common import ALNUM, chunks, packed, raw, unpacked
 
 WINDOW = 10
 SAMPLE = 8
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 16 << 20
 
 words_of = re.compile(rb"[^ ]+").finditer
