@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetspan.functions.scalars import covers, is_current_reported, js_round
-from assetspan.operators.intervals import covered_days
+from assetspan.operators.intervals import coverage_islands
 
 
 def effective_status(assets: DataFrame, contracts: DataFrame, as_of: dt.date) -> DataFrame:
@@ -58,8 +58,8 @@ def economic_utilization(assets: DataFrame, contracts: DataFrame, as_of: dt.date
     start = as_of.replace(month=1, day=1)
     elapsed = (as_of - start).days + 1
     marketed = effective_status(assets, contracts, as_of).where(F.col("effective_status") != "Cold-Stacked")
-    days = covered_days(marketed, contracts, start, as_of)
-    sums = marketed.join(days, "asset_id").groupBy(*(by or [])).agg(F.count("*").alias("marketed"), F.coalesce(F.sum("days"), F.lit(0)).alias("contract_days"))
+    days = coverage_islands(contracts, start, as_of).groupBy("asset_id").agg(F.sum("days").alias("days"))
+    sums = marketed.join(days, "asset_id", "left").groupBy(*(by or [])).agg(F.count("*").alias("marketed"), F.coalesce(F.sum("days"), F.lit(0)).alias("contract_days"))
     possible = F.col("marketed") * elapsed
     return sums.withColumns({"possible_days": possible, "economic_utilization": percent(F.col("contract_days"), possible)})
 
