@@ -183,7 +183,7 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _pass(items: list[tuple[object, bytes | None]], size: int):
+def _pass(items: list[tuple[object, bytes | None]], size: int, cut: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(items, size)
         for b in chunks(batches, "text", SHARD_BYTES):
@@ -198,7 +198,11 @@ def _pass(items: list[tuple[object, bytes | None]], size: int):
             for d, x in spans.items():
                 old[d] = [{"start": a, "end": e} for a, e in merged(x + [(y["start"], y["end"]) for y in old[d] or []])]
                 ids[d] = sorted(found[d] | set(ids[d] or []))
-            new = {"_spans": pa.array(old, _SPANS), "_items": pa.array(ids, pa.list_(pa.string())), "_words": pa.array(list(map(len, texts)), pa.int64())}
+            text = b.column(b.schema.get_field_index("text"))
+            if cut and any(old):
+                kept = [without(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(raw(b, "text"), old)]
+                text = pa.array(kept, pa.binary()).cast(text.type)
+            new = {"text": text, "_spans": pa.array(old, _SPANS), "_items": pa.array(ids, pa.list_(pa.string())), "_words": pa.array(list(map(len, texts)), pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(f.name, c) for f, c in zip(b.schema, b.columns)], b.schema.names)
 
     return run
@@ -214,19 +218,23 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[lis
         yield [(r[0], None if r[1] is None else bytes(r[1])) for r in part.toLocalIterator()]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
     """docs with three more columns: `_words` (count), `_spans` (merged word spans of hits, or null), `_items` (ids, or null).
 
     Words are maximal runs of ASCII letters and digits and non-ASCII characters, lower-cased in A-Z.  A window is
     `window` consecutive words of an item, or all words of a shorter one.  Null and empty texts have no words; an
     item without words has no window; equal items count each by its id, an item without id by the empty string.  Every row of
-    docs gives one row, repeated ones too; docs must not have columns of those three names.
+    docs gives one row, repeated ones too; docs must not have columns of those three names.  With `cut` the last pass cuts the spans from text.
     """
     out = docs.withColumns(
         {"_words": F.lit(0).cast("long"), "_spans": F.lit(None).cast("array<struct<start:int,end:int>>"), "_items": F.lit(None).cast("array<string>")}
     )
-    for items in blocks(benchmark, block_bytes):
-        out = out.mapInArrow(_pass(items, window), out.schema)
+    parts = blocks(benchmark, block_bytes)
+    items = next(parts)
+    while items is not None:
+        following = next(parts, None)
+        out = out.mapInArrow(_pass(items, window, cut and following is None), out.schema)
+        items = following
     return out
 
 
@@ -246,19 +254,8 @@ def report(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the hit words cut from text and n_chars recounted; documents of which no word is left go, others stay."""
-    found = find(packed(docs), benchmark, window)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.get_field_index("text")
-            spans = b.column(b.schema.get_field_index("_spans")).to_pylist()
-            if any(spans):
-                texts = [without(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(raw(b, "text"), spans)]
-                b = b.set_column(at, b.schema.field(at), pa.array(texts, pa.binary()).cast(b.column(at).type))
-            yield b
-
     hit = F.aggregate(F.col("_spans"), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    out = found.mapInArrow(run, found.schema).where(F.col("_spans").isNull() | (hit < F.col("_words")))
+    out = find(packed(docs), benchmark, window, cut=True).where(F.col("_spans").isNull() | (hit < F.col("_words")))
     return unpacked(out, docs, F.col("_spans").isNotNull())
 
 
