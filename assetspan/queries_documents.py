@@ -11,6 +11,7 @@ from assetspan.functions import hashes, scalars
 from assetspan.operators import apply, decisions, diff, documents, feed, jobs, market, observations, quality, status
 from assetspan.plans.model import AS_OF, ASSET_STATES, COMPANIES, CONTRACT_STATES, GENERATIONS, assets, contracts, table
 from assetspan.queries import query
+from assetspan.session import cut
 
 NOW = 1_700_000_000
 
@@ -289,7 +290,7 @@ SELECT DISTINCT a.job_id, a.index, b.contract_id AS other_contract_id FROM ok AS
  AND least(a.end_date, b.end_date) - greatest(a.start_date, b.start_date) > 31 WHERE a.action = 'upsert'""")
 def suspected_duplicates(spark, sf):
     c = contracts(spark, sf)
-    d = decisions.validate_decisions(responses(spark, sf), assets(spark, sf), c, CONTRACT_STATES)
+    d = cut(decisions.validate_decisions(responses(spark, sf), assets(spark, sf), c, CONTRACT_STATES))
     return decisions.suspected_duplicates(d, c).select("job_id", "index", "other_contract_id")
 
 
@@ -300,7 +301,7 @@ def _documented(d: DataFrame) -> DataFrame:
 @query(""" SELECT contract_id, asset_id, CASE WHEN status = 'Firm' AND day_rate > 0 AND client <> 'Undisclosed' THEN 'https://reports.example.com/' END AS source_url, day_rate, status FROM contracts""")
 def apply_decisions(spark, sf):
     c = contracts(spark, sf)
-    d = decisions.validate_decisions(responses(spark, sf), assets(spark, sf), c, CONTRACT_STATES)
+    d = cut(decisions.validate_decisions(responses(spark, sf), assets(spark, sf), c, CONTRACT_STATES))
     done = apply.apply_decisions(assets(spark, sf), c.withColumn("source_url", F.lit(None).cast("string")), _documented(d))
     return done.contracts.select("contract_id", "asset_id", "source_url", "day_rate", "status")
 
@@ -308,7 +309,7 @@ def apply_decisions(spark, sf):
 @query(DECISIONS + " SELECT job_id, CASE WHEN bool_or(hold_reason IS NOT NULL) THEN 'held' WHEN bool_or(action = 'upsert') THEN 'applied' ELSE 'no-change' END AS outcome FROM decided GROUP BY job_id")
 def decision_outcomes(spark, sf):
     c = contracts(spark, sf)
-    d = decisions.validate_decisions(responses(spark, sf), assets(spark, sf), c, CONTRACT_STATES)
+    d = cut(decisions.validate_decisions(responses(spark, sf), assets(spark, sf), c, CONTRACT_STATES))
     return apply.apply_decisions(assets(spark, sf), c, _documented(d)).outcomes
 
 
