@@ -64,6 +64,21 @@ def test_classes_are_those_of_all_pairs(spark, monkeypatch, small):
     assert found == brute(rows)
 
 
+def test_near_copies_that_repeat_different_passages_are_linked(spark):
+    """Set Jaccard is a little over 0.8, whatever each text repeats."""
+    rng, texts = random.Random(5), []
+    for _ in range(16):
+        words = ["".join(rng.choice("abcdefghijkl") for _ in range(7)) for _ in range(600)]
+        shared, tails = words[:500], (words[500:550], words[550:])
+        for k, tail in enumerate(tails):
+            passage = shared[100 * k + 50 : 100 * k + 150]
+            texts.append(" ".join(shared + tail + passage * 20))
+    rows = list(enumerate(texts))
+    expected = brute(rows)
+    assert set(expected.values()) == set(range(0, 32, 2))
+    assert {r[0]: r[1] for r in run(spark, rows).collect()} == expected
+
+
 def test_blocks_find_links_between_classes():
     rng = np.random.default_rng(0)
     base = np.sort(rng.choice(10**6, 100, replace=False))
