@@ -3,7 +3,8 @@
 Words outside boilerplate elements score positive and tags negative, with weights from hand-labelled pages (log-odds of standing inside the
 main text).  One linear scan finds the run of highest total score.  The run is then widened to whole blocks, and to the
 element that closely holds it (article, main, section, td or div, never the body), so that a short heading or last line is not lost.
-Elements that are never main text by their tag or by a word of their class, id or role are left out.
+Elements that are never main text by their tag are left out, and so are those with a word of NEVER_WORDS in class, id or role, unless they
+hold more of the page's words than all the rest, are an article or main, or hold the longest of these.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +25,7 @@ from assetspan.llm.html_pages import PAGES
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|select|object|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|select|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-zA-Z][^<>]*(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -33,8 +36,9 @@ BLOCK = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Never main text.
-NEVER = set("nav aside footer form button menu dialog head fieldset label option".split())
+#: Never main text.  Annotations repeat a formula in another notation and aren't shown.
+NEVER = set("nav aside footer form button menu dialog head fieldset label option annotation annotation-xml".split())
+#: Words of boilerplate; wrappers of a whole page and articles have them too (with-sidebar, comments-open), so that they don't decide alone.
 NEVER_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside widget widgets toolbar tabs pagination pager comment comments respond reply replies "
@@ -47,22 +51,29 @@ SPACE = re.compile(r"\s+")
 
 
 class Page:
-    """Segments in page order: ("text", decoded text, dead, in a link) and ("tag", name, dead); elements with their extent."""
+    """Segments in page order: ("text", decoded text, dead, in a link) and ("tag", name, dead); elements with their extent.
+
+    Tags inside a formula are all named math.
+    """
 
     def __init__(self, source: str):
         self.parts: list[tuple] = []
         self.elements: list[list] = []  # [name, first part, last part, dead]
+        marked: dict[int, int] = {}  # elements with a word of NEVER_WORDS, and the closest such element around each
+        open_ended: set[int] = set()
         stack: list[int] = []
-        dead = links = holders = at = 0
+        dead = links = holders = maths = at = 0
 
         def close(depth: int) -> None:
-            nonlocal dead, links, holders
+            nonlocal dead, links, holders, maths
             while len(stack) > depth:
+                open_ended.add(stack[-1])
                 e = self.elements[stack.pop()]
                 e[2] = len(self.parts)
                 dead -= e[3]
                 links -= e[0] == "a"
                 holders -= e[0] in ("article", "main")
+                maths -= e[0] == "math"
 
         def text(raw: str) -> None:
             if raw:
@@ -79,17 +90,16 @@ class Page:
             if m["end"]:
                 for depth in range(len(stack) - 1, -1, -1):
                     if self.elements[stack[depth]][0] == name:
-                        self.parts.append(("tag", "/" + name, dead > 0))
+                        self.parts.append(("tag", "/math" if maths else "/" + name, dead > 0))
+                        i = stack[depth]
                         close(depth)
+                        open_ended.discard(i)
                         break
                 else:
                     self.parts.append(("tag", "/" + name, dead > 0))
                 continue
             words = set(re.split(r"[^a-z0-9]+", " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(m["attrs"])).lower()))
-            never = name in NEVER or bool(words & NEVER_WORDS) and name not in ("body", "html") or name == "header" and not holders
-            if name in ("article", "main") and not never:  # an advert or notice that was never closed does not hold the article
-                while dead and stack and self.elements[stack[-1]][0] in ("div", "p", "span", "b", "i", "a"):
-                    close(len(stack) - 1)
+            never = name in NEVER or name == "header" and not holders
             while stack and name in IMPLIED_END.get(self.elements[stack[-1]][0], ()):
                 close(len(stack) - 1)
             if name in BLOCK and stack:  # inline elements left open inside a paragraph end with it
@@ -98,8 +108,11 @@ class Page:
                     depth -= 1
                 if depth and self.elements[stack[depth - 1]][0] == "p" and name in IMPLIED_END["p"]:
                     close(depth - 1)
-            self.parts.append(("tag", name, dead > 0 or never))
+            maths += name == "math"
+            self.parts.append(("tag", "math" if maths else name, dead > 0 or never))
             if name not in VOID:
+                if words & NEVER_WORDS and name not in ("body", "html", "article", "main"):
+                    marked[len(self.elements)] = next((i for i in reversed(stack) if i in marked), -1)
                 stack.append(len(self.elements))
                 self.elements.append([name, len(self.parts), len(self.parts), never])
                 dead += never
@@ -107,6 +120,37 @@ class Page:
                 holders += name in ("article", "main")
         text(source[at:])
         close(0)
+        if marked:
+            self._cut(marked, open_ended)
+
+    def _cut(self, marked: dict[int, int], open_ended: set[int]) -> None:
+        """Make dead the marked elements that hold at most half of the words, the smallest first; words in dead ones count no more."""
+        upto = [0.0]
+        for p in self.parts:
+            upto.append(upto[-1] + (count_words(p[1]) * (0.25 if p[3] else 1.0) if p[0] == "text" and not p[2] else 0.0))
+        held = lambda e: upto[e[2]] - upto[e[1]]
+        named = [e for e in self.elements if e[0] in ("article", "main") and not e[3]]
+        starts = [e[1] for e in named]
+        for i in marked.keys() & open_ended:  # an advert or notice that was never closed does not hold the article
+            e, k = self.elements[i], bisect_left(starts, self.elements[i][1])
+            if k < len(starts) and starts[k] <= e[2]:
+                e[2] = starts[k] - 1
+        longest = [max((e for e in named if e[0] == n), key=held, default=None) for n in ("article", "main")]
+        left, gone = upto[-1], dict.fromkeys([*marked, -1], 0.0)
+        edges = [0] * (len(self.parts) + 1)
+        for i in sorted(marked, key=lambda i: (held(self.elements[i]), -i)):
+            e = self.elements[i]
+            words = max(0.0, held(e) - gone[i])
+            if 2 * words <= left and not any(x and e[1] <= x[1] and x[2] <= e[2] for x in longest):
+                left -= words
+                e[3] = True
+                edges[e[1]] += 1
+                edges[e[2]] -= 1
+            gone[marked[i]] += held(e) if e[3] else gone[i]
+        for i, depth in enumerate(accumulate(edges[:-1])):
+            if depth:
+                p = self.parts[i]
+                self.parts[i] = (p[0], p[1], True, *p[3:])
 
 
 def count_words(text: str) -> int:
@@ -154,7 +198,7 @@ def main_text(source: str | None, weights: dict[str, float] = WEIGHTS) -> str:
         if p[0] == "text":
             scores.append(0.0 if p[2] else weights["word"] * count_words(p[1]) * (0.25 if p[3] else 1.0))
         else:
-            scores.append(weights.get(p[1].lstrip("/"), weights["tag"]))
+            scores.append(0.0 if p[1].lstrip("/") == "math" else weights.get(p[1].lstrip("/"), weights["tag"]))
     start, end = best_run(scores)
     if start == end:
         return ""

@@ -262,6 +262,31 @@ def test_extraction_of_odd_pages(spark):
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+BODY = "<h1>Title of it</h1><p>" + "The text goes on for a while here. " * 6 + "</p><p>And then it ends at last.</p>"
+ASIDE = '<div class="sidebar"><p>Popular guides</p><p><a href="/s">Salt and pepper</a></p></div><div class="comments"><p>Ann: mine never rises, what can I do?</p></div>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><div class="content with-sidebar"><div>{BODY}</div>{ASIDE}</div></body>',
+        f'<body><div id="page" class="right-sidebar"><div class="post"><article>{BODY}</article></div>{ASIDE}</div></body>',
+        f'<body><nav>Home</nav><article class="post comments-open category-social">{BODY}</article>{ASIDE}</body>',
+        f'<body>{ASIDE}<main class="has-sidebar"><section>{BODY}</section></main></body>',
+        f'<body><div id="share-page"><div class="tabs"><section class="x">{BODY}</section></div></div>{ASIDE}</body>',
+        f'<body><div class="layout side"><article>{BODY}</article><div class="comment-list"><article class="comment">Bob: try fresher yeast.</article></div></div></body>',
+        f'<body><div class="ad">buy this<article>{BODY}</article></body>',
+    ],
+)
+def test_class_words_of_wrappers_and_articles_lose_no_text(page):
+    assert extract.main_text(page) == "Title of it\n\n" + ("The text goes on for a while here. " * 6).strip() + "\n\nAnd then it ends at last."
+
+
+def test_formulas_stay():
+    page = f'<article>{BODY}<p>Area: <math><mi>A</mi><mo>=</mo><msup><mi>s</mi><mn>2</mn></msup><annotation encoding="application/x-tex">A=s^2</annotation></math> always.</p><p>More text.</p></article>'
+    assert extract.main_text(page).endswith("\n\nArea: A=s2 always.\n\nMore text.")
+
+
 def test_best_run_is_that_of_all_runs():
     r = random.Random(3)
     for _ in range(200):
