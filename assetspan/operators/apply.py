@@ -8,6 +8,7 @@ document touches its own company only: the k-th documents of all companies are a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,7 +47,10 @@ def _row_struct(df: DataFrame, prefix: str = "") -> Column:
 
 
 def apply_decisions(assets: DataFrame, contracts: DataFrame, decisions: DataFrame, updates: DataFrame | None = None) -> Applied:
-    """One document per company.  Held decisions and those that say hold change nothing and become holds."""
+    """One document per company, or several that share no asset.  Held decisions and updates, and decisions that say hold, change nothing and become holds.
+
+    A changed asset status is a change without contract, with `before_status` and `after_status` in place of rows.
+    """
     valid = with_new_ids(decisions.where("hold_reason is null"), contracts)
     acts = valid.where("action in ('upsert', 'withdraw')")
     base = contracts.select("asset_id", "contract_id", _row_struct(contracts).alias("_base"))
@@ -63,13 +67,17 @@ def apply_decisions(assets: DataFrame, contracts: DataFrame, decisions: DataFram
     written = final.where("action = 'upsert'").select("contract_id", "asset_id", *[F.col(f"_row.{c}").alias(c) for c in ROW], F.col("url").alias("source_url"), F.col("published_at").alias("source_published_at"), F.when(news, True).alias("news_reviewed"))
     kept = contracts.join(final.select("asset_id", "contract_id"), ["asset_id", "contract_id"], "left_anti")
     after = kept.unionByName(written, allowMissingColumns=True)
-    moved, assets_after = None, assets
+    assets_after = assets
     if updates is not None:
-        latest = updates.where("hold_reason is null").groupBy("asset_id").agg(F.max_by(F.struct("job_id", F.col("status").alias("s"), F.col("status_as_of").alias("d")), "index").alias("u"))
+        said = updates.where("hold_reason is null").select("job_id", "asset_id", "index", F.struct("status", "status_as_of").alias("after_status"))
+        known = assets.select("asset_id", F.struct("status", "status_as_of").alias("_known"))
+        turn = Window.partitionBy("asset_id").orderBy("index")
+        said = cut(said.join(known, "asset_id").withColumn("before_status", F.coalesce(F.lag("after_status").over(turn), "_known")))
+        moved = said.where(~F.col("before_status").eqNullSafe(F.col("after_status"))).select("job_id", "asset_id", "index", F.lit("status").alias("action"), "before_status", "after_status")
+        changes = changes.unionByName(moved, allowMissingColumns=True)
+        latest = said.groupBy("asset_id").agg(F.max_by("after_status", "index").alias("u"))
         joined = assets.join(latest, "asset_id", "left")
-        differs = F.col("u").isNotNull() & ~(F.col("u.s").eqNullSafe(F.col("status")) & F.col("u.d").eqNullSafe(F.col("status_as_of")))
-        moved = joined.where(differs).select(F.col("u.job_id").alias("job_id"), "asset_id")
-        assets_after = joined.withColumns({"status": F.coalesce("u.s", "status"), "status_as_of": F.coalesce("u.d", "status_as_of")}).drop("u").select(assets.columns)
+        assets_after = joined.withColumns({c: F.when(F.col("u").isNotNull(), F.col(f"u.{c}")).otherwise(F.col(c)) for c in ("status", "status_as_of")}).select(assets.columns)
     held = decisions.where("hold_reason is not null").select("job_id", "company", "index", "asset_id", "contract_id", "hold_reason")
     asked = valid.where("action = 'hold'").select("job_id", "company", "index", "asset_id", "contract_id", F.col("reason").alias("hold_reason"))
     holds = held.unionByName(asked)
@@ -77,37 +85,64 @@ def apply_decisions(assets: DataFrame, contracts: DataFrame, decisions: DataFram
     skipped = steps.join(done.select("job_id", "index"), ["job_id", "index"], "left_anti").select("job_id", "index")
     shown = valid.join(skipped, ["job_id", "index"], "left_anti").select("job_id", "company", "asset_id", "index", status.alias("review_status")).union(held.select("job_id", "company", "asset_id", "index", F.lit("conflict")))
     events = shown.withColumn("event_id", decision_event_id(F.col("job_id"), F.lit("decisions"), F.col("index")))
+    if updates is not None:
+        refused = updates.where("hold_reason is not null").select("job_id", "company", "index", "asset_id", "hold_reason")
+        holds = holds.unionByName(refused, allowMissingColumns=True)
+        event = decision_event_id(F.col("job_id"), F.lit("vesselUpdates"), F.col("index"))
+        events = events.unionByName(refused.select("job_id", "company", "asset_id", "index", F.lit("conflict").alias("review_status"), event.alias("event_id")))
     jobs = decisions.select("job_id").union(updates.select("job_id")).distinct() if updates is not None else decisions.select("job_id").distinct()
     did = changes.select("job_id")
-    if moved is not None:
-        did = did.union(moved.select("job_id"))
     outcome = F.when(F.col("_h"), "held").when(F.col("_d"), "applied").otherwise("no-change")
     outcomes = jobs.join(holds.select("job_id").distinct().withColumn("_h", F.lit(True)), "job_id", "left").join(did.distinct().withColumn("_d", F.lit(True)), "job_id", "left")
     return Applied(assets_after, after, changes, holds, events, outcomes.select("job_id", outcome.alias("outcome")))
 
 
-def apply_documents(assets: DataFrame, contracts: DataFrame, decisions: DataFrame, violations) -> tuple[DataFrame, DataFrame]:
-    """(contracts, outcomes) after documents in rounds; decisions has `round`, the document's rank within its company.
+def apply_rounds(assets: DataFrame, contracts: DataFrame, decisions: DataFrame, violations, updates: DataFrame | None = None) -> Applied:
+    """State, changes, holds, events and outcomes after documents in rounds; decisions and updates have `round`, the document's rank within its company.
 
     violations(assets, contracts) gives the integrity violations of a state (asset_id, contract_id); a document whose result has one is
-    dropped whole and its outcome is `failed`.  Rounds are as many as one company has documents waiting, which listings bound.
+    dropped whole, with its changes, holds and events, and its outcome is `failed`.  Rounds are as many as one company has documents
+    waiting, which listings bound.
     """
-    last = decisions.agg(F.max("round")).first()[0] or 0
-    outcomes = None
-    for r in range(1, last + 1):
+    ranks = decisions.select("round") if updates is None else decisions.select("round").union(updates.select("round"))
+    ranks = sorted(r[0] for r in ranks.where("round is not null").distinct().collect())
+    parts: dict[str, list[DataFrame]] = {"changes": [], "holds": [], "events": [], "outcomes": []}
+    for r in ranks or [0]:
         part = cut(decisions.where(F.col("round") == r))
+        news = None if updates is None else cut(updates.where(F.col("round") == r))
         parents = contracts.select("contract_id", F.col("asset_id").alias("_parent"))
         gone = F.col("contract_id").isNotNull() & ~F.col("_parent").eqNullSafe(F.col("asset_id"))
         part = part.join(parents, "contract_id", "left").withColumn("hold_reason", F.coalesce("hold_reason", F.when(gone, "contractId is no contract of the asset"))).drop("_parent")
-        tried = apply_decisions(assets, contracts, part)
-        bad = violations(tried.assets, tried.contracts).where("asset_id is not null").select("asset_id").distinct().join(assets.select("asset_id", "company"), "asset_id").select("company").distinct()
-        failed = cut(part.select("job_id", "company").distinct().join(bad, "company", "left_semi"))
-        kept = part if failed.isEmpty() else part.join(failed.select("job_id"), "job_id", "left_anti")
-        result = apply_decisions(assets, contracts, kept)
-        contracts = cut(result.contracts)
-        now = cut(result.outcomes.union(failed.select("job_id", F.lit("failed"))))
-        outcomes = now if outcomes is None else outcomes.union(now)
-    return contracts, outcomes
+        result = apply_decisions(assets, contracts, part, news)
+        bad = violations(result.assets, result.contracts).where("asset_id is not null").select("asset_id").distinct().join(assets.select("asset_id", "company"), "asset_id").select("company").distinct()
+        read = part.select("job_id", "company") if news is None else part.select("job_id", "company").union(news.select("job_id", "company"))
+        failed = cut(read.distinct().join(bad, "company", "left_semi"))
+        if not failed.isEmpty():
+            kept = lambda d: d.join(failed.select("job_id"), "job_id", "left_anti")
+            result = apply_decisions(assets, contracts, kept(part), None if news is None else kept(news))
+        now = {k: cut(getattr(result, k)) for k in ("assets", "contracts", "changes", "holds", "events")}
+        now["outcomes"] = cut(result.outcomes.union(failed.select("job_id", F.lit("failed"))))
+        assets, contracts = now["assets"], now["contracts"]
+        for k, found in parts.items():
+            found.append(now[k])
+    return Applied(assets, contracts, **{k: reduce(DataFrame.unionByName, found) for k, found in parts.items()})
+
+
+def apply_documents(assets: DataFrame, contracts: DataFrame, decisions: DataFrame, violations, updates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(contracts, outcomes) of apply_rounds."""
+    done = apply_rounds(assets, contracts, decisions, violations, updates)
+    return done.contracts, done.outcomes
+
+
+def settle_holds(documents: DataFrame, done: Applied) -> DataFrame:
+    """documents (job_id, company, round, open_holds as array of text) after rounds: the last document of a company that did not fail clears the open
+    holds of all others and has its own holds."""
+    ok = done.outcomes.where("outcome <> 'failed'").join(documents.select("job_id", "company", "round"), "job_id")
+    last = cut(ok.groupBy("company").agg(F.max_by(F.struct("job_id", "outcome"), "round").alias("o")).select("o.*"))
+    own = done.holds.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "hold_reason"))), lambda h: h["hold_reason"]).alias("_own"))
+    own = last.select("job_id").join(own, "job_id", "left").select("job_id", F.coalesce("_own", F.array().cast("array<string>")).alias("_own"))
+    cleared = clear_holds(documents, last).join(own, "job_id", "left")
+    return cleared.withColumn("open_holds", F.coalesce("_own", "open_holds")).select(documents.columns)
 
 
 def clear_holds(documents: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -155,6 +155,25 @@ def test_documents_in_rounds_and_integrity(spark):
     assert after.where("contract_id = 'k0' or day_rate = 7").count() == 0
 
 
+def test_rounds_carry_updates_changes_holds_and_events(spark):
+    update = lambda job, status, day, r, why=None: (job, "X", 0, "a", status, day, why, r)
+    u = [update("j1", "Cold-Stacked", "2026-06-01", 1), update("j2", "Cold-Stacked", "2026-06-01", 2), update("j3", "Idle", "2026-06-03", 3, "status is invalid"), update("j4", "Active", "2026-06-04", 4)]
+    u = spark.createDataFrame(u, "job_id string, company string, index int, asset_id string, status string, status_as_of string, hold_reason string, round int").withColumn("status_as_of", F.to_date("status_as_of"))
+    item = ['{"vesselId":"a","contractId":"k0","action":"withdraw"}', GOOD, '{"vesselId":"a","action":"hold","reasonKo":"why"}']
+    d = [documented(validated(spark, [x], f"j{i}")).withColumn("round", F.lit(i)) for i, x in enumerate(item, 1)]
+    broken = lambda a, c: a.where("asset_id = 'a' and status = 'Active' and status_as_of = '2026-06-04'").select("asset_id", F.lit(None).alias("contract_id"))
+    done = apply.apply_rounds(fleet(spark), contracts(spark), d[0].unionByName(d[1]).unionByName(d[2]), broken, u)
+    assert {r.job_id: r.outcome for r in done.outcomes.collect()} == {"j1": "applied", "j2": "applied", "j3": "held", "j4": "failed"}
+    a = done.assets.where("asset_id = 'a'").first()
+    assert (a.status, str(a.status_as_of)) == ("Cold-Stacked", "2026-06-01")
+    assert sorted((r.job_id, r.action) for r in done.changes.collect()) == [("j1", "status"), ("j1", "withdraw"), ("j2", "upsert")]
+    assert sorted((r.job_id, r.hold_reason) for r in done.holds.collect()) == [("j3", "status is invalid"), ("j3", "why")]
+    assert sorted((r.job_id, r.review_status) for r in done.events.collect()) == [("j1", "applied"), ("j2", "applied"), ("j3", "conflict"), ("j3", "conflict")]
+    docs = spark.createDataFrame([(f"j{i}", "X", i, ["old"]) for i in range(6)], "job_id string, company string, round int, open_holds array<string>")
+    held = {r.job_id: r.open_holds for r in apply.settle_holds(docs, done).collect()}
+    assert sorted(held.pop("j3")) == ["status is invalid", "why"] and set(map(tuple, held.values())) == {()}
+
+
 def test_suspected_duplicates(spark):
     near = GOOD.replace("2027-01-01", "2026-03-01").replace('"client":"C"', '"client":"client Ltd"')
     pairs = decisions.suspected_duplicates(validated(spark, [near, GOOD]), contracts(spark)).collect()
