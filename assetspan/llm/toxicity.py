@@ -111,7 +111,7 @@ class Scorer:
         for m in self.search.finditer(text):
             if m.start() < end:
                 continue
-            start = max((x for x in (text.rfind(c, max(0, m.start() - 1000), m.start()) for c in ".!?;:\n\"“”«»") if x >= 0), default=max(-1, m.start() - 1000)) + 1
+            start = max(end, *(text.rfind(c, max(0, end), m.start()) for c in ".!?;:\n\"“”«»")) + 1  # from the last clause's end on, so that the text is read once
             stop = CLAUSE.search(text, m.end())
             end = stop.start() if stop else len(text)
             state, total = GRAMMAR.start, 0.0

@@ -262,6 +262,12 @@ def test_extraction_of_odd_pages(spark):
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_clauses_are_read_from_their_start():
+    s, long = toxicity.Scorer({"vequ": 2.0}), "some | " * 400
+    near, far = s.clauses("you are vequal"), s.clauses("Before. you are " + long + "vequal. It is " + long + "vequal; you " + long + "vequal")
+    assert far[0] == far[2] == near[0] == pytest.approx(1.5 * far[1])
+
+
 BODY = "<h1>Title of it</h1><p>" + "The text goes on for a while here. " * 6 + "</p><p>And then it ends at last.</p>"
 ASIDE = '<div class="sidebar"><p>Popular guides</p><p><a href="/s">Salt and pepper</a></p></div><div class="comments"><p>Ann: mine never rises, what can I do?</p></div>'
 
