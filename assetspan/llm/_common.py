@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from assetspan.session import cut
+
+__all__ = ["ALNUM", "Rolling", "chunks", "cut", "lengths", "mix", "packed", "raw", "small", "suffix_array", "table", "unpacked", "word_bounds", "word_hashes"]
+
 #: Byte table: A-Z become a-z, every other ASCII character that is no digit or lower-case letter becomes a
 #: space, bytes of non-ASCII characters stay.  Splitting at spaces then gives [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
 ALNUM = bytes(
@@ -20,22 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the session's shared checkpoint folder and read it from there, so that lost executors cost no more than the running stage.
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, regrouped so that one batch holds about `most` bytes of the column and `rows` rows at most, and one row at least.
 
-    The folder is what spark.checkpoint.dir names; only where that is unset (local tests) a temporary one is set.
+    A text larger than that is a batch of its own, as no row can be split; a worker needs some 20 times its bytes for it.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not configured and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches' rows, regrouped so that one batch holds about `most` bytes of the column, and one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -44,7 +36,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, base + most, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -105,6 +97,70 @@ def word_bounds(buffer: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+#: Base of the words' hashes, the longest stretch of a word that is hashed at once, and how many bytes are hashed at a time.
+WORD_BASE, STRETCH = 0x3C6EF372FE94F82B, 1 << 12
+HASHED_BYTES = 1 << 18
+
+
+def word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word, by its bytes alone, in memory that does not grow with the bytes."""
+    size = ends - starts
+    longest = int(size.max(initial=0))
+    if longest > STRETCH:  # hash stretches, then sum them by their number in the word
+        count = -(-size // STRETCH)
+        first = np.cumsum(count) - count
+        number = np.arange(int(count.sum())) - np.repeat(first, count)
+        at = np.repeat(starts, count) + number * STRETCH
+        parts = word_hashes(buffer, at, np.minimum(at + STRETCH, np.repeat(ends, count)))
+        parts += number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return np.where(count == 1, parts[first], mix(np.add.reduceat(mix(parts), first)))
+    out = np.empty(len(starts), np.uint64)
+    powers = np.full(longest, WORD_BASE, np.uint64)
+    powers[:1] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    upto = np.cumsum(size)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(upto, (int(upto[a - 1]) if a else 0) + HASHED_BYTES, side="right")))
+        n = size[a:b]
+        first = np.cumsum(n) - n
+        inside = np.arange(int(n.sum())) - np.repeat(first, n)
+        values = buffer[np.repeat(starts[a:b], n) + inside].astype(np.uint64)
+        values += np.uint64(1)
+        values *= powers[inside]
+        out[a:b] = mix(np.add.reduceat(values, first))
+        a = b
+    return out
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """By prefix doubling; equal symbols past the first differing one never remain, as the last symbol is unique."""
+    _, rank = np.unique(text, return_inverse=True)
+    n, k = len(text), 1
+    while True:
+        after = np.full(n, -1, np.int64)
+        after[: n - k] = rank[k:] if k < n else []
+        key = rank * (n + 1) + after + 1
+        order = np.argsort(key, kind="stable")
+        step = np.concatenate(([0], np.diff(key[order]) != 0)).cumsum()
+        rank = np.empty(n, np.int64)
+        rank[order] = step
+        if step[-1] == n - 1:
+            return order
+        k *= 2
+
+
+#: Up to so many rows of a few numbers each are broadcast; beyond it Spark shuffles both sides.
+BROADCAST_ROWS = 300_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, which is cheap to count, as a broadcast side if it has at most BROADCAST_ROWS rows."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """doc_id, text, and all other columns inside one struct, where their names clash with nothing."""
     from pyspark.sql import functions as F

@@ -4,9 +4,11 @@ Signatures: each distinct shingle (SHINGLE consecutive words) of a text is a Poi
 REGISTERS registers, which keeps the shingle that came first.  A shingle stops as soon as its next arrival is later than the last of all
 registers' first arrivals, so that most stop after a few.  Two texts agree in a register with the probability Jaccard similarity
 of their weighted shingles, which for equal weights is the Jaccard similarity of the sets, the one that is verified; weights by
-counts of one text would lower it where two texts repeat different passages.
+counts of one text would lower it where two texts repeat different passages.  Of a register's shingle 16 bits are kept.
 
-Candidates: BANDS bands of ROWS registers each; at a similarity of 0.8 all bands miss with probability 3e-6.
+Candidates: BANDS bands of ROWS registers each; at a similarity of 0.8 all bands miss with probability 3e-6.  A pair that agrees in
+fewer than LEAST_AGREE registers is given up, which at a similarity of 0.8 happens with probability 1e-8; so the sets of
+shingles, which are far larger than signatures, are made for few texts only.
 Equal texts are one node from the start, so that copies make no pairs.  Inside a band's bucket:
 1. every member is compared with one hub, the member that shares most buckets with others;
 2. in buckets that still hold several classes, small ones compare members of different classes, larger ones members outside the
@@ -29,17 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetspan.llm._common import ALNUM, Rolling, chunks, cut, mix, raw, word_bounds
+from assetspan.llm._common import ALNUM, BROADCAST_ROWS, Rolling, chunks, cut, mix, packed, raw, small, unpacked, word_bounds, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-REGISTERS, ROWS, BANDS = 160, 5, 32
+REGISTERS, ROWS, BANDS = 96, 4, 24
+LEAST_AGREE = 53
 SMALL, HUBS = 32, 4
 BLOCK_OUTSIDE, BLOCK_ALL = 2048, 2048
-#: Up to so many keys (16 bytes each) of documents in buckets are broadcast; beyond it Spark shuffles both sides.
-BROADCAST_ROWS = 300_000
 
 IS_WORD = np.array([i != 32 for i in range(256)])
-BYTES, WORDS = Rolling(0x3C6EF372FE94F82B), Rolling(0xBB67AE8584CAA73B)
+WORDS = Rolling(0xBB67AE8584CAA73B)
 
 
 def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,7 +50,7 @@ def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     starts, ends = word_bounds(buffer, IS_WORD)
     base = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))
     begin = np.searchsorted(starts, base)
-    words = mix(BYTES.runs(BYTES.prefix(buffer.astype(np.uint64) + np.uint64(1)), starts, ends))
+    words = word_hashes(buffer, starts, ends)
     n = np.diff(begin)
     count = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
     doc = np.repeat(np.arange(len(texts)), count)
@@ -82,24 +83,25 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
     return out.reshape(n, registers)
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    """[n, bands] keys; equal keys of different bands are as rare as any other collision."""
-    n = len(signature)
-    x = signature[:, : ROWS * BANDS].reshape(n, BANDS, ROWS)
-    key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (n, BANDS))
-    for r in range(ROWS):
-        key = mix(key * np.uint64(0x100000001B3) ^ x[:, :, r])
-    return key.view(np.int64)
+def packed_signature(signature: np.ndarray) -> np.ndarray:
+    """[n, bands] numbers, each of ROWS registers of 16 bits."""
+    return np.ascontiguousarray(signature.astype(np.uint16)).view(np.int64)
+
+
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many registers packed signatures agree, row by row."""
+    return (x.view(np.uint16) == y.view(np.uint16)).sum(1)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "md5", "th", "n", "sig"]
     for b in chunks(batches, "text"):
         doc, shingle, _ = shingles(raw(b, "text"))
-        keys = band_keys(signatures(doc, shingle, np.ones(len(doc)), b.num_rows))
-        some = np.bincount(doc, minlength=b.num_rows) > 0
-        ends = np.concatenate(([0], np.cumsum(some * BANDS)))
-        bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[some].ravel()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), bands], ["doc_id", "md5", "th", "bands"])
+        size = np.bincount(doc, minlength=b.num_rows)
+        packs = packed_signature(signatures(doc, shingle, np.ones(len(doc)), b.num_rows))
+        some = size > 0
+        sig = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some * BANDS))), pa.int32()), pa.array(packs[some].ravel()))
+        yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names[:3]), pa.array(size), sig], names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,6 +112,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), sets], ["node", "set"])
 
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x, y = (b.column(i).flatten().to_numpy().reshape(-1, BANDS) for i in (2, 3))
+        yield b.select([0, 1]).filter(pa.array(agreement(x, y) >= LEAST_AGREE))
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
@@ -120,27 +128,38 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    with_sets = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        .where(f"least(size(x), size(y)) >= {THRESHOLD} * greatest(size(x), size(y)) - 1e-9")
-        .select("a", "b", "x", "y")
-    )
-    return with_sets.mapInArrow(_similar, "a long, b long")
+def _ends(pairs: DataFrame, side: DataFrame, *columns: str) -> DataFrame:
+    """a, b and the columns of side (node, ...) for both of them, named with x_ and y_."""
+    for end, name in (("a", "x_"), ("b", "y_")):
+        pairs = pairs.join(side.select(F.col("node").alias(end), *(F.col(c).alias(name + c) for c in columns)), end)
+    return pairs.select("a", "b", *(n + c for c in columns for n in ("x_", "y_")))
+
+
+def sets_of(wanted: DataFrame, nodes: DataFrame, usable: DataFrame) -> DataFrame:
+    """(node, set) of the nodes in wanted, from their texts."""
+    keys = small(cut(wanted.join(nodes, "node").select("node", F.col("first").alias("doc_id"), "th")))
+    texts = usable.join(keys, ["doc_id", "th"]).select("node", "text").dropDuplicates(["node"])
+    return texts.mapInArrow(_sets, "node long, set array<long>")
+
+
+def linked(pairs: DataFrame, nodes: DataFrame, usable: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of texts that are similar enough."""
+    fits = f"least(x_n, y_n) >= {THRESHOLD} * greatest(x_n, y_n) - 1e-9"
+    alike = cut(_ends(pairs, nodes, "n", "sig").where(fits).select("a", "b", "x_sig", "y_sig").mapInArrow(_alike, "a long, b long"))
+    wanted = alike.select(F.col("a").alias("node")).union(alike.select("b")).distinct()
+    return _ends(alike, cut(sets_of(wanted, nodes, usable)), "set").mapInArrow(_similar, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component, for the nodes that have an edge."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")))
-    small = F.broadcast if labels.count() <= BROADCAST_ROWS else lambda df: df
+    wrap = F.broadcast if labels.count() <= BROADCAST_ROWS else lambda df: df
     while True:
-        near = both.join(small(labels.select(F.col("node").alias("b"), "label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = near.join(small(labels), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(wrap(labels.select(F.col("node").alias("b"), "label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        low = near.join(wrap(labels), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = cut(low.join(small(jump), "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        new = cut(low.join(wrap(jump), "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
         changed = not new.where("label < old").isEmpty()
         labels = new.select("node", "label")
         if not changed:
@@ -160,55 +179,73 @@ def _pairs(x: DataFrame, y: DataFrame, condition: str) -> DataFrame:
     return x.join(y, F.expr(f"x.key = y.key and x.node <> y.node and x.label <> y.label and ({condition})")).select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the least doc_id of its class).
+def _nodes(own: DataFrame) -> DataFrame:
+    """One row per text: md5, node, first (its least doc_id), th, n, sig, copies (rows).
 
-    Two documents are linked if their texts are equal or if the Jaccard similarity of their sets of SHINGLE words (ASCII letters, digits and
-    non-ASCII characters, A-Z lower-cased) is at least THRESHOLD; a text of fewer words has one shingle of all of them, one without words
-    is linked to equal texts only.  A null text is in a class of its own; without doc_id there is no class (null).  Rows
-    of the same doc_id are one document.
+    A node is called by its first doc_id; where several texts have the same, by a hash of text and doc_id.
     """
-    keyed = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), F.xxhash64("text").alias("th"), "text")
-    usable = keyed.where("doc_id is not null and text is not null")
-    own = cut(usable.mapInArrow(_sign, "doc_id long, md5 string, th long, bands array<long>"))
-    nodes = own.groupBy("md5").agg(F.min("doc_id").alias("node"))
-    chosen = own.join(nodes, (own.md5 == nodes.md5) & (own.doc_id == nodes.node)).select("node", "th", "bands").dropDuplicates(["node", "th"])
-    exploded = cut(chosen).select("node", "th", F.explode("bands").alias("key"))
-    buckets = exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(exploded.join(buckets, "key").select("key", "node", "th", "n"))
-    center = members.groupBy("node").agg(F.sum("n").alias("center"))
-    members = cut(members.join(center, "node"))
-    wanted = members.select(F.col("node").alias("doc_id"), "th").distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    sets = cut(usable.join(wanted, ["doc_id", "th"]).select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(_sets, "node long, set array<long>"))
+    texts = cut(own.groupBy("md5").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("th").alias("th"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    shared = texts.groupBy("first").agg(F.count("*").alias("k")).where("k > 1").select("first", F.lit(True).alias("shared"))
+    if shared.isEmpty():
+        return texts.withColumn("node", F.col("first"))
+    return cut(texts.join(shared, "first", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64("md5", "first")).otherwise(F.col("first"))))
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(own, found): own has doc_id, md5 and th of each row with both doc_id and text; found has md5, class_id (the class's
+    least doc_id) and keeper (whether the text is the class's first) of the texts that more than one row or another text share."""
+    usable = docs.where("doc_id is not null and text is not null").select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("md5"), F.xxhash64("text").alias("th"), "text")
+    own = cut(usable.mapInArrow(_sign, "doc_id long, md5 binary, th long, n long, sig array<long>"))
+    usable = usable.select("doc_id", "th", "text")
+    nodes = _nodes(own)
+    exploded = nodes.select("node", F.posexplode("sig").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("key"))
+    buckets = cut(exploded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1"))
+    members = cut(exploded.join(small(buckets.where("n > 2").select("key", "n")), "key"))
+    members = cut(members.join(members.groupBy("node").agg(F.sum("n").alias("center")), "node"))
     hub = members.groupBy("key").agg(F.max(F.struct("center", (-F.col("node")).alias("back"))).alias("top")).select("key", (-F.col("top.back")).alias("hub"))
-    first = members.join(hub, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    edges = cut(linked(first, sets))
+    first = members.join(hub, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    edges = cut(linked(first.union(buckets.where("n = 2").select("a", "b")).distinct(), nodes, usable))
     labels = components(edges)
 
     mixed = cut(_labelled(members, labels))
     if not mixed.isEmpty():
-        small, large = mixed.where(F.col("n") <= SMALL), mixed.where(F.col("n") > SMALL)
+        few, large = mixed.where(F.col("n") <= SMALL), mixed.where(F.col("n") > SMALL)
         best = F.max(F.struct("center", "node", "label")).alias("t")
         hubs = large.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("salt")).agg(best).select("key", "t.node", "t.label")
-        again = _pairs(small, small, "x.node < y.node").union(_pairs(large, hubs, "true")).distinct().join(edges, ["a", "b"], "left_anti")
-        edges = cut(edges.union(linked(again, sets)))
+        again = _pairs(few, few, "x.node < y.node").union(_pairs(large, hubs, "true")).distinct().join(edges, ["a", "b"], "left_anti")
+        edges = cut(edges.union(linked(again, nodes, usable)))
         labels = components(edges)
         mixed = cut(_labelled(members.where(F.col("n") > SMALL), labels))
         if not mixed.isEmpty():
-            inside = sets.join(mixed.select("node").distinct(), "node", "left_semi")
+            inside = cut(sets_of(mixed.select("node").distinct(), nodes, usable))
             tokens = inside.select("node", F.explode("set").alias("token"))
             alone = tokens.groupBy("token").agg(F.count("*").alias("df"), F.first("node").alias("node")).where("df = 1").groupBy("node").agg(F.count("*").alias("lone"))
             size = inside.select("node", F.size("set").alias("size")).join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("common"))
             opened = mixed.join(size, "node").where(f"common >= {THRESHOLD} * size - 1e-9")
             major = opened.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("m")).select("key", F.col("m.label").alias("major"))
             opened = cut(opened.join(major, "key"))
-            edges = cut(edges.union(_blocks(opened, sets)))
+            edges = cut(edges.union(_blocks(opened, inside)))
             labels = components(edges)
 
-    found = nodes.join(labels, "node", "left").select("md5", F.coalesce("label", "node").alias("class_id"))
-    return keyed.select("doc_id", "md5").join(found, "md5", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    texts = nodes.select("node", "md5", "first", "copies").join(small(labels), "node", "left")
+    linked_texts = cut(texts.where("label is not null or copies > 1").select("md5", "first", F.coalesce("label", "node").alias("label")))
+    least = linked_texts.groupBy("label").agg(F.min(F.struct("first", "md5")).alias("least"))
+    found = linked_texts.join(least, "label").select("md5", F.col("least.first").alias("class_id"), (F.col("md5") == F.col("least.md5")).alias("keeper"))
+    return own.select("doc_id", "md5", "th"), cut(found)
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (the least doc_id of its class).
+
+    Two texts are linked if they are equal or if the Jaccard similarity of their sets of SHINGLE words (ASCII letters, digits and
+    non-ASCII characters, A-Z lower-cased) is at least THRESHOLD; a text of fewer words has one shingle of all of them, one without words
+    is linked to equal texts only.  A null text is in a class of its own; without doc_id there is no class (null).  Repeated rows
+    give repeated rows; rows of one doc_id with different texts are in one class only if these are linked, though both classes may be called by
+    that doc_id.  Other columns are ignored; an empty table gives an empty one.  A text of any length is read whole by one worker.
+    """
+    own, found = _grouped(docs)
+    rows = own.select("doc_id", "md5").join(small(found.select("md5", "class_id")), "md5", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return rows.union(docs.where("doc_id is null or text is null").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def _blocks(opened: DataFrame, sets: DataFrame) -> DataFrame:
@@ -249,13 +286,20 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose class has one with a smaller doc_id; of rows with one doc_id one stays, rows without doc_id stay."""
-    ids = cut(classes(docs.select("doc_id", "text")))
-    gone = ids.where("class_id < doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    if ids.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+    """docs with one text of each class, that with the least doc_id, in one row; rows without doc_id or text stay.
+
+    Rows of one doc_id with different texts are different documents; of rows with the same doc_id and text one stays, whichever its other
+    columns.  An empty table gives an empty one.
+    """
+    own, found = _grouped(docs.select("doc_id", "text"))
+    marked = cut(own.join(small(found), "md5"))
+    gone = small(marked.where("not keeper or doc_id > class_id").select("doc_id", "th").distinct())
+    left = docs.join(gone, (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["th"]), "left_anti")
+    if marked.where("keeper and doc_id = class_id").groupBy("doc_id", "th").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
         return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).union(left.where("doc_id is null"))
+    rows, usable = packed(left), F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    keyed = rows.where(usable).withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
+    return unpacked(keyed.union(rows.where(~usable)), docs)
 
 
 SQL = r"""

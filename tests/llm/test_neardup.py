@@ -111,3 +111,24 @@ def test_one_of_each_class_stays(spark):
     assert left.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 3]
     assert left.where(F.col("class_id") == "y").count() == 1
+
+
+def test_rows_of_one_id_with_different_texts_are_different_documents(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a, "first"), (2, b, "x"), (2, a, "copy"), (2, b, "again"), (3, b.replace("v7 ", "u "), "near"), (3, "alone", "y"), (None, a, "no id"), (4, None, "null")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th string")
+    assert sorted(docs.select("doc_id").join(neardup.classes(docs).distinct(), "doc_id").distinct().collect(), key=str) == sorted([(1, 1), (2, 1), (2, 2), (3, 2), (3, 3), (4, 4)], key=str)
+    kept = neardup.survivors(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.th for r in kept.collect() if r.doc_id != 2) == ["first", "no id", "null", "y"]
+    assert [r.text for r in kept.where("doc_id = 2").collect()] == [b]
+    assert neardup.survivors(docs.limit(0)).count() == 0
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    from assetspan.llm import _common
+
+    words = [b"a", b"ab" * 5000, b"b", b"a", b"ab" * 5000, b"c" * 9000, b"ab" * 4999]
+    buffer = np.frombuffer(b" ".join(words), np.uint8)
+    hashes = _common.word_hashes(buffer, *_common.word_bounds(buffer, neardup.IS_WORD)).tolist()
+    assert hashes[0] == hashes[3] and hashes[1] == hashes[4] and len(set(hashes)) == 5
