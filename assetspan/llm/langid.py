@@ -10,11 +10,11 @@ documents, chosen by hash, and of each at most TRAIN_WINDOWS stretches of TRAIN_
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +31,8 @@ UNKNOWN = "und"
 #: Pipeline: documents whose best language is less likely than this are rejected.
 LEAST_SCORE = 0.35
 
-has_letter = re.compile(r"[^\W\d_]").search
+#: A letter is a character of category L.
+has_letter = regex.compile(r"\p{L}").search
 
 
 class Network:
@@ -171,12 +172,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, texts: int = TRAIN_TEXTS) -> Network | None:
     """A network from text and lang of documents whose crc32(doc_id) mod 3 is not 1; None if none of them has both.
 
-    Texts of fewer than TRAIN_WIDTH bytes are not learned from.
+    Texts of fewer than TRAIN_WIDTH bytes are not learned from.  Of rows with the same doc_id and lang the least text counts.
     """
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(remainder(F.col("doc_id"), 3) != 1)
     slot = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(texts))
     chosen = known.groupBy("lang", slot.alias("slot")).agg(F.min("doc_id").alias("doc_id")).select("lang", "doc_id")
-    got = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").where("text is not null").mapInArrow(_windows, "lang string, bytes binary").toPandas()
+    once = docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    got = once.select("lang", "text").mapInArrow(_windows, "lang string, bytes binary").toPandas()
     if not len(got):
         return None
     got = got.sort_values(["lang", "bytes"], kind="stable")
@@ -188,13 +190,15 @@ def learn(docs: DataFrame, texts: int = TRAIN_TEXTS) -> Network | None:
 
 
 def _predict(network: Network | None):
+    """Adds lang_pred and score; without a network lang_pred of a text with a letter is null."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             texts = raw(b, "text")
             ok = [t is not None and has_letter(t.decode()) is not None for t in texts]
             p = network.pooled([t if k else b"" for t, k in zip(texts, ok)]) if network else np.zeros((len(texts), 1))
             best = p.argmax(1)
-            lang = [network.languages[i] if k and network else UNKNOWN for i, k in zip(best.tolist(), ok)]
+            lang = [UNKNOWN if not k else network.languages[i] if network else None for i, k in zip(best.tolist(), ok)]
             score = np.clip(np.where(ok, p.max(1), 0.0), 0, 1)
             yield b.append_column("lang_pred", pa.array(lang, pa.string())).append_column("score", pa.array(score))
 
@@ -205,17 +209,18 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score.
 
     Null texts and texts without a letter are `und` with score 0, as is all text without a network.  A row without doc_id is not held out.
-    Repeated rows give repeated rows; other columns are ignored.
+    Repeated rows give repeated rows; other columns are ignored; an empty table gives an empty one.  Texts of any length are read whole.
     """
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_predict(network), "doc_id long, text string, lang_pred string, score double")
-    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), "score")
 
 
 def accepted(docs: DataFrame, network: Network | None, least: float = LEAST_SCORE) -> DataFrame:
-    """docs without those whose language is unknown or less likely than `least`; without a network those with a letter stay."""
+    """docs without those whose language is unknown or less likely than `least`; without a network those with a letter stay.
+
+    Null texts and texts without a letter go; repeated rows are judged alike; an empty table gives an empty one.
+    """
     p = packed(docs)
     schema = T.StructType([*p.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     out = p.mapInArrow(_predict(network), schema)
-    if network is None:
-        return unpacked(out.where(F.col("text").rlike(r"\p{L}")), docs)
-    return unpacked(out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs)
+    return unpacked(out.where("lang_pred is null" if network is None else (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs)
