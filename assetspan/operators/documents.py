@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -18,26 +20,37 @@ from pyspark.sql import functions as F
 from assetspan.functions.hashes import source_id
 from assetspan.functions.scalars import canonical_url, publication_date
 
-#: Tags that part text, places where an article stands in order, titles of error pages, least length of a body.
+#: Tags that part text, places where an article stands in order, least length of a body.
 BLOCKS = set("address article aside blockquote br caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PLACES = ["article.news", ".module-news-details", ".evergreen-news-details", "article", "main"]
 LEGACY_PLACES = ["article.news", "article", ".module-news-details", "main"]
-ERROR_TITLE = re.compile(r"^(?:access denied|forbidden|page not found|40[34](?:\s|$)|error(?:\s|$)|just a moment|request rejected|attention required)", re.IGNORECASE)
 LEAST_BODY = 100
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 DATES = [("meta", "property", "article:published_time", "content"), ("meta", "name", "date", "content"), ("meta", "itemprop", "datePublished", "content"), ("time", "datetime", None, "datetime")]
+#: How titles of error pages begin, in any letter case; the second list counts only as whole words.
+ERROR_BEGINNINGS = ["access denied", "forbidden", "page not found", "just a moment", "request rejected", "attention required"]
+ERROR_WORDS = ["404", "403", "error"]
+#: Paths of article pages; the first one only with an ID in the query.
+ARTICLE_WITH_ID = "/news/detail/?$"
+ARTICLE_PATHS = ["/news/news-details/", "/news-releases/news-release-details/"]
+#: What a link stands in together with its date, and dates in running text there.
+ENTRIES = {"tr", "article", "li"}
+ENTRY_DATE = re.compile(r"\b[A-Z][a-z]{2,8}\s+\d{1,2},\s+\d{4}\b|\b\d{2}/\d{2}/\d{4}\b")
 DATE_CLASSES = ["evergreen-news-details-date", "module_date-time", "news-date"]
 
 
 class Element:
-    def __init__(self, name: str, attrs: dict[str, str]):
-        self.name, self.attrs, self.children = name, attrs, []
-
-    def walk(self) -> Iterator[Element]:
-        yield self
-        for c in self.children:
-            if isinstance(c, Element):
-                yield from c.walk()
+    def __init__(self, name: str, attrs: dict[str, str], parent: Element | None = None):
+        self.name, self.attrs, self.parent, self.children = name, attrs, parent, []
+
+    def walk(self, without: frozenset[str] = frozenset()) -> Iterator[Element]:
+        """This element and those inside it in page order, however deep; not what stands in elements named in `without`."""
+        todo = [self]
+        while todo:
+            e = todo.pop()
+            if e.name not in without:
+                yield e
+                todo += [c for c in reversed(e.children) if isinstance(c, Element)]
 
     def matches(self, place: str) -> bool:
         name, _, klass = place.partition(".")
@@ -45,18 +58,14 @@ class Element:
 
     def strings(self, without: frozenset[str], mark: bool) -> Iterator[str]:
         """Texts in page order; with mark a space on both sides of a block."""
-        if self.name in without:
-            return
-        block = mark and self.name in BLOCKS
-        if block:
-            yield " "
-        for c in self.children:
-            if isinstance(c, Element):
-                yield from c.strings(without, mark)
-            else:
-                yield c
-        if block:
-            yield " "
+        todo: list[Element | str] = [self]
+        while todo:
+            e = todo.pop()
+            if isinstance(e, str):
+                yield e
+            elif e.name not in without:
+                edge = [" "] if mark and e.name in BLOCKS else []
+                todo += [*edge, *reversed(e.children), *edge]
 
 
 class Tree(HTMLParser):
@@ -64,23 +73,26 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("", {})
         self.open = [self.root]
+        self.names = Counter()  # of the open elements
         self.feed(source)
         self.close()
 
     def handle_starttag(self, tag, attrs):
-        e = Element(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(e)
-        if tag not in VOID and len(self.open) < 500:
-            self.open.append(e)
+        self.handle_startendtag(tag, attrs)
+        if tag not in VOID:
+            self.open.append(self.open[-1].children[-1])
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
-        self.open[-1].children.append(Element(tag, {k: v or "" for k, v in attrs}))
+        self.open[-1].children.append(Element(tag, {k: v or "" for k, v in attrs}, self.open[-1]))
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].name == tag:
-                del self.open[i:]
-                break
+        if self.names[tag]:
+            while True:
+                name = self.open.pop().name
+                self.names[name] -= 1
+                if name == tag:
+                    break
 
     def handle_data(self, data):
         self.open[-1].children.append(data)
@@ -96,13 +108,31 @@ def flow(e: Element, without: frozenset[str] = NOISE) -> str:
     return " ".join("".join(e.strings(without, True)).split())
 
 
+def is_error_title(text: str) -> bool:
+    text = text.lower()
+    return any(map(text.startswith, ERROR_BEGINNINGS)) or any(text.startswith(w) and not text[len(w) : len(w) + 1].strip() for w in ERROR_WORDS)
+
+
+def nearby_date(link: Element) -> str | None:
+    """The date as written in the table row, article or list item around a link, else in the element around it: in a time element or the text."""
+    around = link.parent
+    while around is not None and around.name not in ENTRIES:
+        around = around.parent
+    around = around or link.parent
+    time = next((e for e in around.walk() if e.name == "time"), None)
+    if time is not None and (found := time.attrs.get("datetime") or flow(time)):
+        return found
+    found = ENTRY_DATE.search(flow(around))
+    return found[0] if found else None
+
+
 def read_page(source: str | None, url: str | None, kind: str = "official-news") -> dict:
     out = {"locator": None, "text": None, "reject_reason": None, "published_raw": [], "legacy_sha256": None, "links": []}
     if not source:
         return out | {"reject_reason": "document is empty"}
     root = Tree(source).root
     every = list(root.walk())
-    legacy = next((e for e in every if any(e.matches(p) for p in LEGACY_PLACES)), root)
+    legacy = next((e for e in root.walk(CHROME) if any(e.matches(p) for p in LEGACY_PLACES)), root)
     text = " ".join(x for x in (" ".join(s.split()) for s in legacy.strings(CHROME, False)) if x)
     out["legacy_sha256"] = hashlib.sha256(text.encode()).hexdigest()
     for tag, key, value, get in DATES:
@@ -112,10 +142,10 @@ def read_page(source: str | None, url: str | None, kind: str = "official-news")
     for e in every:
         if e.name == "a" and e.attrs.get("href"):
             try:
-                out["links"].append({"href": e.attrs["href"], "title": flow(e), "url": urljoin(url or "", e.attrs["href"])})
+                out["links"].append({"href": e.attrs["href"], "title": flow(e), "url": urljoin(url or "", e.attrs["href"]), "date_raw": nearby_date(e)})
             except ValueError:
                 continue
-    if any(e.name in ("title", "h1") and ERROR_TITLE.search(flow(e)) for e in every):
+    if any(e.name in ("title", "h1") and is_error_title(flow(e)) for e in every):
         return out | {"reject_reason": "error page"}
     places = [*PLACES, *(["body"] if kind == "fleet-report" else [])]
     found = next(((p, e) for p in places for e in every if e.matches(p)), None)
@@ -127,7 +157,7 @@ def read_page(source: str | None, url: str | None, kind: str = "official-news")
     return out | {"locator": f"html:{place}", "text": flow(e)}
 
 
-PAGE = "url string, locator string, text string, reject_reason string, published_raw array<string>, legacy_sha256 string, links array<struct<href:string,title:string,url:string>>"
+PAGE = "url string, locator string, text string, reject_reason string, published_raw array<string>, legacy_sha256 string, links array<struct<href:string,title:string,url:string,date_raw:string>>"
 
 
 def read_pages(captures: DataFrame) -> DataFrame:
@@ -156,9 +186,30 @@ def publication_metadata(captures: DataFrame) -> DataFrame:
     return dates.groupBy("url").agg(F.min_by("published_at", F.when(F.col("published_at").isNotNull(), F.col("pos"))).alias("published_at"))
 
 
+def is_article_url(url: Column) -> Column:
+    """A URL of the routes that article pages have."""
+    path, query = F.try_parse_url(url, F.lit("PATH")), F.try_parse_url(url, F.lit("QUERY"))
+    with_id = path.rlike("(?i)" + ARTICLE_WITH_ID) & F.coalesce(query, F.lit("")).rlike("(^|&)ID=[^&]")
+    return F.coalesce(reduce(Column.__or__, [path.rlike("(?i)" + p) for p in ARTICLE_PATHS], with_id), F.lit(False))
+
+
 def extract_links(captures: DataFrame, pattern: str = ".") -> DataFrame:
-    """(page_url, href, title, url) of links whose resolved URL matches, each once per page."""
-    return read_pages(captures).select(F.col("url").alias("page_url"), F.inline("links")).where(F.col("url").rlike(pattern)).distinct()
+    """(page_url, href, title, url, published_at) of links whose resolved URL matches, each once per page; published_at is the date beside it."""
+    links = read_pages(captures).select(F.col("url").alias("page_url"), F.inline("links")).where(F.col("url").rlike(pattern))
+    return links.select("page_url", "href", "title", "url", publication_date(F.col("date_raw")).alias("published_at")).distinct()
+
+
+def article_links(captures: DataFrame) -> DataFrame:
+    """Links to article pages, once per page and URL; of several the one with the least title."""
+    found = extract_links(captures).where(is_article_url(F.col("url")))
+    return found.groupBy("page_url", "url").agg(F.min("title").alias("title"), F.max("published_at").alias("published_at"))
+
+
+def latest_report(captures: DataFrame, pattern: str) -> DataFrame:
+    """(page_url, url, published_at): per page the link that matches with the newest date; undated ones only where none is dated."""
+    found = extract_links(captures, pattern)
+    best = F.max_by(F.struct("url", "published_at"), F.struct(F.coalesce("published_at", F.lit("")), "url")).alias("b")
+    return found.groupBy("page_url").agg(best).select("page_url", "b.url", "b.published_at")
 
 
 def legacy_hash(captures: DataFrame) -> DataFrame:
