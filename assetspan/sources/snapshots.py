@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetspan.functions.hashes import canonical_hash, table_digest
+from assetspan.functions.scalars import is_iso_date
 
 INTERPRETATION = (
     "struct<sourceStartText:string,sourceEndText:string,placementBasis:string,awardType:string,termText:string,optionText:string,valueText:string,"
@@ -13,9 +16,10 @@ INTERPRETATION = (
 )
 CONTRACT = (
     "struct<id:string,vesselId:string,startDate:string,endDate:string,dayRate:double,client:string,region:string,status:string,sourceUrl:string,sourcePublishedAt:string,"
-    f"newsReviewed:boolean,inputMode:string,datePrecision:struct<start:string,end:string>,interpretation:{INTERPRETATION}>"
+    f"newsReviewed:boolean,inputMode:string,storedReading:variant,datePrecision:struct<start:string,end:string>,interpretation:{INTERPRETATION}>"
 )
-FLEET = f"id string, name string, company string, generation string, status string, statusAsOf string, yearBuilt int, contracts array<{CONTRACT}>"
+#: The numbers that must be whole and the texts that must be dates are read as they stand, so that rules can tell what they were.
+FLEET = f"id string, name string, company string, generation string, status string, statusAsOf string, yearBuilt variant, contracts array<{CONTRACT}>"
 EVENT = "struct<id:string,company:string,url:string,title:string,publishedAt:string,vessel:string,classification:string,newsCategory:string,reviewStatus:string,autoApplied:boolean,pendingReview:boolean,sourceId:string>"
 RECORD = (
     "struct<jobId:string,sourceId:string,company:string,kind:string,url:string,title:string,publishedAt:string,documentSha256:string,status:string,outcome:string,"
@@ -24,8 +28,9 @@ RECORD = (
 
 
 def read_fleet(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of assets, each with its contracts."""
-    return spark.read.schema(FLEET).option("multiLine", True).json(path)
+    """Assets, each with its contracts: a JSON array in one file, or one JSON object a line in any number of files, as export_fleet writes."""
+    first = spark.read.text(path).where("trim(value) <> ''").select(F.substring(F.trim("value"), 1, 1)).first()
+    return spark.read.schema(FLEET).option("multiLine", first is not None and first[0] == "[").json(path)
 
 
 def import_fleet(spark: SparkSession, path: str) -> DataFrame:
@@ -35,23 +40,65 @@ def import_fleet(spark: SparkSession, path: str) -> DataFrame:
     return fleet
 
 
+def _day(text: Column) -> Column:
+    return F.when(is_iso_date(text), F.try_to_date(text, "yyyy-MM-dd"))
+
+
 def flatten(fleet: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(assets, contracts); assets without contracts stay among the assets."""
-    day = lambda c: F.try_to_date(F.col(c), "yyyy-MM-dd")
-    assets = fleet.select(F.col("id").alias("asset_id"), "name", "company", "generation", "status", day("statusAsOf").alias("status_as_of"), F.col("yearBuilt").alias("year_built"))
+    """(assets, contracts); assets without contracts stay among the assets.
+
+    Dates are strict; what was written stays beside them as `_text`, as does the parent that a contract names (vessel_id).  The rest of a
+    contract's fields stay as they are, so that nest() gives the file back.
+    """
+    whole = F.schema_of_variant("yearBuilt").isin("BIGINT", "INT")
+    assets = fleet.select(
+        F.col("id").alias("asset_id"), "name", "company", "generation", "status", _day(F.col("statusAsOf")).alias("status_as_of"), F.col("statusAsOf").alias("status_as_of_text"),
+        F.when(whole, F.try_variant_get("yearBuilt", "$", "int")).alias("year_built"), F.to_json("yearBuilt").alias("year_built_text"),
+    )
     rows = fleet.select(F.col("id").alias("_asset"), F.inline("contracts"))
     contracts = rows.select(
-        F.col("id").alias("contract_id"), F.col("_asset").alias("asset_id"), day("startDate").alias("start_date"), day("endDate").alias("end_date"), F.col("dayRate").alias("day_rate"), "client", "region", "status",
-        F.col("sourceUrl").alias("source_url"), F.col("interpretation.valueUsd").alias("value_usd"), F.col("interpretation.baseDurationDays").alias("base_days"), F.col("interpretation.awardType").alias("award_type"),
+        F.col("id").alias("contract_id"), F.col("_asset").alias("asset_id"), F.col("vesselId").alias("vessel_id"), _day(F.col("startDate")).alias("start_date"), _day(F.col("endDate")).alias("end_date"),
+        F.col("startDate").alias("start_text"), F.col("endDate").alias("end_text"), F.col("dayRate").alias("day_rate"), "client", "region", "status", F.col("sourceUrl").alias("source_url"),
+        F.col("sourcePublishedAt").alias("source_published_at"), F.col("newsReviewed").alias("news_reviewed"), F.col("inputMode").alias("input_mode"), F.to_json("storedReading").alias("stored_reading"),
+        F.col("datePrecision").alias("date_precision"), "interpretation",
+        F.col("interpretation.valueUsd").alias("value_usd"), F.col("interpretation.baseDurationDays").alias("base_days"), F.col("interpretation.awardType").alias("award_type"),
     )
     return assets, contracts
 
 
+def _written(day: str, text: str, columns: list[str]) -> Column:
+    """A date as it is written: the text it came from as long as that still says the same, or says no date where there is none."""
+    iso = F.date_format(day, "yyyy-MM-dd")
+    if text not in columns:
+        return iso
+    return F.when(_day(F.col(text)).eqNullSafe(F.col(day)), F.col(text)).otherwise(iso)
+
+
 def nest(assets: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Assets with an array of their contracts in order of start; empty for those without."""
-    rest = [c for c in contracts.columns if c not in ("asset_id", "start_date", "contract_id")]
-    rows = contracts.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("start_date", "contract_id", *rest))).alias("contracts"))
-    return assets.join(rows, "asset_id", "left").withColumn("contracts", F.coalesce("contracts", F.array().cast(rows.schema["contracts"].dataType)))
+    """The fleet file's rows from flat tables: its field names, contracts in order of start, an empty list for assets without any.
+
+    Columns that only flatten() gives may be missing; then the values of the others are written.
+    """
+    has = lambda name, kind: F.col(name) if name in contracts.columns else F.lit(None).cast(kind)
+    stated = has("interpretation", INTERPRETATION)
+    changes = {"valueUsd": "value_usd", "baseDurationDays": "base_days", "awardType": "award_type"}
+    for field, column in changes.items():
+        if column in contracts.columns:
+            known = stated.isNotNull() | F.col(column).isNotNull()
+            full = F.coalesce(stated, F.from_json(F.lit("{}"), INTERPRETATION))
+            stated = F.when(known, full.withField(field, F.col(column)))
+    row = F.struct(
+        F.col("contract_id").alias("id"), (F.col("vessel_id") if "vessel_id" in contracts.columns else F.col("asset_id")).alias("vesselId"), _written("start_date", "start_text", contracts.columns).alias("startDate"),
+        _written("end_date", "end_text", contracts.columns).alias("endDate"), F.col("day_rate").alias("dayRate"), "client", "region", "status", has("source_url", "string").alias("sourceUrl"),
+        has("source_published_at", "string").cast("string").alias("sourcePublishedAt"), has("news_reviewed", "boolean").alias("newsReviewed"), has("input_mode", "string").alias("inputMode"),
+        F.try_parse_json(has("stored_reading", "string")).alias("storedReading"), has("date_precision", "struct<start:string,end:string>").alias("datePrecision"), stated.alias("interpretation"),
+    )
+    order = F.struct(F.col("start_date").alias("d"), F.col("contract_id").alias("i"))
+    keyed = contracts.select("asset_id", F.struct(order.alias("k"), F.to_json(row).alias("r")).alias("r"))
+    rows = keyed.groupBy("asset_id").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.from_json(r["r"], CONTRACT)).alias("contracts"))
+    year = F.try_parse_json(F.col("year_built_text") if "year_built_text" in assets.columns else F.col("year_built").cast("string"))
+    written = assets.select(F.col("asset_id").alias("id"), "name", "company", "generation", "status", _written("status_as_of", "status_as_of_text", assets.columns).alias("statusAsOf"), year.alias("yearBuilt"))
+    return written.join(rows.withColumnRenamed("asset_id", "id"), "id", "left").withColumn("contracts", F.coalesce("contracts", F.array().cast(f"array<{CONTRACT}>")))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -74,12 +121,15 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Landed files: url (the path), html, content bytes."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), F.col("content").cast("string").alias("html"), "content")
+    """Landed files: url (the path), content_type told by the first bytes, html (null for PDF and others), content bytes."""
+    head = F.ltrim(F.substring("content", 1, 64).cast("string"))
+    kind = F.when(head.startswith("%PDF-"), "application/pdf").when(head.startswith("<"), "text/html")
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), kind.alias("content_type"), F.when(kind == "text/html", F.col("content").cast("string")).alias("html"), "content")
 
 
 def export_fleet(fleet: DataFrame, path: str) -> None:
-    fleet.write.mode("overwrite").json(path)
+    """One JSON object a line, fields without a value left out; read_fleet reads it back."""
+    fleet.write.mode("overwrite").option("ignoreNullFields", True).json(path)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -87,21 +137,51 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
 def publish(tables: dict[str, DataFrame], path: str) -> dict:
-    """Write each table under a name with its digest, then the manifest, so that a reader never sees half a snapshot."""
+    """Write each table under a name with its digest, then a manifest under the next number.
+
+    Nothing that a reader may hold is ever overwritten: a payload that is there complete is kept as it is, and the manifest with the highest
+    number counts, so that a reader sees the old snapshot or the new one whole.  A table is evaluated once: it is written to a folder of its
+    own, its digest is taken from there, and the folder is renamed.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = max(_versions(spark, path), default=0) + 1
     manifest = {}
     for name, df in tables.items():
-        rows, digest = table_digest(df).first()
-        manifest[name] = {"rows": rows, "digest": digest, "file": f"{name}.{digest[:16]}"}
-        df.write.mode("overwrite").parquet(f"{path}/{name}.{digest[:16]}")
-    spark = next(iter(tables.values())).sparkSession
+        draft = f"{path}/_draft.{name}.{uuid.uuid4().hex}"
+        df.write.parquet(draft)
+        rows, digest = table_digest(spark.read.parquet(draft)).first()
+        file = f"{name}.{digest[:16]}"
+        fs, source = _fs(spark, draft)
+        if _complete(spark, f"{path}/{file}"):
+            fs.delete(source, True)
+        else:
+            target = _fs(spark, f"{path}/{file}")[1]
+            fs.delete(target, True)  # what an earlier run left half done
+            fs.rename(source, target)
+        manifest[name] = {"rows": rows, "digest": digest, "file": file}
     entries = [(n, m["file"], m["rows"], m["digest"]) for n, m in manifest.items()]
-    spark.createDataFrame(entries, "name string, file string, rows long, digest string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    spark.createDataFrame(entries, "name string, file string, rows long, digest string").coalesce(1).write.json(f"{path}/manifest.{version:012d}")
     return manifest
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete manifests."""
+    fs, p = _fs(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return [int(n.rpartition(".")[2]) for n in names if n.startswith("manifest.") and _complete(spark, f"{path}/{n}")]
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("name string, file string, rows long, digest string").json(f"{path}/manifest")
+    """The latest complete manifest; no rows where there is none."""
+    schema = "name string, file string, rows long, digest string"
+    versions = _versions(spark, path)
+    return spark.read.schema(schema).json(f"{path}/manifest.{max(versions):012d}") if versions else spark.createDataFrame([], schema)
 
 
 def state_fingerprint(manifest: DataFrame) -> DataFrame:
@@ -127,23 +207,19 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prune(spark: SparkSession, path: str) -> list[str]:
-    """Remove payloads that the manifest does not name; gives their names."""
-    keep = {r[0] for r in read_manifest(spark, path).select("file").collect()} | {"manifest"}
+    """Remove payloads that the latest manifest does not name, older manifests and drafts; gives the payloads' names."""
+    keep = {r[0] for r in read_manifest(spark, path).select("file").collect()} | {f"manifest.{max(_versions(spark, path), default=0):012d}"}
     fs, p = _fs(spark, path)
     gone = [s.getPath() for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName() not in keep]
     for g in gone:
         fs.delete(g, True)
-    return sorted(g.getName() for g in gone)
+    return sorted(n for g in gone if not (n := g.getName()).startswith(("manifest.", "_draft.")))
 
 
 def load_snapshot(spark: SparkSession, path: str, seed: dict[str, DataFrame], expect: dict[str, int]) -> dict[str, DataFrame]:
-    """The published tables if the manifest names all of them with the expected numbers of rows, else the seed."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        rows = {r["name"]: r["rows"] for r in read_manifest(spark, path).collect()}
-        if any(rows.get(n) != k for n, k in expect.items()):
-            return seed
-        return {n: load_table(spark, path, n) for n in expect}
-    except AnalysisException:
+    """The published tables if manifest and payloads have all of them with the expected numbers of rows, else the seed."""
+    rows = {r["name"]: r["rows"] for r in read_manifest(spark, path).collect()}
+    if any(rows.get(n) != k for n, k in expect.items()):
         return seed
+    found = {n: load_table(spark, path, n) for n in expect}
+    return found if all(found[n].count() == k for n, k in expect.items()) else seed
