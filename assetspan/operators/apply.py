@@ -10,14 +10,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetspan.functions.hashes import decision_event_id, new_contract_id
+from assetspan.functions.hashes import decision_event_id, new_contract_id, title_event_id
 from assetspan.session import cut
 
-ROW = ["start_date", "end_date", "day_rate", "client", "region", "status", "value_usd", "base_days"]
-SALTS = 8
+#: What a written row says of its source; columns that belong to an older form of a row and go when it is written anew.
+SOURCE = ["source_url", "source_published_at", "news_reviewed"]
+OLDER = ["date_precision", "input_mode", "stored_reading", "start_text", "end_text"]
 
 
 @dataclass
@@ -31,9 +32,14 @@ class Applied:
 
 
 def with_new_ids(decisions: DataFrame, contracts: DataFrame) -> DataFrame:
-    """contract_id for upserts of new contracts: the first salted id that no contract that stays, and none of this job's earlier ones, has."""
+    """contract_id for upserts of new contracts: the first salted id that no contract that stays, and none of this job's earlier ones, has.
+
+    As many salts are tried as the asset has ids of this form, and one more, so that one is always free.
+    """
     new = (F.col("action") == "upsert") & F.col("contract_id").isNull()
-    fresh = decisions.where(new).select("job_id", "index", "asset_id", "source_id", "document_sha256", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    like = contracts.where(F.col("contract_id").rlike("-r[0-9a-f]{12}$")).groupBy("asset_id").agg(F.count("*").cast("int").alias("_like"))
+    fresh = decisions.where(new).select("job_id", "index", "asset_id", "source_id", "document_sha256").join(like, "asset_id", "left")
+    fresh = fresh.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("_like", F.lit(0)))))
     fresh = fresh.withColumn("_id", new_contract_id(F.col("asset_id"), F.col("source_id"), F.col("document_sha256"), F.col("index"), F.col("salt")))
     freed = decisions.where("action = 'withdraw'").groupBy("job_id", F.col("contract_id").alias("_id")).agg(F.min("index").alias("_freed"))
     taken = contracts.select(F.col("contract_id").alias("_id"), F.lit(True).alias("_taken"))
@@ -42,29 +48,31 @@ def with_new_ids(decisions: DataFrame, contracts: DataFrame) -> DataFrame:
     return decisions.join(chosen, ["job_id", "index"], "left").withColumn("contract_id", F.coalesce("contract_id", "_new")).drop("_new")
 
 
-def _row_struct(df: DataFrame, prefix: str = "") -> Column:
-    return F.struct(*[F.col(prefix + c).alias(c) for c in ROW])
-
-
 def apply_decisions(assets: DataFrame, contracts: DataFrame, decisions: DataFrame, updates: DataFrame | None = None) -> Applied:
     """One document per company, or several that share no asset.  Held decisions and updates, and decisions that say hold, change nothing and become holds.
 
-    A changed asset status is a change without contract, with `before_status` and `after_status` in place of rows.
+    A changed asset status is a change without contract, with `before_status` and `after_status` in place of rows.  A row that is written
+    again keeps the columns that the decision says nothing of, but for those of its source and of its older form.
     """
+    fields = decisions.schema["row"].dataType.fields
+    said = {f.name for f in fields} | {"asset_id", "contract_id", *SOURCE, *OLDER}
+    rest = [c for c in contracts.columns if c not in said]
+    stored = F.struct(*((F.col(f.name) if f.name in contracts.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
     valid = with_new_ids(decisions.where("hold_reason is null"), contracts)
     acts = valid.where("action in ('upsert', 'withdraw')")
-    base = contracts.select("asset_id", "contract_id", _row_struct(contracts).alias("_base"))
-    steps = acts.join(base, ["asset_id", "contract_id"], "left").withColumn("_row", F.when(F.col("action") == "upsert", F.struct(*[F.col(f"row.{c}").alias(c) for c in ROW])))
+    base = contracts.select("asset_id", "contract_id", stored.alias("_base"), (F.struct(*rest) if rest else F.lit(None).cast("string")).alias("_rest"))
+    steps = acts.join(base, ["asset_id", "contract_id"], "left").withColumn("_row", F.when(F.col("action") == "upsert", F.col("row")))
     order = Window.partitionBy("asset_id", "contract_id").orderBy("index")
     first = F.row_number().over(order) == 1
     before = F.when(first, F.col("_base")).otherwise(F.lag("_row").over(order))
     last = F.row_number().over(Window.partitionBy("asset_id", "contract_id").orderBy(F.desc("index"))) == 1
-    steps = cut(steps.withColumns({"before": before, "_last": last}))
+    steps = cut(steps.withColumns({"before": before, "_last": last, "_rest": F.when(~F.max(F.col("action") == "withdraw").over(order), F.col("_rest"))}))
     done = steps.where((F.col("action") == "upsert") | F.col("before").isNotNull())  # a second withdraw finds nothing
     changes = done.select("job_id", "asset_id", "contract_id", "index", "action", "before", F.col("_row").alias("after"), "reason", "quote")
     final = steps.where("_last")
     news = F.col("kind") == "official-news"
-    written = final.where("action = 'upsert'").select("contract_id", "asset_id", *[F.col(f"_row.{c}").alias(c) for c in ROW], F.col("url").alias("source_url"), F.col("published_at").alias("source_published_at"), F.when(news, True).alias("news_reviewed"))
+    source = [F.col("url").alias("source_url"), F.col("published_at").alias("source_published_at"), F.when(news, True).alias("news_reviewed")]
+    written = final.where("action = 'upsert'").select("contract_id", "asset_id", *(F.col(f"_row.{f.name}").alias(f.name) for f in fields), *(F.col(f"_rest.{c}").alias(c) for c in rest), *source)
     kept = contracts.join(final.select("asset_id", "contract_id"), ["asset_id", "contract_id"], "left_anti")
     after = kept.unionByName(written, allowMissingColumns=True)
     assets_after = assets
@@ -151,3 +159,13 @@ def clear_holds(documents: DataFrame, outcomes: DataFrame) -> DataFrame:
     cleared = ok.groupBy("company").agg(F.collect_set("_by").alias("_by"))
     d = documents.join(cleared, "company", "left")
     return d.withColumn("open_holds", F.when(F.col("_by").isNotNull() & ~F.array_contains("_by", F.col("job_id")), F.filter("open_holds", lambda h: F.lit(False))).otherwise(F.col("open_holds"))).drop("_by")
+
+
+def title_events(documents: DataFrame, events: DataFrame) -> DataFrame:
+    """An event with title and link for every read article (job_id, source_id, company, kind, title, url, published_at, news_category) that has
+    no event of its own; a document's fleet report gets none."""
+    bare = documents.where("kind = 'official-news'").join(events.select("job_id").distinct(), "job_id", "left_anti")
+    return bare.select(
+        title_event_id(F.col("source_id")).alias("event_id"), "job_id", "source_id", "company", F.coalesce("title", "url").alias("title"), "url", "published_at", F.lit("official-news-signal").alias("classification"),
+        F.lit("acknowledged").alias("review_status"), F.lit(False).alias("auto_applied"), F.lit(False).alias("pending_review"), "news_category",
+    )

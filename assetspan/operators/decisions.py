@@ -6,6 +6,8 @@ responses: job_id, company, payload (JSON text {reportDate, vesselUpdates: [...]
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,36 +24,65 @@ def _type(item: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(item, path, "variant"))
 
 
-def _absent(item: Column, path: str) -> Column:
-    t = _type(item, path)
-    return t.isNull() | (t == "VOID")
-
-
 def _text(item: Column, path: str) -> Column:
     """The value where it is a JSON string, else null."""
     return F.when(_type(item, path) == "STRING", F.try_variant_get(item, path, "string"))
 
 
-def _number(item: Column, path: str) -> Column:
-    """The value where it is a finite JSON number, else null."""
-    t, x = _type(item, path), F.try_variant_get(item, path, "double")
-    return F.when((t.isin("BIGINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")) & finite(x), x)
+#: Fields that the checks read, by what their value may be.
+PLACES = {"": ["vesselId", "contractId", "action", "reasonKo", "quote", "locator"], "row.": ["startDate", "endDate", "client", "region", "status"], "row.interpretation.": [*TEXTS, "awardType"]}
+NUMBERS = ["row.dayRate", "row.interpretation.valueUsd", "row.interpretation.baseDurationDays"]
+LISTS = ["row.interpretation.includes", "row.interpretation.excludes"]
+OBJECTS = ["row", "row.interpretation"]
+
+
+def _name(path: str) -> str:
+    return path.replace(".", "__")
+
+
+def _fields(items: DataFrame) -> DataFrame:
+    """items with every field that is read as plain columns, each looked up once: <field>__kind and its text, number or list."""
+    texts = [p + f for p, fields in PLACES.items() for f in fields]
+    found = items.select("*", *(F.try_variant_get("item", f"$.{f}", "variant").alias(_name(f)) for f in [*texts, *NUMBERS, *LISTS, *OBJECTS]))
+    kept = [c for c in items.columns if c != "item"]
+    kinds = [F.schema_of_variant(_name(f)).alias(_name(f) + "__kind") for f in [*texts, *NUMBERS, *LISTS, *OBJECTS]]
+    values = [F.try_variant_get(_name(f), "$", k).alias(_name(f)) for fs, k in ((texts, "string"), (NUMBERS, "double"), (LISTS, "array<string>")) for f in fs]
+    return found.select(*kept, F.schema_of_variant("item").alias("item__kind"), *kinds, *values)
+
+
+def _kind(field: str) -> Column:
+    return F.col(_name(field) + "__kind")
 
 
-def _is(item: Column, path: str, kind: str) -> Column:
-    return F.coalesce(_type(item, path).startswith(kind), F.lit(False))
+def _absent(field: str) -> Column:
+    return F.coalesce(_kind(field) == "VOID", F.lit(True))
 
 
-def _texts_only(item: Column, path: str) -> Column:
+def _given(field: str) -> Column:
+    """The text where the field is a JSON string, else null."""
+    return F.when(_kind(field) == "STRING", F.col(_name(field)))
+
+
+def _number(field: str) -> Column:
+    """The value where the field is a finite JSON number, else null."""
+    kind, x = _kind(field), F.col(_name(field))
+    return F.when((kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")) & finite(x), x)
+
+
+def _texts_only(field: str) -> Column:
     """A list in which every element is a string."""
-    return _type(item, path).isin("ARRAY<STRING>", "ARRAY<VOID>")
+    return F.coalesce(_kind(field).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
+
+
+def _is_object(kind: Column) -> Column:
+    return F.coalesce(kind.startswith("OBJECT"), F.lit(False))
 
 
 def envelopes(responses: DataFrame) -> DataFrame:
     """responses with `v` and, where the whole response must be rejected, reject_reason."""
     v = F.try_parse_json("payload")
-    lists = _is(F.col("v"), "$.decisions", "ARRAY") & _is(F.col("v"), "$.vesselUpdates", "ARRAY")
-    reason = F.when(F.col("v").isNull(), "response is not JSON").when(~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), "response must be an object").when(~lists, "decisions and vesselUpdates must be arrays")
+    lists = F.coalesce(_type(F.col("v"), "$.decisions").startswith("ARRAY") & _type(F.col("v"), "$.vesselUpdates").startswith("ARRAY"), F.lit(False))
+    reason = F.when(F.col("v").isNull(), "response is not JSON").when(~_is_object(F.schema_of_variant("v")), "response must be an object").when(~lists, "decisions and vesselUpdates must be arrays")
     return responses.withColumn("v", v).withColumn("reject_reason", reason)
 
 
@@ -60,7 +91,7 @@ def report_dates(responses: DataFrame) -> DataFrame:
     e = envelopes(responses).where("reject_reason is null")
     day = _text(F.col("v"), "$.reportDate")
     ok = is_iso_date(day)
-    return e.select("job_id", F.when(ok, F.try_to_date(day, "yyyy-MM-dd")).alias("report_date"), F.when(~ok & ~_absent(F.col("v"), "$.reportDate"), "reportDate is no real date").alias("hold_reason"))
+    return e.select("job_id", F.when(ok, F.try_to_date(day, "yyyy-MM-dd")).alias("report_date"), F.when(~ok & F.coalesce(_type(F.col("v"), "$.reportDate") != "VOID", F.lit(False)), "reportDate is no real date").alias("hold_reason"))
 
 
 def _items(responses: DataFrame, name: str) -> DataFrame:
@@ -68,67 +99,69 @@ def _items(responses: DataFrame, name: str) -> DataFrame:
     return e.select("job_id", "company", F.posexplode(F.try_variant_get("v", f"$.{name}", "array<variant>")).alias("index", "item"))
 
 
-def _interpretation_reason(item: Column) -> Column:
-    p = "$.row.interpretation"
+def _interpretation_reason() -> Column:
+    p = "row.interpretation"
     amount, days = (p + ".valueUsd", p + ".baseDurationDays")
-    reason = F.when(_absent(item, p), F.lit(None).cast("string")).when(~_is(item, p, "OBJECT"), "interpretation must be an object")
+    reason = F.when(_absent(p), F.lit(None).cast("string")).when(~_is_object(_kind(p)), "interpretation must be an object")
     for t in TEXTS:
-        reason = reason.when(~_absent(item, f"{p}.{t}") & _text(item, f"{p}.{t}").isNull(), f"interpretation.{t} must be text")
-    reason = reason.when(~_absent(item, p + ".awardType") & ~F.coalesce(_text(item, p + ".awardType").isin(*AWARD_TYPES), F.lit(False)), "interpretation.awardType is invalid")
-    reason = reason.when(~_absent(item, amount) & ~F.coalesce(_number(item, amount) >= 0, F.lit(False)), "interpretation.valueUsd must be a number of at least 0")
-    reason = reason.when(~_absent(item, days) & ~F.coalesce(_number(item, days) > 0, F.lit(False)), "interpretation.baseDurationDays must be a number above 0")
-    for t in ("includes", "excludes"):
-        reason = reason.when(~_absent(item, f"{p}.{t}") & ~_texts_only(item, f"{p}.{t}"), f"interpretation.{t} must be a list of text")
+        reason = reason.when(~_absent(f"{p}.{t}") & _given(f"{p}.{t}").isNull(), f"interpretation.{t} must be text")
+    reason = reason.when(~_absent(p + ".awardType") & ~F.coalesce(_given(p + ".awardType").isin(*AWARD_TYPES), F.lit(False)), "interpretation.awardType is invalid")
+    reason = reason.when(~_absent(amount) & ~F.coalesce(_number(amount) >= 0, F.lit(False)), "interpretation.valueUsd must be a number of at least 0")
+    reason = reason.when(~_absent(days) & ~F.coalesce(_number(days) > 0, F.lit(False)), "interpretation.baseDurationDays must be a number above 0")
+    for t in LISTS:
+        reason = reason.when(~_absent(t) & ~_texts_only(t), f"{t.removeprefix('row.')} must be a list of text")
     return reason
 
 
-def _row_reason(item: Column, contract_states: list[str]) -> Column:
-    start, end = _text(item, "$.row.startDate"), _text(item, "$.row.endDate")
+def _row_reason(contract_states: list[str]) -> Column:
+    start, end = _given("row.startDate"), _given("row.endDate")
     reason = (
-        F.when(~_is(item, "$.row", "OBJECT"), "upsert requires a row")
+        F.when(~_is_object(_kind("row")), "upsert requires a row")
         .when(~is_iso_date(start), "row.startDate is no real date")
         .when(~is_iso_date(end), "row.endDate is no real date")
         .when(start > end, "row.startDate is after row.endDate")
-        .when(~F.coalesce(_number(item, "$.row.dayRate") >= 0, F.lit(False)), "row.dayRate must be a number of at least 0")
-        .when(~nonempty(_text(item, "$.row.client")), "row.client is blank")
-        .when(~nonempty(_text(item, "$.row.region")), "row.region is blank")
-        .when(~F.coalesce(_text(item, "$.row.status").isin(*contract_states), F.lit(False)), "row.status is invalid")
+        .when(~F.coalesce(_number("row.dayRate") >= 0, F.lit(False)), "row.dayRate must be a number of at least 0")
+        .when(~nonempty(_given("row.client")), "row.client is blank")
+        .when(~nonempty(_given("row.region")), "row.region is blank")
+        .when(~F.coalesce(_given("row.status").isin(*contract_states), F.lit(False)), "row.status is invalid")
     )
-    return reason.otherwise(_interpretation_reason(item))
+    return reason.otherwise(_interpretation_reason())
+
+
+def _snake(name: str) -> str:
+    return "".join("_" + x.lower() if x.isupper() else x for x in name)
 
 
 def validate_decisions(responses: DataFrame, assets: DataFrame, contracts: DataFrame, contract_states: list[str]) -> DataFrame:
     """(job_id, company, index, asset_id, contract_id, action, row struct, reason, quote, locator, hold_reason); valid ones have no hold_reason.
 
     Checks in this order: an object, an asset of the company, a known action, a contract of that asset, an id to withdraw, a valid row to upsert.
-    The derived rate of a row is computed here, whatever the response says.
+    The derived rate of a row is computed here, whatever the response says.  A row has all that the interpretation says.
     """
-    i = _items(responses, "decisions")
-    item = F.col("item")
-    asset, contract, action = _text(item, "$.vesselId"), _text(item, "$.contractId"), _text(item, "$.action")
-    named = ~_absent(item, "$.contractId")
-    d = i.select("*", asset.alias("asset_id"), contract.alias("contract_id"), action.alias("action"), named.alias("_named"))
+    d = _fields(_items(responses, "decisions"))
+    d = d.select("*", _given("vesselId").alias("asset_id"), _given("contractId").alias("contract_id"), (~_absent("contractId")).alias("_named")).withColumn("action", _given("action"))
     owners = assets.select("asset_id", F.col("company").alias("_owner")).dropDuplicates(["asset_id"])
     parents = contracts.select("contract_id", F.col("asset_id").alias("_parent")).dropDuplicates(["contract_id"])
     d = d.join(owners, "asset_id", "left").join(parents, "contract_id", "left")
     upsert = F.col("action") == "upsert"
     reason = (
-        F.when(~F.coalesce(F.schema_of_variant("item").startswith("OBJECT"), F.lit(False)), "decision must be an object")
+        F.when(~_is_object(F.col("item__kind")), "decision must be an object")
         .when(~F.coalesce(F.col("_owner") == F.col("company"), F.lit(False)), "asset is not registered for this company")
         .when(~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), "action is invalid")
         .when(F.col("_named") & ~F.coalesce(F.col("_parent") == F.col("asset_id"), F.lit(False)), "contractId is no contract of the asset")
         .when((F.col("action") == "withdraw") & ~F.col("_named"), "withdraw requires contractId")
-        .when(upsert, _row_reason(item, contract_states))
+        .when(upsert, _row_reason(contract_states))
     )
-    p = "$.row.interpretation"
-    value, days = _number(item, p + ".valueUsd"), _number(item, p + ".baseDurationDays")
+    p = "row.interpretation."
+    value, days = _number(p + "valueUsd"), _number(p + "baseDurationDays")
+    day = lambda f: F.try_to_date(_given(f), "yyyy-MM-dd")
     row = F.struct(
-        F.try_to_date(_text(item, "$.row.startDate"), "yyyy-MM-dd").alias("start_date"), F.try_to_date(_text(item, "$.row.endDate"), "yyyy-MM-dd").alias("end_date"),
-        _number(item, "$.row.dayRate").alias("day_rate"), _text(item, "$.row.client").alias("client"), _text(item, "$.row.region").alias("region"), _text(item, "$.row.status").alias("status"),
-        value.alias("value_usd"), days.alias("base_days"), derived_rate(value, days).alias("derived_usd_per_day"), _text(item, p + ".awardType").alias("award_type"),
+        day("row.startDate").alias("start_date"), day("row.endDate").alias("end_date"), _number("row.dayRate").alias("day_rate"), _given("row.client").alias("client"), _given("row.region").alias("region"),
+        _given("row.status").alias("status"), value.alias("value_usd"), days.alias("base_days"), derived_rate(value, days).alias("derived_usd_per_day"), _given(p + "awardType").alias("award_type"),
+        *(_given(p + t).alias(_snake(t)) for t in TEXTS), *(F.when(_texts_only(t), F.col(_name(t))).alias(t.rpartition(".")[2]) for t in LISTS),
     )
     d = d.withColumn("hold_reason", reason)
-    texts = [F.when(nonempty(_text(item, f"$.{k}")), _text(item, f"$.{k}")).alias(n) for k, n in (("reasonKo", "reason"), ("quote", "quote"), ("locator", "locator"))]
+    texts = [F.when(nonempty(_given(k)), _given(k)).alias(n) for k, n in (("reasonKo", "reason"), ("quote", "quote"), ("locator", "locator"))]
     return d.select("job_id", "company", "index", "asset_id", "contract_id", "action", F.when(upsert & F.col("hold_reason").isNull(), row).alias("row"), *texts, "hold_reason")
 
 
@@ -139,7 +172,7 @@ def validate_updates(responses: DataFrame, assets: DataFrame, asset_states: list
     day = _text(item, "$.statusAsOf")
     d = i.select("*", _text(item, "$.vesselId").alias("asset_id"), _text(item, "$.status").alias("status")).join(assets.select("asset_id", F.col("company").alias("_owner")).dropDuplicates(["asset_id"]), "asset_id", "left")
     reason = (
-        F.when(~F.coalesce(F.schema_of_variant("item").startswith("OBJECT"), F.lit(False)), "update must be an object")
+        F.when(~_is_object(F.schema_of_variant("item")), "update must be an object")
         .when(~F.coalesce(F.col("_owner") == F.col("company"), F.lit(False)), "asset is not registered for this company")
         .when(~F.coalesce(F.col("status").isin(*asset_states), F.lit(False)), "status is invalid")
         .when(~is_iso_date(day), "statusAsOf must be a real date")
@@ -149,19 +182,22 @@ def validate_updates(responses: DataFrame, assets: DataFrame, asset_states: list
 
 def suspected_duplicates(decisions: DataFrame, contracts: DataFrame, least_overlap: int = LEAST_OVERLAP) -> DataFrame:
     """(job_id, asset_id, index, start_date, other_index, other_contract_id, other_start_date): written rows that overlap another
-    period of the same asset and client by more than least_overlap days.
+    period of the same asset and client by more than least_overlap days.  Periods meet by the years they touch.
 
     The others are the asset's contracts that the job neither withdraws nor replaces, and rows written later in the same job.
     """
     valid = decisions.where("hold_reason is null")
-    written = valid.where("action = 'upsert'").select("job_id", "asset_id", "index", "contract_id", "row.*").withColumn("key", F.explode(client_keys(F.col("client"))))
+    written = valid.where("action = 'upsert'").select("job_id", "asset_id", "index", "contract_id", "row.start_date", "row.end_date", "row.client").withColumn("key", F.explode(client_keys(F.col("client"))))
     touched = valid.where("action in ('upsert', 'withdraw') and contract_id is not null").select("job_id", "contract_id").distinct()
     jobs = written.select("job_id", "asset_id").distinct()
     rows = contracts.join(jobs, "asset_id").join(touched, ["job_id", "contract_id"], "left_anti").select("job_id", "asset_id", F.lit(None).cast("int").alias("index"), "contract_id", "start_date", "end_date", "client")
-    other = rows.withColumn("key", F.explode(client_keys(F.col("client")))).unionByName(written.select("job_id", "asset_id", "index", "contract_id", "start_date", "end_date", "client", "key"))
-    a, b = written.alias("a"), other.alias("b")
+    other = rows.withColumn("key", F.explode(client_keys(F.col("client")))).unionByName(written)
+    by_year = lambda df: df.where("start_date <= end_date").withColumn("year", F.explode(F.sequence(F.year("start_date"), F.year("end_date"))))
+    a, b = by_year(written).alias("a"), by_year(other).alias("b")
     later = F.col("b.index").isNull() | (F.col("b.index") > F.col("a.index"))
-    overlap = F.datediff(F.least("a.end_date", "b.end_date"), F.greatest("a.start_date", "b.start_date")) > least_overlap
-    pairs = a.join(b, (F.col("a.job_id") == F.col("b.job_id")) & (F.col("a.asset_id") == F.col("b.asset_id")) & (F.col("a.key") == F.col("b.key")) & later & overlap)
+    starts = F.greatest("a.start_date", "b.start_date")
+    overlap = F.datediff(F.least("a.end_date", "b.end_date"), starts) > least_overlap
+    same = reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("job_id", "asset_id", "key", "year")])
+    pairs = a.join(b, same & (F.col("a.year") == F.year(starts)) & later & overlap)  # in the year where the overlap begins, so once
     out = pairs.select("a.job_id", "a.asset_id", "a.index", "a.start_date", F.col("b.index").alias("other_index"), F.col("b.contract_id").alias("other_contract_id"), F.col("b.start_date").alias("other_start_date"))
-    return out.distinct()
+    return out.distinct()  # two clients may share two keys
