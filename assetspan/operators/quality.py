@@ -8,43 +8,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetspan.functions.scalars import finite, nonempty, positive
+from assetspan.operators.jobs import backlog_fingerprint
 
 
-def _rows(df: DataFrame, rule: str, bad: Column, detail: Column | None = None) -> DataFrame:
-    has = lambda c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
-    return df.where(F.coalesce(bad, F.lit(True))).select(F.lit(rule).alias("rule"), has("asset_id").alias("asset_id"), has("contract_id").alias("contract_id"), (F.lit("") if detail is None else F.coalesce(detail.cast("string"), F.lit("null"))).alias("detail"))
+def _failed(checks: list[tuple[str, Column, Column | None]]) -> Column:
+    """(rule, detail) of every check that fails, or whose outcome is unknown."""
+    shown = lambda d: F.lit("") if d is None else F.coalesce(d.cast("string"), F.lit("null"))
+    return F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(True)), F.struct(F.lit(rule).alias("rule"), shown(detail).alias("detail"))) for rule, bad, detail in checks)))
+
+
+def _found(df: DataFrame, rule: str, detail: str, asset: str | None = None, contract: str | None = None) -> DataFrame:
+    ids = [(F.col(c) if c else F.lit(None)).cast("string").alias(n) for c, n in ((asset, "asset_id"), (contract, "contract_id"))]
+    return df.select(F.lit(rule).alias("rule"), *ids, F.coalesce(F.col(detail).cast("string"), F.lit("null")).alias("detail"))
 
 
 def integrity_violations(assets: DataFrame, contracts: DataFrame, registered: DataFrame, generations: list[str], asset_states: list[str], contract_states: list[str]) -> DataFrame:
     """assets and contracts against the registry (asset_id, name, company, generation).
 
-    Counts per company and in total, registered identity unchanged, domains, order of dates, finite rates not below 0, texts that are not blank,
-    contract ids given and unique, and parents that exist.
+    Counts per company and in total, registered identity unchanged, domains, strict dates and their order, finite numbers, rates not below 0, texts
+    that are not blank, contract ids given and unique, and parents that exist and are those the contract names.  Where the tables have columns
+    of what was written (status_as_of_text, vessel_id), these are checked too.  Each table is read once for all rules on single rows.
     """
     identity = ["asset_id", "name", "company", "generation"]
-    before, after = (d.groupBy("company").agg(F.count("*").alias(n)) for d, n in ((registered, "was"), (assets, "is")))
-    counts = before.join(after, "company", "full").where(~F.col("was").eqNullSafe(F.col("is")))
-    total = registered.agg(F.count("*").alias("was")).join(F.broadcast(assets.agg(F.count("*").alias("is"))), F.lit(True))  # one row each
-    drift = [assets.select(identity).exceptAll(registered.select(identity)), registered.select(identity).exceptAll(assets.select(identity))]
+    side = lambda d, n: d.select(*identity).groupBy(*identity).agg(F.count("*").alias(n))
+    same = reduce(Column.__and__, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in identity])
+    both = side(assets, "is").alias("x").join(side(registered, "was").alias("y"), same, "full")
+    both = both.select(*(F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in identity), F.coalesce("is", F.lit(0)).alias("is"), F.coalesce("was", F.lit(0)).alias("was"))
+    drift = both.where("is <> was").select("asset_id", "name", F.explode(F.array_repeat(F.lit(0), F.abs(F.col("is") - F.col("was")).cast("int"))))
+    counts = both.groupBy("company").agg(F.sum("is").alias("is"), F.sum("was").alias("was"))
+    total = counts.agg(F.sum("is").alias("is"), F.sum("was").alias("was")).where("is <> was")
     doubled = lambda d, key: d.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    c, a = contracts, assets
-    orphans = c.join(a.select("asset_id").distinct(), "asset_id", "left_anti")
+    of_asset = [
+        ("generation", ~F.col("generation").isin(*generations), F.col("generation")),
+        ("asset status", ~F.col("status").isin(*asset_states), F.col("status")),
+        ("year built", F.col("year_built").isNull(), F.col("year_built_text") if "year_built_text" in assets.columns else None),
+    ]
+    if "status_as_of_text" in assets.columns:
+        of_asset.append(("status date", F.col("status_as_of_text").isNotNull() & F.col("status_as_of").isNull(), F.col("status_as_of_text")))
+    of_contract = [
+        ("contract id", ~nonempty(F.col("contract_id")), None),
+        ("contract status", ~F.col("status").isin(*contract_states), F.col("status")),
+        ("dates", F.col("start_date").isNull() | F.col("end_date").isNull() | (F.col("start_date") > F.col("end_date")), None),
+        ("rate", ~finite(F.col("day_rate")) | (F.col("day_rate") < 0), F.col("day_rate")),
+        ("client", ~nonempty(F.col("client")), None),
+        ("region", ~nonempty(F.col("region")), None),
+        ("parent", F.col("_known").isNull(), F.col("asset_id")),
+    ]
+    for c, kind in contracts.dtypes:
+        if kind in ("double", "float") and c != "day_rate":
+            of_contract.append(("number", F.col(c).isNotNull() & ~finite(F.col(c)), F.lit(c)))
+    if "vessel_id" in contracts.columns:
+        of_contract.append(("parent", ~F.col("vessel_id").eqNullSafe(F.col("asset_id")), F.col("vessel_id")))
+    known = assets.select("asset_id", F.lit(True).alias("_known")).distinct()
+    a = assets.select(F.col("asset_id").cast("string").alias("asset_id"), F.lit(None).cast("string").alias("contract_id"), F.inline(_failed(of_asset)))
+    c = contracts.join(known, "asset_id", "left").select(F.col("asset_id").cast("string").alias("asset_id"), F.col("contract_id").cast("string").alias("contract_id"), F.inline(_failed(of_contract)))
     found = [
-        _rows(total, "asset count", F.col("was") != F.col("is"), F.col("is")),
-        _rows(counts, "company count", F.lit(True), F.col("company")),
-        *[_rows(d, "registry", F.lit(True), F.col("name")) for d in drift],
-        _rows(doubled(a, "asset_id"), "asset id", F.lit(True), F.col("n")),
-        _rows(a, "generation", ~F.col("generation").isin(*generations), F.col("generation")),
-        _rows(a, "asset status", ~F.col("status").isin(*asset_states), F.col("status")),
-        _rows(a, "year built", F.col("year_built").isNull()),
-        _rows(c, "contract id", ~nonempty(F.col("contract_id"))),
-        _rows(doubled(c, "contract_id"), "contract id", F.lit(True), F.col("n")),
-        _rows(orphans, "parent", F.lit(True), F.col("asset_id")),
-        _rows(c, "contract status", ~F.col("status").isin(*contract_states), F.col("status")),
-        _rows(c, "dates", F.col("start_date").isNull() | F.col("end_date").isNull() | (F.col("start_date") > F.col("end_date"))),
-        _rows(c, "rate", ~finite(F.col("day_rate")) | (F.col("day_rate") < 0), F.col("day_rate")),
-        _rows(c, "client", ~nonempty(F.col("client"))),
-        _rows(c, "region", ~nonempty(F.col("region"))),
+        _found(total, "asset count", "is"),
+        _found(counts.where("is <> was"), "company count", "company"),
+        _found(drift, "registry", "name", "asset_id"),
+        _found(doubled(assets, "asset_id"), "asset id", "n", "asset_id"),
+        _found(doubled(contracts, "contract_id"), "contract id", "n", None, "contract_id"),
+        a.select("rule", "asset_id", "contract_id", "detail"),
+        c.select("rule", "asset_id", "contract_id", "detail"),
     ]
     return reduce(DataFrame.unionByName, found)
 
@@ -64,8 +89,8 @@ def published_violations(contracts: DataFrame, events: DataFrame) -> DataFrame:
     return derived.union(held)
 
 
-def backlog_violations(jobs: DataFrame, schema_version: int, pending: int, kinds: list[str], companies: list[str]) -> DataFrame:
-    """Of a published backlog of jobs (job_id, kind, company, document_sha256)."""
+def backlog_violations(jobs: DataFrame, schema_version: int, pending: int, kinds: list[str], companies: list[str], fingerprint: str | None = None) -> DataFrame:
+    """Of a published backlog of jobs (job_id, kind, company, url, document_sha256); with a fingerprint also whether it is that of the jobs."""
     doubled = jobs.groupBy("job_id").agg(F.count("*").alias("n")).where("n > 1")
     one = jobs.agg(F.count("*").alias("n"))
     rule = lambda d, name, c, x="job_id": d.where(c).select(F.lit(name).alias("rule"), (F.col(x) if x in d.columns else F.lit(None)).cast("string").alias("job_id"))
@@ -73,10 +98,14 @@ def backlog_violations(jobs: DataFrame, schema_version: int, pending: int, kinds
         rule(one, "schema version", F.lit(schema_version != 2)),
         rule(one, "count", F.col("n") != pending),
         rule(doubled, "job id", F.lit(True)),
-        rule(jobs, "kind", ~F.col("kind").isin(*kinds)),
-        rule(jobs, "company", ~F.col("company").isin(*companies)),
-        rule(jobs, "hash", ~F.col("document_sha256").rlike("^[0-9a-f]{64}$")),
+        rule(jobs, "no job id", ~nonempty(F.col("job_id"))),
+        rule(jobs, "no url", ~nonempty(F.col("url"))),
+        rule(jobs, "kind", ~F.coalesce(F.col("kind").isin(*kinds), F.lit(False))),
+        rule(jobs, "company", ~F.coalesce(F.col("company").isin(*companies), F.lit(False))),
+        rule(jobs, "hash", ~F.coalesce(F.col("document_sha256").rlike("^[0-9a-f]{64}$"), F.lit(False))),
     ]
+    if fingerprint is not None:
+        found.append(rule(backlog_fingerprint(jobs), "fingerprint", F.col("fingerprint") != fingerprint))
     return reduce(DataFrame.union, found)
 
 

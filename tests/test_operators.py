@@ -229,7 +229,7 @@ def test_fleet_files(spark, tmp_path):
     open(path, "w").write(json.dumps([one, one | {"id": "b", "contracts": []}]))
     assets, rows_ = snapshots.flatten(snapshots.import_fleet(spark, path))
     assert assets.count() == 2 and rows_.first().end_date is None
-    assert {r.asset_id: len(r.contracts) for r in snapshots.nest(assets, rows_).collect()} == {"a": 1, "b": 0}
+    assert {r.id: len(r.contracts) for r in snapshots.nest(assets, rows_).collect()} == {"a": 1, "b": 0}
     open(path, "w").write("[]")
     with pytest.raises(ValueError):
         snapshots.import_fleet(spark, path)
@@ -258,3 +258,123 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame([("j",)], "job_id string").coalesce(1).write.mode("append").parquet(str(tmp_path / "resp"))
         streams.decision_stream(spark.readStream.schema("job_id string").parquet(str(tmp_path / "resp")), done, act, str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.parquet(done).count() == 1
+
+
+def plain(fleet_rows):
+    """Rows of a fleet as JSON values, fields without a value left out."""
+    import json
+
+    def clean(x):
+        if isinstance(x, dict):
+            return {k: clean(v) for k, v in x.items() if v is not None}
+        return [clean(v) for v in x] if isinstance(x, list) else x
+
+    return sorted((clean(json.loads(r)) for r in fleet_rows), key=lambda x: x["id"])
+
+
+def test_fleet_files_come_back_whole(spark, tmp_path):
+    import json
+
+    reading = {"sourceStartText": "Q1", "awardType": "extension", "termText": "one year", "valueUsd": 10.5, "includes": ["mob"], "excludes": []}
+    row = {"id": "k", "vesselId": "a", "startDate": "2026-01-01", "endDate": "2026-12-31", "dayRate": 5.0, "client": "C", "region": "R", "status": "Firm", "sourceUrl": "https://e.com", "sourcePublishedAt": "2026-01-02", "newsReviewed": True, "inputMode": "stored-result", "storedReading": {"a": [1, "x"]}, "datePrecision": {"start": "day", "end": "month"}, "interpretation": reading}
+    ships = [
+        {"id": "a", "name": "A", "company": "X", "generation": "7G", "status": "Active", "statusAsOf": "2026-02-30", "yearBuilt": 2001, "contracts": [row | {"id": "k2", "vesselId": "b", "startDate": "2027-01-01", "endDate": "soon"}, row]},
+        {"id": "b", "name": "B", "company": "X", "generation": "7G", "status": "Idle", "yearBuilt": True, "contracts": []},
+        {"id": "c", "name": "C", "company": "Y", "generation": "8G", "status": "Idle", "statusAsOf": "2026-01-05", "yearBuilt": "2003", "contracts": [{k: row[k] for k in ("startDate", "endDate", "dayRate", "client", "region", "status")} | {"id": "k3", "vesselId": "c"}]},
+    ]
+    path = tmp_path / "fleet.json"
+    path.write_text(json.dumps(ships, indent=1))
+    fleet_ = snapshots.read_fleet(spark, str(path))
+    snapshots.export_fleet(fleet_.repartition(3), str(tmp_path / "out"))
+    back = snapshots.read_fleet(spark, str(tmp_path / "out"))
+    assert plain(back.toJSON().collect()) == plain(map(json.dumps, ships))
+    assets, rows_ = snapshots.flatten(back)
+    again = plain(snapshots.nest(assets, rows_).toJSON().collect())
+    expected = plain(map(json.dumps, ships))
+    expected[0]["contracts"].reverse()  # in order of start
+    assert again == expected
+    found = quality.integrity_violations(assets, rows_, assets, ["7G", "8G"], ["Active", "Idle"], ["Firm"])
+    assert sorted((r.rule, r.asset_id) for r in found.collect()) == [("dates", "a"), ("parent", "a"), ("status date", "a"), ("year built", "b"), ("year built", "c")]
+
+
+def test_non_finite_numbers_and_identity(spark):
+    c = contracts(spark).withColumns({"value_usd": F.when(F.col("contract_id") == "k1", F.lit(float("nan"))), "base_days": F.lit(float("inf"))})
+    a = fleet(spark)
+    found = quality.integrity_violations(a, c, a.where("asset_id <> 'a'").unionByName(a.where("asset_id = 'b'")), ["7G", "8G"], ["Active", "Idle", "Warm-Stacked", "Cold-Stacked"], ["Firm", "Option", "Contingent"])
+    n = {(r.rule, r.detail): r["n"] for r in found.groupBy("rule", "detail").agg(F.count("*").alias("n")).collect()}
+    assert n["number", "base_days"] == c.count() and n["number", "value_usd"] == 1
+    assert sum(k for (rule, _), k in n.items() if rule == "registry") == 2 and ("asset count", "4") not in n
+
+
+def test_rewritten_rows_keep_what_the_decision_says_nothing_of(spark):
+    c = contracts(spark).withColumns({"note": F.lit("kept"), "award_type": F.lit("amendment"), "source_start_text": F.lit("old"), "input_mode": F.lit("stored-result")})
+    replace = GOOD.replace('"contractId":null', '"contractId":"k1"').replace('"valueUsd"', '"awardType":"extension","termText":"a year","valueUsd"')
+    out = apply.apply_decisions(fleet(spark), c, documented(validated(spark, [replace, GOOD, '{"vesselId":"a","contractId":"k0","action":"withdraw"}'])))
+    rows = {r.contract_id: r for r in out.contracts.where("asset_id = 'a'").collect()}
+    k1 = rows.pop("k1")
+    assert (k1.note, k1.award_type, k1.term_text, k1.source_start_text, k1.input_mode, k1.derived_usd_per_day) == ("kept", "extension", "a year", None, None, 500000.0)
+    assert [r.note for i, r in rows.items() if "-r" in i] == [None]
+    assert out.changes.where("contract_id = 'k1'").first().before.award_type == "amendment"
+
+
+def test_a_new_row_finds_a_free_id_however_many_are_taken(spark):
+    d = documented(validated(spark, [GOOD]))
+    now = contracts(spark)
+    for k in range(11):
+        now = spark.createDataFrame(apply.apply_decisions(fleet(spark), now, d).contracts.collect(), apply.apply_decisions(fleet(spark), now, d).contracts.schema)
+    ids = [r.contract_id for r in now.where("asset_id = 'a'").collect()]
+    assert None not in ids and len(set(ids)) == len(ids) and sum("-r" in i for i in ids) == 11
+
+
+def test_title_events_of_articles_without_decisions(spark):
+    docs = spark.createDataFrame([("j1", "s1", "X", "official-news", None, "u1", "2026-01-01", None), ("j2", "s2", "X", "official-news", "T", "u2", None, "other"), ("j3", "s3", "X", "fleet-report", "R", "u3", None, None)], "job_id string, source_id string, company string, kind string, title string, url string, published_at string, news_category string")
+    out = apply.title_events(docs, spark.createDataFrame([("j2",)], "job_id string")).collect()
+    assert [(r.job_id, r.title, r.review_status) for r in out] == [("j1", "u1", "acknowledged")] and out[0].event_id.startswith("news-")
+
+
+def test_pages_however_deep(spark):
+    deep = "<div>" * 2000 + "<article class='news'><p>" + "word " * 40 + "</p></article>" + "</div>" * 2000
+    chrome = "<header><article>menu text</article></header><main>" + "text " * 40 + "</main>"
+    pages = spark.createDataFrame([("a", deep, None), ("b", chrome, None)], "url string, html string, kind string")
+    out = {r.url: r for r in documents.extract_articles(pages).collect()}
+    assert out["a"].locator == "html:article.news" and out["a"].text == ("word " * 40).strip()
+    import hashlib
+
+    assert {r.url: r.legacy_sha256 for r in documents.legacy_hash(pages).collect()}["b"] == hashlib.sha256(("text " * 40).strip().encode()).hexdigest()
+
+
+def test_titles_of_error_pages():
+    assert all(map(documents.is_error_title, ["Access Denied | x", "404", "404 Not found", "Error: x"[:5], "ERROR page", "Just a moment..."]))
+    assert not any(map(documents.is_error_title, ["4040 ways", "Errors we made", "The page not found", ""]))
+
+
+def test_links_with_the_dates_beside_them(spark):
+    html = """<ul><li><time datetime="2026-03-05">x</time><a href="/news/detail?ID=7">One</a></li><li>April 2, 2026 <a href="/news/news-details/two">Two</a></li></ul>
+    <table><tr><td>01/31/2026</td><td><a href="/FleetStatusReport-Jan.pdf">R</a></td></tr><tr><td>02/28/2026</td><td><a href="/FleetStatusReport-Feb.pdf">R</a></td></tr></table><p><a href="/news/detail">No id</a></p>"""
+    pages = spark.createDataFrame([("https://e.com/x", html)], "url string, html string")
+    assert {(r.url[13:], r.title, r.published_at) for r in documents.article_links(pages).collect()} == {("/news/detail?ID=7", "One", "2026-03-05"), ("/news/news-details/two", "Two", "2026-04-02")}
+    r = documents.latest_report(pages, "FleetStatusReport.*[.]pdf").collect()
+    assert [(x.url, x.published_at) for x in r] == [("https://e.com/FleetStatusReport-Feb.pdf", "2026-02-28")]
+
+
+def test_publishing_overwrites_nothing_that_is_read(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    assert snapshots.read_manifest(spark, path).count() == 0
+    first = snapshots.publish({"assets": fleet(spark)}, path)
+    held = snapshots.load_table(spark, path, "assets")
+    assert snapshots.publish({"assets": fleet(spark)}, path) == first
+    snapshots.publish({"assets": fleet(spark).where("asset_id = 'a'")}, path)
+    assert held.count() == 4 and snapshots.load_table(spark, path, "assets").count() == 1
+    (tmp_path / "snap" / "manifest.000000000009").mkdir()  # half written: no _SUCCESS
+    assert snapshots.load_table(spark, path, "assets").count() == 1
+    assert snapshots.prune(spark, path) == [first["assets"]["file"]]
+
+
+def test_backlogs(spark):
+    from assetspan.operators import jobs as j
+
+    good = spark.createDataFrame([("j1", "k", "X", "u", "0" * 64)], "job_id string, kind string, company string, url string, document_sha256 string")
+    bad = spark.createDataFrame([("", "q", None, " ", "x")], good.schema)
+    mark = j.backlog_fingerprint(good).first().fingerprint
+    assert quality.backlog_violations(good, 2, 1, ["k"], ["X"], mark).count() == 0
+    assert sorted(r.rule for r in quality.backlog_violations(bad, 3, 0, ["k"], ["X"], mark).collect()) == sorted(["schema version", "count", "no job id", "no url", "kind", "company", "hash", "fingerprint"])
