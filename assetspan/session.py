@@ -9,9 +9,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows go to Python in batches of about so many bytes, unless the application sets its own limit: texts can be long, and workers are small.
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the executors this package, once per application, so that functions run there in Python find it."""
+    """Give the executors this package, once per application, so that functions run there in Python find it, and bound the batches they get."""
     sc = spark.sparkContext
+    if not sc.getConf().contains(BATCH_LIMIT):
+        spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
     if not getattr(sc, "_assetspan_shipped", False):
         here = Path(__file__).parent
         target = Path(tempfile.mkdtemp(prefix="assetspan-")) / "assetspan.zip"
