@@ -16,6 +16,19 @@ from assetspan.session import cut
 NOW = 1_700_000_000
 
 
+#: Parts of the SQL for the pages' plain markup: the article, its references decoded, what a reader sees, and that without its heading.
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
+_DECODE = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
+_SPACES = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+
+
+def _shown(source: str) -> str:
+    return _SPACES.format(_DECODE.format(rf"regexp_replace(regexp_replace({source}, '</?(p|h1|br)\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')"))
+
+
+_BODY = _shown(f"regexp_replace({_ARTICLE}, '(?s)<h1>.*?</h1>', '', 'g')")
+
+
 def announcements(spark, sf) -> DataFrame:
     """The events table as a feed."""
     e, kind, bought = table(spark, sf, "events"), F.col("event_type"), F.col("event_type") == "purchase"
@@ -207,35 +220,46 @@ def official_source(spark, sf):
     return documents.official_source(p, rules).select("page_id", "official")
 
 
-@query()
+@query(f"""SELECT url, CASE WHEN coalesce(html, '') <> '' AND length({_BODY}) >= 100 THEN 'html:article' END AS locator, CASE WHEN coalesce(html, '') <> '' AND length({_BODY}) >= 100 THEN {_shown(_ARTICLE)} END AS text,
+ CASE WHEN coalesce(html, '') = '' THEN 'document is empty' WHEN length({_BODY}) < 100 THEN 'body is unexpectedly short' END AS reject_reason FROM pages""", plain=True)
 def extract_articles(spark, sf):
     return documents.extract_articles(table(spark, sf, "pages"))
 
 
-@query()
+_HREF = _DECODE.format("regexp_extract(a, '<a href=.([^>]*).>', 1)")
+
+
+@query(f"""WITH l AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, '<a href="[^"]*">.*?</a>')) AS a FROM pages)
+SELECT DISTINCT url AS page_url, {_HREF} AS href, {_shown("a")} AS title, regexp_extract(url, '^https?://[^/]+') || {_HREF} AS url, CAST(NULL AS VARCHAR) AS published_at FROM l""", plain=True)
 def extract_links(spark, sf):
     return documents.extract_links(table(spark, sf, "pages"))
 
 
-@query()
+@query("SELECT DISTINCT url, CAST(NULL AS VARCHAR) AS published_at FROM pages", plain=True)
 def publication_metadata(spark, sf):
     return documents.publication_metadata(table(spark, sf, "pages"))
 
 
-@query()
+_APART = _SPACES.format(_DECODE.format(f"regexp_replace({_ARTICLE}, '<[^>]*>', ' ', 'g')"))
+
+
+@query(f"SELECT url, CASE WHEN coalesce(html, '') <> '' THEN sha256({_APART}) END AS legacy_sha256 FROM pages", plain=True)
 def legacy_hash(spark, sf):
     return documents.legacy_hash(table(spark, sf, "pages"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT page_id, {_shown(_ARTICLE)} AS text FROM pages WHERE coalesce(html, '') <> '' AND length({_BODY}) >= 100)
+SELECT 'source-' || sha256('["C0","official-news","https://pages.example.com/' || CAST(page_id AS VARCHAR) || '"]') AS source_id, sha256(CASE WHEN page_id % 4 = 0 THEN text || '!' ELSE text END) AS document_sha256, page_id % 4 <> 2 AS changed FROM p""", plain=True)
 def capture_revisions(spark, sf):
-    """Articles of all pages against a first state in which only pages of even number were known."""
-    pages = table(spark, sf, "pages")
-    read = documents.extract_articles(pages).dropDuplicates(["url"])
-    c = pages.select("page_id", "url").dropDuplicates(["url"]).join(read, "url").select("page_id", F.lit("C0").alias("company"), F.lit("official-news").alias("kind"), "url", "text", "reject_reason")
+    """Articles of all pages against a first state in which only those of even number were known; every fourth has changed since."""
+    pages = table(spark, sf, "pages").withColumn("url", F.concat(F.lit("https://pages.example.com/"), F.col("page_id").cast("string")))
+    read = cut(documents.extract_articles(pages))
+    number = F.regexp_extract("url", "[0-9]+$", 0).cast("long")
+    c = read.select(number.alias("page_id"), F.lit("C0").alias("company"), F.lit("official-news").alias("kind"), "url", "text", "reject_reason")
     none = c.where("1 = 0").select(F.lit("").alias("source_id"), F.lit("").alias("document_sha256"), F.lit("").alias("last_success_at"))
     first = documents.capture_revisions(c.where("page_id % 2 = 0"), none)[0].select("source_id", "document_sha256", F.lit("2024").alias("last_success_at"))
-    return documents.capture_revisions(c, first)[0].select("source_id", "document_sha256", "changed")
+    now = c.withColumn("text", F.when(F.col("page_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return documents.capture_revisions(now, first)[0].select("source_id", "document_sha256", "changed")
 
 
 @query("""SELECT l_orderkey AS page, string_agg(line_text, '|' ORDER BY l_linenumber, line_text) AS lines, bool_or(ok) AS reliable FROM (

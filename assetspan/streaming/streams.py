@@ -2,61 +2,81 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from assetspan.functions.hashes import job_id
 
+#: Up to so many keys of a batch are sent to the readers of the table, which then needs no shuffle.
+BROADCAST_ROWS = 300_000
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at path, or None while there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def _unknown(new: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Rows of a batch whose job_id the table lacks; of the table only the ids that the batch has are kept before the join."""
+    if known is None:
+        return new
+    ids = new.select("job_id")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return new.join(known.select("job_id").join(ids, "job_id", "left_semi"), "job_id", "left_anti")
+
+
+def _once(df: DataFrame) -> DataFrame:
+    """One row per job_id, the least of several."""
+    rest = [c for c in df.columns if c != "job_id"]
+    if not rest:
+        return df.distinct()
+    return df.groupBy("job_id").agg(F.min(F.struct(*rest)).alias("r")).select("job_id", *(F.col("r").getField(c).alias(c) for c in rest))
+
 
 def revision_stream(captures: DataFrame, path: str, checkpoint: str):
     """Appends to the table at path each (source_id, document_sha256) that it lacks, as a pending job.  captures: a stream with these and any other columns."""
 
     def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        new = df.withColumn("job_id", job_id(F.col("source_id"), F.col("document_sha256"))).dropDuplicates(["job_id"]).withColumn("status", F.lit("pending"))
-        if _exists(spark, path):
-            new = new.join(spark.read.parquet(path).select("job_id"), "job_id", "left_anti")
-        new.write.mode("append").parquet(path)
+        new = _once(df.withColumn("job_id", job_id(F.col("source_id"), F.col("document_sha256")))).persist()
+        _unknown(new, _read(df.sparkSession, path)).withColumn("status", F.lit("pending")).write.mode("append").parquet(path)
+        new.unpersist()
 
     return captures.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def decision_stream(responses: DataFrame, done_path: str, apply: Callable[[DataFrame], DataFrame], checkpoint: str):
-    """Hands arriving responses of jobs that are not done yet to apply(), and appends the (job_id, outcome) it returns to done_path."""
+def decision_stream(responses: DataFrame, done_path: str, apply: Callable[[DataFrame, str], DataFrame], checkpoint: str):
+    """Hands arriving responses of jobs that are not done yet to apply(responses, batch), and stores the (job_id, outcome) it returns.
 
-    def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        todo = df.dropDuplicates(["job_id"])
-        if _exists(spark, done_path):
-            todo = todo.join(spark.read.parquet(done_path).select("job_id"), "job_id", "left_anti")
-        apply(todo).select("job_id", "outcome").write.mode("append").parquet(done_path)
+    A batch has a name of its own, the same when it is run again after a failure, and its outcomes stand in a folder of that name, which a second
+    run overwrites.  What apply() writes must go by that name too: then a batch that failed between apply() and the outcomes leaves nothing
+    twice.  Of several responses of one job the least counts.
+    """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def batch(df: DataFrame, number: int) -> None:
+        name = f"{stream}-{number}"
+        before = outcomes(df.sparkSession, done_path)
+        todo = _unknown(_once(df), None if before is None else before.where(F.col("batch") != name)).persist()
+        apply(todo, name).select("job_id", "outcome").write.mode("overwrite").parquet(f"{done_path}/batch={name}")
+        todo.unpersist()
 
     return responses.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def outcomes(spark: SparkSession, done_path: str) -> DataFrame | None:
+    """(job_id, outcome, batch) of all batches so far."""
+    return _read(spark, done_path)
+
+
 def latest_revision(captures: DataFrame) -> DataFrame:
-    """Of a stream (source_id, document_sha256, captured_at): each source's newest revision as it becomes known; older ones that come late are dropped."""
-
-    def newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        changed = False
-        for pdf in frames:
-            for sha, at in zip(pdf["document_sha256"], pdf["captured_at"]):
-                if best is None or (at, sha) > (best[1], best[0]):
-                    best, changed = (sha, at), True
-        if changed:
-            state.update(best)
-            yield pd.DataFrame({"source_id": [key[0]], "document_sha256": [best[0]], "captured_at": [best[1]]})
-
-    return captures.groupBy("source_id").applyInPandasWithState(
-        newest, "source_id string, document_sha256 string, captured_at string", "document_sha256 string, captured_at string", "update", GroupStateTimeout.NoTimeout
-    )
-
-
-def _exists(spark, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """Of a stream (source_id, document_sha256, captured_at): each source's newest revision whenever something of it arrives, in update mode; older
+    revisions that come late change nothing."""
+    newest = F.max(F.struct("captured_at", "document_sha256")).alias("n")
+    return captures.groupBy("source_id").agg(newest).select("source_id", "n.document_sha256", "n.captured_at")

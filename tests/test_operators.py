@@ -251,13 +251,27 @@ def test_streams(spark, tmp_path):
         q.awaitTermination()
     assert sorted(r.document_sha256 for r in spark.read.parquet(table).collect()) == ["h0", "h1", "h2"]
     assert [r.document_sha256 for r in spark.table("latest2").collect()][-1] == "h2"
-    done = str(tmp_path / "done")
-    for k in range(2):
-        seen = []
-        act = lambda df: (seen.append(df.count()), df.select("job_id", F.lit("applied").alias("outcome")))[1]
-        spark.createDataFrame([("j",)], "job_id string").coalesce(1).write.mode("append").parquet(str(tmp_path / "resp"))
-        streams.decision_stream(spark.readStream.schema("job_id string").parquet(str(tmp_path / "resp")), done, act, str(tmp_path / "cp2")).awaitTermination()
-    assert spark.read.parquet(done).count() == 1
+    done, table_ = str(tmp_path / "done"), str(tmp_path / "applied")
+    fail = [True]
+
+    def act(df, batch):
+        df.select("job_id", "answer").write.mode("overwrite").parquet(f"{table_}/batch={batch}")
+        if fail.pop() if fail else False:
+            raise RuntimeError("after applying")
+        return df.select("job_id", F.lit("applied").alias("outcome"))
+
+    answers = "job_id string, answer string"
+    for k in range(3):
+        if k != 1:
+            spark.createDataFrame([("j", "b"), ("j", "a"), (f"j{k}", "c")], answers).coalesce(1).write.mode("append").parquet(str(tmp_path / "resp"))
+        q = streams.decision_stream(spark.readStream.schema(answers).parquet(str(tmp_path / "resp")), done, act, str(tmp_path / "cp2"))
+        if k:
+            q.awaitTermination()
+        else:
+            with pytest.raises(Exception, match="after applying"):
+                q.awaitTermination()
+    assert sorted((r.job_id, r.outcome) for r in streams.outcomes(spark, done).collect()) == [("j", "applied"), ("j0", "applied"), ("j2", "applied")]
+    assert sorted((r.job_id, r.answer) for r in spark.read.parquet(table_).collect()) == [("j", "a"), ("j0", "c"), ("j2", "c")]
 
 
 def plain(fleet_rows):
