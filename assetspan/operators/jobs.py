@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from assetspan.functions.hashes import canonical_hash, job_id
 from assetspan.functions.scalars import backoff_seconds
+from assetspan.session import cut
 
 USAGE_WAIT = 3600
 
@@ -76,10 +77,26 @@ def previous_sources(documents: DataFrame) -> DataFrame:
     return best.select("source_id", "f.*")
 
 
+def numbered(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """df with `name`: 1, 2, ... within each group in the given order, however large a group is.
+
+    Rows are sorted into ranges over all tasks and numbered inside each range; counts per range, a row for each group and range, give
+    what to add.  The order must be total, or equal rows are numbered in any order.
+    """
+    keys = {f"_o{i}": c for i, c in enumerate(order)}
+    ranged = cut(df.withColumns(keys).repartitionByRange(group, *keys).withColumn("_slice", F.spark_partition_id()))
+    counts = ranged.groupBy(group, "_slice").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(group).alias("_group"), F.col("_slice").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(group, "_slice").orderBy(*keys))
+    ranked = ranged.withColumn("_in", inside).join(offsets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_slice") == F.col("_of")))
+    return ranked.withColumn(name, (F.col("_before") + F.col("_in")).cast("int")).select(*df.columns, name)
+
+
 def reading_order(documents: DataFrame) -> DataFrame:
     """documents with `round`: reports first, then articles, stored results last, by date and URL, counted within each company."""
     rank = F.when(F.col("input_mode") == "stored-result", 2).when(F.col("kind") == "fleet-report", 0).otherwise(1)
-    return documents.withColumn("round", F.row_number().over(Window.partitionBy("company").orderBy(rank, "published_at", "url", "job_id")))
+    return numbered(documents, "company", [rank, F.col("published_at"), F.col("url"), F.col("job_id")], "round")
 
 
 def settle(documents: DataFrame, results: DataFrame, now: int, now_iso: str) -> DataFrame:

@@ -7,6 +7,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 #: Rows go to Python in batches of about so many bytes, unless the application sets its own limit: texts can be long, and workers are small.
@@ -41,3 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
+
+
+#: Up to so many rows of a few values each are broadcast; beyond it Spark shuffles both sides.
+BROADCAST_ROWS = 300_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, which is cheap to count, as a broadcast side if it has at most BROADCAST_ROWS rows."""
+    return broadcast(df) if df.count() <= BROADCAST_ROWS else df

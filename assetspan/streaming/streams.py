@@ -10,9 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetspan.functions.hashes import job_id
-
-#: Up to so many keys of a batch are sent to the readers of the table, which then needs no shuffle.
-BROADCAST_ROWS = 300_000
+from assetspan.session import small
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -27,9 +25,7 @@ def _unknown(new: DataFrame, known: DataFrame | None) -> DataFrame:
     """Rows of a batch whose job_id the table lacks; of the table only the ids that the batch has are kept before the join."""
     if known is None:
         return new
-    ids = new.select("job_id")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return new.join(known.select("job_id").join(ids, "job_id", "left_semi"), "job_id", "left_anti")
+    return new.join(known.select("job_id").join(small(new.select("job_id")), "job_id", "left_semi"), "job_id", "left_anti")
 
 
 def _once(df: DataFrame) -> DataFrame:

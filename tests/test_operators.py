@@ -392,3 +392,77 @@ def test_backlogs(spark):
     mark = j.backlog_fingerprint(good).first().fingerprint
     assert quality.backlog_violations(good, 2, 1, ["k"], ["X"], mark).count() == 0
     assert sorted(r.rule for r in quality.backlog_violations(bad, 3, 0, ["k"], ["X"], mark).collect()) == sorted(["schema version", "count", "no job id", "no url", "kind", "company", "hash", "fingerprint"])
+
+
+def test_numbers_within_groups_over_many_ranges(spark):
+    import random
+
+    r = random.Random(3)
+    items = [(r.choice(["a", "a", "a", "b", None]), r.choice([None, "x", "y"]), i) for i in range(500)]
+    df = spark.createDataFrame(items, "g string, k string, i int")
+    out = jobs.numbered(df, "g", [F.col("k"), F.col("i")], "n")
+    assert out.columns == ["g", "k", "i", "n"]
+    expected = {}
+    for g in ("a", "b", None):
+        for n, x in enumerate(sorted((x for x in items if x[0] == g), key=lambda x: (x[1] is not None, x[1] or "", x[2])), 1):
+            expected[x[2]] = n
+    assert {x.i: x.n for x in out.collect()} == expected
+    assert jobs.numbered(df.limit(0), "g", [F.col("i")], "n").count() == 0
+
+
+def brute_trend(points):
+    """The fit over all observations one by one: tricube over the nearest, bisquare on residuals, in three passes; then the band."""
+    x, y = (np.array(v, float) for v in zip(*sorted(points)))
+    n = len(x)
+    span = max(0.3, min(1.0, 4 / n))
+    window, k = max(2, math.floor(span * n)), max(4, math.ceil(span * n))
+    robust = np.ones(n)
+    for p in range(3):
+        fit = np.empty(n)
+        for i in range(n):
+            d = np.abs(x - x[i])
+            h = np.sort(d)[min(window, n) - 1]
+            near = d < h if h > 0 else d == 0
+            w = ((1 - (d[near] / h) ** 3) ** 3 if h > 0 else np.ones(near.sum())) * robust[near]
+            z, s0 = x[near] - x[i], w.sum()
+            s1, s2, t0, t1 = (w * z).sum(), (w * z * z).sum(), (w * y[near]).sum(), (w * z * y[near]).sum()
+            det = s0 * s2 - s1 * s1
+            fit[i] = t0 / s0 if abs(det) <= 1e-9 * max(1.0, s0 * s2) else (s2 * t0 - s1 * t1) / det
+        r = y - fit
+        s = np.median(np.abs(r))
+        if p < 2:
+            u = np.abs(r) / (6 * s)
+            robust = np.where(u >= 1, 0.0, (1 - u * u) ** 2)
+    out = {}
+    for i in range(n):
+        # observations of one day are alike to the band: their share of the edge is spread over them
+        days = sorted(set(x), key=lambda v: (abs(v - x[i]), v))
+        left, c, s1, s2 = k, 0.0, 0.0, 0.0
+        for v in days:
+            rr = r[x == v]
+            share = min(1.0, max(0.0, left / len(rr)))
+            c, s1, s2, left = c + share * len(rr), s1 + share * rr.sum(), s2 + share * (rr * rr).sum(), left - share * len(rr)
+        out[x[i]] = (fit[i], math.sqrt(max(0.0, (s2 - s1 * s1 / c) / (c - 1))))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_trend_equals_a_fit_over_all_points(spark, seed):
+    rng = np.random.default_rng(seed)
+    days = rng.integers(0, 60 if seed == 1 else 400, 90)
+    points = [(int(d), float(100 + d / 3 + rng.normal() * 8 + (60 if rng.random() < 0.05 else 0))) for d in days]
+    expected = brute_trend(points)
+    found = {(r.date - D(2026, 1, 1)).days: r for r in trend.rate_trend(series(spark, points)).collect()}
+    first = min(found)
+    assert len(found) == len(expected)
+    for (day, (fit, sd)), (at, r) in zip(sorted(expected.items()), sorted(found.items())):
+        assert at - first == day - min(expected)
+        assert r.rate == pytest.approx(fit, rel=1e-7) and r.band_hi - r.rate == pytest.approx(sd, rel=1e-6, abs=1e-6)
+
+
+def test_medians_are_exact(spark):
+    rng = np.random.default_rng(0)
+    items = [("a", float(v)) for v in rng.normal(size=501)] + [("b", float(v)) for v in rng.integers(0, 3, 400)] + [("c", 7.0)] * 6 + [("d", 1.0), ("d", 4.0)] + [("e", 1e9), ("e", 0.0), ("e", 1.0), ("e", 2.0)]
+    df = spark.createDataFrame(items, "g string, v double")
+    found = {r.g: r["median"] for r in trend.medians(df, "g", "v").collect()}
+    assert found == {g: pytest.approx(np.median([v for k, v in items if k == g]), rel=1e-12) for g in "abcde"}
