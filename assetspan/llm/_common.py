@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from assetspan.session import cut
+from assetspan.session import BROADCAST_ROWS, cut, small
 
-__all__ = ["ALNUM", "Rolling", "chunks", "cut", "lengths", "mix", "packed", "raw", "small", "suffix_array", "table", "unpacked", "word_bounds", "word_hashes"]
+__all__ = ["ALNUM", "BROADCAST_ROWS", "Rolling", "chunks", "cut", "lengths", "mix", "packed", "raw", "small", "suffix_array", "table", "unpacked", "word_bounds", "word_hashes"]
 
 #: Byte table: A-Z become a-z, every other ASCII character that is no digit or lower-case letter becomes a
 #: space, bytes of non-ASCII characters stay.  Splitting at spaces then gives [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
@@ -150,17 +150,6 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         k *= 2
 
 
-#: Up to so many rows of a few numbers each are broadcast; beyond it Spark shuffles both sides.
-BROADCAST_ROWS = 300_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df, which is cheap to count, as a broadcast side if it has at most BROADCAST_ROWS rows."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def packed(docs: DataFrame) -> DataFrame:
     """doc_id, text, and all other columns inside one struct, where their names clash with nothing."""
     from pyspark.sql import functions as F

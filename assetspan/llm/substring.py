@@ -1,19 +1,17 @@
-"""Substring dedup: relative Lempel-Ziv factors of every document against all earlier ones.
-
-The reference is the corpus itself, in blocks of fingerprints: a block holds, for the runs of WINDOW words that Spark's
-hash partitioning deals to it, the earliest document where each starts.  Every document is looked up in every block
-that could hold one of its runs, and is then parsed greedily from left to right: a factor grows as long as the next
-run is found in the same earlier document, else it ends and a new one starts.  As each start
-position has been looked up, runs across the boundary of two factors are checked too, so that no run of
-WINDOW words is missed and the factors' words are exactly the words of such runs.
-
-Looking up every position would shuffle a row per word of the corpus.  Three exact steps come before:
-- copies: texts equal to one of a smaller doc_id are one factor as a whole;
-- anchors: a run's least hash of GRAM words is its anchor; equal runs have equal anchors, so that only runs whose
-  anchor occurs in a second document are looked up;
-- fingerprints of 128 bits stand for the words of a run.
-Very common runs are summed before the shuffle, and joins back to the occurrences leave skew to
-adaptive execution, which splits a hot key's side.
+"""Substring dedup: relative Lempel-Ziv factors of every document against indexed reference blocks.
+
+A run of WINDOW words has an anchor: the least hash of its stretches of GRAM words.  Equal runs have equal anchors, so only runs whose anchor
+occurs in a second document can repeat.  All runs with one anchor that follow each other in a document are one segment, taken with its words.
+
+Reference blocks: the segments of an anchor meet in one task, and anchors are gathered to blocks of about BLOCK_BYTES.  A suffix array over a
+block's words is its index.  Each segment is parsed greedily from left to right against the segments of earlier documents: at a
+word the factor is the longest match that any of them has; the next one begins at the first word behind it whose run is found at
+all, tried from WINDOW - 1 words before the factor's end on, so that runs across the boundary of two factors are checked too.  Factors of
+WINDOW words or more are the duplicate spans; their words are exactly the words of runs that start in an earlier document.
+
+Anchors of more than HOT documents would make blocks without a bound.  Their runs are looked up by fingerprints of 128 bits instead, summed
+before the shuffle, which is as exact; a factor then is one run.  Texts equal to one of a smaller doc_id are one factor as a whole from
+the start.  Joins back to the rows leave skew to adaptive execution.
 """
 
 from __future__ import annotations
@@ -27,13 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetspan.llm._common import Rolling, chunks, cut, mix, packed, raw, unpacked, word_bounds
+from assetspan.llm._common import Rolling, chunks, cut, mix, packed, raw, small, suffix_array, unpacked, word_bounds, word_hashes
 
 WINDOW = 50
 GRAM = 20
+HOT = 256
+BLOCK_BYTES = 1 << 20
 #: Bytes of \x20 and \x09-\x0D, which part words.
 IS_WORD = np.array([not (i == 32 or 9 <= i <= 13) for i in range(256)])
-BYTES, WORDS, OTHER = Rolling(0x2545F4914F6CDD1D), Rolling(0x5851F42D4C957F2D), Rolling(0x14057B7EF767814F)
+WORDS, OTHER = Rolling(0x5851F42D4C957F2D), Rolling(0x14057B7EF767814F)
+FACTORS = "array<struct<pos:int,size:int,ref:long>>"
 
 
 class Part:
@@ -46,8 +47,7 @@ class Part:
         size = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
         self.base = np.concatenate(([0], np.cumsum(size + 1)))
         self.begin = np.searchsorted(self.starts, self.base)
-        prefix = BYTES.prefix(buffer.astype(np.uint64) + np.uint64(1))
-        self.word = mix(BYTES.runs(prefix, self.starts, self.ends))
+        self.word = word_hashes(buffer, self.starts, self.ends)
         self.texts = texts
 
     def runs(self, size: int, rolling: Rolling) -> np.ndarray:
@@ -68,94 +68,221 @@ class Part:
 
 
 def _anchors(window: int):
+    """doc_id, _th and the distinct anchors of each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             part = Part(b)
             anchor = part.anchors(window)
             own = [np.unique(anchor[a : max(a, e - window + 1)]) for a, e in zip(part.begin[:-1].tolist(), part.begin[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "_th", "anchors"])
+            keys = [b.column(b.schema.get_field_index(k)) for k in ("doc_id", "_th", "_sha")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(own, pa.list_(pa.int64()))], ["doc_id", "_th", "_sha", "anchors"])
 
     return run
 
 
-def _windows(window: int):
+def segments(anchor: np.ndarray, run: np.ndarray, wanted: np.ndarray, rolling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First run and number of runs of one text's segments whose anchor is wanted; of equal ones the first."""
+    if not len(anchor) or not len(wanted):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    count = np.diff(np.append(first, len(anchor)))
+    take = np.isin(anchor[first], wanted)
+    first, count = first[take], count[take]
+    key = mix(run[first] ^ mix(run[first + count - 1] + count.astype(np.uint64)) ^ WORDS.runs(rolling, first, first + count))
+    at = np.sort(np.unique(key, return_index=True)[1])
+    return first[at], count[at]
+
+
+def _segments(window: int):
+    """Of rows with shared anchors: segments of anchors that are not hot, and every run of hot ones, in one table.
+
+    A segment has its words, a run its fingerprint.  Runs that recur in a text are given once.
+    """
+    names = ["anchor", "doc_id", "_th", "pos", "words", "h1", "h2"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "_th", "pos", "h1", "h2"]
         for b in batches:
             some = b.column(b.schema.get_field_index("shared")).is_valid()
             for c in chunks(iter([b.filter(some)]), "text"):
                 part = Part(c)
-                anchor = part.anchors(window)
-                shared = c.column(c.schema.get_field_index("shared")).to_pylist()
-                own = []
-                first = part.runs(window, WORDS)
-                for a, e, s in zip(part.begin[:-1].tolist(), part.begin[1:].tolist(), shared):
-                    end = max(a, e - window + 1)
-                    at = a + np.flatnonzero(np.isin(anchor[a:end], np.array(s, np.int64)))
-                    own.append(at[np.sort(np.unique(first[at], return_index=True)[1])])  # a run that recurs in the text is looked up once
-                row = np.repeat(np.arange(len(own)), [len(x) for x in own])
-                at = np.concatenate([*own, np.zeros(0, np.int64)]).astype(np.int64)
-                hashes = [first[at].view(np.int64), mix(OTHER.runs(OTHER.prefix(part.word), at, at + window)).view(np.int64)]
-                keys = [c.column(c.schema.get_field_index(k)).take(pa.array(row)) for k in names[:2]]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(at - part.begin[row]).cast(pa.int32()), *map(pa.array, hashes)], names)
+                anchor, first = part.anchors(window), part.runs(window, WORDS)
+                rolling = WORDS.prefix(first)
+                buffer = b"\n".join(t or b"" for t in part.texts) + b"\n"
+                column = [c.column(c.schema.get_field_index(k)) for k in ("doc_id", "_th", "shared", "hot")]
+                out: list[list] = [[] for _ in names]
+                for i, (a, e) in enumerate(zip(part.begin[:-1].tolist(), part.begin[1:].tolist())):
+                    e = max(a, e - window + 1)
+                    keys = column[0][i].as_py(), column[1][i].as_py()
+                    shared, hot = (np.asarray(x[i].values.to_numpy(), np.int64) if x[i].is_valid else np.zeros(0, np.int64) for x in column[2:])
+                    at, count = segments(anchor[a:e], first[a:e], shared, rolling[a : e + 1])
+                    for p, n in zip(at.tolist(), count.tolist()):
+                        words = buffer[part.starts[a + p] : part.ends[a + p + n + window - 2]]
+                        for x, v in zip(out, (int(anchor[a + p]), *keys, p, words, None, None)):
+                            x.append(v)
+                    at = a + np.flatnonzero(np.isin(anchor[a:e], hot)) if len(hot) else np.zeros(0, np.int64)
+                    at = at[np.sort(np.unique(first[at], return_index=True)[1])]
+                    if len(at):
+                        other = mix(OTHER.runs(OTHER.prefix(part.word[a : part.begin[i + 1]]), at - a, at - a + window))
+                        n = len(at)
+                        for x, v in zip(out, ([None] * n, [keys[0]] * n, [keys[1]] * n, (at - a).tolist(), [None] * n, first[at].view(np.int64).tolist(), other.view(np.int64).tolist())):
+                            x.extend(v)
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
 
     return run
 
 
-def parse(pos: np.ndarray, ref: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, end, earlier document) of one document, from its looked-up run starts in order."""
-    if not len(pos):
-        return []
-    new = np.ones(len(pos), bool)
-    new[1:] = (np.diff(pos) != 1) | (np.diff(ref) != 0)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(pos)) - 1
-    return list(zip(pos[first].tolist(), (pos[last] + window).tolist(), ref[first].tolist()))
-
-
-def merge_factors(factors: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in factors:
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
-
-
-def factors(base: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(copies, parsed): keys (doc_id, _th) of texts equal to an earlier one, and of the others
-    the starts of runs found in an earlier document, as one sorted array of (pos, ref).  base: a frame with doc_id, text and
-    _th, which is xxhash64 of the text; it stands in the plan just as the caller joins it again, so that its shuffle is shared."""
-    keyed = base.where("doc_id is not null and text is not null").select("doc_id", "_th", F.sha2("text", 256).alias("_sha"), "text")
-    own = cut(keyed.mapInArrow(_keyed(window), "doc_id long, _th long, _sha string, anchors array<long>"))
-    firsts = own.groupBy("_th", "_sha").agg(F.min("doc_id").alias("_first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = cut(own.select("doc_id", "_th", "_sha").join(firsts, ["_th", "_sha"]).where("_first < doc_id").select("doc_id", "_th", "_first").dropDuplicates(["doc_id", "_th"]))
-    rest = own.join(copies, ["doc_id", "_th"], "left_anti").select("doc_id", "_th", F.explode("anchors").alias("anchor"))
-    common = rest.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    shared = cut(rest.join(common, "anchor").groupBy("doc_id", "_th").agg(F.collect_set("anchor").alias("shared")))
-    looked = base.join(shared, ["doc_id", "_th"], "left").mapInArrow(_windows(window), "doc_id long, _th long, pos int, h1 long, h2 long")
-    blocks = looked.groupBy("h1", "h2").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("end")).where("ref < end").drop("end")
-    hits = looked.join(blocks, ["h1", "h2"]).where("ref < doc_id")
-    return copies, hits.groupBy("doc_id", "_th").agg(F.array_sort(F.collect_set(F.struct("pos", "ref"))).alias("_starts"))
-
-
-def _keyed(window: int):
-    inner = _anchors(window)
+class Block:
+    """An indexed reference block: the words of segments, one after the other, and the suffix array over them."""
+
+    def __init__(self, texts: list[bytes], doc: np.ndarray, window: int):
+        buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        starts, ends = word_bounds(buffer, IS_WORD)
+        base = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+        self.begin = np.searchsorted(starts, base)
+        size = np.diff(self.begin)
+        self.words = word_hashes(buffer, starts, ends)
+        self.prefix = WORDS.prefix(self.words)
+        self.segment = np.repeat(np.arange(len(texts)), size)
+        self.left = np.repeat(self.begin[1:], size) - np.arange(len(self.words))  # words up to the segment's end
+        self.doc, self.window = doc[self.segment], window
+        symbol = np.unique(self.words, return_inverse=True)[1]
+        text = np.empty(len(symbol) + len(texts), np.int64)  # each segment ends with a symbol of its own
+        place = np.arange(len(symbol)) + self.segment
+        text[place] = symbol
+        text[self.begin[1:] + np.arange(len(texts))] = len(symbol) + np.arange(len(texts))
+        back = np.full(len(text), -1, np.int64)
+        back[place] = np.arange(len(symbol))
+        order = back[suffix_array(text)]
+        self.order = order[order >= 0]
+
+    def equal(self, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return WORDS.runs(self.prefix, x, x + size) == WORDS.runs(self.prefix, y, y + size)
+
+    def longest(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each word: how many words from it on an earlier document has too, at most up to the segment's end, and that document.
+
+        Only matches of `window` words or more are found, others are 0.  In suffix order the longest match of a word with earlier documents
+        is with the closest suffix of such a document, above or below.
+        """
+        size, ref = np.zeros(len(self.words), np.int64), np.full(len(self.words), -1, np.int64)
+        order = self.order[self.left[self.order] >= self.window]
+        same = np.zeros(len(order), bool)  # the run is that of the suffix above
+        same[1:] = self.equal(order[1:], order[:-1], np.full(max(0, len(order) - 1), self.window))
+        doc, group = self.doc[order], np.cumsum(~same)
+        for step in (-1, 1):
+            near = np.arange(len(order)) + step
+            todo = np.arange(len(order))
+            while True:
+                near[todo] = np.clip(near[todo], -1, len(order))
+                inside = (near[todo] >= 0) & (near[todo] < len(order))
+                todo = todo[inside]
+                ok = group[near[todo]] == group[todo]
+                near[todo[~ok]] = -1
+                todo = todo[ok]
+                todo = todo[doc[near[todo]] >= doc[todo]]
+                if not len(todo):
+                    break
+                near[todo] = near[near[todo]]
+            at = np.flatnonzero((near >= 0) & (near < len(order)))
+            at = at[(group[near[at]] == group[at]) & (doc[near[at]] < doc[at])]
+            x, y = order[at], order[near[at]]
+            low, high = np.full(len(at), self.window), np.minimum(self.left[x], self.left[y])
+            while (low < high).any():
+                middle = (low + high + 1) // 2
+                ok = self.equal(x, y, middle)
+                low, high = np.where(ok, middle, low), np.where(ok, high, middle - 1)
+            better = low > size[x]
+            size[x[better]], ref[x[better]] = low[better], self.doc[y[better]]
+        return size, ref
+
+    def parse(self) -> list[tuple[int, int, int, int]]:
+        """Greedy factors (segment, first word in it, words, earlier document)."""
+        size, ref = self.longest()
+        found = np.flatnonzero(size)
+        out, upto, segment = [], -1, -1
+        for p, n, r, s in zip(found.tolist(), size[found].tolist(), ref[found].tolist(), self.segment[found].tolist()):
+            if s != segment or p > upto - self.window:  # the run at p is not inside the last factor
+                out.append((s, p - int(self.begin[s]), n, r))
+                segment, upto = s, p + n
+        return out
+
+
+def _factors(window: int, most: int = BLOCK_BYTES):
+    """Factors of the segments of a partition that is sorted by anchor; a block has whole anchors."""
+    names = ["doc_id", "_th", "pos", "size", "ref"]
+
+    def parsed(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        anchor, texts = t.column("anchor").to_numpy(), t.column("words").to_pylist()
+        doc, pos = t.column("doc_id").to_numpy(), t.column("pos").to_numpy().astype(np.int64)
+        ends = np.cumsum([len(x) for x in texts])
+        last = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor))  # ends of anchors' rows
+        a = 0
+        while a < len(texts):
+            full = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most))
+            b = int(last[min(np.searchsorted(last, full + 1), len(last) - 1)])
+            got = Block(texts[a:b], doc[a:b], window).parse()
+            if got:
+                s, p, n, r = (np.array(x, np.int64) for x in zip(*got))
+                rows = pa.array(a + s)
+                yield pa.RecordBatch.from_arrays([*(t.column(k).combine_chunks().take(rows) for k in names[:2]), pa.array((pos[a + s] + p).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(r)], names)
+            a = b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text"):
-            names = b.schema.names
-            only = pa.RecordBatch.from_arrays([b.column(names.index(n)) for n in ("doc_id", "_th", "text")], ["doc_id", "_th", "text"])
-            for out in inner(iter([only])):
-                yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), b.column(names.index("_sha")), out.column(2)], ["doc_id", "_th", "_sha", "anchors"])
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            t = pa.Table.from_batches(held)
+            anchor = t.column("anchor").to_numpy()
+            whole = int(np.searchsorted(anchor, anchor[-1], "left"))  # the last anchor may go on in the next batch
+            if whole:
+                yield from parsed(t.slice(0, whole).combine_chunks())
+                held = t.slice(whole).combine_chunks().to_batches()
+        if held:
+            yield from parsed(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
+def factors(base: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(copies, parsed): keys (doc_id, _th) of texts equal to an earlier one, and of the others their factors, as one
+    sorted array of (pos, size, ref).  base: a frame with doc_id, text and _th, which is xxhash64 of the text; it
+    stands in the plan just as the caller joins it again, so that its shuffle is shared."""
+    keyed = base.where("doc_id is not null and text is not null").select("doc_id", "_th", F.unhex(F.sha2("text", 256)).alias("_sha"), "text")
+    own = cut(keyed.mapInArrow(_anchors(window), "doc_id long, _th long, _sha binary, anchors array<long>"))
+    firsts = small(cut(own.groupBy("_sha").agg(F.min("doc_id").alias("_first"), F.count("*").alias("n")).where("n > 1").drop("n")))
+    copies = cut(own.select("doc_id", "_th", "_sha").join(firsts, "_sha").where("_first < doc_id").select("doc_id", "_th", "_first").dropDuplicates(["doc_id", "_th"]))
+    rest = own.join(small(copies.select("doc_id", "_th")), ["doc_id", "_th"], "left_anti").select("doc_id", "_th", F.explode("anchors").alias("anchor"))
+    common = rest.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    is_hot = F.col("n") > HOT
+    lists = F.collect_set(F.when(~is_hot, F.col("anchor"))).alias("shared"), F.collect_set(F.when(is_hot, F.col("anchor"))).alias("hot")
+    shared = cut(rest.join(common, "anchor").groupBy("doc_id", "_th").agg(*lists))
+    schema = "anchor long, doc_id long, _th long, pos int, words binary, h1 long, h2 long"
+    looked = base.join(shared, ["doc_id", "_th"], "left").mapInArrow(_segments(window), schema)
+    looked = cut(looked)
+    cold = looked.where("anchor is not null").select("anchor", "doc_id", "_th", "pos", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "_th")
+    parsed = cold.mapInArrow(_factors(window), "doc_id long, _th long, pos int, size int, ref long")
+    runs = looked.where("anchor is null").select("doc_id", "_th", "pos", "h1", "h2")
+    firsts = runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("end")).where("ref < end").drop("end")
+    hot = runs.join(firsts, ["h1", "h2"]).where("ref < doc_id").select("doc_id", "_th", "pos", F.lit(window).alias("size"), "ref")
+    return copies, parsed.union(hot).groupBy("doc_id", "_th").agg(F.array_sort(F.collect_set(F.struct("pos", "size", "ref"))).alias("_factors"))
+
+
+def merged(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Word spans [start, end) of runs that start at the given words, in order; spans that touch are one."""
+    if not len(starts):
+        return []
+    first = np.flatnonzero(np.concatenate(([True], np.diff(starts) > window)))
+    last = np.append(first[1:], len(starts)) - 1
+    return list(zip(starts[first].tolist(), (starts[last] + window).tolist()))
+
+
 def _spans(batch: pa.RecordBatch, window: int) -> list[list[tuple[int, int]]]:
-    """Merged spans of each row's factors; a run that was found is so wherever it recurs in the text."""
-    col = batch.column(batch.schema.get_field_index("_starts"))
+    """Merged spans of each row's factors; a run inside a factor is removed wherever it recurs in the text."""
+    col = batch.column(batch.schema.get_field_index("_factors"))
     out: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
     some = np.flatnonzero(col.is_valid().to_numpy(zero_copy_only=False))
     if len(some):
@@ -163,14 +290,15 @@ def _spans(batch: pa.RecordBatch, window: int) -> list[list[tuple[int, int]]]:
         part = Part(rows)
         runs = part.runs(window, WORDS)
         for i, k in enumerate(some.tolist()):
-            found = rows.column(rows.schema.get_field_index("_starts"))[i].values
-            pos, ref = (found.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            found = rows.column(rows.schema.get_field_index("_factors"))[i].values
+            pos, size = (found.field(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in range(2))
             a = int(part.begin[i])
             own = runs[a : max(a, int(part.begin[i + 1]) - window + 1)]
-            known, first = np.unique(own[pos], return_index=True)
-            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            every = np.flatnonzero(known[at] == own)
-            out[k] = merge_factors([f[:2] for f in parse(every, ref[first][at[every]], window)])
+            edge = np.zeros(len(own) + 1, np.int64)
+            np.add.at(edge, pos, 1)
+            np.add.at(edge, pos + size - window + 1, -1)
+            inside = np.cumsum(edge[:-1]) > 0
+            out[k] = merged(np.flatnonzero(np.isin(own, own[inside])), window)
     return out
 
 
@@ -218,7 +346,7 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def _marked(docs: DataFrame, window: int) -> DataFrame:
     base = docs.withColumn("_th", F.xxhash64("text"))
     copies, parsed = factors(base, window)
-    marks = parsed.join(copies, ["doc_id", "_th"], "full_outer").select("doc_id", "_th", "_starts", "_first")
+    marks = parsed.join(copies, ["doc_id", "_th"], "full_outer").select("doc_id", "_th", "_factors", "_first")
     return base.join(marks, ["doc_id", "_th"], "left")
 
 
@@ -227,7 +355,8 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Words are runs of anything but \\x20 and \\x09-\\x0D, unchanged.  Removed are the words of every run of `window` words
     that also starts in a document with a smaller doc_id.  Null and empty texts have no words; rows without doc_id and rows with
-    equal doc_id remove nothing from each other, repeated rows give repeated rows.
+    equal doc_id remove nothing from each other, repeated rows give repeated rows.  Other columns are ignored; an empty table gives an empty
+    one.  A text of any length is read whole by one worker.
     """
     return _marked(docs.select("doc_id", "text"), window).mapInArrow(_finish(window, False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
