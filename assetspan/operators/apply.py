@@ -8,13 +8,14 @@ document touches its own company only: the k-th documents of all companies are a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from dataclasses import fields as dataclass_fields
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetspan.functions.hashes import decision_event_id, new_contract_id, title_event_id
-from assetspan.session import cut
+from assetspan.session import cut, small
 
 #: What a written row says of its source; columns that belong to an older form of a row and go when it is written anew.
 SOURCE = ["source_url", "source_published_at", "news_reviewed"]
@@ -110,30 +111,38 @@ def apply_rounds(assets: DataFrame, contracts: DataFrame, decisions: DataFrame,
 
     violations(assets, contracts) gives the integrity violations of a state (asset_id, contract_id); a document whose result has one is
     dropped whole, with its changes, holds and events, and its outcome is `failed`.  Rounds are as many as one company has documents
-    waiting, which listings bound.
+    waiting, which listings bound; they carry only the contracts of assets that some document names.
     """
-    ranks = decisions.select("round") if updates is None else decisions.select("round").union(updates.select("round"))
-    ranks = sorted(r[0] for r in ranks.where("round is not null").distinct().collect())
+    rounds = decisions.select("round", "asset_id") if updates is None else decisions.select("round", "asset_id").union(updates.select("round", "asset_id"))
+    ranks = sorted(r[0] for r in rounds.where("round is not null").select("round").distinct().collect())
+    touched = small(cut(rounds.where("asset_id is not null").select("asset_id").distinct()))
+    rest = contracts.join(touched, "asset_id", "left_anti")  # no round changes them: their violations are found once, and they come back at the end
+    contracts = cut(contracts.join(touched, "asset_id", "left_semi"))
+    owners = assets.select("asset_id", "company")
+    companies = lambda found: found.where("asset_id is not null").select("asset_id").distinct().join(owners, "asset_id").select("company").distinct()
+    broken = cut(companies(violations(assets, rest).where("contract_id is not null")))
     parts: dict[str, list[DataFrame]] = {"changes": [], "holds": [], "events": [], "outcomes": []}
     for r in ranks or [0]:
         part = cut(decisions.where(F.col("round") == r))
         news = None if updates is None else cut(updates.where(F.col("round") == r))
         parents = contracts.select("contract_id", F.col("asset_id").alias("_parent"))
         gone = F.col("contract_id").isNotNull() & ~F.col("_parent").eqNullSafe(F.col("asset_id"))
-        part = part.join(parents, "contract_id", "left").withColumn("hold_reason", F.coalesce("hold_reason", F.when(gone, "contractId is no contract of the asset"))).drop("_parent")
-        result = apply_decisions(assets, contracts, part, news)
-        bad = violations(result.assets, result.contracts).where("asset_id is not null").select("asset_id").distinct().join(assets.select("asset_id", "company"), "asset_id").select("company").distinct()
+        part = cut(part.join(parents, "contract_id", "left").withColumn("hold_reason", F.coalesce("hold_reason", F.when(gone, "contractId is no contract of the asset"))).drop("_parent"))
+        result = _stored(apply_decisions(assets, contracts, part, news))
+        bad = companies(violations(result.assets, result.contracts)).union(broken).distinct()
         read = part.select("job_id", "company") if news is None else part.select("job_id", "company").union(news.select("job_id", "company"))
         failed = cut(read.distinct().join(bad, "company", "left_semi"))
         if not failed.isEmpty():
             kept = lambda d: d.join(failed.select("job_id"), "job_id", "left_anti")
-            result = apply_decisions(assets, contracts, kept(part), None if news is None else kept(news))
-        now = {k: cut(getattr(result, k)) for k in ("assets", "contracts", "changes", "holds", "events")}
-        now["outcomes"] = cut(result.outcomes.union(failed.select("job_id", F.lit("failed"))))
-        assets, contracts = now["assets"], now["contracts"]
+            result = _stored(apply_decisions(assets, contracts, kept(part), None if news is None else kept(news)))
+        assets, contracts = result.assets, result.contracts
         for k, found in parts.items():
-            found.append(now[k])
-    return Applied(assets, contracts, **{k: reduce(DataFrame.unionByName, found) for k, found in parts.items()})
+            found.append(getattr(result, k) if k != "outcomes" else result.outcomes.union(failed.select("job_id", F.lit("failed"))))
+    return Applied(assets, contracts.unionByName(rest, allowMissingColumns=True), **{k: reduce(DataFrame.unionByName, found) for k, found in parts.items()})
+
+
+def _stored(done: Applied) -> Applied:
+    return Applied(*(cut(getattr(done, f.name)) for f in dataclass_fields(done)))
 
 
 def apply_documents(assets: DataFrame, contracts: DataFrame, decisions: DataFrame, violations, updates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

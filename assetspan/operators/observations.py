@@ -45,6 +45,11 @@ def rate_observations(assets: DataFrame, contracts: DataFrame) -> DataFrame:
     return known.join(assets.select("asset_id", "name", "company", "generation"), "asset_id")
 
 
+def in_order(observations: DataFrame) -> DataFrame:
+    """Observations sorted as they are shown, by start and id; the sort is in ranges over all tasks."""
+    return observations.orderBy("start_date", "contract_id")
+
+
 def with_source(observations: DataFrame, sources: DataFrame) -> DataFrame:
     """source_url: the contract's own https link, else its company's report; sources holds one row per company."""
     own = observations if "source_url" in observations.columns else observations.withColumn("source_url", F.lit(None).cast("string"))

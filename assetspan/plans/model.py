@@ -38,26 +38,37 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))  # 25 rows, fixed
-    customer = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "n_name")
-    orders = table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment", "n_name")
+def _rows(items: DataFrame, client, region) -> DataFrame:
     quantity, start = F.col("l_quantity").cast("int"), F.to_date("l_shipdate")
-    joined = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.select(
+    return items.select(
         F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], F.date_format(start, "yyyyMMdd"), quantity.cast("string")).alias("contract_id"),
         F.col("l_partkey").cast("string").alias("asset_id"),
         start.alias("start_date"),
         F.date_add(start, quantity - 1).alias("end_date"),
         F.when(F.col("l_returnflag").isin("A", "R"), "Firm").when(F.col("l_linestatus") == "F", "Option").otherwise("Contingent").alias("status"),
         F.when(F.col("l_tax") == 0, 0.0).otherwise(F.col("l_extendedprice") / F.col("l_quantity")).alias("day_rate"),
-        F.when(F.col("l_discount") == 0, "Undisclosed").otherwise(F.col("c_mktsegment")).alias("client"),
-        F.col("n_name").alias("region"),
+        F.when(F.col("l_discount") == 0, "Undisclosed").otherwise(client).alias("client"),
+        region.alias("region"),
         F.when(F.col("l_discount") >= 0.05, F.col("l_extendedprice")).alias("value_usd"),
         F.when(F.col("l_discount") >= 0.03, F.col("l_quantity")).alias("base_days"),
     )
 
 
+def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))  # 25 rows, fixed
+    customer = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "n_name")
+    orders = table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment", "n_name")
+    joined = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return _rows(joined, F.col("c_mktsegment"), F.col("n_name"))
+
+
+def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contracts for what asks neither who the client is nor where: one scan of the line items, which all have an order and a customer; those two columns
+    are null unless the client is undisclosed."""
+    none = F.lit(None).cast("string")
+    return _rows(table(spark, sf_dir, "lineitem"), none, none)
+
+
 ORACLE = """
 assets AS (
   SELECT CAST(p_partkey AS VARCHAR) AS asset_id, p_name || ' ' || CAST(p_partkey AS VARCHAR) AS name,

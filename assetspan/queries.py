@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from assetspan.functions.scalars import utilization_band
 from assetspan.operators import intervals, market, observations, status, trend
 from assetspan.plans import model
-from assetspan.plans.model import AS_OF, GENERATIONS, ORACLE, YEAR_START, assets, contracts, table
+from assetspan.plans.model import AS_OF, GENERATIONS, ORACLE, YEAR_START, assets, contracts, periods, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,7 +44,7 @@ def _r(df: DataFrame, *columns: str) -> DataFrame:
 
 @query("SELECT asset_id, company, generation, effective_status FROM statuses")
 def effective_status(spark, sf):
-    return status.effective_status(assets(spark, sf), contracts(spark, sf), AS_OF).select("asset_id", "company", "generation", "effective_status")
+    return status.effective_status(assets(spark, sf), periods(spark, sf), AS_OF).select("asset_id", "company", "generation", "effective_status")
 
 
 _KPIS = """SELECT {by} count(*) AS total, count(*) FILTER (effective_status = 'Active') AS active, count(*) FILTER (effective_status = 'Cold-Stacked') AS cold,
@@ -55,31 +55,31 @@ _KPIS = """SELECT {by} count(*) AS total, count(*) FILTER (effective_status = 'A
 
 @query(_KPIS.format(by=""))
 def fleet_kpis(spark, sf):
-    return status.fleet_kpis(assets(spark, sf), contracts(spark, sf), AS_OF)
+    return status.fleet_kpis(assets(spark, sf), periods(spark, sf), AS_OF)
 
 
 @query(_KPIS.format(by="company,") + " GROUP BY company")
 def fleet_kpis_by_company(spark, sf):
-    return status.fleet_kpis(assets(spark, sf), contracts(spark, sf), AS_OF, ["company"])
+    return status.fleet_kpis(assets(spark, sf), periods(spark, sf), AS_OF, ["company"])
 
 
 @query("""SELECT company, CAST(count(*) AS BIGINT) AS marketed, CAST(sum(days) AS BIGINT) AS contract_days, CAST(count(*) * 180 AS BIGINT) AS possible_days,
  CAST(floor(sum(days) / (count(*) * 181) * 100 + 0.5) AS BIGINT) AS economic_utilization
 FROM statuses JOIN covered USING (asset_id) WHERE effective_status <> 'Cold-Stacked' GROUP BY company""".replace("180", "181"))
 def economic_utilization(spark, sf):
-    return status.economic_utilization(assets(spark, sf), contracts(spark, sf), AS_OF, ["company"])
+    return status.economic_utilization(assets(spark, sf), periods(spark, sf), AS_OF, ["company"])
 
 
 @query("SELECT generation, count(*) AS n, round(avg(day_rate), 4) AS avg_rate FROM rates GROUP BY generation")
 def average_rate(spark, sf):
-    return _r(status.average_rate(assets(spark, sf), contracts(spark, sf), AS_OF, ["generation"]), "avg_rate")
+    return _r(status.average_rate(assets(spark, sf), periods(spark, sf), AS_OF, ["generation"]), "avg_rate")
 
 
 @query("""SELECT g.generation, CAST(coalesce(a.n, 0) AS BIGINT) AS assets, CAST(coalesce(floor(r.avg + 0.5), 0) AS BIGINT) AS avg_rate
 FROM (SELECT unnest(['6G', '7G', '7G+', '8G']) AS generation) AS g LEFT JOIN (SELECT generation, count(*) AS n FROM assets GROUP BY generation) AS a USING (generation)
 LEFT JOIN (SELECT generation, avg(day_rate) AS avg FROM rates GROUP BY generation) AS r USING (generation)""")
 def generation_stats(spark, sf):
-    return market.generation_stats(assets(spark, sf), contracts(spark, sf), AS_OF, GENERATIONS)
+    return market.generation_stats(assets(spark, sf), periods(spark, sf), AS_OF, GENERATIONS)
 
 
 @query("""SELECT f.company, f.n AS assets, CAST(coalesce(floor(r.avg + 0.5), 0) AS BIGINT) AS avg_rate, round((coalesce(floor(r.avg + 0.5), 0) - m.avg) / m.avg * 100, 4) AS premium,
@@ -87,7 +87,7 @@ def generation_stats(spark, sf):
 FROM (SELECT company, count(*) AS n, CAST(floor(count(*) FILTER (effective_status = 'Active') / count(*) * 100 + 0.5) AS BIGINT) AS u FROM statuses GROUP BY company) AS f
 LEFT JOIN (SELECT company, avg(day_rate) AS avg FROM rates GROUP BY company) AS r USING (company), (SELECT avg(day_rate) AS avg FROM rates) AS m""")
 def company_stats(spark, sf):
-    return _r(market.company_stats(assets(spark, sf), contracts(spark, sf), AS_OF), "premium")
+    return _r(market.company_stats(assets(spark, sf), periods(spark, sf), AS_OF), "premium")
 
 
 def _pivot_sql() -> str:
@@ -97,23 +97,23 @@ def _pivot_sql() -> str:
 
 @query(_pivot_sql())
 def company_generation_pivot(spark, sf):
-    return market.company_generation_pivot(assets(spark, sf), contracts(spark, sf), AS_OF, GENERATIONS)
+    return market.company_generation_pivot(assets(spark, sf), periods(spark, sf), AS_OF, GENERATIONS)
 
 
 @query("""SELECT company, arg_min(asset_id, (-a, asset_id)) AS top_asset, max(a) AS top_rate, arg_min(asset_id, (a, asset_id)) AS bottom_asset, min(a) AS bottom_rate
 FROM (SELECT company, asset_id, CAST(floor(avg(day_rate) + 0.5) AS BIGINT) AS a FROM rates GROUP BY company, asset_id) WHERE a > 0 GROUP BY company""")
 def rate_extremes(spark, sf):
-    return market.rate_extremes(assets(spark, sf), contracts(spark, sf), AS_OF)
+    return market.rate_extremes(assets(spark, sf), periods(spark, sf), AS_OF)
 
 
 @query("SELECT asset_id, start_date, end_date, days FROM islands", dates="start_date end_date")
 def coverage_islands(spark, sf):
-    return intervals.coverage_islands(contracts(spark, sf), YEAR_START, AS_OF)
+    return intervals.coverage_islands(periods(spark, sf), YEAR_START, AS_OF)
 
 
 @query("SELECT asset_id, days FROM covered")
 def covered_days(spark, sf):
-    return intervals.covered_days(assets(spark, sf), contracts(spark, sf), YEAR_START, AS_OF)
+    return intervals.covered_days(assets(spark, sf), periods(spark, sf), YEAR_START, AS_OF)
 
 
 @query("""SELECT asset_id, DATE '1995-01-01' AS start_date, start_date AS end_date FROM o WHERE k = 1 AND start_date > DATE '1995-01-01'
@@ -121,7 +121,7 @@ UNION ALL SELECT asset_id, end_date, nxt FROM o WHERE end_date < nxt
 UNION ALL SELECT asset_id, end_date, DATE '2001-12-31' FROM o WHERE nxt IS NULL AND end_date < DATE '2001-12-31'""".join(
     [", o AS (SELECT asset_id, start_date, end_date, row_number() OVER w AS k, lead(start_date) OVER w AS nxt FROM firm WINDOW w AS (PARTITION BY asset_id ORDER BY start_date, contract_id)) ", ""]), dates="start_date end_date")
 def idle_periods(spark, sf):
-    return intervals.idle_periods(contracts(spark, sf), dt.date(1995, 1, 1), dt.date(2001, 12, 31))
+    return intervals.idle_periods(periods(spark, sf), dt.date(1995, 1, 1), dt.date(2001, 12, 31))
 
 
 @query("""SELECT contract_id, round(CAST(greatest(start_date, DATE '1998-01-01') - DATE '1998-01-01' AS DOUBLE) / 1096 * 100, 4) AS left_pct,
@@ -129,14 +129,14 @@ def idle_periods(spark, sf):
 FROM contracts WHERE start_date <= end_date AND least(end_date + 1, DATE '2001-01-01') > greatest(start_date, DATE '1998-01-01')""")
 def timeline_span(spark, sf):
     left, width = intervals.timeline_span(F.col("start_date"), F.col("end_date"), 1998, 2000)
-    return _r(contracts(spark, sf).select("contract_id", left.alias("left_pct"), width.alias("width_pct")).where("left_pct is not null"), "left_pct", "width_pct")
+    return _r(periods(spark, sf).select("contract_id", left.alias("left_pct"), width.alias("width_pct")).where("left_pct is not null"), "left_pct", "width_pct")
 
 
 @query("""SELECT mark, round((12 * (year(mark) - 1999) + month(mark) - 1) / ((y - 1998) * 12) * 100, 4) AS percent,
  CASE WHEN month(mark) = 1 OR mark = DATE '1999-04-01' THEN year(mark) || ' Q' || quarter(mark) ELSE 'Q' || quarter(mark) END AS label, month(mark) = 1 AS is_year, mark = DATE '1999-04-01' AS is_current
 FROM (SELECT y, CAST(unnest(range(DATE '1999-01-01', make_date(y + 1, 1, 2), INTERVAL 3 MONTH)) AS DATE) AS mark FROM (SELECT greatest(year(max(end_date)), 2001) AS y FROM contracts))""", dates="mark")
 def timeline_axis(spark, sf):
-    return _r(intervals.timeline_axis(contracts(spark, sf), AS_OF), "percent")
+    return _r(intervals.timeline_axis(periods(spark, sf), AS_OF), "percent")
 
 
 @query("SELECT contract_id, asset_id, name, company, generation, client, start_date, end_date, days, rate, basis FROM observations", dates="start_date end_date")
@@ -160,7 +160,7 @@ def observation_window(spark, sf):
 @query("""SELECT CAST(y0 AS INT) AS first_year, CAST(y1 AS INT) AS last_year, lo AS low, hi AS high, array_to_string(range(lo, hi + 1, 50000), ',') AS ticks FROM (
  SELECT min(year(start_date)) AS y0, max(year(start_date)) AS y1, CAST(greatest(0, floor((min(rate) - 20000) / 50000) * 50000) AS BIGINT) AS lo, CAST(ceil((max(rate) + 20000) / 50000) * 50000 AS BIGINT) AS hi FROM observations)""")
 def axis_domain(spark, sf):
-    return market.axis_domain(observations.rate_observations(assets(spark, sf), contracts(spark, sf))).withColumn("ticks", F.array_join("ticks", ","))
+    return market.axis_domain(observations.rate_observations(assets(spark, sf), periods(spark, sf))).withColumn("ticks", F.array_join("ticks", ","))
 
 
 @query("""SELECT c.contract_id, c.asset_id, a.name, a.company, a.generation, c.client, c.region, c.status, strftime(start_date, '%Y-%m-%d') || ' ~ ' || strftime(end_date, '%Y-%m-%d') AS period,
@@ -174,4 +174,4 @@ def contract_report(spark, sf):
 
 @query(dates="date")
 def rate_trend(spark, sf):
-    return _r(trend.rate_trend(observations.rate_observations(assets(spark, sf), contracts(spark, sf))), "rate", "band_lo", "band_hi")
+    return _r(trend.rate_trend(observations.rate_observations(assets(spark, sf), periods(spark, sf))), "rate", "band_lo", "band_hi")

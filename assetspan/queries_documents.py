@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assetspan.functions import hashes, scalars
 from assetspan.operators import apply, decisions, diff, documents, feed, jobs, market, observations, quality, status
-from assetspan.plans.model import AS_OF, ASSET_STATES, COMPANIES, CONTRACT_STATES, GENERATIONS, assets, contracts, table
+from assetspan.plans.model import AS_OF, ASSET_STATES, COMPANIES, CONTRACT_STATES, GENERATIONS, assets, contracts, periods, table
 from assetspan.queries import query
 from assetspan.session import cut
 
@@ -406,19 +406,19 @@ def contract_changes(spark, sf):
 
 @query(""" SELECT (SELECT count(*) FROM assets) AS assets, (SELECT count(*) FROM contracts) AS contracts, (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM events WHERE event_type = 'error') AS pending_events""")
 def snapshot_counts(spark, sf):
-    return market.snapshot_counts(assets(spark, sf), contracts(spark, sf), announcements(spark, sf))
+    return market.snapshot_counts(assets(spark, sf), periods(spark, sf), announcements(spark, sf))
 
 
 @query(""" SELECT strftime(min(start_date), '%Y-%m-%d') AS first_report, strftime(max(start_date), '%Y-%m-%d') AS last_report FROM contracts""")
 def report_range(spark, sf):
-    r = market.report_range(contracts(spark, sf).withColumn("report_date", F.date_format("start_date", "yyyy-MM-dd")))
+    r = market.report_range(periods(spark, sf).withColumn("report_date", F.date_format("start_date", "yyyy-MM-dd")))
     return r.select("first_report", "last_report")
 
 
 @query(""" SELECT o.contract_id, s.url AS source_url FROM observations AS o LEFT JOIN (SELECT 'C' || CAST(page_id % 4 AS VARCHAR) AS company, min(url) FILTER (url LIKE 'https://%') AS url FROM pages GROUP BY 1) AS s USING (company)""")
 def with_source(spark, sf):
     sources = table(spark, sf, "pages").select(F.concat(F.lit("C"), (F.col("page_id") % 4).cast("string")).alias("company"), F.col("url").alias("document_url"))
-    return observations.with_source(observations.rate_observations(assets(spark, sf), contracts(spark, sf)), sources).select("contract_id", "source_url")
+    return observations.with_source(observations.rate_observations(assets(spark, sf), periods(spark, sf)), sources).select("contract_id", "source_url")
 
 
 @query(""" SELECT asset_id, CAST(CASE generation WHEN '6G' THEN 1 WHEN '7G' THEN 2 WHEN '7G+' THEN 3 ELSE 4 END AS INT) AS rank FROM assets""")
@@ -484,11 +484,11 @@ def input_violations(spark, sf):
 
 @query(""" SELECT strftime(date_trunc('quarter', start_date), '%Y-%m-%d') AS quarter, company, count(*) AS contracts, CAST(sum(end_date - start_date + 1) AS BIGINT) AS days FROM contracts JOIN assets USING (asset_id) GROUP BY 1, 2""")
 def contracts_by_quarter(spark, sf):
-    c = contracts(spark, sf).join(assets(spark, sf).select("asset_id", "company"), "asset_id")
+    c = periods(spark, sf).join(assets(spark, sf).select("asset_id", "company"), "asset_id")
     quarter = F.date_format(scalars.quarter_start(F.col("start_date")), "yyyy-MM-dd").alias("quarter")
     return c.groupBy(quarter, "company").agg(F.count("*").alias("contracts"), F.sum(scalars.duration_days_incl(F.col("start_date"), F.col("end_date"))).alias("days"))
 
 
 @query(""" SELECT count(*) AS total, count(*) FILTER (effective_status = 'Active') AS active FROM statuses WHERE company = 'C1'""")
 def one_company(spark, sf):
-    return status.fleet_kpis(status.filter_company(assets(spark, sf), "C1"), contracts(spark, sf), AS_OF).select("total", "active")
+    return status.fleet_kpis(status.filter_company(assets(spark, sf), "C1"), periods(spark, sf), AS_OF).select("total", "active")

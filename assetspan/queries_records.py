@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetspan.functions import hashes, scalars
-from assetspan.operators import apply, decisions, feed, jobs, quality
-from assetspan.plans.model import ASSET_STATES, CONTRACT_STATES, GENERATIONS, assets, contracts, table
+from assetspan.operators import apply, decisions, feed, jobs, observations, quality
+from assetspan.plans.model import ASSET_STATES, CONTRACT_STATES, GENERATIONS, assets, contracts, periods, table
 from assetspan.queries import query
 from assetspan.queries_documents import DECISIONS, FEED, JOURNAL, announcements, journal
 from assetspan.session import cut
@@ -353,3 +353,9 @@ def decision_stream(spark, sf):
         streams.decision_stream(given, f"{path}/done", act, f"{path}/checkpoint{k}").awaitTermination()
     return streams.outcomes(spark, f"{path}/done").select("job_id", "outcome")
 
+
+@query(" SELECT generation, contract_id, CAST(row_number() OVER (PARTITION BY generation ORDER BY start_date, contract_id) AS INT) AS place FROM observations")
+def observation_order(spark, sf):
+    """Each observation's place among those of its class, in the order in which they are shown."""
+    o = observations.in_order(observations.rate_observations(assets(spark, sf), periods(spark, sf)))
+    return jobs.numbered(o, "generation", [F.col("start_date"), F.col("contract_id")], "place").select("generation", "contract_id", "place")
