@@ -5,10 +5,11 @@ window become a separator, and runs of other words that are shorter than the sho
 neither of which can lose an occurrence.  The suffix array of what remains gives the Burrows-Wheeler transform, a
 wavelet matrix over it answers ranks, and all windows are searched backwards at once.  Suffix positions are sampled
 at every SAMPLE-th position and at each run's start; other occurrences step back to the next sample.
-Spans that touch or overlap merge.  Nothing is shuffled.
+Spans that touch or overlap merge.
 
-Benchmarks reach the tasks in blocks of at most BLOCK_BYTES of text, checked before; a larger
-benchmark makes several passes, each of which adds to the spans of the rows.
+Benchmarks reach the tasks in blocks of BLOCK_BYTES of text at most, or one item where that is longer.  A benchmark of one block is
+searched in one pass without a shuffle.  Each block of a larger one has a pass of its own over the documents, of which
+only hits are stored before the next block is read, so that driver and workers hold one block at a time; the hits then meet by document.
 """
 
 from __future__ import annotations
@@ -16,60 +17,71 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetspan.llm._common import ALNUM, chunks, packed, raw, unpacked
+from assetspan.llm._common import ALNUM, Rolling, chunks, cut, mix, packed, raw, suffix_array, unpacked, word_bounds, word_hashes
 
 WINDOW = 10
 SAMPLE = 8
 SHARD_BYTES = 2 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
+IS_WORD = np.array([i != 32 for i in range(256)])
+WORDS = Rolling(0x6A09E667F3BCC909)
 words_of = re.compile(rb"[^ ]+").finditer
 
 
-def split_words(text: bytes | None) -> list[bytes]:
-    return text.translate(ALNUM).split() if text else []
+def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and where each text's begin."""
+    parts = [(t or b"").translate(ALNUM) for t in texts]
+    buffer = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
+    starts, ends = word_bounds(buffer, IS_WORD)
+    base = np.concatenate(([0], np.cumsum(np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts)))))
+    return word_hashes(buffer, starts, ends), np.searchsorted(starts, base)
 
 
 class Windows:
-    """The distinct windows of a block of benchmark items, in symbols from 1 on, and the items of each."""
+    """The distinct windows of a block of benchmark items, in symbols from 1 on, and the items of each, in arrays."""
 
     def __init__(self, items: list[tuple[object, bytes | None]], size: int = WINDOW):
-        self.symbol: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            words = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in split_words(text)]
-            for i in range(max(1, len(words) - size + 1) if words else 0):
-                found.setdefault(tuple(words[i : i + size]), set()).add("" if item is None else str(item))
-        self.windows = list(found)
-        self.items = list(found.values())
-        self.length = np.array([len(w) for w in self.windows], np.int64)
-        self.shortest = int(self.length.min()) if self.windows else 0
-        self.matrix = np.zeros((len(self.windows), size), np.int64)
-        for i, w in enumerate(self.windows):
-            self.matrix[i, : len(w)] = w
-
-
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """By prefix doubling; equal symbols past the first differing one never remain, as the last symbol is unique."""
-    _, rank = np.unique(text, return_inverse=True)
-    n, k = len(text), 1
-    while True:
-        after = np.full(n, -1, np.int64)
-        after[: n - k] = rank[k:] if k < n else []
-        key = rank * (n + 1) + after + 1
-        order = np.argsort(key, kind="stable")
-        step = np.concatenate(([0], np.diff(key[order]) != 0)).cumsum()
-        rank = np.empty(n, np.int64)
-        rank[order] = step
-        if step[-1] == n - 1:
-            return order
-        k *= 2
+        words, begin = hashed_words([t for _, t in items])
+        self.known = np.unique(words)
+        symbol = self.symbols(words)
+        count = np.diff(begin)
+        each = np.where(count > 0, np.maximum(count - size + 1, 1), 0)
+        item = np.repeat(np.arange(len(items)), each)
+        first = np.repeat(begin[:-1], each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        length = np.minimum(count, size)[item]
+        key = mix(WORDS.runs(WORDS.prefix(words), first, first + length) + length.astype(np.uint64))
+        _, at, window = np.unique(key, return_index=True, return_inverse=True)
+        self.length = length[at]
+        self.shortest = int(self.length.min()) if len(at) else 0
+        self.matrix = np.zeros((len(at), size), np.int32)
+        for k in range(size):
+            on = self.length > k
+            self.matrix[on, k] = symbol[first[at[on]] + k]
+        names, name = np.unique(np.array(["" if i is None else str(i) for i, _ in items], dtype=object).astype(str) if items else np.zeros(0, str), return_inverse=True)
+        self.names = names.tolist()
+        pair = np.unique(np.stack([window, name[item]], 1), axis=0) if len(item) else np.zeros((0, 2), np.int64)
+        self.item = pair[:, 1]
+        self.bounds = np.searchsorted(pair[:, 0], np.arange(len(at) + 1))
+
+    def symbols(self, words: np.ndarray) -> np.ndarray:
+        """The symbol of each word, 0 for words of no window."""
+        if not len(self.known):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        return np.where(self.known[at] == words, at + 1, 0)
+
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        """Names of the items of any of the windows, in order."""
+        found = {int(i) for w in np.unique(windows).tolist() for i in self.item[self.bounds[w] : self.bounds[w + 1]]}
+        return [self.names[i] for i in sorted(found)]
 
 
 class FMIndex:
@@ -130,14 +142,14 @@ class FMIndex:
         return pattern, self.position[self.before[row]] + steps
 
 
-def shard_hits(texts: list[list[bytes]], windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the shard's word lists: document, first word and window of each occurrence."""
+def shard_hits(words: np.ndarray, begin: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the shard's hashed words: document, first word and window of each occurrence, by document."""
     none = np.zeros(0, np.int64)
-    count = np.fromiter(map(len, texts), np.int64, len(texts))
-    if not windows.windows or not count.sum():
+    if not len(windows.matrix) or not len(words):
         return none, none, none
-    get = windows.symbol.get
-    symbols = np.fromiter((get(w, 0) for words in texts for w in (*words, b"")), np.int64, int(count.sum()) + len(texts))
+    found = windows.symbols(words)
+    symbols = np.zeros(len(words) + len(begin) - 1, np.int64)  # one separator after each document
+    symbols[np.arange(len(words)) + np.repeat(np.arange(len(begin) - 1), np.diff(begin))] = found
     flag = np.concatenate(([0], (symbols > 0).astype(np.int8), [0]))
     step = np.diff(flag)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
@@ -152,11 +164,12 @@ def shard_hits(texts: list[list[bytes]], windows: Windows) -> tuple[np.ndarray,
     inside = np.arange((size - 1).sum()) - np.repeat(np.cumsum(size - 1) - (size - 1), size - 1)
     to, at = np.repeat(base[:-1], size - 1) + inside, np.repeat(starts, size - 1) + inside
     text[to], place[to] = symbols[at], at
-    which, where = FMIndex(text, len(windows.symbol)).search(windows.matrix, windows.length)
+    which, where = FMIndex(text, len(windows.known)).search(windows.matrix, windows.length)
     where = place[where]
-    begin = np.cumsum(count + 1) - (count + 1)
-    doc = np.searchsorted(begin, where, side="right") - 1
-    return doc, where - begin[doc], which
+    first = begin[:-1] + np.arange(len(begin) - 1)
+    doc = np.searchsorted(first, where, side="right") - 1
+    order = np.argsort(doc, kind="stable")
+    return doc[order], (where - first[doc])[order], which[order]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -181,61 +194,110 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_FOUND = "_words long, _spans array<struct<start:int,end:int>>, _items array<string>"
+_built: list[tuple[bytes, int, Windows]] = []
 
 
-def _pass(items: list[tuple[object, bytes | None]], size: int, cut: bool = False):
+def _windows(items: list[tuple[object, bytes | None]], digest: bytes, size: int) -> Windows:
+    """The block's windows, built once per worker for the block at hand."""
+    if not _built or _built[0][:2] != (digest, size):
+        _built[:] = [(digest, size, Windows(items, size))]
+    return _built[0][2]
+
+
+def _hits(texts: list[bytes | None], windows: Windows) -> tuple[list[int], list[list | None], list[list | None]]:
+    """Number of words, merged spans and item names of each text."""
+    words, begin = hashed_words(texts)
+    doc, first, which = shard_hits(words, begin, windows)
+    spans: list[list | None] = [None] * len(texts)
+    names: list[list | None] = [None] * len(texts)
+    for d in np.unique(doc).tolist():
+        a, b = np.searchsorted(doc, [d, d + 1])
+        spans[d] = merged(list(zip(first[a:b].tolist(), (first[a:b] + windows.length[which[a:b]]).tolist())))
+        names[d] = windows.items_of(which[a:b])
+    return np.diff(begin).tolist(), spans, names
+
+
+def _pass(items: list[tuple[object, bytes | None]], size: int, rewrite: bool = False):
+    """Adds _words, _spans and _items to the rows; with rewrite the spans are cut from text."""
+    digest = hashlib.sha256(repr(items).encode()).digest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(items, size)
+        windows = _windows(items, digest, size)
         for b in chunks(batches, "text", SHARD_BYTES):
-            texts = [split_words(t) for t in raw(b, "text")]
-            old = b.column(b.schema.get_field_index("_spans")).to_pylist()
-            ids = b.column(b.schema.get_field_index("_items")).to_pylist()
-            spans: dict[int, list] = {}
-            found: dict[int, set[str]] = {}
-            for d, w, p in zip(*(x.tolist() for x in shard_hits(texts, windows))):
-                spans.setdefault(d, []).append((w, w + int(windows.length[p])))
-                found.setdefault(d, set()).update(windows.items[p])
-            for d, x in spans.items():
-                old[d] = [{"start": a, "end": e} for a, e in merged(x + [(y["start"], y["end"]) for y in old[d] or []])]
-                ids[d] = sorted(found[d] | set(ids[d] or []))
-            text = b.column(b.schema.get_field_index("text"))
-            if cut and any(old):
-                kept = [without(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(raw(b, "text"), old)]
-                text = pa.array(kept, pa.binary()).cast(text.type)
-            new = {"text": text, "_spans": pa.array(old, _SPANS), "_items": pa.array(ids, pa.list_(pa.string())), "_words": pa.array(list(map(len, texts)), pa.int64())}
-            yield pa.RecordBatch.from_arrays([new.get(f.name, c) for f, c in zip(b.schema, b.columns)], b.schema.names)
+            n, spans, names = _hits(raw(b, "text"), windows)
+            shown = [None if s is None else [{"start": x, "end": y} for x, y in s] for s in spans]
+            new = [pa.array(n, pa.int64()), pa.array(shown, _SPANS), pa.array(names, pa.list_(pa.string()))]
+            out = _cut(b, spans) if rewrite else b
+            yield pa.RecordBatch.from_arrays([*out.columns, *new], [*b.schema.names, "_words", "_spans", "_items"])
 
     return run
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[object, bytes | None]]]:
-    """The benchmark in parts of about block_bytes of text; an item larger than that is a part of its own."""
-    sizes = benchmark.select(F.col("item_id"), F.col("text").cast("binary").alias("text"))
-    total = sizes.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = int(total // block_bytes) + 1
-    for k in range(n):
-        part = sizes if n == 1 else sizes.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r[0], None if r[1] is None else bytes(r[1])) for r in part.toLocalIterator()]
+def _cut(batch: pa.RecordBatch, spans: list[list[tuple[int, int]] | None]) -> pa.RecordBatch:
+    """The batch without the spans' words."""
+    if not any(spans):
+        return batch
+    at = batch.schema.get_field_index("text")
+    kept = [without(t, s) if s else t for t, s in zip(raw(batch, "text"), spans)]
+    return batch.set_column(at, batch.schema.field(at), pa.array(kept, pa.binary()).cast(batch.column(at).type))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
+def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[object, bytes | None]]]:
+    """The distinct items in parts of at most block_bytes of text; an item larger than that is a part of its own."""
+    part: list[tuple[object, bytes | None]] = []
+    size = 0
+    for item, text in benchmark.select("item_id", F.col("text").cast("binary").alias("text")).distinct().toLocalIterator():
+        text = None if text is None else bytes(text)
+        if part and size + len(text or b"") > block_bytes:
+            yield part
+            part, size = [], 0
+        part.append((item, text))
+        size += len(text or b"")
+    yield part
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, rewrite: bool = False) -> DataFrame:
     """docs with three more columns: `_words` (count), `_spans` (merged word spans of hits, or null), `_items` (ids, or null).
 
     Words are maximal runs of ASCII letters and digits and non-ASCII characters, lower-cased in A-Z.  A window is
     `window` consecutive words of an item, or all words of a shorter one.  Null and empty texts have no words; an
     item without words has no window; equal items count each by its id, an item without id by the empty string.  Every row of
-    docs gives one row, repeated ones too; docs must not have columns of those three names.  With `cut` the last pass cuts the spans from text.
+    docs gives one row, repeated ones too; an empty table gives an empty one, and an empty benchmark hits nothing.  docs must have
+    doc_id and text, and no columns of those three names.  With rewrite the spans are cut from text.
     """
-    out = docs.withColumns(
-        {"_words": F.lit(0).cast("long"), "_spans": F.lit(None).cast("array<struct<start:int,end:int>>"), "_items": F.lit(None).cast("array<string>")}
-    )
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + _FOUND
     parts = blocks(benchmark, block_bytes)
-    items = next(parts)
+    items, following = next(parts), next(parts, None)
+    if following is None:
+        return docs.mapInArrow(_pass(items, window, rewrite), schema)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("_th"), "text")
+    found, count = [], None
     while items is not None:
-        following = next(parts, None)
-        out = out.mapInArrow(_pass(items, window, cut and following is None), out.schema)
-        items = following
-    return out
+        hits = keyed.mapInArrow(_pass(items, window), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _th long, text string, {_FOUND}")
+        found.append(cut(hits.where("_spans is not null").select("doc_id", "_th", "_spans", "_items")))
+        items, following = following, next(parts, None)
+    every = reduce(DataFrame.union, found).groupBy("doc_id", "_th").agg(F.collect_list("_spans").alias("_lists"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
+    every = every.select(F.col("doc_id").alias("_doc"), "_th", F.array_sort(F.flatten("_lists")).alias("_lists"), "_items")
+    counted = docs.mapInArrow(_pass([], window), schema).drop("_spans", "_items").withColumn("_key", F.xxhash64("text"))
+    joined = counted.join(every, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_th")), "left").drop("_doc", "_th", "_key")
+    return joined.mapInArrow(_merge(rewrite), schema)
+
+
+def _merge(rewrite: bool):
+    """Merges the spans that several blocks found, in _lists, and with rewrite cuts them from text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "text"):
+            lists = b.column(b.schema.get_field_index("_lists")).to_pylist()
+            spans = [None if x is None else merged([(y["start"], y["end"]) for y in x]) for x in lists]
+            shown = [None if s is None else [{"start": x, "end": y} for x, y in s] for s in spans]
+            out = _cut(b, spans) if rewrite else b
+            names = [n for n in b.schema.names if n not in ("_lists", "_items")]
+            columns = [out.column(out.schema.get_field_index(n)) for n in [*names, "_items"]]
+            yield pa.RecordBatch.from_arrays([*columns[:-1], pa.array(shown, _SPANS), columns[-1]], [*names, "_spans", "_items"])
+
+    return run
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -252,10 +314,10 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with the hit words cut from text and n_chars recounted; documents of which no word is left go, others stay."""
     hit = F.aggregate(F.col("_spans"), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    out = find(packed(docs), benchmark, window, cut=True).where(F.col("_spans").isNull() | (hit < F.col("_words")))
+    out = find(packed(docs), benchmark, window, block_bytes, rewrite=True).where(F.col("_spans").isNull() | (hit < F.col("_words")))
     return unpacked(out, docs, F.col("_spans").isNotNull())
 
 
