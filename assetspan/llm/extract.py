@@ -3,8 +3,12 @@
 Words outside boilerplate elements score positive and tags negative, with weights from hand-labelled pages (log-odds of standing inside the
 main text).  One linear scan finds the run of highest total score.  The run is then widened to whole blocks, and to the
 element that closely holds it (article, main, section, td or div, never the body), so that a short heading or last line is not lost.
-Elements that are never main text by their tag are left out, and so are those with a word of NEVER_WORDS in class, id or role, unless they
-hold more of the page's words than all the rest, are an article or main, or hold the longest of these.
+
+Left out are elements that are never main text by their tag.  Class words decide alone only outside an article or main: there elements with a
+word of NEVER_WORDS in class, id or role go, unless they hold more of the page's words than all the rest or hold the longest article or main.
+Inside an article or main only whole sections (SECTIONS) go: those with a word of INSIDE_WORDS, and those with another word of NEVER_WORDS
+whose words are mostly links.  Elsewhere a list of links that no paragraph stands beside is a menu: it goes, and weighs nothing in the scan, so that
+a region may reach over it.
 """
 
 from __future__ import annotations
@@ -37,14 +41,23 @@ BLOCK = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Never main text.  Annotations repeat a formula in another notation and aren't shown.
-NEVER = set("nav aside footer form button menu dialog head fieldset label option annotation annotation-xml".split())
+NEVER = set("nav aside form button menu head option annotation annotation-xml".split())
+#: The page's own, unless they stand in the article; a footer only in a quotation.
+NEVER_OUTSIDE = {"header", "dialog", "fieldset", "label"}
 #: Words of boilerplate; wrappers of a whole page and articles have them too (with-sidebar, comments-open), so that they don't decide alone.
 NEVER_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside widget widgets toolbar tabs pagination pager comment comments respond reply replies "
     "disqus discussion footer foot copyright masthead topbar share sharing social related recommended newsletter subscribe subscription signup login search skip contentinfo complementary".split()
 )
-#: A header is the page's, unless it stands in the article.
+#: Words that mark what a reader of the article is not meant to read as part of it.
+INSIDE_WORDS = set(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe subscription signup comments respond reply replies disqus popup modal".split()
+)
+SECTIONS = {"div", "section", "ul", "ol", "dl", "table", "article"}
+TEXTS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"}
+#: Share of an element's words in links from which on it is mostly links.
+MOSTLY = 0.8
 HOLDERS = {"article", "main", "section", "div", "td"}
 IMPLIED_END = {"p": BLOCK - {"body", "html"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 SPACE = re.compile(r"\s+")
@@ -60,6 +73,9 @@ class Page:
         self.parts: list[tuple] = []
         self.elements: list[list] = []  # [name, first part, last part, dead]
         marked: dict[int, int] = {}  # elements with a word of NEVER_WORDS, and the closest such element around each
+        linked: set[int] = set()  # of these, those that go only if they are mostly links
+        lists: list[tuple[int, int]] = []  # lists outside an article or main, and what they stand in
+        texts: set[int] = set()  # elements in which a paragraph or heading stands
         open_ended: set[int] = set()
         stack: list[int] = []
         dead = links = holders = maths = at = 0
@@ -99,7 +115,8 @@ class Page:
                     self.parts.append(("tag", "/" + name, dead > 0))
                 continue
             words = set(re.split(r"[^a-z0-9]+", " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(m["attrs"])).lower()))
-            never = name in NEVER or name == "header" and not holders
+            quoted = name == "footer" and any(self.elements[i][0] == "blockquote" for i in stack)
+            never = name in NEVER or name == "footer" and not quoted or name in NEVER_OUTSIDE and not holders
             while stack and name in IMPLIED_END.get(self.elements[stack[-1]][0], ()):
                 close(len(stack) - 1)
             if name in BLOCK and stack:  # inline elements left open inside a paragraph end with it
@@ -111,8 +128,14 @@ class Page:
             maths += name == "math"
             self.parts.append(("tag", "math" if maths else name, dead > 0 or never))
             if name not in VOID:
-                if words & NEVER_WORDS and name not in ("body", "html", "article", "main"):
+                if words & NEVER_WORDS and name not in ("body", "html", "article", "main") and (not holders or name in SECTIONS):
                     marked[len(self.elements)] = next((i for i in reversed(stack) if i in marked), -1)
+                    if holders and not words & INSIDE_WORDS:
+                        linked.add(len(self.elements))
+                if name in ("ul", "ol") and not holders and not dead:
+                    lists.append((len(self.elements), stack[-1] if stack else -1))
+                elif name in TEXTS and stack:
+                    texts.add(stack[-1])
                 stack.append(len(self.elements))
                 self.elements.append([name, len(self.parts), len(self.parts), never])
                 dead += never
@@ -120,8 +143,26 @@ class Page:
                 holders += name in ("article", "main")
         text(source[at:])
         close(0)
+        menus = {i for i, around in lists if around not in texts} if lists else set()
+        if menus or linked:
+            every, inner = [0], [0]
+            for p in self.parts:
+                n = count_words(p[1]) if p[0] == "text" else 0
+                every.append(every[-1] + n)
+                inner.append(inner[-1] + n * (n > 0 and p[3]))
+            share = lambda i: (inner[self.elements[i][2]] - inner[self.elements[i][1]]) >= MOSTLY * (every[self.elements[i][2]] - every[self.elements[i][1]])
+            menus = {i for i in menus if share(i)}
+            for i in linked:
+                if not share(i):
+                    up = marked.pop(i)
+                    marked.update({k: up for k, v in marked.items() if v == i})
+        self.menus = [(self.elements[i][1], self.elements[i][2]) for i in sorted(menus)]
         if marked:
             self._cut(marked, open_ended)
+        for a, b in self.menus:
+            for i in range(a, b):
+                p = self.parts[i]
+                self.parts[i] = (p[0], p[1], True, *p[3:])
 
     def _cut(self, marked: dict[int, int], open_ended: set[int]) -> None:
         """Make dead the marked elements that hold at most half of the words, the smallest first; words in dead ones count no more."""
@@ -199,6 +240,8 @@ def main_text(source: str | None, weights: dict[str, float] = WEIGHTS) -> str:
             scores.append(0.0 if p[2] else weights["word"] * count_words(p[1]) * (0.25 if p[3] else 1.0))
         else:
             scores.append(0.0 if p[1].lstrip("/") == "math" else weights.get(p[1].lstrip("/"), weights["tag"]))
+    for a, b in page.menus:
+        scores[max(0, a - 1) : b + 1] = [0.0] * (min(len(scores), b + 1) - max(0, a - 1))
     start, end = best_run(scores)
     if start == end:
         return ""
@@ -229,7 +272,11 @@ def main_text(source: str | None, weights: dict[str, float] = WEIGHTS) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """One row per row of pages: page_id, url, text (empty for null or empty html, or where no word is), n_chars.  Other columns are ignored."""
+    """One row per row of pages: page_id, url, text (empty for null or empty html, or where no word is), n_chars.
+
+    Other columns are ignored; repeated rows give repeated rows; an empty table gives an empty one.  Of runs and articles that tie the first counts.
+    A page of any length is read whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "html", 4 << 20):
