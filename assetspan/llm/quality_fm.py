@@ -117,7 +117,8 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Null and empty texts are scored by their statistics (all zero).  Without a machine every score is 0.5.  A row without doc_id is not
-    held out.  Repeated rows give repeated rows; columns other than text and n_chars are ignored.
+    held out.  Repeated rows give repeated rows; columns other than text and n_chars are ignored; without n_chars (null, or no such column) it counts
+    as 0 or is counted.  An empty table gives an empty one; a text of any length is read whole by one worker.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -113,7 +113,8 @@ def judge(docs: DataFrame, trees: Trees | None, keep: float = KEEP) -> DataFrame
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score.
 
     Words are runs of anything but \\x20 and \\x09-\\x0D; null and empty texts have none and so fail.  Without trees the base rules decide alone.
-    Repeated rows give repeated rows; other columns are ignored.
+    Repeated rows give repeated rows; other columns are ignored; an empty table gives an empty one.  A text of any length is read whole by one
+    worker.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -201,7 +201,7 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted, n_clauses (those with an insult or threat).
 
     Null and empty texts have no clause and the score that goes with none.  A row without doc_id is not held out.  Repeated rows give
-    repeated rows; other columns are ignored.
+    repeated rows; other columns are ignored; an empty table gives an empty one.  A text of any length is read whole, once from left to right.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,10 +86,18 @@ def test_decontamination(spark, block):
     docs = frame(spark, rows)
     found = decontaminate.report(decontaminate.find(docs.select("doc_id", "text"), bench, block_bytes=block))
     assert by_id(found) == sorted(((i, *brute_hits(t, items)) for i, t in rows), key=str)
-    clean = decontaminate.clean(docs, bench)
+    clean = decontaminate.clean(docs, bench, block_bytes=block)
     assert clean.columns == docs.columns and decontaminate.decontaminate(clean, bench).where("n_hit > 0 and n_words > 60").count() == 0
     assert {r.doc_id: r.text for r in clean.collect()}[50] == "x y"
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_blocks_of_a_benchmark_are_bounded(spark):
+    items = [(i, "x" * (10 + i % 7)) for i in range(300)] + [(1, "x" * 11)] * 500 + [(7, "y" * 900)]
+    parts = list(decontaminate.blocks(spark.createDataFrame(items, "item_id long, text string"), 100))
+    assert all(len(p) == 1 or sum(len(t) for _, t in p) <= 100 for p in parts)
+    assert sorted(x for p in parts for x in p) == sorted({(i, t.encode()) for i, t in items})
 
 
 def brute_removed(rows, window):
@@ -123,9 +131,56 @@ def test_substring_dedup(spark, window):
     assert substring.dedup(frame(spark, []), window).count() == 0
 
 
-def test_factors_end_where_the_reference_changes():
-    pos, ref = np.array([3, 4, 5, 6, 20]), np.array([1, 1, 2, 2, 2])
-    assert substring.parse(pos, ref, 50) == [(3, 54, 1), (5, 56, 2), (20, 70, 2)]
+def test_factors_are_the_longest_matches_with_earlier_documents():
+    rng = np.random.default_rng(2)
+    words = [b"w%d" % i for i in rng.integers(0, 3, 400)]
+    segments = [(1, words[:120]), (2, words[60:90] + [b"x"] + words[:70]), (3, words[20:110] + words[:40]), (3, words[200:260]), (2, words[200:250])]
+    window = 12
+    block = substring.Block([b" ".join(w) for _, w in segments], np.array([d for d, _ in segments]), window)
+
+    def longest(doc, words):
+        best = 0
+        for d, other in segments:
+            if d < doc:
+                for k in range(len(other)):
+                    n = 0
+                    while n < len(words) and k + n < len(other) and words[n] == other[k + n]:
+                        n += 1
+                    best = max(best, n)
+        return best if best >= window else 0
+
+    size, ref = block.longest()
+    at = 0
+    expected = []
+    for s, (d, w) in enumerate(segments):
+        upto = -1
+        for p in range(len(w)):
+            n = longest(d, w[p:])
+            assert size[at] == n
+            assert not n or ref[at] < d
+            if n and p > upto - window:
+                expected.append((s, p, n))
+                upto = p + n
+            at += 1
+    assert [f[:3] for f in block.parse()] == expected and len(expected) >= 4
+
+
+def test_spans_come_from_factors(spark, monkeypatch):
+    """Without the factors of the blocks only whole copies would go."""
+    rows = odd_rows()
+    monkeypatch.setattr(substring, "_factors", lambda window: lambda batches: iter(()))
+    found = {r.doc_id: r.n_removed for r in substring.dedup(frame(spark, rows), 12).collect() if r.doc_id is not None}
+    full = {i: m for i, _, m, _ in brute_removed(rows, 12) if i is not None}
+    assert any(found[i] < m for i, m in full.items())
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_anchors_lose_no_run(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT", hot)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join([f"a{rng.randrange(9)}" for _ in range(30)] + passage[rng.randrange(5) :] + [f"b{rng.randrange(9)}" for _ in range(30)])) for i in range(12)]
+    assert by_id(substring.dedup(frame(spark, rows), 20)) == brute_removed(rows, 20)
 
 
 def test_base_rules(spark):
@@ -336,3 +391,155 @@ def test_languages_on_held_out_texts(spark):
     assert kept.columns == docs.columns and not {500, 501} & {r.doc_id for r in kept.collect()}
     assert langid.learn(docs.where("lang is null")) is None and langid.predict(docs, None).where("lang_pred <> 'und'").count() == 0
     assert langid.accepted(docs.limit(0), net).count() == 0
+
+
+def test_composed_grammar_equals_its_machines_run_apart(spark):
+    """A brute-force score: clauses split at the marks, each machine by itself, factors multiplied."""
+    scorer = toxicity.Scorer({"vequ": 2.0, "snor$": 1.5})
+    machines = [toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT]
+    pool = [w for ws in toxicity.WORDS.values() for w in ws] + ["vequal", "vequ", "snor", "snore", "grass", "river", "ist", "é"] * 6
+
+    def brute(text):
+        out = []
+        for clause in re.split(r"[.!?;:\n\"“”«»]", (text or "").lower()):
+            states, total = [m.start for m in machines], 0.0
+            for word in re.findall(r"\w+", clause):
+                weight = next((scorer.weight[w] for w in (word + "$", *(word[:k] for k in (6, 5, 4))) if w in scorer.weight), 0.0)
+                symbol = "threat" if word in toxicity.WORDS["threat"] else "insult" if weight else next((s for s, ws in toxicity.WORDS.items() if word in ws), "other")
+                for i, m in enumerate(machines):
+                    states[i], factor = m.step(states[i], symbol)
+                    weight *= factor
+                total += weight
+            if total > 0:
+                out.append(total)
+        return out
+
+    r = random.Random(8)
+    texts = [" ".join(r.choice(pool) + r.choice(["", "", "", ",", ".", "!", ";", ' "', "\n"]) for _ in range(r.choice([0, 1, 5, 40, 400]))) for _ in range(200)] + [None, "", "...", "vequal " * 3000]
+    for text in texts:
+        assert scorer.clauses(text) == pytest.approx(brute(text))
+    rows = {r.doc_id: r for r in toxicity.score(frame(spark, list(enumerate(texts))), scorer).collect()}
+    for i, text in enumerate(texts):
+        w = brute(text)
+        margin = scorer.logit @ np.array([1.0, np.log1p(sum(w)), max(w, default=0.0)])
+        assert rows[i].score == pytest.approx(1 / (1 + np.exp(-margin))) and rows[i].n_clauses == len(w)
+
+
+def test_node_arrays_equal_a_plain_walk_down_each_tree():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(700, 4))
+    trees = quality_rules.fit(x, (x[:, 0] * x[:, 1] > 0.1).astype(float), np.zeros(4, bool))
+
+    def walk(row):
+        margin = trees.start
+        for feature, threshold, value in zip(trees.feature, trees.threshold, trees.value):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (1 if row[feature[node]] <= threshold[node] else 2)
+            margin += value[node - len(feature)]
+        return 1 / (1 + np.exp(-margin))
+
+    probe = np.concatenate([x[:100], r.normal(size=(50, 4)), np.zeros((1, 4))])
+    assert trees.score(probe) == pytest.approx([walk(row) for row in probe])
+
+
+def test_pooled_probabilities_equal_a_recurrence_byte_by_byte():
+    network = langid.Network(["a", "b", "c"], seed=3)
+    h = langid.HIDDEN
+
+    def states(data, side):
+        s, out = np.zeros(h), []
+        for byte in data:
+            x, u = network.e[side][:, byte], network.u[side] @ s
+            z, g = (np.clip(0.25 * (x[k : k + h] + u[k : k + h]) + 0.5, 0, 1) for k in (0, h))
+            n = np.clip(x[2 * h :] + g * u[2 * h :], -1, 1)
+            s = n + z * (s - n)
+            out.append(s)
+        return out
+
+    def pooled(text):
+        total = np.zeros(3)
+        for at in range(0, len(text), langid.WINDOW):
+            data = text[at : at + langid.WINDOW]
+            for forth, back in zip(states(data, 0), states(data[::-1], 1)[::-1]):
+                logits = network.w[0] @ forth + network.w[1] @ back + network.b
+                p = np.exp(logits - logits.max())
+                total += p / p.sum()
+        return total / max(1, len(text))
+
+    texts = ["Ein Satz.".encode(), b"", "é日本".encode() * 40, bytes(range(32, 127)) * 3, b"x"]
+    got = network.pooled(texts)
+    for row, text in zip(got, texts):
+        assert row == pytest.approx(pooled(text), abs=2e-4)
+
+
+def test_texts_without_a_character_of_category_l_are_und(spark):
+    docs = spark.createDataFrame([(1, "²½①Ⅷ 12"), (2, "a"), (3, "日本"), (4, None), (5, "")], "doc_id long, text string")
+    network = langid.Network(["a"])
+    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, network).collect()} == {1: "und", 2: "a", 3: "a", 4: "und", 5: "und"}
+    for n in (network, None):
+        assert sorted(r.doc_id for r in langid.accepted(docs, n, 0.0).collect()) == [2, 3]
+        assert langid.accepted(docs.limit(0), n).count() == 0
+
+
+def test_samples_are_bounded_however_often_a_row_is_repeated(spark):
+    from assetspan.llm.labelled import sample
+
+    docs = spark.createDataFrame([(i % 3, f"text {i}", 1) for i in range(300)] + [(7, "x" * 200, 1)], "doc_id long, text string, n_chars int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)] * 2, "doc_id long, quality int")
+    got = sample(docs, labels, "quality", F.lit(True), 10, text_bytes=100).collect()
+    assert sorted((r.doc_id, r.text, r["_label"]) for r in got) == [(0, "text 0", 0), (1, "text 1", 1), (2, "text 101", 0)]
+    known = spark.createDataFrame([(3, f"{i} some words of a language that go on", "en") for i in range(50)] + [(4, "des mots d'une autre langue qui continue", "fr")], "doc_id long, text string, lang string")
+    assert langid.learn(known).languages == ["en", "fr"]
+
+
+def test_sharding_over_many_buckets(spark, monkeypatch):
+    """Large groups, several buckets and several slot buckets, with repeated rows."""
+    monkeypatch.setattr(sharding, "CHUNK", 50)
+    monkeypatch.setattr(sharding, "RANK_ROWS", 300)
+    rows = [(i, say(1 + i % 40, i)) for i in range(1200)] + [(5000 + i, say(3000, i % 3)) for i in range(9)] + [(7, say(8, 7))] * 40
+    out = sharding.shard(frame(spark, rows), 8).toPandas()
+    assert len(out) == len(rows)
+    for _, g in out.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    assert (out.groupby(["text_crc32", "size"])["shard"].nunique() == 1).all()
+    sums = out.groupby("shard")["size"].sum()
+    big = out.groupby(["text_crc32", "size"])["size"].sum().max()
+    ordinary = sums[sums < big]
+    assert len(sums) == 8 and len(ordinary) >= 4 and ordinary.max() - ordinary.min() <= 0.02 * ordinary.max() + 200
+
+
+ARTICLE = "<article><h1>T</h1><p>The first paragraph of the text is long enough to count as its main part.</p>%s<p>And the last one ends the story with a few more words.</p></article>"
+
+
+@pytest.mark.parametrize(
+    ("inside", "text"),
+    [
+        ('<section id="discussion"><h2>Discussion</h2><p>We discuss.</p></section>', "Discussion\n\nWe discuss."),
+        ('<p class="alert">Hot oil burns.</p>', "Hot oil burns."),
+        ('<div class="tabs"><p>Tab text.</p></div>', "Tab text."),
+        ('<figure class="side"><figcaption>A caption.</figcaption></figure>', "A caption."),
+        ("<dialog open>Dialog words.</dialog>", "Dialog words."),
+        ("<blockquote><p>Quote.</p><footer>Someone</footer></blockquote>", "Quote.\n\nSomeone"),
+        ('<p>Her <span class="share">share of votes</span> rose.</p>', "Her share of votes rose."),
+        ("<p>The <label>label words</label> stay.</p>", "The label words stay."),
+        ('<div class="share"><a href="1">Share</a> <a href="2">Print</a></div>', None),
+        ('<div class="ad">Buy lamps now, half price.</div>', None),
+        ('<section class="comments"><p>Bob: nice text.</p></section>', None),
+        ("<form><label>Mail</label><input></form>", None),
+        ("<footer>Filed under news.</footer>", None),
+    ],
+)
+def test_of_an_article_only_what_the_contract_names_is_left_out(inside, text):
+    page = f'<body><nav><a href="1">Home</a></nav>{ARTICLE % inside}<footer>foot</footer></body>'
+    blocks = ["T", "The first paragraph of the text is long enough to count as its main part.", text, "And the last one ends the story with a few more words."]
+    assert extract.main_text(page) == "\n\n".join(b for b in blocks if b)
+
+
+def test_columns_around_a_menu_are_one_region():
+    column = "<div><p>%s words that go on for long enough to be a text of their own, and then some.</p></div>"
+    menu = "<ul>" + "".join(f'<li><a href="{i}">Link number {i}</a></li>' for i in range(9)) + "</ul>"
+    text = extract.main_text(f"<body>{column % 'First'}{menu}{column % 'Second'}</body>")
+    assert text.startswith("First words") and "Second words" in text and "Link" not in text
+    beside = extract.main_text(f"<body><div><p>{'Some words to read. ' * 9}</p>{menu}<p>{'More of them. ' * 9}</p></div></body>")
+    assert "Link number 8" in beside and "More of them." in beside
