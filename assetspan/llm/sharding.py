@@ -1,8 +1,9 @@
 """Sharding by Karmarkar-Karp differencing, for groups that must stay whole.
 
 A partial partition is a vector of one sum per shard.  Differencing takes the two with the largest spread, joins them oppositely
-ordered (largest slot to smallest), and puts the result back, until one is left.  Groups larger than a fair part of a
-bucket (at most 2 * shards * buckets of them can be) are differenced first, by themselves.  All others are dealt to buckets by hash.
+ordered (largest slot to smallest), and puts the result back, until one is left.  Groups larger than a part of 2 * shards * LARGE
+of all bytes (or than a fair part of a bucket, if buckets are fewer) are differenced first, by themselves: there are at most so many.  All
+others are dealt to buckets of about CHUNK groups by hash, as many as it takes.
 A bucket begins with its share of the large groups' vector as a first partial partition, takes CHUNK groups at a time,
 and goes on with the resulting vector, so that what one step leaves uneven the next ones make up for.  As shards are
 alike before that, a vector's slots keep their numbers from step to step, and buckets need not meet again.
@@ -24,7 +25,7 @@ from assetspan.llm._common import cut
 
 SHARDS = 40
 OVERHEAD = 16
-CHUNK, BUCKETS = 2000, 2000
+CHUNK, LARGE = 2000, 2000
 #: Rows of one slot-numbering bucket.
 RANK_ROWS = 20_000
 
@@ -88,12 +89,13 @@ def _bucket(start: list[int]):
 def assign(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     """groups (th, n, size), (th, n) unique -> th, n, shard."""
     count, total = groups.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    buckets = min(max(1, -(-count // CHUNK)), BUCKETS)
+    buckets = max(1, -(-count // CHUNK))
+    part = F.col("size") * 2 * shards * min(buckets, LARGE)
     schema = "th long, n long, shard int, sums array<long>"
-    large = cut(groups.where(F.col("size") * 2 * shards * buckets > total).groupBy(F.col("size") < 0).applyInPandas(_bucket([0] * shards), schema))
+    large = cut(groups.where(part > total).groupBy(F.col("size") < 0).applyInPandas(_bucket([0] * shards), schema))
     sums = large.where("sums is not null").select("sums").first()  # one number per shard
     start = [x // buckets for x in sums[0]] if sums else [0] * shards
-    small = groups.where(F.col("size") * 2 * shards * buckets <= total).groupBy(F.pmod(F.xxhash64("th", "n", F.lit(1)), F.lit(buckets)))
+    small = groups.where(part <= total).groupBy(F.pmod(F.xxhash64("th", "n", F.lit(1)), F.lit(buckets)))
     return cut(large.union(small.applyInPandas(_bucket(start), schema)).select("th", "n", "shard"))
 
 

@@ -56,9 +56,11 @@ def run(spark, rows):
     return neardup.classes(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA))
 
 
-@pytest.mark.parametrize("small", [32, 3])
-def test_classes_are_those_of_all_pairs(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "block"), [(32, 2048), (3, 2048), (3, 6)])
+def test_classes_are_those_of_all_pairs(spark, monkeypatch, small, block):
     monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "BLOCK_OUTSIDE", block)
+    monkeypatch.setattr(neardup, "BLOCK_ALL", block)
     rows = corpus()
     found = {r[0]: r[1] for r in run(spark, rows).collect()}
     assert found == brute(rows)

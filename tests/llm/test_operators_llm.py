@@ -497,6 +497,7 @@ def test_samples_are_bounded_however_often_a_row_is_repeated(spark):
 def test_sharding_over_many_buckets(spark, monkeypatch):
     """Large groups, several buckets and several slot buckets, with repeated rows."""
     monkeypatch.setattr(sharding, "CHUNK", 50)
+    monkeypatch.setattr(sharding, "LARGE", 9)
     monkeypatch.setattr(sharding, "RANK_ROWS", 300)
     rows = [(i, say(1 + i % 40, i)) for i in range(1200)] + [(5000 + i, say(3000, i % 3)) for i in range(9)] + [(7, say(8, 7))] * 40
     out = sharding.shard(frame(spark, rows), 8).toPandas()
