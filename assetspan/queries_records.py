@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetspan.functions import hashes, scalars
-from assetspan.operators import apply, decisions, feed, jobs, observations, quality
+from assetspan.operators import apply, decisions, documents, feed, jobs, observations, quality
 from assetspan.plans.model import ASSET_STATES, CONTRACT_STATES, GENERATIONS, assets, contracts, periods, table
 from assetspan.queries import query
 from assetspan.queries_documents import DECISIONS, FEED, JOURNAL, announcements, journal
@@ -359,3 +360,39 @@ def observation_order(spark, sf):
     """Each observation's place among those of its class, in the order in which they are shown."""
     o = observations.in_order(observations.rate_observations(assets(spark, sf), periods(spark, sf)))
     return jobs.numbered(o, "generation", [F.col("start_date"), F.col("contract_id")], "place").select("generation", "contract_id", "place")
+
+
+_STATES = ["degraded-preserved", "reading-pending", "reading-failed", "held", "healthy", "degraded-preserved"]
+
+
+@query(f"""SELECT CAST(s_suppkey AS VARCHAR) AS company, {_case('s_suppkey % 6', _STATES)} AS health, CASE s_suppkey % 6 WHEN 2 THEN 'failed' WHEN 3 THEN 'completed' WHEN 4 THEN 'completed' WHEN 5 THEN 'completed' ELSE 'pending' END AS reading_status,
+ CASE WHEN s_suppkey % 4 = 0 THEN 'degraded-preserved' ELSE 'healthy' END AS news_monitor, CASE WHEN s_suppkey % 6 IN (0, 1) THEN 'before' ELSE 'read' END AS report_date, CASE s_suppkey % 6 WHEN 5 THEN 'broken' WHEN 0 THEN 'lost' END AS error FROM supplier""", plain=True)
+def source_states(spark, sf):
+    """Suppliers as companies, in each state that a report source can be in."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("company"), (F.col("s_suppkey") % 6).alias("k"), (F.col("s_suppkey") % 4).alias("j"))
+    k, source = F.col("k"), F.concat(F.lit("source-"), "company")
+    reports = s.where("k <> 0").select("company", source.alias("source_id"), F.lit("sha").alias("document_sha256"), F.when(k == 5, "broken").alias("error"))
+    status = F.when(k == 2, "failed").otherwise("completed")
+    docs = s.where("k >= 2").select(hashes.job_id(source, F.lit("sha")).alias("job_id"), source.alias("source_id"), F.lit("fleet-report").alias("kind"), status.alias("status"), F.when(k == 3, "held").otherwise("applied").alias("outcome"), F.lit("read").alias("report_date"))
+    lost = s.where("k = 0").select("company", F.lit("fleet-report").alias("kind"), F.lit("fetch").alias("phase"), F.lit("lost").alias("error"))
+    errors = lost.union(s.where("j = 0").select("company", F.lit("official-news"), F.lit("discovery"), F.lit("no list")))
+    return jobs.source_health(s.select("company"), reports, docs, errors, s.select("company", F.lit("before").alias("report_date")))
+
+
+@query(f"""WITH {JOURNAL} SELECT 'some ready' AS "case", 0 AS retry_after UNION ALL SELECT 'all wait', min(next_attempt_after) FROM journal WHERE status <> 'completed' UNION ALL SELECT 'usage', 1700009999 UNION ALL SELECT 'none open', 0""", plain=True)
+def retry_cases(spark, sf):
+    """When to go on: with some jobs ready, with all waiting, while usage is limited, and with nothing to do."""
+    j = journal(spark, sf)
+    last = 1_700_000_000
+    cases = [("some ready", jobs.retry_after(j, last)), ("all wait", jobs.retry_after(j, last - 1000)), ("usage", jobs.retry_after(j, last, last + 9999)), ("none open", jobs.retry_after(j.where("status = 'completed'"), last))]
+    return reduce(DataFrame.union, [df.select(F.lit(name).alias("case"), "retry_after") for name, df in cases])
+
+
+@query("""SELECT page_id, page_id % 8 IN (0, 5) AS official FROM pages""", plain=True)
+def official_places(spark, sf):
+    """Pages at places of their company, and at places that look like it: other schemes, hosts, ports, users, paths and owners."""
+    k, n = F.col("page_id") % 8, F.col("page_id").cast("string")
+    heads = ["https://news.example.com/en/", "http://news.example.com/en/", "https://news.example.com.evil.org/en/", "https://news.example.com:8443/en/", "https://user@news.example.com/en/", "https://NEWS.example.com:443/en/", "https://news.example.com/de/", "https://other.example.com/en/"]
+    p = table(spark, sf, "pages").select("page_id", F.lit("C0").alias("company"), F.concat(_pick(k, heads), n).alias("url"))
+    rules = spark.createDataFrame([("C0", "news.example.com", "^/en/"), ("C1", "other.example.com", None)], "company string, host string, path_pattern string")
+    return documents.official_source(p, rules).select("page_id", "official")
