@@ -86,17 +86,20 @@ def _spread(by: str):
 
 
 def medians(df: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, median) of each group, exactly, without gathering it: values are counted into BINS ranges, and only the ranges that hold the middle are ranked."""
-    stats = df.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
+    """(by, median) of each group, exactly, without gathering it: values are counted into BINS ranges, and only the ranges that hold the middle are ranked.
+
+    df is read three times, so it had better be stored.
+    """
+    stats = cut(df.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n")))
     at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(BINS - 1), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS))).otherwise(0)
     binned = df.where(F.col(value).isNotNull()).join(small(stats), by).select(by, value, "_n", at.cast("int").alias("_bin"))
     upto = lambda c: F.sum("_k").over(Window.partitionBy(by).orderBy(c))
     lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
     counts = binned.groupBy(by, "_n", "_bin").agg(F.count("*").alias("_k")).withColumn("_upto", upto("_bin"))
     middle = counts.where((F.col("_upto") >= lower) & (F.col("_upto") - F.col("_k") < upper))
-    offset = middle.groupBy(by).agg(F.min(F.col("_upto") - F.col("_k")).alias("_before"))
-    inside = binned.join(small(middle.select(by, "_bin")), [by, "_bin"]).groupBy(by, "_n", value).agg(F.count("*").alias("_k")).withColumn("_in", upto(value))
-    ranked = inside.join(small(offset), by).withColumn("_upto", F.col("_before") + F.col("_in"))
+    middle = small(cut(middle.withColumn("_before", F.min(F.col("_upto") - F.col("_k")).over(Window.partitionBy(by))).select(by, "_bin", "_before")))
+    inside = binned.join(middle, [by, "_bin"]).groupBy(by, "_n", "_before", value).agg(F.count("*").alias("_k"))
+    ranked = inside.withColumn("_upto", F.col("_before") + upto(value))
     middles = [F.min(F.when(F.col("_upto") >= r, F.col(value))) for r in (lower, upper)]
     return ranked.groupBy(by).agg(((middles[0] + middles[1]) / 2).alias("median"))
 
@@ -120,7 +123,7 @@ def rate_trend(observations: DataFrame, by: str = "generation") -> DataFrame:
     fits = None
     for p in range(PASSES):
         fits = cut(counts.join(weights, [by, "x"]).groupBy(by).applyInPandas(_smooth(by), f"{by} string, x int, fit double"))
-        residual = rows.join(fits, [by, "x"]).withColumn("r", F.col("y") - F.col("fit"))
+        residual = cut(rows.join(fits, [by, "x"]).withColumn("r", F.col("y") - F.col("fit")))
         if p == PASSES - 1:
             break
         scale = cut(medians(residual.select(by, F.abs("r").alias("a")), by, "a").withColumnRenamed("median", "s"))
