@@ -466,3 +466,17 @@ def test_medians_are_exact(spark):
     df = spark.createDataFrame(items, "g string, v double")
     found = {r.g: r["median"] for r in trend.medians(df, "g", "v").collect()}
     assert found == {g: pytest.approx(np.median([v for k, v in items if k == g]), rel=1e-12) for g in "abcde"}
+
+
+def test_feeds_and_captured_files(spark, tmp_path):
+    import json
+
+    feed_file = tmp_path / "events.json"
+    feed_file.write_text(json.dumps({"generatedAt": "2026-01-01T00:00:00Z", "events": [{"id": "e1", "company": "X", "url": "u", "title": "T", "publishedAt": "2026-01-01", "odd": 1}, {"id": "e2", "pendingReview": True}]}))
+    assert [(r.id, r.title, r.pendingReview) for r in snapshots.read_events(spark, str(feed_file)).orderBy("id").collect()] == [("e1", "T", None), ("e2", None, True)]
+    for name, data in {"a.html": b" <html><p>\xc3\xa9</p></html>", "b.pdf": b"%PDF-1.4 x", "c.bin": b"\x00\x01"}.items():
+        (tmp_path / "landed").mkdir(exist_ok=True)
+        (tmp_path / "landed" / name).write_bytes(data)
+    found = {r.url.rpartition("/")[2]: r for r in snapshots.read_captures(spark, str(tmp_path / "landed")).collect()}
+    assert [(found[k].content_type, found[k].html) for k in sorted(found)] == [("text/html", " <html><p>é</p></html>"), ("application/pdf", None), (None, None)]
+    assert bytes(found["b.pdf"].content) == b"%PDF-1.4 x"
