@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 DAY_PATTERN = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 BACKOFF_FIRST, BACKOFF_MOST = 300, 21_600
-UNDISCLOSED = "(?i)undisclosed|not disclosed|unnamed|unknown"
+#: What a client's name says where the client is not told, in any letter case.
+UNDISCLOSED = ["undisclosed", "not disclosed", "unnamed", "unknown"]
 
 
 def is_iso_date(text: Column) -> Column:
@@ -125,7 +126,7 @@ def client_keys(client: Column) -> Column:
     """Two clients are the same if they share a key: their first word, or that both are undisclosed."""
     text = F.trim(F.coalesce(client, F.lit("")))
     word = F.regexp_replace(F.lower(F.element_at(F.split(text, r"\s+"), 1)), "[^a-z0-9]", "")
-    return F.array_compact(F.array(F.when(word != "", F.concat(F.lit("w:"), word)), F.when(text.rlike(UNDISCLOSED), F.lit("undisclosed"))))
+    return F.array_compact(F.array(F.when(word != "", F.concat(F.lit("w:"), word)), F.when(text.rlike("(?i)" + "|".join(UNDISCLOSED)), F.lit("undisclosed"))))
 
 
 def optional_texts(**columns: Column) -> list[Column]:

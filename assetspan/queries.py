@@ -8,10 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetspan.functions.scalars import utilization_band
 from assetspan.operators import intervals, market, observations, status, trend
-from assetspan.plans import model
-from assetspan.plans.model import AS_OF, GENERATIONS, ORACLE, YEAR_START, assets, contracts, periods, table
+from assetspan.plans.model import AS_OF, GENERATIONS, ORACLE, YEAR_START, assets, contracts, periods
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
