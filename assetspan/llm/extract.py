@@ -52,7 +52,7 @@ NEVER_WORDS = set(
 )
 #: Words that mark what a reader of the article is not meant to read as part of it.
 INSIDE_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe subscription signup comments respond reply replies disqus popup modal".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe subscription signup comment comments respond reply replies disqus popup modal".split()
 )
 SECTIONS = {"div", "section", "ul", "ol", "dl", "table", "article"}
 TEXTS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"}

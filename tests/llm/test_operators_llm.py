@@ -528,6 +528,7 @@ ARTICLE = "<article><h1>T</h1><p>The first paragraph of the text is long enough
         ('<div class="share"><a href="1">Share</a> <a href="2">Print</a></div>', None),
         ('<div class="ad">Buy lamps now, half price.</div>', None),
         ('<section class="comments"><p>Bob: nice text.</p></section>', None),
+        ('<div class="comment-body"><p>Bob: nice text.</p></div>', None),
         ("<form><label>Mail</label><input></form>", None),
         ("<footer>Filed under news.</footer>", None),
     ],
