@@ -5,10 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assetspan.llm import bpe, decontaminate, extract, langid, neardup, quality_fm, quality_rules, sharding, substring, toxicity
+from assetspan.llm import alignment, bpe, decontaminate, extract, filter_audit, langid, merge_tree, neardup, quality_fm, quality_rules, sharding, substring, toxicity
 from assetspan.llm._common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +57,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.learn(docs))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_tree.encode(table(spark, sf_dir, "documents"), BYTE_LEVEL, ids=False)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_quality_rules": op2_quality_rules,
@@ -66,6 +80,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_segment_tree_bpe": op12_segment_tree_bpe,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
-ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.SQL, "op4_minhash_neardup": neardup.SQL, "op6_substring_dedup": substring.SQL}
+ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.SQL, "op4_minhash_neardup": neardup.SQL, "op6_substring_dedup": substring.SQL, "op11_filter_audit": filter_audit.SQL}

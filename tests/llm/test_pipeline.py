@@ -43,7 +43,7 @@ def test_queries_are_registered():
 
     names = __spark_entry__.queries()
     assert set(queries.QUERIES) <= set(names) and "pipeline" in names
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_stages_take_empty_tables_and_odd_rows(spark, tmp_path):
