@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assetspan.functions.hashes import canonical_hash, table_digest
 from assetspan.functions.scalars import is_iso_date
+from assetspan.sources.commits import commit, commit_file, file_system, numbers, put_folder
 
 INTERPRETATION = (
     "struct<sourceStartText:string,sourceEndText:string,placementBasis:string,awardType:string,termText:string,optionText:string,valueText:string,"
@@ -132,56 +134,32 @@ def export_fleet(fleet: DataFrame, path: str) -> None:
     fleet.write.mode("overwrite").option("ignoreNullFields", True).json(path)
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _complete(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, f"{path}/_SUCCESS")
-    return fs.exists(p)
-
-
 def publish(tables: dict[str, DataFrame], path: str) -> dict:
-    """Write each table under a name with its digest, then a manifest under the next number.
+    """Write each table under a name with its digest, then a manifest under the next free number.
 
-    Nothing that a reader may hold is ever overwritten: a payload that is there complete is kept as it is, and the manifest with the highest
-    number counts, so that a reader sees the old snapshot or the new one whole.  A table is evaluated once: it is written to a folder of its
-    own, its digest is taken from there, and the folder is renamed.
+    Nothing that a reader may hold is ever overwritten: a payload that is there is kept as it is, and the manifest with the highest number
+    counts, so that a reader sees the old snapshot or the new one whole.  A table is evaluated once: it is written to a folder of its own, its digest
+    is taken from there, and the folder is renamed.  Of several publishers at once each gets a number and a complete snapshot.
     """
     spark = next(iter(tables.values())).sparkSession
-    version = max(_versions(spark, path), default=0) + 1
     manifest = {}
     for name, df in tables.items():
         draft = f"{path}/_draft.{name}.{uuid.uuid4().hex}"
         df.write.parquet(draft)
         rows, digest = table_digest(spark.read.parquet(draft)).first()
         file = f"{name}.{digest[:16]}"
-        fs, source = _fs(spark, draft)
-        if _complete(spark, f"{path}/{file}"):
-            fs.delete(source, True)
-        else:
-            target = _fs(spark, f"{path}/{file}")[1]
-            fs.delete(target, True)  # what an earlier run left half done
-            fs.rename(source, target)
+        put_folder(spark, draft, f"{path}/{file}")
         manifest[name] = {"rows": rows, "digest": digest, "file": file}
-    entries = [(n, m["file"], m["rows"], m["digest"]) for n, m in manifest.items()]
-    spark.createDataFrame(entries, "name string, file string, rows long, digest string").coalesce(1).write.json(f"{path}/manifest.{version:012d}")
+    entries = [json.dumps({"name": n, "file": m["file"], "rows": m["rows"], "digest": m["digest"]}) for n, m in manifest.items()]
+    commit(spark, path, "manifest", "\n".join(entries))
     return manifest
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete manifests."""
-    fs, p = _fs(spark, path)
-    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-    return [int(n.rpartition(".")[2]) for n in names if n.startswith("manifest.") and _complete(spark, f"{path}/{n}")]
-
-
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The latest complete manifest; no rows where there is none."""
+def read_manifest(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The latest manifest, or that of a version; no rows where there is none."""
     schema = "name string, file string, rows long, digest string"
-    versions = _versions(spark, path)
-    return spark.read.schema(schema).json(f"{path}/manifest.{max(versions):012d}") if versions else spark.createDataFrame([], schema)
+    found = [n for n in numbers(spark, path, "manifest") if version in (None, n)]
+    return spark.read.schema(schema).json(commit_file(path, "manifest", max(found))) if found else spark.createDataFrame([], schema)
 
 
 def state_fingerprint(manifest: DataFrame) -> DataFrame:
@@ -207,13 +185,14 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prune(spark: SparkSession, path: str) -> list[str]:
-    """Remove payloads that the latest manifest does not name, older manifests and drafts; gives the payloads' names."""
-    keep = {r[0] for r in read_manifest(spark, path).select("file").collect()} | {f"manifest.{max(_versions(spark, path), default=0):012d}"}
-    fs, p = _fs(spark, path)
-    gone = [s.getPath() for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName() not in keep]
+    """Remove payloads that the latest manifest does not name, older manifests and drafts; gives the payloads' names.  Not for while others publish."""
+    last = max(numbers(spark, path, "manifest"), default=0)
+    keep = {r[0] for r in read_manifest(spark, path, last).select("file").collect()} | {commit_file("", "manifest", last)[1:]}
+    fs, p = file_system(spark, path)
+    gone = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName() not in keep]
     for g in gone:
         fs.delete(g, True)
-    return sorted(n for g in gone if not (n := g.getName()).startswith(("manifest.", "_draft.")))
+    return sorted(n for g in gone if not (n := g.getName()).startswith(("manifest.", "_draft.", ".")))
 
 
 def load_snapshot(spark: SparkSession, path: str, seed: dict[str, DataFrame], expect: dict[str, int]) -> dict[str, DataFrame]:
