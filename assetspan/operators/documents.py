@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from html.parser import HTMLParser
@@ -33,79 +34,145 @@ ERROR_WORDS = ["404", "403", "error"]
 #: Paths of article pages; the first one only with an ID in the query.
 ARTICLE_WITH_ID = "/news/detail/?$"
 ARTICLE_PATHS = ["/news/news-details/", "/news-releases/news-release-details/"]
-#: What a link stands in together with its date, and dates in running text there.
+#: What a link stands in together with its date, months as written out, and classes of dates.
 ENTRIES = {"tr", "article", "li"}
-ENTRY_DATE = re.compile(r"\b[A-Z][a-z]{2,8}\s+\d{1,2},\s+\d{4}\b|\b\d{2}/\d{2}/\d{4}\b")
+MONTHS = "January February March April May June July August September October November December".split()
 DATE_CLASSES = ["evergreen-news-details-date", "module_date-time", "news-date"]
+#: A date in running text; publication_date() reads both forms.
+WRITTEN_DATE = re.compile(rf"\b(?:{'|'.join(MONTHS)})\s+\d{{1,2}},\s+\d{{4}}\b|\b\d\d/\d\d/\d{{4}}\b")
 
+#: Elements whose content is left out, by purpose.
+NOISE = frozenset({"script", "style", "noscript", "template"})
+CHROME = frozenset({"script", "style", "nav", "header", "footer"})
+HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
+LEFT_OUT = (NOISE, CHROME, NOISE | HEADINGS)
 
-class Element:
-    def __init__(self, name: str, attrs: dict[str, str], parent: Element | None = None):
-        self.name, self.attrs, self.parent, self.children = name, attrs, parent, []
 
-    def walk(self, without: frozenset[str] = frozenset()) -> Iterator[Element]:
-        """This element and those inside it in page order, however deep; not what stands in elements named in `without`."""
-        todo = [self]
-        while todo:
-            e = todo.pop()
-            if e.name not in without:
-                yield e
-                todo += [c for c in reversed(e.children) if isinstance(c, Element)]
-
-    def matches(self, place: str) -> bool:
-        name, _, klass = place.partition(".")
-        return (not name or self.name == name) and (not klass or klass in (self.attrs.get("class") or "").split())
-
-    def strings(self, without: frozenset[str], mark: bool) -> Iterator[str]:
-        """Texts in page order; with mark a space on both sides of a block."""
-        todo: list[Element | str] = [self]
-        while todo:
-            e = todo.pop()
-            if isinstance(e, str):
-                yield e
-            elif e.name not in without:
-                edge = [" "] if mark and e.name in BLOCKS else []
-                todo += [*edge, *reversed(e.children), *edge]
+class Page(HTMLParser):
+    """A page's elements and strings, numbered in one pass.
 
+    An element has the numbers of its first and last string and of the elements in it, which are those up to `last`, the entry around it, and
+    for each set of LEFT_OUT how many such elements are open around it.  The text of any element is then a slice of the strings, and what comes next in
+    it a binary search, so that neither is walked for again.
+    """
 
-class Tree(HTMLParser):
     def __init__(self, source: str):
         super().__init__(convert_charrefs=True)
-        self.root = Element("", {})
-        self.open = [self.root]
-        self.names = Counter()  # of the open elements
+        self.names, self.attrs, self.parent, self.entry, self.around = [""], [{}], [-1], [-1], [(0, 0, 0)]
+        self.start, self.end, self.last = [0], [0], [0]
+        self.strings, self.marks, self.depth = [], [], []  # marks: a space at the edge of a block
+        self.open, self.counts, self.inside = [0], Counter(), (0, 0, 0)
+        self.at, self.classed = defaultdict(list), []  # elements by name, and those with a class
         self.feed(source)
         self.close()
+        while self.open:
+            self._end()
+
+    def _string(self, text: str, mark: bool) -> None:
+        self.strings.append(text)
+        self.marks.append(mark)
+        self.depth.append(self.inside)
+
+    def _start(self, tag: str, attrs) -> None:
+        e, up = len(self.names), self.open[-1]
+        self.names.append(tag)
+        self.attrs.append({k: v or "" for k, v in attrs})
+        self.parent.append(up)
+        self.entry.append(e if tag in ENTRIES else self.entry[up])
+        self.around.append(self.inside)
+        self.start.append(len(self.strings))
+        self.end.append(0)
+        self.last.append(0)
+        self.open.append(e)
+        self.at[tag].append(e)
+        if self.attrs[e].get("class"):
+            self.classed.append(e)
+        self.counts[tag] += 1
+        self.inside = tuple(n + (tag in s) for n, s in zip(self.inside, LEFT_OUT))
+        if tag in BLOCKS:
+            self._string(" ", True)
+
+    def _end(self) -> None:
+        e = self.open.pop()
+        tag = self.names[e]
+        if tag in BLOCKS:
+            self._string(" ", True)
+        self.counts[tag] -= 1
+        self.inside, self.end[e], self.last[e] = self.around[e], len(self.strings), len(self.names)
 
     def handle_starttag(self, tag, attrs):
-        self.handle_startendtag(tag, attrs)
-        if tag not in VOID:
-            self.open.append(self.open[-1].children[-1])
-            self.names[tag] += 1
+        self._start(tag, attrs)
+        if tag in VOID:
+            self._end()
 
     def handle_startendtag(self, tag, attrs):
-        self.open[-1].children.append(Element(tag, {k: v or "" for k, v in attrs}, self.open[-1]))
+        self._start(tag, attrs)
+        self._end()
 
     def handle_endtag(self, tag):
-        if self.names[tag]:
-            while True:
-                name = self.open.pop().name
-                self.names[name] -= 1
-                if name == tag:
-                    break
+        if self.counts[tag]:
+            while self.names[self.open[-1]] != tag:
+                self._end()
+            self._end()
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
-
+        self._string(data, False)
 
-NOISE = frozenset({"script", "style", "noscript", "template"})
-HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
-CHROME = frozenset({"script", "style", "nav", "header", "footer"})
+    def found(self, place: str) -> Iterator[int]:
+        """Elements at a place like `name`, `.class` or `name.class`, in page order."""
+        name, _, klass = place.partition(".")
+        for e in self.at[name] if name else self.classed:
+            if not klass or klass in self.attrs[e].get("class", "").split():
+                yield e
 
+    def shown(self, e: int, which: int, marks: bool = True) -> list[str]:
+        """Strings of an element outside elements of LEFT_OUT[which], with the edges of blocks or without."""
+        level = self.around[e][which]
+        return [self.strings[i] for i in range(self.start[e], self.end[e]) if self.depth[i][which] == level and (marks or not self.marks[i])]
+
+    def flow(self, e: int, which: int = 0) -> str:
+        """Text as shown: only blocks part words, inline tags don't; white space collapsed."""
+        return " ".join("".join(self.shown(e, which)).split())
+
+    def links(self, url: str) -> list[dict]:
+        """Anchors in page order, each with the dates that may be its own: of the first time element of the row, article or list item around it, or
+        else of the element around it, and the first one that is written there."""
+        found, known, written = [], {}, self._written()
+        for pos, e in enumerate(self.at["a"]):
+            href = self.attrs[e].get("href")
+            if not href:
+                continue
+            try:
+                target = urljoin(url, href)
+            except ValueError:
+                continue
+            around = self.entry[self.parent[e]] if self.entry[self.parent[e]] >= 0 else self.parent[e]
+            if around not in known:
+                known[around] = self._dates(around, written)
+            found.append({"pos": pos, "href": href, "title": self.flow(e), "url": target, "dates_raw": known[around]})
+        return found
 
-def flow(e: Element, without: frozenset[str] = NOISE) -> str:
-    """Text as shown: only blocks part words, inline tags don't; white space collapsed."""
-    return " ".join("".join(e.strings(without, True)).split())
+    def _written(self) -> tuple[list[int], list[tuple[int, int, str]]]:
+        """Places of the strings in the page's whole text, and the dates written there."""
+        places, total, parts = [0], 0, []
+        for s, depth in zip(self.strings, self.depth):
+            parts.append(s if depth[0] == 0 else "")
+            total += len(parts[-1])
+            places.append(total)
+        return places, [(m.start(), m.end(), " ".join(m[0].split())) for m in WRITTEN_DATE.finditer("".join(parts))]
+
+    def _dates(self, e: int, written: tuple[list[int], list[tuple[int, int, str]]]) -> list[str]:
+        out, times = [], self.at["time"]
+        k = bisect_left(times, e)
+        if k < len(times) and times[k] < self.last[e]:
+            out.append(self.attrs[times[k]].get("datetime") or self.flow(times[k]))
+        if self.names[e] in BLOCKS and self.around[e][0] == 0:  # no date goes over a block's edge
+            places, dates = written
+            k = bisect_left(dates, (places[self.start[e]],))
+            out += [d[2] for d in dates[k : k + 1] if d[1] <= places[self.end[e]]]
+        elif m := WRITTEN_DATE.search(self.flow(e)):
+            out.append(m[0])
+        return out
 
 
 def is_error_title(text: str) -> bool:
@@ -113,77 +180,84 @@ def is_error_title(text: str) -> bool:
     return any(map(text.startswith, ERROR_BEGINNINGS)) or any(text.startswith(w) and not text[len(w) : len(w) + 1].strip() for w in ERROR_WORDS)
 
 
-def nearby_date(link: Element) -> str | None:
-    """The date as written in the table row, article or list item around a link, else in the element around it: in a time element or the text."""
-    around = link.parent
-    while around is not None and around.name not in ENTRIES:
-        around = around.parent
-    around = around or link.parent
-    time = next((e for e in around.walk() if e.name == "time"), None)
-    if time is not None and (found := time.attrs.get("datetime") or flow(time)):
-        return found
-    found = ENTRY_DATE.search(flow(around))
-    return found[0] if found else None
+def _legacy(page: Page) -> str:
+    outside = lambda e: page.around[e][1] == 0 and page.names[e] not in CHROME
+    at = min((e for p in LEGACY_PLACES for e in [*filter(outside, page.found(p))][:1]), default=0)
+    return " ".join(x for x in (" ".join(s.split()) for s in page.shown(at, 1, marks=False)) if x)
 
 
-def read_page(source: str | None, url: str | None, kind: str = "official-news") -> dict:
-    out = {"locator": None, "text": None, "reject_reason": None, "published_raw": [], "legacy_sha256": None, "links": []}
-    if not source:
-        return out | {"reject_reason": "document is empty"}
-    root = Tree(source).root
-    every = list(root.walk())
-    legacy = next((e for e in root.walk(CHROME) if any(e.matches(p) for p in LEGACY_PLACES)), root)
-    text = " ".join(x for x in (" ".join(s.split()) for s in legacy.strings(CHROME, False)) if x)
-    out["legacy_sha256"] = hashlib.sha256(text.encode()).hexdigest()
+def _published(page: Page) -> list[str]:
+    found = []
     for tag, key, value, get in DATES:
-        out["published_raw"] += [e.attrs.get(get) for e in every if e.name == tag and key in e.attrs and (value is None or e.attrs[key] == value)][:1]
+        attrs = map(page.attrs.__getitem__, page.at[tag])
+        found += [a.get(get) for a in attrs if key in a and (value is None or a[key] == value)][:1]
     for klass in DATE_CLASSES:
-        out["published_raw"] += [flow(e) for e in every if e.matches("." + klass)][:1]
-    for e in every:
-        if e.name == "a" and e.attrs.get("href"):
-            try:
-                out["links"].append({"href": e.attrs["href"], "title": flow(e), "url": urljoin(url or "", e.attrs["href"]), "date_raw": nearby_date(e)})
-            except ValueError:
-                continue
-    if any(e.name in ("title", "h1") and is_error_title(flow(e)) for e in every):
-        return out | {"reject_reason": "error page"}
+        found += [page.flow(e) for e in [*page.found("." + klass)][:1]]
+    return found
+
+
+def _article(page: Page, kind: str) -> dict:
+    if any(is_error_title(page.flow(e)) for e in sorted(page.at["title"] + page.at["h1"])):
+        return {"reject_reason": "error page"}
     places = [*PLACES, *(["body"] if kind == "fleet-report" else [])]
-    found = next(((p, e) for p in places for e in every if e.matches(p)), None)
+    found = next(((p, e) for p in places for e in page.found(p)), None)
     if found is None:
-        return out | {"reject_reason": "article body is missing"}
+        return {"reject_reason": "article body is missing"}
     place, e = found
-    if len(flow(e, NOISE | HEADINGS)) < LEAST_BODY:
-        return out | {"reject_reason": "body is unexpectedly short"}
-    return out | {"locator": f"html:{place}", "text": flow(e)}
+    if page.names[e] in HEADINGS or len(page.flow(e, 2)) < LEAST_BODY:
+        return {"reject_reason": "body is unexpectedly short"}
+    return {"locator": f"html:{place}", "text": page.flow(e)}
+
+
+#: What read_pages() can give, and the columns of each.
+PAGE_PARTS = {
+    "article": "locator string, text string, reject_reason string",
+    "published": "published_raw array<string>",
+    "legacy": "legacy_sha256 string",
+    "links": "links array<struct<pos:int,href:string,title:string,url:string,dates_raw:array<string>>>",
+}
 
 
-PAGE = "url string, locator string, text string, reject_reason string, published_raw array<string>, legacy_sha256 string, links array<struct<href:string,title:string,url:string,date_raw:string>>"
+def read_page(source: str | None, url: str | None, kind: str = "official-news", parts=tuple(PAGE_PARTS)) -> dict:
+    out: dict = {"published_raw": [], "links": []}
+    if not source:
+        return out | {"reject_reason": "document is empty"}
+    page = Page(source)
+    if "legacy" in parts:
+        out["legacy_sha256"] = hashlib.sha256(_legacy(page).encode()).hexdigest()
+    if "published" in parts:
+        out["published_raw"] = _published(page)
+    if "links" in parts:
+        out["links"] = page.links(url or "")
+    return out | _article(page, kind) if "article" in parts else out
 
 
-def read_pages(captures: DataFrame) -> DataFrame:
-    """One row per capture (url, html, kind): locator and text or reject_reason, dates as found, the older text hash, and links."""
+def read_pages(captures: DataFrame, *parts: str) -> DataFrame:
+    """One row per capture (url, html, kind) with the columns of the parts asked for: locator and text or reject_reason, dates as found, the older
+    text hash, and links.  Work and memory grow with the page alone, whatever it holds of each."""
+    columns = re.findall(r"(\w+) (?:string|array)", ", ".join(PAGE_PARTS[p] for p in parts))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [{"url": u} | read_page(h, u, k) for u, h, k in zip(pdf["url"], pdf["html"], pdf["kind"])]
-            yield pd.DataFrame(rows, columns=["url", "locator", "text", "reject_reason", "published_raw", "legacy_sha256", "links"])
+            rows = [read_page(h, u, k, parts) for u, h, k in zip(pdf["url"], pdf["html"], pdf["kind"])]
+            yield pd.DataFrame({"url": pdf["url"]} | {c: pd.Series([r.get(c) for r in rows], dtype=object) for c in columns})
 
     kind = F.coalesce("kind", F.lit("official-news")) if "kind" in captures.columns else F.lit("official-news")
-    return captures.select("url", "html", kind.alias("kind")).mapInPandas(run, PAGE)
+    return captures.select("url", "html", kind.alias("kind")).mapInPandas(run, "url string, " + ", ".join(PAGE_PARTS[p] for p in parts))
 
 
 def extract_articles(captures: DataFrame) -> DataFrame:
-    return read_pages(captures).select("url", "locator", "text", "reject_reason")
+    return read_pages(captures, "article")
 
 
-def first_date(raw: Column) -> Column:
+def first_date(raw: str) -> Column:
     """The first of the dates found that can be read."""
-    return F.element_at(F.array_compact(F.transform(raw, publication_date)), 1)
+    return F.try_element_at(F.array_compact(F.transform(raw, publication_date)), F.lit(1))
 
 
 def publication_metadata(captures: DataFrame) -> DataFrame:
-    dates = read_pages(captures).select("url", F.posexplode_outer("published_raw").alias("pos", "raw")).withColumn("published_at", publication_date(F.col("raw")))
-    return dates.groupBy("url").agg(F.min_by("published_at", F.when(F.col("published_at").isNotNull(), F.col("pos"))).alias("published_at"))
+    """(url, published_at) of each capture: the first of the dates in its metadata that can be read."""
+    return read_pages(captures, "published").select("url", first_date("published_raw").alias("published_at"))
 
 
 def is_article_url(url: Column) -> Column:
@@ -193,16 +267,20 @@ def is_article_url(url: Column) -> Column:
     return F.coalesce(reduce(Column.__or__, [path.rlike("(?i)" + p) for p in ARTICLE_PATHS], with_id), F.lit(False))
 
 
+def _links(captures: DataFrame, pattern: str) -> DataFrame:
+    return read_pages(captures, "links").select(F.col("url").alias("page_url"), F.inline("links")).where(F.col("url").rlike(pattern)).withColumn("published_at", first_date("dates_raw")).drop("dates_raw")
+
+
 def extract_links(captures: DataFrame, pattern: str = ".") -> DataFrame:
     """(page_url, href, title, url, published_at) of links whose resolved URL matches, each once per page; published_at is the date beside it."""
-    links = read_pages(captures).select(F.col("url").alias("page_url"), F.inline("links")).where(F.col("url").rlike(pattern))
-    return links.select("page_url", "href", "title", "url", publication_date(F.col("date_raw")).alias("published_at")).distinct()
+    return _links(captures, pattern).drop("pos").distinct()
 
 
 def article_links(captures: DataFrame) -> DataFrame:
-    """Links to article pages, once per page and URL; of several the one with the least title."""
-    found = extract_links(captures).where(is_article_url(F.col("url")))
-    return found.groupBy("page_url", "url").agg(F.min("title").alias("title"), F.max("published_at").alias("published_at"))
+    """(page_url, url, title, published_at) of links to article pages: of several to one URL the first of the page."""
+    found = _links(captures, ".").where(is_article_url(F.col("url")))
+    first = F.min_by(F.struct("title", "published_at"), "pos").alias("l")
+    return found.groupBy("page_url", "url").agg(first).select("page_url", "url", "l.title", "l.published_at")
 
 
 def latest_report(captures: DataFrame, pattern: str) -> DataFrame:
@@ -213,7 +291,7 @@ def latest_report(captures: DataFrame, pattern: str) -> DataFrame:
 
 
 def legacy_hash(captures: DataFrame) -> DataFrame:
-    return read_pages(captures).select("url", "legacy_sha256")
+    return read_pages(captures, "legacy")
 
 
 def official_source(captures: DataFrame, rules: DataFrame) -> DataFrame:

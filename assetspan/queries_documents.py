@@ -233,11 +233,6 @@ def extract_links(spark, sf):
     return documents.extract_links(table(spark, sf, "pages"))
 
 
-@query("SELECT DISTINCT url, CAST(NULL AS VARCHAR) AS published_at FROM pages", plain=True)
-def publication_metadata(spark, sf):
-    return documents.publication_metadata(table(spark, sf, "pages"))
-
-
 _APART = _SPACES.format(_DECODE.format(f"regexp_replace({_ARTICLE}, '<[^>]*>', ' ', 'g')"))
 
 
