@@ -106,39 +106,78 @@ def apply_decisions(assets: DataFrame, contracts: DataFrame, decisions: DataFram
     return Applied(assets_after, after, changes, holds, events, outcomes.select("job_id", outcome.alias("outcome")))
 
 
+def levels(items: DataFrame, alone: DataFrame) -> DataFrame:
+    """(job_id, level) of documents by the assets they name: a document comes one level after the last one before it that names an asset of its own.
+
+    items: job_id, company, round, asset_id, a row per item; alone: companies whose documents come one by one.  Documents of one level share no asset.  A
+    first guess, each document's place among those of its assets, is lifted along the links until no link is left that it breaks: as
+    often as documents of several assets hang together, not at all where each names one.
+    """
+    keyed = items.select("job_id", "company", F.coalesce("round", F.lit(0)).alias("round"), F.concat(F.lit("a "), "asset_id").alias("key"))
+    own = keyed.select("job_id", "company", "round").distinct()
+    one_by_one = own.join(alone, "company", "left_semi").select("job_id", "company", "round", F.concat(F.lit("c "), "company").alias("key"))
+    turn = Window.partitionBy("key").orderBy("round", "job_id")
+    named = keyed.where("key is not null").distinct().union(one_by_one)
+    placed = cut(named.select("job_id", F.row_number().over(turn).alias("place"), F.lag("job_id").over(turn).alias("before")))
+    links = placed.where("before is not null").select("job_id", "before").distinct()
+    found = cut(own.select("job_id").join(placed.groupBy("job_id").agg(F.max("place").alias("level")), "job_id", "left").select("job_id", F.coalesce("level", F.lit(1)).alias("level")))
+    while True:
+        least = links.join(found.select(F.col("job_id").alias("before"), (F.col("level") + 1).alias("least")), "before").groupBy("job_id").agg(F.max("least").alias("least"))
+        moved = found.join(least, "job_id", "left").select("job_id", "level", F.greatest("level", "least").alias("next"))
+        moved = cut(moved)
+        if moved.where("next > level").isEmpty():
+            return found
+        found = moved.select("job_id", F.col("next").alias("level"))
+
+
 def apply_rounds(assets: DataFrame, contracts: DataFrame, decisions: DataFrame, violations, updates: DataFrame | None = None) -> Applied:
-    """State, changes, holds, events and outcomes after documents in rounds; decisions and updates have `round`, the document's rank within its company.
+    """State, changes, holds, events and outcomes after documents in order; decisions and updates have `round`, the document's rank within its company.
 
     violations(assets, contracts) gives the integrity violations of a state (asset_id, contract_id); a document whose result has one is
-    dropped whole, with its changes, holds and events, and its outcome is `failed`.  Rounds are as many as one company has documents
-    waiting, which listings bound; they carry only the contracts of assets that some document names.
+    dropped whole, with its changes, holds and events, and its outcome is `failed`.  Documents that share no asset are applied together, so that there are
+    as many rounds as documents name one asset.  The state is checked whole once; after that each round reads and checks the rows of
+    its own assets only, as nothing else can have changed.  A company whose state has a violation to begin with has its documents applied one by
+    one, each against all of the company's rows, for the violation is theirs to mend or to fail by.
     """
-    rounds = decisions.select("round", "asset_id") if updates is None else decisions.select("round", "asset_id").union(updates.select("round", "asset_id"))
-    ranks = sorted(r[0] for r in rounds.where("round is not null").select("round").distinct().collect())
-    touched = small(cut(rounds.where("asset_id is not null").select("asset_id").distinct()))
-    rest = contracts.join(touched, "asset_id", "left_anti")  # no round changes them: their violations are found once, and they come back at the end
+    items = decisions.select("job_id", "company", "round", "asset_id")
+    items = cut(items if updates is None else items.union(updates.select("job_id", "company", "round", "asset_id")))
+    touched = small(cut(items.where("asset_id is not null").select("asset_id").distinct()))
+    rest = contracts.join(touched, "asset_id", "left_anti")  # no round changes them: they come back at the end
     contracts = cut(contracts.join(touched, "asset_id", "left_semi"))
     owners = assets.select("asset_id", "company")
     companies = lambda found: found.where("asset_id is not null").select("asset_id").distinct().join(owners, "asset_id").select("company").distinct()
-    broken = cut(companies(violations(assets, rest).where("contract_id is not null")))
+    whole = violations(assets, contracts.unionByName(rest, allowMissingColumns=True))
+    faults = cut(whole.where("asset_id is not null").select("asset_id", F.col("contract_id").isNotNull().alias("_c")).distinct().join(owners, "asset_id").select("company", "asset_id", "_c"))
+    broken = cut(faults.select("company").distinct())
+    lasting = cut(faults.where("_c").join(touched, "asset_id", "left_anti").select("company").distinct())  # of rows that no document names
+    of_broken = cut(assets.join(broken, "company", "left_semi").select("asset_id"))
+    level = cut(levels(items, broken))
+    last = level.agg(F.max("level")).first()[0] or 1
+    decisions, updates = (d if d is None else cut(d.join(level, "job_id")) for d in (decisions, updates))
     parts: dict[str, list[DataFrame]] = {"changes": [], "holds": [], "events": [], "outcomes": []}
-    for r in ranks or [0]:
-        part = cut(decisions.where(F.col("round") == r))
-        news = None if updates is None else cut(updates.where(F.col("round") == r))
-        parents = contracts.select("contract_id", F.col("asset_id").alias("_parent"))
+    for r in range(1, last + 1):
+        part = decisions.where(F.col("level") == r).drop("level")
+        news = None if updates is None else updates.where(F.col("level") == r).drop("level")
+        now = items.join(level.where(F.col("level") == r), "job_id", "left_semi")
+        scope = small(cut(now.where("asset_id is not null").select("asset_id").union(of_broken).distinct()))
+        a, c = assets.join(scope, "asset_id", "left_semi"), cut(contracts.join(scope, "asset_id", "left_semi"))
+        parents = c.select("contract_id", F.col("asset_id").alias("_parent"))
         gone = F.col("contract_id").isNotNull() & ~F.col("_parent").eqNullSafe(F.col("asset_id"))
         part = cut(part.join(parents, "contract_id", "left").withColumn("hold_reason", F.coalesce("hold_reason", F.when(gone, "contractId is no contract of the asset"))).drop("_parent"))
-        result = _stored(apply_decisions(assets, contracts, part, news))
-        bad = companies(violations(result.assets, result.contracts)).union(broken).distinct()
-        read = part.select("job_id", "company") if news is None else part.select("job_id", "company").union(news.select("job_id", "company"))
-        failed = cut(read.distinct().join(bad, "company", "left_semi"))
+        result = _stored(apply_decisions(a, c, part, news))
+        found = cut(violations(result.assets, result.contracts).join(scope, "asset_id", "left_semi").select("asset_id").distinct())
+        jobs = now.select("job_id", "company").distinct()
+        of_asset = now.join(found, "asset_id", "left_semi").select("job_id")
+        of_company = jobs.join(companies(found).join(broken, "company", "left_semi").union(lasting).distinct(), "company", "left_semi").select("job_id")
+        failed = cut(of_asset.union(of_company).distinct())
         if not failed.isEmpty():
-            kept = lambda d: d.join(failed.select("job_id"), "job_id", "left_anti")
-            result = _stored(apply_decisions(assets, contracts, kept(part), None if news is None else kept(news)))
-        assets, contracts = result.assets, result.contracts
-        for k, found in parts.items():
-            found.append(getattr(result, k) if k != "outcomes" else result.outcomes.union(failed.select("job_id", F.lit("failed"))))
-    return Applied(assets, contracts.unionByName(rest, allowMissingColumns=True), **{k: reduce(DataFrame.unionByName, found) for k, found in parts.items()})
+            kept = lambda d: d.join(failed, "job_id", "left_anti")
+            result = _stored(apply_decisions(a, c, kept(part), None if news is None else kept(news)))
+        assets = cut(assets.join(scope, "asset_id", "left_anti").unionByName(result.assets))
+        contracts = cut(contracts.join(scope, "asset_id", "left_anti").unionByName(result.contracts, allowMissingColumns=True))
+        for k, of in parts.items():
+            of.append(getattr(result, k) if k != "outcomes" else result.outcomes.union(failed.select("job_id", F.lit("failed"))))
+    return Applied(assets, contracts.unionByName(rest, allowMissingColumns=True), **{k: reduce(DataFrame.unionByName, of) for k, of in parts.items()})
 
 
 def _stored(done: Applied) -> Applied:
