@@ -83,3 +83,25 @@ def table_digest(df: DataFrame) -> DataFrame:
         F.count("*").alias("rows"),
         F.sha2(F.concat_ws("-", F.count("*").cast("string"), F.bit_xor("_h").cast("string"), F.coalesce(F.sum("_l"), F.lit(0)).cast("string"), F.coalesce(F.sum("_u"), F.lit(0)).cast("string")), 256).alias("digest"),
     )
+
+
+#: Hashes that one node of a tree joins.
+FAN = 1024
+
+
+def tree_digest(leaves: DataFrame) -> DataFrame:
+    """One row (rows, digest) for ordered texts of any number: leaves is (n, leaf) with n counted from 0 without gaps.
+
+    A leaf's hash is that of its text, a node's hash that of its FAN children's hashes in order, level by level until one node is left.  What meets in a
+    task is FAN hashes; a level has a FANth of the rows of the one below.  No rows give the hash of an empty text.
+    """
+    level = leaves.select("n", F.sha2(F.coalesce("leaf", F.lit("null")), 256).alias("h"))
+    rows = level.count()
+    width = rows
+    while True:
+        children = F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda c: c["h"])
+        level = level.groupBy(F.floor(F.col("n") / FAN).alias("n")).agg(F.sha2(F.array_join(children, ""), 256).alias("h"))
+        width = -(-width // FAN)
+        if width <= 1:
+            break
+    return level.agg(F.lit(rows).cast("long").alias("rows"), F.coalesce(F.first("h"), F.sha2(F.lit(""), 256)).alias("digest"))

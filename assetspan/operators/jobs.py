@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetspan.functions.hashes import canonical_hash, job_id
+from assetspan.functions.hashes import canonical_hash, job_id, tree_digest
 from assetspan.functions.scalars import backoff_seconds
 from assetspan.session import cut
 
@@ -128,6 +128,13 @@ def backlog_fingerprint(backlog: DataFrame) -> DataFrame:
     return backlog.agg(F.count("*").alias("pending"), F.to_json(jobs).alias("j")).select("pending", canonical_hash("j").alias("fingerprint"))
 
 
+def backlog_tree_fingerprint(backlog: DataFrame) -> DataFrame:
+    """One row (pending, fingerprint) of a backlog of any size, by a hash tree over its jobs in order of their ids."""
+    job = F.to_json(F.struct(F.col("job_id").alias("jobId"), "kind", "company", "url", F.col("document_sha256").alias("documentSha256")))
+    leaves = numbered(backlog.select(F.lit(0).alias("g"), F.col("job_id").alias("k"), job.alias("leaf")), "g", [F.col("k"), F.col("leaf")], "n")
+    return tree_digest(leaves.select((F.col("n") - 1).cast("long").alias("n"), "leaf")).select(F.col("rows").alias("pending"), F.col("digest").alias("fingerprint"))
+
+
 def retry_after(documents: DataFrame, now: int, usage_until: int = 0) -> DataFrame:
     """One row: the end of a usage wait, else the first end of a wait if all open jobs wait, else 0."""
     wait = F.coalesce("next_attempt_after", F.lit(0))

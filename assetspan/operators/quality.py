@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetspan.functions.scalars import finite, nonempty, positive
-from assetspan.operators.jobs import backlog_fingerprint
+from assetspan.operators.jobs import backlog_fingerprint, backlog_tree_fingerprint
 
 
 def _failed(checks: list[tuple[str, Column, Column | None]]) -> Column:
@@ -89,8 +89,9 @@ def published_violations(contracts: DataFrame, events: DataFrame) -> DataFrame:
     return derived.union(held)
 
 
-def backlog_violations(jobs: DataFrame, schema_version: int, pending: int, kinds: list[str], companies: list[str], fingerprint: str | None = None) -> DataFrame:
-    """Of a published backlog of jobs (job_id, kind, company, url, document_sha256); with a fingerprint also whether it is that of the jobs."""
+def backlog_violations(jobs: DataFrame, schema_version: int, pending: int, kinds: list[str], companies: list[str], fingerprint: str | None = None, tree: str | None = None) -> DataFrame:
+    """Of a published backlog of jobs (job_id, kind, company, url, document_sha256); with a fingerprint, or that of a hash tree, also whether it is that of
+    the jobs."""
     doubled = jobs.groupBy("job_id").agg(F.count("*").alias("n")).where("n > 1")
     one = jobs.agg(F.count("*").alias("n"))
     rule = lambda d, name, c, x="job_id": d.where(c).select(F.lit(name).alias("rule"), (F.col(x) if x in d.columns else F.lit(None)).cast("string").alias("job_id"))
@@ -106,6 +107,8 @@ def backlog_violations(jobs: DataFrame, schema_version: int, pending: int, kinds
     ]
     if fingerprint is not None:
         found.append(rule(backlog_fingerprint(jobs), "fingerprint", F.col("fingerprint") != fingerprint))
+    if tree is not None:
+        found.append(rule(backlog_tree_fingerprint(jobs), "fingerprint", F.col("fingerprint") != tree))
     return reduce(DataFrame.union, found)
 
 
