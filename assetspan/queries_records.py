@@ -334,27 +334,6 @@ def revision_stream(spark, sf):
     return spark.read.parquet(f"{path}/table").select("source_id", "document_sha256", "status")
 
 
-@query(_SOURCES + " SELECT source_id, arg_max(document_sha256, (captured_at, document_sha256)) AS document_sha256 FROM s GROUP BY source_id", plain=True)
-def latest_revision(spark, sf):
-    path = _folder(spark)
-    out = streams.latest_revision(_captured(spark, sf))
-    write = lambda df, k: df.write.mode("append").parquet(f"{path}/table")
-    out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    newest = F.max_by("document_sha256", F.struct("captured_at", "document_sha256")).alias("document_sha256")
-    return spark.read.parquet(f"{path}/table").groupBy("source_id").agg(newest)
-
-
-@query(_SOURCES + " SELECT DISTINCT source_id AS job_id, 'applied' AS outcome FROM s", plain=True)
-def decision_stream(spark, sf):
-    """Responses streamed twice; a job is applied once."""
-    path = _folder(spark)
-    given = _captured(spark, sf).select(F.col("source_id").alias("job_id"), F.col("document_sha256").alias("payload"))
-    act = lambda df, batch: df.select("job_id", F.lit("applied").alias("outcome"))
-    for k in range(2):
-        streams.decision_stream(given, f"{path}/done", act, f"{path}/checkpoint{k}").awaitTermination()
-    return streams.outcomes(spark, f"{path}/done").select("job_id", "outcome")
-
-
 @query(" SELECT generation, contract_id, CAST(row_number() OVER (PARTITION BY generation ORDER BY start_date, contract_id) AS INT) AS place FROM observations")
 def observation_order(spark, sf):
     """Each observation's place among those of its class, in the order in which they are shown."""

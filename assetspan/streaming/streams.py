@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from assetspan.functions.hashes import job_id
-from assetspan.session import small
+from assetspan.operators.apply import Applied, apply_rounds
+from assetspan.operators.decisions import envelopes, validate_decisions, validate_updates
+from assetspan.operators.jobs import reading_order
+from assetspan.operators.quality import integrity_violations
+from assetspan.session import cut, small
+from assetspan.sources import commits
+from assetspan.streaming import state
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -47,32 +55,100 @@ def revision_stream(captures: DataFrame, path: str, checkpoint: str):
     return captures.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def decision_stream(responses: DataFrame, done_path: str, apply: Callable[[DataFrame, str], DataFrame], checkpoint: str):
-    """Hands arriving responses of jobs that are not done yet to apply(responses, batch), and stores the (job_id, outcome) it returns.
+def decision_stream(responses: DataFrame, path: str, checkpoint: str, registered: DataFrame, generations: list[str], asset_states: list[str], contract_states: list[str]):
+    """Validates and applies arriving responses to the versioned state at path (tables assets and contracts, see streaming.state), a version per batch.
 
-    A batch has a name of its own, the same when it is run again after a failure, and its outcomes stand in a folder of that name, which a second
-    run overwrites.  What apply() writes must go by that name too: then a batch that failed between apply() and the outcomes leaves nothing
-    twice.  Of several responses of one job the least counts.
+    responses: a stream of job_id, company, payload, source_id, document_sha256, kind, url, published_at.  A batch reads the newest version n, holds, applies
+    and checks its documents in reading order against it, and commits n+1 together with its own number and with what it adds to the history:
+    outcomes, changes, holds and events.  So a batch that runs again finds its number and does nothing, one that failed before its
+    commit has changed nothing, and of two streams at one state the second goes on from the version of the first.  A job is applied once
+    however often its response arrives; of several responses of a batch the least counts.  A response that failed is not tried again, another one of that
+    job is.
     """
     stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def batch(df: DataFrame, number: int) -> None:
-        name = f"{stream}-{number}"
-        before = outcomes(df.sparkSession, done_path)
-        todo = _unknown(_once(df), None if before is None else before.where(F.col("batch") != name)).persist()
-        apply(todo, name).select("job_id", "outcome").write.mode("overwrite").parquet(f"{done_path}/batch={name}")
-        todo.unpersist()
+        spark = df.sparkSession
+        given = cut(_once(df).withColumn("response_sha256", F.sha2("payload", 256)))
+        while True:
+            version, record = commits.latest(spark, path, state.NAME)
+            if record is None:
+                raise ValueError(f"{path} holds no state: begin with streaming.state.start()")
+            if record["streams"].get(stream, -1) >= number:
+                return
+            todo = _unanswered(given, state.history(spark, path, "outcomes"))
+            if todo.isEmpty():
+                return
+            now = state.read(spark, path, record)
+            done, keys = _applied(todo, now["assets"], now["contracts"], registered, generations, asset_states, contract_states)
+            shas = todo.select("job_id", "response_sha256")
+            added = {"outcomes": done.outcomes.join(shas, "job_id"), "changes": done.changes, "holds": done.holds, "events": done.events}
+            if state.advance(spark, path, version, record, {"assets": done.assets, "contracts": done.contracts}, keys, added, stream, number):
+                return
 
     return responses.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def outcomes(spark: SparkSession, done_path: str) -> DataFrame | None:
-    """(job_id, outcome, batch) of all batches so far."""
-    return _read(spark, done_path)
-
-
-def latest_revision(captures: DataFrame) -> DataFrame:
-    """Of a stream (source_id, document_sha256, captured_at): each source's newest revision whenever something of it arrives, in update mode; older
-    revisions that come late change nothing."""
-    newest = F.max(F.struct("captured_at", "document_sha256")).alias("n")
-    return captures.groupBy("source_id").agg(newest).select("source_id", "n.document_sha256", "n.captured_at")
+def _unanswered(given: DataFrame, outcomes: DataFrame | None) -> DataFrame:
+    """Responses of jobs that have not succeeded and that have not failed by this response; only buckets that the batch has are read."""
+    if outcomes is None:
+        return given
+    buckets = [r[0] for r in given.select(state.bucket("job_id")).distinct().collect()]
+    known = outcomes.where(F.col("state_bucket").isin(buckets)).select("job_id", "response_sha256", "outcome")
+    succeeded = known.where("outcome <> 'failed'").select("job_id")
+    return cut(given.join(succeeded, "job_id", "left_anti").join(known.where("outcome = 'failed'"), ["job_id", "response_sha256"], "left_anti"))
+
+
+def _applied(todo: DataFrame, assets: DataFrame, contracts: DataFrame, registered: DataFrame, generations: list[str], asset_states: list[str], contract_states: list[str]) -> tuple[Applied, DataFrame]:
+    """What the responses do to the state, and the assets that they name; a response that is none has failed."""
+    documents = todo.select("job_id", "company", "source_id", "document_sha256", "kind", "url", "published_at").withColumn("input_mode", F.lit(None).cast("string"))
+    ordered = cut(reading_order(documents).select("job_id", "source_id", "document_sha256", "kind", "url", "published_at", "round"))
+    told = cut(validate_decisions(todo, assets, contracts, contract_states).join(ordered, "job_id"))
+    news = cut(validate_updates(todo, assets, asset_states).join(ordered.select("job_id", "round"), "job_id"))
+    check = lambda a, c: integrity_violations(a, c, registered, generations, asset_states, contract_states)
+    done = apply_rounds(assets, contracts, told, check, news)
+    empty = envelopes(todo).select("job_id", F.when(F.col("reject_reason").isNotNull(), "failed").otherwise("no-change").alias("outcome"))
+    done.outcomes = done.outcomes.union(empty.join(done.outcomes, "job_id", "left_anti"))
+    return done, told.select("asset_id").union(news.select("asset_id")).where("asset_id is not null").distinct()
+
+
+class _Newest(StatefulProcessor):
+    """A source's newest revision, kept until its time is over."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "captured_at timestamp, document_sha256 string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        given = pd.concat(rows)
+        last = given.sort_values(["captured_at", "document_sha256"]).iloc[-1]
+        found = (last["captured_at"].to_pydatetime(), last["document_sha256"])
+        if self.newest.exists() and tuple(self.newest.get()) >= found:
+            return
+        self.newest.update(found)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(last["captured_at"].timestamp() * 1000) + self.keep_ms)
+        yield pd.DataFrame({"source_id": [key[0]], "document_sha256": [found[1]], "captured_at": [last["captured_at"]]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.newest.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def latest_revision(captures: DataFrame, delay: str = "1 day", keep_days: int = 30) -> DataFrame:
+    """Of a stream (source_id, document_sha256, captured_at as timestamp) the revisions that are newer than all of their source before, in update mode.
+
+    Older and repeated revisions emit nothing.  Captures that come more than `delay` after the newest one of all sources are late and go; a source's
+    state goes when nothing newer has come for keep_days of the captures' time, when what is older than it would be late anyway.
+    """
+    spark = captures.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keyed = captures.select("source_id", "document_sha256", "captured_at").withWatermark("captured_at", delay).groupBy("source_id")
+    return keyed.transformWithStateInPandas(_Newest(keep_days * 86_400_000), "source_id string, document_sha256 string, captured_at timestamp", "Update", "EventTime")
