@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,9 +48,9 @@ class Tokens:
         self.a_size = np.array([*map(len, self.a.bytes_of)], np.int64)
         self.b_size = np.array([*map(len, self.b_bytes)], np.int64)
         #: Decimal ids before each sign that may follow: a comma inside a side of a group, a bar after a side, a semicolon after a group.
-        self.a_said = [b"%d%s" % (i, s) for s in (b",", b"|") for i in range(len(self.a_size))]
-        self.b_said = [b"%d%s" % (i, s) for s in (b",", b";") for i in range(len(self.b_size))]
-        self.said = self.a_said + self.b_said
+        said = [b"%d%s" % (i, s) for signs, n in ((b",|", len(self.a_size)), (b",;", len(self.b_size))) for s in (signs[:1], signs[1:]) for i in range(n)]
+        self.said = np.array(said)  # padded with zero bytes
+        self.kind = "<u2" if len(self.b_size) < 1 << 16 else "<u4"
         self.b_words: dict[str, bytes | None] = {}
 
     def b_led(self, units: list[list[str]]) -> list[bytes | None]:
@@ -60,20 +60,32 @@ class Tokens:
             self.b_words = {}
             new = set().union(*units)
         fresh = list(new)
-        for u, ids in zip(fresh, self.b.encode(fresh, num_threads=1)):
-            same = b"".join(map(self.b_bytes.__getitem__, ids)) == b" " + u.encode()
-            self.b_words[u] = np.array(ids, "<u2" if len(self.b_size) < 1 << 16 else "<u4").tobytes() if same else None
+        self.b_words.update(zip(fresh, self._b_ids(fresh)))
         out = []
         for u in units:
             ids = [*map(self.b_words.__getitem__, u)]
             out.append(None if None in ids else b"".join(ids))
         return out
 
+    def _b_ids(self, units: list[str]) -> list[bytes | None]:
+        """Ids of " " + unit; the bytes of all are compared at once, and one by one only where they differ."""
+        ids = self.b.encode(units, num_threads=1)
+        ends = np.cumsum([*map(len, ids)])
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(ends[-1]) if len(ends) else 0)
+        sizes = np.diff(np.concatenate([[0], np.cumsum(self.b_size[flat])])[np.concatenate([[0], ends])] if len(ends) else [0])
+        text = [(" " + u).encode() for u in units]
+        same = b"".join(map(self.b_bytes.__getitem__, flat.tolist())) == b"".join(text) and sizes.tolist() == [*map(len, text)]
+        block, width = flat.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+        stops = (ends * width).tolist()
+        out = [block[i:j] for i, j in zip([0, *stops], stops)]
+        if not same:
+            out = [x if b"".join(map(self.b_bytes.__getitem__, i)) == t else None for x, i, t in zip(out, ids, text)]
+        return out
+
     def streams(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Both id streams of " " + text for each text that is not empty; None where their bytes are not the text's."""
         units = [merge_tree.cut_at_spaces(t) for t in texts]
-        kind = "<u2" if len(self.b_size) < 1 << 16 else "<u4"
-        return [None if b is None else (np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(b, kind).astype(np.int64)) for a, b in zip(self.a.led(units), self.b_led(units))]
+        return [None if b is None else (np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(b, self.kind).astype(np.int64)) for a, b in zip(self.a.led(units), self.b_led(units))]
 
     def rendered(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> bytes:
         """`a1,a2|b1;` for each group, from both id streams and the groups, numbered from 0, that their tokens are in."""
@@ -83,8 +95,9 @@ class Tokens:
         last_b = np.append(b_group[1:] != b_group[:-1], True)
         code = np.empty(len(a) + len(b), np.int64)
         code[np.arange(len(a)) + after_a] = a + last_a * len(self.a_size)
-        code[np.arange(len(b)) + after_b] = b + last_b * len(self.b_size) + len(self.a_said)
-        return b"".join(map(self.said.__getitem__, code.tolist()))
+        code[np.arange(len(b)) + after_b] = b + last_b * len(self.b_size) + 2 * len(self.a_size)
+        signs = self.said[code].view(np.uint8)
+        return signs[signs != 0].tobytes()
 
 
 @dataclass

@@ -196,7 +196,7 @@ class Encoder:
         parts = [[u] if u[1:].isalpha() and u[0] == " " else self.split(u) for u in units]  # a space and letters are one piece
         new = list(set().union(*parts))
         ids = dict(zip(new, self.merge([p.encode() for p in new])))
-        return [b"".join(map(ids.__getitem__, p)) for p in parts]
+        return [ids[p[0]] if len(p) == 1 else b"".join(map(ids.__getitem__, p)) for p in parts]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
