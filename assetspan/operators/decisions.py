@@ -6,12 +6,11 @@ responses: job_id, company, payload (JSON text {reportDate, vesselUpdates: [...]
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetspan.functions.scalars import client_keys, derived_rate, finite, is_iso_date, nonempty
+from assetspan.operators.intervals import overlapping_pairs
 
 #: Fixed values of the response format.
 ACTIONS = ["upsert", "withdraw", "no-change", "hold"]
@@ -182,7 +181,7 @@ def validate_updates(responses: DataFrame, assets: DataFrame, asset_states: list
 
 def suspected_duplicates(decisions: DataFrame, contracts: DataFrame, least_overlap: int = LEAST_OVERLAP) -> DataFrame:
     """(job_id, asset_id, index, start_date, other_index, other_contract_id, other_start_date): written rows that overlap another
-    period of the same asset and client by more than least_overlap days.  Periods meet by the years they touch.
+    period of the same asset and client by more than least_overlap days.
 
     The others are the asset's contracts that the job neither withdraws nor replaces, and rows written later in the same job.
     """
@@ -191,13 +190,11 @@ def suspected_duplicates(decisions: DataFrame, contracts: DataFrame, least_overl
     touched = valid.where("action in ('upsert', 'withdraw') and contract_id is not null").select("job_id", "contract_id").distinct()
     jobs = written.select("job_id", "asset_id").distinct()
     rows = contracts.join(jobs, "asset_id").join(touched, ["job_id", "contract_id"], "left_anti").select("job_id", "asset_id", F.lit(None).cast("int").alias("index"), "contract_id", "start_date", "end_date", "client")
-    other = rows.withColumn("key", F.explode(client_keys(F.col("client")))).unionByName(written)
-    by_year = lambda df: df.where("start_date <= end_date").withColumn("year", F.explode(F.sequence(F.year("start_date"), F.year("end_date"))))
-    a, b = by_year(written).alias("a"), by_year(other).alias("b")
-    later = F.col("b.index").isNull() | (F.col("b.index") > F.col("a.index"))
-    starts = F.greatest("a.start_date", "b.start_date")
-    overlap = F.datediff(F.least("a.end_date", "b.end_date"), starts) > least_overlap
-    same = reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("job_id", "asset_id", "key", "year")])
-    pairs = a.join(b, same & (F.col("a.year") == F.year(starts)) & later & overlap)  # in the year where the overlap begins, so once
+    other = rows.withColumn("key", F.explode(client_keys(F.col("client")))).unionByName(written).withColumn("order", F.coalesce("index", F.lit(-1)))
+    one_written = lambda x, y: F.col(f"{x}.index").isNotNull() | F.col(f"{y}.index").isNotNull()
+    found = overlapping_pairs(other, ["job_id", "asset_id", "key"], ["order"], least_overlap, one_written)
+    written_first = F.col("earlier.index").isNotNull() & (F.col("later.index").isNull() | (F.col("earlier.index") < F.col("later.index")))
+    a, b = (F.when(written_first, F.col(x)).otherwise(F.col(y)) for x, y in (("earlier", "later"), ("later", "earlier")))
+    pairs = found.select(a.alias("a"), b.alias("b"))
     out = pairs.select("a.job_id", "a.asset_id", "a.index", "a.start_date", F.col("b.index").alias("other_index"), F.col("b.contract_id").alias("other_contract_id"), F.col("b.start_date").alias("other_start_date"))
     return out.distinct()  # two clients may share two keys

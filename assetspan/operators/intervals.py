@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assetspan.functions.scalars import is_statistical
+from assetspan.operators.jobs import numbered
+from assetspan.session import cut, small
 
 
 def firm(contracts: DataFrame) -> DataFrame:
@@ -89,3 +92,34 @@ def timeline_axis(contracts: DataFrame, as_of: dt.date) -> DataFrame:
 def dimension(spark: SparkSession, name: str, values: list[str]) -> DataFrame:
     """A small table of the values in order: name, rank."""
     return spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"{name} string, rank int")
+
+
+#: Periods of one key that meet in one cell as they begin; keys with more are cut into slices of so many.
+SLICE = 512
+
+
+def overlapping_pairs(periods: DataFrame, keys: list[str], order: list[str], least: int, such: Callable[[str, str], Column] | None = None, size: int = SLICE) -> DataFrame:
+    """(earlier, later), both structs of all columns, of periods of one key that share more than `least` days; each pair once.  `such` says, by the names
+    of the two structs, which pairs are asked for.
+
+    periods: keys, start_date, end_date and others, those without a key share nothing; `order` tells periods of one key and start apart, pairs that it does not tell apart are left out.
+    A sweep: periods are sorted by start, and each meets those before it that are still open.  A key with more than `size` periods is cut into
+    slices along the sorted starts, and a period that is still open where a later slice begins is carried into it, so that a cell holds one
+    slice and what is open there, however many periods a key has and however long they are; nothing is spread over days or years.
+    """
+    rows = cut(periods.where("start_date <= end_date").dropna(subset=keys).select(F.struct(*keys).alias("_key"), F.struct("*").alias("p"), F.struct("start_date", *order).alias("_at")))
+    large = small(cut(rows.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > size).select("_key")))
+    lone = rows.join(large, "_key", "left_anti").select("_key", "p", "_at", F.lit(0).cast("long").alias("slice"), F.lit(0).cast("long").alias("last"))
+    hot = rows.join(large, "_key", "left_semi")
+    if hot.isEmpty():
+        homes = lone
+    else:
+        placed = cut(numbered(hot, "_key", [F.col("_at")], "_place").withColumn("slice", F.floor((F.col("_place") - 1) / size)))
+        begins = placed.groupBy("_key", "slice").agg(F.min("p.start_date").alias("_first")).groupBy("_key").agg(F.array_sort(F.collect_list("_first")).alias("_begins"))
+        open_until = F.size(F.filter("_begins", lambda b: b <= F.col("p.end_date"))).cast("long") - 1
+        homes = lone.unionByName(placed.join(begins, "_key").select("_key", "p", "_at", "slice", F.greatest("slice", open_until).alias("last")))
+    carried = homes.withColumn("slice", F.explode(F.sequence("slice", "last")))
+    e, l = carried.alias("e"), homes.alias("l")  # noqa: E741
+    shared = F.datediff(F.least("e.p.end_date", "l.p.end_date"), F.col("l.p.start_date")) > least
+    pairs = e.join(l, (F.col("e._key") == F.col("l._key")) & (F.col("e.slice") == F.col("l.slice")) & (F.col("e._at") < F.col("l._at")) & shared & (such("e.p", "l.p") if such else F.lit(True)))
+    return pairs.select(F.col("e.p").alias("earlier"), F.col("l.p").alias("later"))

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetspan.functions import hashes
-from assetspan.operators import decisions, documents, jobs, quality
-from assetspan.plans.model import ASSET_STATES, COMPANIES, CONTRACT_STATES, GENERATIONS, assets, contracts, table
+from assetspan.operators import documents, jobs, observations, quality, trend
+from assetspan.plans.model import ASSET_STATES, COMPANIES, CONTRACT_STATES, GENERATIONS, assets, contracts, periods, table
 from assetspan.queries import query
 from assetspan.queries_documents import DECISIONS, JOURNAL, _documented, journal, responses
 from assetspan.queries_records import _folder
@@ -219,3 +219,39 @@ def input_faults(spark, sf):
     pages = F.when(k == 2, F.array().cast("array<struct<locator:string,text:string>>")).when(k == 3, F.array(page("page:1"), page("page:1"))).otherwise(F.array(page("page:1"), page("page:2")))
     given = table(spark, sf, "pages").select(F.when(k == 0, " ").otherwise(F.col("page_id").cast("string")).alias("job_id"), F.when(k == 1, "letter").otherwise("official-news").alias("kind"), pages.alias("pages"))
     return quality.input_violations(given, ["official-news"]).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def _fitted(p: int, weights: str) -> str:
+    """CTEs of one pass of the local regression: from all pairs of days of a group, with the days' weights and weighted rates in `weights`."""
+    return f"""
+ s{p} AS (SELECT q.g, q.i, sum(k * w) AS s0, sum(k * w * z) AS s1, sum(k * w * z * z) AS s2, sum(k * wy) AS t0, sum(k * wy * z) AS t1 FROM kernel AS q JOIN {weights} AS v ON v.g = q.g AND v.x = q.j GROUP BY q.g, q.i),
+ f{p} AS (SELECT g, i AS x, CASE WHEN s0 > 0 THEN CASE WHEN abs(s0 * s2 - s1 * s1) <= 1e-9 * greatest(1.0, s0 * s2) THEN t0 / s0 ELSE (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) END END AS fit FROM s{p}),
+ r{p} AS (SELECT o.g, o.x, o.y, o.y - f.fit AS r FROM obs AS o JOIN f{p} AS f USING (g, x) WHERE f.fit IS NOT NULL),
+ m{p} AS (SELECT g, median(abs(r)) AS s FROM r{p} GROUP BY g),
+ b{p} AS (SELECT g, x, y, CASE WHEN s < 1e-9 THEN 1.0 WHEN abs(r) / (6 * s) >= 1 THEN 0.0 ELSE pow(1 - pow(r / (6 * s), 2), 2) END AS b FROM r{p} JOIN m{p} USING (g)),
+ w{p} AS (SELECT g, x, sum(b) AS w, sum(b * y) AS wy FROM b{p} GROUP BY g, x)"""
+
+
+_TREND = f""", obs AS (SELECT company AS g, start_date - DATE '1970-01-01' AS x, rate AS y FROM observations),
+ sizes AS (SELECT g, count(*) AS n, greatest(0.3, least(1.0, 4.0 / count(*))) AS span FROM obs GROUP BY g HAVING count(*) >= 5 AND count(DISTINCT x) >= 4),
+ day AS (SELECT g, x, count(*) AS m, CAST(count(*) AS DOUBLE) AS w, sum(y) AS wy FROM obs JOIN sizes USING (g) GROUP BY g, x),
+ pair AS (SELECT a.g, a.x AS i, b.x AS j, abs(a.x - b.x) AS d, sum(b.m) OVER (PARTITION BY a.g, a.x ORDER BY abs(a.x - b.x)) AS upto, b.m FROM day AS a JOIN day AS b USING (g)),
+ reach AS (SELECT p.g, i, coalesce(min(d) FILTER (upto >= greatest(2, floor(span * n))), max(d)) AS h, coalesce(min(d) FILTER (upto >= greatest(4, ceil(n * span))), max(d)) AS e, greatest(4, ceil(n * span)) AS k
+  FROM pair AS p JOIN sizes USING (g) GROUP BY p.g, i, span, n),
+ kernel AS (SELECT p.g, i, j, CAST(j - i AS DOUBLE) AS z, CASE WHEN h > 0 THEN pow(1 - pow(CAST(d AS DOUBLE) / h, 3), 3) ELSE 1.0 END AS k FROM pair AS p JOIN reach USING (g, i) WHERE d < h OR d = 0),
+ {_fitted(1, "day")}, {_fitted(2, "w1")}, {_fitted(3, "w2")},
+ rest AS (SELECT g, x, count(*) AS m, sum(r) AS r1, sum(r * r) AS r2 FROM r3 GROUP BY g, x),
+ inside AS (SELECT q.g, q.i, k, e, coalesce(sum(m) FILTER (d < e), 0) AS c, coalesce(sum(r1) FILTER (d < e), 0) AS s1, coalesce(sum(r2) FILTER (d < e), 0) AS s2, sum(m) FILTER (j = q.i - e) AS ma, sum(r1) FILTER (j = q.i - e) AS a1, sum(r2) FILTER (j = q.i - e) AS a2,
+  sum(m) FILTER (j = q.i + e AND e > 0) AS mb, sum(r1) FILTER (j = q.i + e AND e > 0) AS b1, sum(r2) FILTER (j = q.i + e AND e > 0) AS b2 FROM (SELECT g, i, j, d FROM pair) AS q JOIN reach USING (g, i) JOIN rest ON rest.g = q.g AND rest.x = q.j GROUP BY q.g, q.i, k, e),
+ early AS (SELECT *, CASE WHEN ma > 0 THEN least(1.0, greatest(0.0, (k - c) / ma)) ELSE 0.0 END AS fa FROM inside),
+ late AS (SELECT *, CASE WHEN mb > 0 THEN least(1.0, greatest(0.0, (k - c - fa * coalesce(ma, 0)) / mb)) ELSE 0.0 END AS fb FROM early),
+ sums AS (SELECT g, i AS x, c + fa * coalesce(ma, 0) + fb * coalesce(mb, 0) AS c, s1 + fa * coalesce(a1, 0) + fb * coalesce(b1, 0) AS s1, s2 + fa * coalesce(a2, 0) + fb * coalesce(b2, 0) AS s2 FROM late),
+ band AS (SELECT g, x, CASE WHEN c > 1 THEN sqrt(greatest(0.0, (s2 - s1 * s1 / c) / (c - 1))) ELSE 0.0 END AS sd FROM sums)"""
+
+
+@query(_TREND + """ SELECT g AS company, n, round(span, 6) AS span, strftime(DATE '1970-01-01' + CAST(x AS INTEGER), '%Y-%m-%d') AS date, round(fit, 2) AS rate, round(greatest(0.0, fit - sd), 2) AS band_lo, round(fit + sd, 2) AS band_hi
+FROM f3 JOIN band USING (g, x) JOIN sizes USING (g)""")
+def company_trend(spark, sf):
+    """Each company's trend, against a fit over all pairs of days."""
+    t = trend.rate_trend(observations.rate_observations(assets(spark, sf), periods(spark, sf)), "company")
+    return t.select("company", "n", F.round("span", 6).alias("span"), F.date_format("date", "yyyy-MM-dd").alias("date"), *(F.round(c, 2).alias(c) for c in ("rate", "band_lo", "band_hi")))

@@ -203,3 +203,24 @@ def test_dates_beside_links():
     assert read('<p>May 1, 2026 <span><a href="/x">t</a></span></p>') == [[]] and read('<p>May 1, 2026 <a href="/x">t</a></p>') == [["May 1, 2026"]]
     assert read('<tr><td><time datetime="2026-01-01">x</time></td><td><a href="/x">t</a></td></tr>') == [["2026-01-01"]]
     assert read('<li><script>May 1, 2026</script><a href="/x">t</a> May <b>2</b>, 2026</li>') == [["May 2, 2026"]]
+
+
+# --- periods that overlap
+
+
+def test_overlapping_pairs_meet_once_however_many_a_key_has(spark):
+    from assetspan.operators import intervals
+
+    rng, first = random.Random(6), dt.date(2020, 1, 1)
+    rows = []
+    for i in range(160):
+        start = rng.randrange(400)
+        rows.append((rng.choice(["a", "b", None]) if i > 100 else "hot", i, first + dt.timedelta(start), first + dt.timedelta(start + rng.choice([0, 3, 40, 40, 900]) - (i == 7)), i % 3 == 0))
+    schema = "key string, n int, start_date date, end_date date, marked boolean"
+    such = lambda x, y: F.col(f"{x}.marked") | F.col(f"{y}.marked")
+    shared = lambda x, y: (min(x[3], y[3]) - max(x[2], y[2])).days > 31 and x[2] <= x[3] and y[2] <= y[3]
+    for ask, size in ((None, 512), (None, 7), (such, 7)):
+        want = sorted(tuple(sorted((x[1], y[1]))) for k, x in enumerate(rows) for y in rows[:k] if x[0] is not None and x[0] == y[0] and shared(x, y) and (ask is None or x[4] or y[4]))
+        got = intervals.overlapping_pairs(spark.createDataFrame(rows, schema), ["key"], ["n"], 31, ask, size).select("earlier.n", F.col("later.n").alias("m"), (F.col("earlier.start_date") <= F.col("later.start_date")).alias("ok")).collect()
+        assert sorted(tuple(sorted((r.n, r.m))) for r in got) == want and all(r.ok for r in got) and len(want) > 50
+    assert intervals.overlapping_pairs(spark.createDataFrame(rows, schema).limit(0), ["key"], ["n"], 31).count() == 0
