@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetspan.functions import hashes
-from assetspan.operators import documents, jobs, observations, quality, trend
+from assetspan.operators import apply, decisions, documents, feed, jobs, market, observations, quality, trend
 from assetspan.plans.model import ASSET_STATES, COMPANIES, CONTRACT_STATES, GENERATIONS, assets, contracts, periods, table
 from assetspan.queries import query
-from assetspan.queries_documents import DECISIONS, JOURNAL, _documented, journal, responses
+from assetspan.queries_documents import DECISIONS, FEED, JOURNAL, _documented, announcements, journal, responses
 from assetspan.queries_records import _folder
 from assetspan.session import cut
 from assetspan.sources import captures as landed
@@ -255,3 +255,56 @@ def company_trend(spark, sf):
     """Each company's trend, against a fit over all pairs of days."""
     t = trend.rate_trend(observations.rate_observations(assets(spark, sf), periods(spark, sf)), "company")
     return t.select("company", "n", F.round("span", 6).alias("span"), F.date_format("date", "yyyy-MM-dd").alias("date"), *(F.round(c, 2).alias(c) for c in ("rate", "band_lo", "band_hi")))
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """A sorted frame with `place`, the number of each row as it comes."""
+    return jobs.numbered(df.withColumns({"_i": F.monotonically_increasing_id(), "_g": F.lit(0)}), "_g", [F.col("_i")], "place").drop("_i", "_g")
+
+
+@query(f"""WITH {FEED} SELECT event_id, CAST(row_number() OVER (ORDER BY CASE WHEN title = 'error' THEN '1970-01-01' ELSE published_at END DESC, seq) AS INT) AS place FROM feed""", plain=True)
+def events_in_order(spark, sf):
+    """Where each event stands in the feed as it is sorted."""
+    return _placed(feed.ordered_events(announcements(spark, sf))).select("event_id", "place")
+
+
+@query(""" SELECT asset_id, CAST(row_number() OVER (ORDER BY CASE generation WHEN '6G' THEN 1 WHEN '7G' THEN 2 WHEN '7G+' THEN 3 ELSE 4 END DESC, company, asset_id) AS INT) AS place FROM assets""")
+def timeline_in_order(spark, sf):
+    return _placed(market.timeline_order(assets(spark, sf), GENERATIONS)).select("asset_id", "place")
+
+
+def _files(df: DataFrame, text, path: str) -> None:
+    """A file for each value of g, which holds the text of its group."""
+    df.groupBy("g").agg(text.alias("value")).repartition("g").write.mode("append").partitionBy("g").text(path)
+
+
+@query(f"""WITH {FEED} SELECT event_id, company, url, title, published_at, title = 'error' AS pending, seq % 3 = 0 AS auto FROM feed""", plain=True)
+def feed_files(spark, sf):
+    """Events written as feed files and read again."""
+    path, e = _folder(spark), announcements(spark, sf)
+    row = F.struct(F.col("event_id").alias("id"), "company", "url", "title", F.col("published_at").alias("publishedAt"), (F.col("title") == "error").alias("pendingReview"), (F.col("seq") % 3 == 0).alias("autoApplied"), F.lit(1).alias("unknown"))
+    _files(e.select((F.col("seq") % 64).alias("g"), row.alias("r")), F.to_json(F.struct(F.lit("2024-01-01T00:00:00Z").alias("generatedAt"), F.collect_list("r").alias("events"))), path)
+    return snapshots.read_events(spark, path).select(F.col("id").alias("event_id"), "company", "url", "title", F.col("publishedAt").alias("published_at"), F.col("pendingReview").alias("pending"), F.col("autoApplied").alias("auto"))
+
+
+@query(f"""WITH {JOURNAL}, j AS (SELECT *, CAST(job_id AS BIGINT) AS i FROM journal)
+SELECT job_id, source_id, url, document_sha256, status, CASE WHEN i % 3 > 0 THEN outcome WHEN i % 2 = 0 THEN 'odd' ELSE 'migrated' END AS outcome, CASE WHEN i % 2 = 1 THEN '2024-02-01' END AS last_read_at FROM j WHERE i % 2 = 0 OR status = 'completed'""", plain=True)
+def journal_files(spark, sf):
+    """Records in files of the journal's form, and of the form before it, of which completed jobs are taken over."""
+    path, i = _folder(spark), F.col("job_id").cast("long")
+    j = journal(spark, sf).withColumn("outcome", F.when(i % 3 == 0, "odd").otherwise(F.col("outcome")))
+    record = lambda *more: F.struct(F.col("job_id").alias("jobId"), F.col("source_id").alias("sourceId"), "company", "kind", "title", F.col("document_sha256").alias("documentSha256"), "status", "outcome", *more)
+    now = j.where(i % 2 == 0).select((i % 64).alias("g"), F.struct("job_id", record("url")).alias("r"))
+    _files(now, F.to_json(F.struct(F.lit(3).alias("schemaVersion"), F.map_from_entries(F.collect_list("r")).alias("documents"))), path)
+    old = j.where(i % 2 == 1).select((i % 64).alias("g"), record(F.lit("2024-02-01").alias("completedAt")).alias("r"), F.struct("source_id", F.struct("url")).alias("s"))
+    _files(old, F.to_json(F.struct(F.lit(2).alias("schemaVersion"), F.collect_list("r").alias("jobs"), F.map_from_entries(F.collect_set("s")).alias("sources"))), path)
+    return snapshots.read_documents(spark, path).select("job_id", "source_id", "url", "document_sha256", "status", "outcome", "last_read_at")
+
+
+@query(""" SELECT contract_id, 'note ' || contract_id AS note, CASE WHEN status = 'Firm' AND day_rate > 0 AND client <> 'Undisclosed' THEN NULL ELSE 'older' END AS input_mode,
+ CASE WHEN status = 'Firm' AND day_rate > 0 AND client <> 'Undisclosed' THEN 'https://reports.example.com/' ELSE 'before' END AS source_url FROM contracts""")
+def kept_columns(spark, sf):
+    """Columns that a decision says nothing of stay with a row that is written again; those of its source and of its older form don't."""
+    c = contracts(spark, sf).withColumns({"note": F.concat(F.lit("note "), "contract_id"), "input_mode": F.lit("older"), "source_url": F.lit("before")})
+    d = cut(decisions.validate_decisions(responses(spark, sf), assets(spark, sf), c, CONTRACT_STATES))
+    return apply.apply_decisions(assets(spark, sf), c, _documented(d)).contracts.select("contract_id", "note", "input_mode", "source_url")
