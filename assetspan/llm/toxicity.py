@@ -39,6 +39,8 @@ WORDS = {
 }
 PRIOR = 1.0
 WORD = re.compile(r"\w+")
+#: Words of a clause; a verb with a shortened "not" is one word, and a negation.
+SPOKEN = re.compile(r"\w+n['’]t\b|\w+")
 CLAUSE = re.compile(r"[.!?;:\n\"“”«»]")
 
 
@@ -115,9 +117,9 @@ class Scorer:
             stop = CLAUSE.search(text, m.end())
             end = stop.start() if stop else len(text)
             state, total = GRAMMAR.start, 0.0
-            for word in WORD.findall(text[start:end]):
+            for word in SPOKEN.findall(text[start:end]):
                 weight = self.hit(word)
-                symbol = "threat" if self.symbol.get(word) == "threat" else "insult" if weight else self.symbol.get(word, "other")
+                symbol = "threat" if self.symbol.get(word) == "threat" else "insult" if weight else "negation" if word.endswith(("n't", "n’t")) else self.symbol.get(word, "other")
                 state, factor = GRAMMAR.step(state, symbol)
                 total += factor * weight
             if total > 0:

@@ -255,6 +255,8 @@ def test_grammar_scores_clauses():
     assert one("he said a vequant thing") == pytest.approx(2 * 1.5 * 0.6) and one("you. a vequant thing") == 2.0
     assert one("will kill you") == 1.0 and one("kill time") == pytest.approx(0.3)
     assert s.clauses("") == s.clauses(None) == s.clauses("nothing here") == []
+    assert one("they are not an idiot") == one("they aren't an idiot") == one("They AREN’T an idiot") == one("they arent an idiot") < one("they are an idiot")
+    assert one("I don't hurt you") == one("I dont hurt you") < one("I hurt you") and one("you're an idiot") == one("you are an idiot")
     assert len(s.clauses("vequa one. vequb two! you vequc\nnone")) == 3
 
 
