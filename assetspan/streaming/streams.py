@@ -5,9 +5,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -112,6 +111,13 @@ def _applied(todo: DataFrame, assets: DataFrame, contracts: DataFrame, registere
     return done, told.select("asset_id").union(news.select("asset_id")).where("asset_id is not null").distinct()
 
 
+#: Where keyed state is kept: only changes are written with a batch, whole snapshots now and then.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 class _Newest(StatefulProcessor):
     """A source's newest revision, kept until its time is over."""
 
@@ -120,21 +126,24 @@ class _Newest(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getValueState("newest", "captured_at timestamp, document_sha256 string")
+        self.newest = handle.getValueState("newest", "at long, document_sha256 string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        given = pd.concat(rows)
-        last = given.sort_values(["captured_at", "document_sha256"]).iloc[-1]
-        found = (last["captured_at"].to_pydatetime(), last["document_sha256"])
-        if self.newest.exists() and tuple(self.newest.get()) >= found:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        found = max((r["at"], r["document_sha256"]) for r in rows)
+        known = self.newest.get()
+        if known is not None and tuple(known) >= found:
             return
         self.newest.update(found)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(last["captured_at"].timestamp() * 1000) + self.keep_ms)
-        yield pd.DataFrame({"source_id": [key[0]], "document_sha256": [found[1]], "captured_at": [last["captured_at"]]})
+        if known is not None:
+            self.handle.deleteTimer(self._end(known[0]))
+        self.handle.registerTimer(self._end(found[0]))
+        yield Row(source_id=key[0], document_sha256=found[1], at=found[0])
+
+    def _end(self, at: int) -> int:
+        """Milliseconds at which what came at these microseconds expires."""
+        return at // 1000 + self.keep_ms
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.newest.clear()
         return iter(())
 
@@ -148,7 +157,9 @@ def latest_revision(captures: DataFrame, delay: str = "1 day", keep_days: int =
     Older and repeated revisions emit nothing.  Captures that come more than `delay` after the newest one of all sources are late and go; a source's
     state goes when nothing newer has come for keep_days of the captures' time, when what is older than it would be late anyway.
     """
-    spark = captures.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    keyed = captures.select("source_id", "document_sha256", "captured_at").withWatermark("captured_at", delay).groupBy("source_id")
-    return keyed.transformWithStateInPandas(_Newest(keep_days * 86_400_000), "source_id string, document_sha256 string, captured_at timestamp", "Update", "EventTime")
+    for name, value in STATE_STORE.items():
+        captures.sparkSession.conf.set(name, value)
+    given = captures.where("captured_at is not null and document_sha256 is not null").select("source_id", "document_sha256", "captured_at", F.unix_micros("captured_at").alias("at"))
+    keyed = given.withWatermark("captured_at", delay).groupBy("source_id")
+    found = keyed.transformWithState(_Newest(keep_days * 86_400_000), "source_id string, document_sha256 string, at long", "Update", "EventTime")
+    return found.select("source_id", "document_sha256", F.timestamp_micros("at").alias("captured_at"))
