@@ -185,7 +185,7 @@ _LEAF = """'{"jobId":"' || job_id || '","kind":"' || kind || '","company":"' ||
 _TREE = f"""leaves AS (SELECT row_number() OVER (ORDER BY job_id) - 1 AS n, sha256({_LEAF}) AS h FROM backlog),
  l1 AS (SELECT n // 1024 AS n, sha256(string_agg(h, '' ORDER BY n)) AS h FROM leaves GROUP BY n // 1024), l2 AS (SELECT n // 1024 AS n, sha256(string_agg(h, '' ORDER BY n)) AS h FROM l1 GROUP BY n // 1024),
  l3 AS (SELECT n // 1024 AS n, sha256(string_agg(h, '' ORDER BY n)) AS h FROM l2 GROUP BY n // 1024)"""
-_ROOT = "CASE WHEN (SELECT count(*) FROM l1) = 1 THEN (SELECT h FROM l1) WHEN (SELECT count(*) FROM l2) = 1 THEN (SELECT h FROM l2) ELSE (SELECT h FROM l3) END"
+_ROOT = "CASE WHEN (SELECT count(*) FROM l1) = 1 THEN (SELECT max(h) FROM l1) WHEN (SELECT count(*) FROM l2) = 1 THEN (SELECT max(h) FROM l2) ELSE (SELECT max(h) FROM l3) END"
 
 
 @query(f"WITH {JOURNAL}, backlog AS (SELECT * FROM journal WHERE status <> 'completed'), {_TREE} SELECT (SELECT count(*) FROM backlog) AS pending, {_ROOT} AS fingerprint", plain=True)
