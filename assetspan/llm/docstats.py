@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from assetspan.llm._common import raw
 from assetspan.llm.substring import WORDS, Part
 
 SYMBOLS = b"#*$%&|<>"
@@ -32,7 +33,7 @@ class Stats:
     """Words of a batch and, per text, the counts of the base rules and the shares named in STATS (columns of `matrix`)."""
 
     def __init__(self, batch: pa.RecordBatch):
-        part = self.part = Part(batch)
+        part = self.part = Part(raw(batch, "text"))
         n, texts = batch.num_rows, [t or b"" for t in part.texts]
         begin = part.begin
         self.n_words = np.diff(begin)

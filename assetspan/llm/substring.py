@@ -1,17 +1,20 @@
 """Substring dedup: relative Lempel-Ziv factors of every document against indexed reference blocks.
 
-A run of WINDOW words has an anchor: the least hash of its stretches of GRAM words.  Equal runs have equal anchors, so only runs whose anchor
-occurs in a second document can repeat.  All runs with one anchor that follow each other in a document are one segment, taken with its words.
-
-Reference blocks: the segments of an anchor meet in one task, and anchors are gathered to blocks of about BLOCK_BYTES.  A suffix array over a
-block's words is its index.  Each segment is parsed greedily from left to right against the segments of earlier documents: at a
-word the factor is the longest match that any of them has; the next one begins at the first word behind it whose run is found at
-all, tried from WINDOW - 1 words before the factor's end on, so that runs across the boundary of two factors are checked too.  Factors of
-WINDOW words or more are the duplicate spans; their words are exactly the words of runs that start in an earlier document.
-
-Anchors of more than HOT documents would make blocks without a bound.  Their runs are looked up by fingerprints of 128 bits instead, summed
-before the shuffle, which is as exact; a factor then is one run.  Texts equal to one of a smaller doc_id are one factor as a whole from
-the start.  Joins back to the rows leave skew to adaptive execution.
+A run of WINDOW words has an anchor: the least hash of its stretches of GRAM words, at the first place where it stands.  Equal runs have equal
+anchors, so only runs whose anchor occurs in a second document can repeat.  The runs of a document whose anchor stands at one place are one segment,
+taken with its words: at most WINDOW - GRAM + 1 runs, cut by what the text says and not by where it stands, so that a text that repeats
+a phrase without end has few different segments.
+
+Equal segments are met before any words are shuffled: all but those of the least document are one factor.  The different segments of an anchor meet
+in one task, and anchors are gathered to reference blocks of about BLOCK_BYTES.  A suffix array over a block's words is its index.
+Each segment is parsed greedily from left to right against the segments of earlier documents: at a word the factor is the longest match
+that any of them has; the next one begins at the first word behind it whose run is found at all, tried from WINDOW - 1 words before the
+factor's end on, so that runs across the boundary of two factors are checked too.  Factors of WINDOW words or more are the
+duplicate spans; their words are exactly the words of runs that start in an earlier document.
+
+An anchor whose different segments hold more than HOT bytes deals them anew by the anchors of longer stretches, and in the end by their whole
+runs, of which equal ones are one segment.  So no block holds more than BLOCK_BYTES and HOT bytes, whatever the documents.  Texts equal
+to one of a smaller doc_id are one factor as a whole from the start.  Joins back to the rows leave skew to adaptive execution.
 """
 
 from __future__ import annotations
@@ -29,19 +32,16 @@ from assetspan.llm._common import Rolling, chunks, cut, mix, packed, raw, small,
 
 WINDOW = 50
 GRAM = 20
-HOT = 256
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = HOT = 1 << 20
 #: Bytes of \x20 and \x09-\x0D, which part words.
 IS_WORD = np.array([not (i == 32 or 9 <= i <= 13) for i in range(256)])
 WORDS, OTHER = Rolling(0x5851F42D4C957F2D), Rolling(0x14057B7EF767814F)
-FACTORS = "array<struct<pos:int,size:int,ref:long>>"
 
 
 class Part:
     """Words of a batch of texts, with 64-bit hashes; begin[i]:begin[i + 1] are those of text i."""
 
-    def __init__(self, batch: pa.RecordBatch, column: str = "text"):
-        texts = raw(batch, column)
+    def __init__(self, texts: list[bytes | None]):
         buffer = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8)
         self.starts, self.ends = word_bounds(buffer, IS_WORD)
         size = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
@@ -56,15 +56,29 @@ class Part:
         at = np.arange(n)
         return mix(rolling.runs(rolling.prefix(self.word), at, at + size))
 
-    def anchors(self, window: int) -> np.ndarray:
-        """The anchor of the window from each word on: the least of its hashes of GRAM words."""
-        gram = min(GRAM, window)
-        x, span, width = self.runs(gram, WORDS), window - gram + 1, 1
+    def places(self, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the window from each word on its anchor, the least of its hashes of `gram` words, and the first word that has it."""
+        if len(self.word) < window:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        x = self.runs(gram, WORDS)
+        at, span, width = np.arange(len(x)), window - gram + 1, 1
+
+        def least(step: int) -> np.ndarray:
+            one, other = at[: len(at) - step], at[step:]
+            return np.where(x[other] < x[one], other, one)
+
         while 2 * width <= span:
-            x = np.minimum(x[: len(x) - width], x[width:])
+            at = least(width)
             width *= 2
-        rest = span - width
-        return (np.minimum(x[: len(x) - rest], x[rest:]) if rest else x).view(np.int64)
+        if span > width:
+            at = least(span - width)
+        return x[at].view(np.int64), at
+
+
+def grams(window: int) -> list[int]:
+    """Words of the stretches that anchors are taken from, the last of them whole runs."""
+    gram = min(GRAM, (window + 1) // 2)
+    return sorted({gram, (gram + window) // 2, window})
 
 
 def _anchors(window: int):
@@ -72,8 +86,8 @@ def _anchors(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
-            part = Part(b)
-            anchor = part.anchors(window)
+            part = Part(raw(b, "text"))
+            anchor, _ = part.places(window, grams(window)[0])
             own = [np.unique(anchor[a : max(a, e - window + 1)]) for a, e in zip(part.begin[:-1].tolist(), part.begin[1:].tolist())]
             keys = [b.column(b.schema.get_field_index(k)) for k in ("doc_id", "_th", "_sha")]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(own, pa.list_(pa.int64()))], ["doc_id", "_th", "_sha", "anchors"])
@@ -81,54 +95,55 @@ def _anchors(window: int):
     return run
 
 
-def segments(anchor: np.ndarray, run: np.ndarray, wanted: np.ndarray, rolling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First run and number of runs of one text's segments whose anchor is wanted; of equal ones the first."""
-    if not len(anchor) or not len(wanted):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-    count = np.diff(np.append(first, len(anchor)))
-    take = np.isin(anchor[first], wanted)
-    first, count = first[take], count[take]
-    key = mix(run[first] ^ mix(run[first + count - 1] + count.astype(np.uint64)) ^ WORDS.runs(rolling, first, first + count))
-    at = np.sort(np.unique(key, return_index=True)[1])
-    return first[at], count[at]
+def segments(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First run and number of runs of one text's segments."""
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(place)), bool), place[1:] != place[:-1])))
+    return first, np.diff(np.append(first, len(place)))
+
 
+SEGMENTS = "anchor long, doc_id long, a long, b long, pos int, words binary, h1 long, h2 long, runs int"
 
-def _segments(window: int):
-    """Of rows with shared anchors: segments of anchors that are not hot, and every run of hot ones, in one table.
 
-    A segment has its words, a run its fingerprint.  Runs that recur in a text are given once.
+def _segments(window: int, gram: int, text: str, keys: tuple[str, ...]):
+    """Segments of rows of `text`, those that recur in one text once, with the row's keys and 128 bits of fingerprint.
+
+    Where a column `shared` names anchors, only theirs.  Segments of one run have no words: their fingerprint is all that is asked.
     """
-    names = ["anchor", "doc_id", "_th", "pos", "words", "h1", "h2"]
+    names = [c.split()[0] for c in SEGMENTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            some = b.column(b.schema.get_field_index("shared")).is_valid()
-            for c in chunks(iter([b.filter(some)]), "text"):
-                part = Part(c)
-                anchor, first = part.anchors(window), part.runs(window, WORDS)
-                rolling = WORDS.prefix(first)
+            i = b.schema.get_field_index("shared")
+            if i >= 0:
+                b = b.filter(b.column(i).is_valid())
+            for c in chunks(iter([b]), text):
+                part = Part(raw(c, text))
+                anchor, place = part.places(window, gram)
+                one, other = WORDS.prefix(part.word), OTHER.prefix(part.word)
                 buffer = b"\n".join(t or b"" for t in part.texts) + b"\n"
-                column = [c.column(c.schema.get_field_index(k)) for k in ("doc_id", "_th", "shared", "hot")]
-                out: list[list] = [[] for _ in names]
-                for i, (a, e) in enumerate(zip(part.begin[:-1].tolist(), part.begin[1:].tolist())):
-                    e = max(a, e - window + 1)
-                    keys = column[0][i].as_py(), column[1][i].as_py()
-                    shared, hot = (np.asarray(x[i].values.to_numpy(), np.int64) if x[i].is_valid else np.zeros(0, np.int64) for x in column[2:])
-                    at, count = segments(anchor[a:e], first[a:e], shared, rolling[a : e + 1])
-                    for p, n in zip(at.tolist(), count.tolist()):
-                        words = buffer[part.starts[a + p] : part.ends[a + p + n + window - 2]]
-                        for x, v in zip(out, (int(anchor[a + p]), *keys, p, words, None, None)):
-                            x.append(v)
-                    at = a + np.flatnonzero(np.isin(anchor[a:e], hot)) if len(hot) else np.zeros(0, np.int64)
-                    at = at[np.sort(np.unique(first[at], return_index=True)[1])]
-                    if len(at):
-                        other = mix(OTHER.runs(OTHER.prefix(part.word[a : part.begin[i + 1]]), at - a, at - a + window))
-                        n = len(at)
-                        for x, v in zip(out, ([None] * n, [keys[0]] * n, [keys[1]] * n, (at - a).tolist(), [None] * n, first[at].view(np.int64).tolist(), other.view(np.int64).tolist())):
-                            x.extend(v)
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
+                rows, firsts, counts = [], [], []
+                for k, (a, e) in enumerate(zip(part.begin[:-1].tolist(), part.begin[1:].tolist())):
+                    first, count = segments(place[a : max(a, e - window + 1)])
+                    first = first + a
+                    if i >= 0:
+                        take = np.isin(anchor[first], np.asarray(c.column(i)[k].values.to_numpy(), np.int64))
+                        first, count = first[take], count[take]
+                    end = first + count + window - 1
+                    prints = np.stack([h.runs(p, first, end) for h, p in ((WORDS, one), (OTHER, other))], 1)
+                    at = np.sort(np.unique(np.ascontiguousarray(prints).view("V16").ravel(), return_index=True)[1])
+                    rows.append(np.full(len(at), k))
+                    firsts.append(first[at])
+                    counts.append(count[at])
+                if not rows:
+                    continue
+                row, first, count = (np.concatenate(x) for x in (rows, firsts, counts))
+                end = first + count + window - 1
+                prints = [mix(h.runs(p, first, end) + mix(count.astype(np.uint64))).view(np.int64) for h, p in ((WORDS, one), (OTHER, other))]
+                words = [None] * len(row) if gram == window else [buffer[x:y] for x, y in zip(part.starts[first].tolist(), part.ends[end - 1].tolist())]
+                owner = [c.column(c.schema.get_field_index(k)).take(pa.array(row)) for k in keys]
+                owner += [pa.array(np.zeros(len(row), np.int64))] * (3 - len(owner))
+                pos = pa.array((first - part.begin[row]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[first]), *(x.cast(pa.int64()) for x in owner), pos, pa.array(words, pa.binary()), *map(pa.array, prints), pa.array(count.astype(np.int32))], names)
 
     return run
 
@@ -210,12 +225,10 @@ class Block:
 
 
 def _factors(window: int, most: int = BLOCK_BYTES):
-    """Factors of the segments of a partition that is sorted by anchor; a block has whole anchors."""
-    names = ["doc_id", "_th", "pos", "size", "ref"]
+    """Factors of the different segments of a partition that is sorted by anchor; a block has whole anchors."""
 
     def parsed(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        anchor, texts = t.column("anchor").to_numpy(), t.column("words").to_pylist()
-        doc, pos = t.column("doc_id").to_numpy(), t.column("pos").to_numpy().astype(np.int64)
+        anchor, texts, doc = t.column("anchor").to_numpy(), t.column("words").to_pylist(), t.column("ref").to_numpy()
         ends = np.cumsum([len(x) for x in texts])
         last = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor))  # ends of anchors' rows
         a = 0
@@ -225,8 +238,8 @@ def _factors(window: int, most: int = BLOCK_BYTES):
             got = Block(texts[a:b], doc[a:b], window).parse()
             if got:
                 s, p, n, r = (np.array(x, np.int64) for x in zip(*got))
-                rows = pa.array(a + s)
-                yield pa.RecordBatch.from_arrays([*(t.column(k).combine_chunks().take(rows) for k in names[:2]), pa.array((pos[a + s] + p).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(r)], names)
+                keys = [t.column(k).combine_chunks().take(pa.array(a + s)) for k in ("h1", "h2")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(p.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(r)], ["h1", "h2", "pos", "size", "ref"])
             a = b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,6 +260,32 @@ def _factors(window: int, most: int = BLOCK_BYTES):
     return run
 
 
+def _matched(found: DataFrame, window: int, sizes: list[int]) -> DataFrame:
+    """(doc_id, a, b, pos, size, ref): factors of segments, of which doc_id, a, b and pos say where they stand.
+
+    Of equal segments those of the least document are parsed, as one, the others are one factor.
+    """
+    found = cut(found)
+    whole = cut(found.groupBy("anchor", "h1", "h2").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("end"), F.first("words").alias("words"), F.first("runs").alias("runs")))
+    firsts = whole.select("h1", "h2", "runs", F.col("ref").alias("first"), "end")
+    everything = F.array(F.struct(F.lit(0).alias("pos"), (F.col("runs") + window - 1).alias("size"), F.col("first").alias("ref")))
+    if sizes[0] < window:
+        met = cut(whole.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.octet_length("words")).alias("bytes")).where("n > 1").select("anchor", (F.col("bytes") > HOT).alias("hot")))
+        rows = whole.join(small(met), "anchor")
+        blocks = rows.where("not hot").select("anchor", "ref", "h1", "h2", "words").repartition("anchor").sortWithinPartitions("anchor", "ref", "h1", "h2")
+        parsed = blocks.mapInArrow(_factors(window), "h1 long, h2 long, pos int, size int, ref long")
+        if not met.where("hot").isEmpty():
+            longer = rows.where("hot").select("ref", "h1", "h2", "words").mapInArrow(_segments(window, sizes[1], "words", ("ref", "h1", "h2")), SEGMENTS)
+            parsed = parsed.union(_matched(longer, window, sizes[1:]).select(F.col("a").alias("h1"), F.col("b").alias("h2"), "pos", "size", "ref"))
+        parsed = parsed.groupBy("h1", "h2").agg(F.collect_list(F.struct("pos", "size", "ref")).alias("own"))  # as many as a segment has runs, at most
+        firsts = firsts.join(parsed, ["h1", "h2"], "left").where("first < end or own is not null")
+        factor = F.when(F.col("first") < F.col("doc_id"), everything).otherwise(F.col("own"))
+    else:
+        firsts, factor = firsts.where("first < end"), F.when(F.col("first") < F.col("doc_id"), everything)
+    each = found.drop("anchor", "words", "runs").join(firsts, ["h1", "h2"]).select("doc_id", "a", "b", "pos", F.explode(factor).alias("f"))
+    return each.select("doc_id", "a", "b", (F.col("pos") + F.col("f.pos")).alias("pos"), "f.size", "f.ref")
+
+
 def factors(base: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(copies, parsed): keys (doc_id, _th) of texts equal to an earlier one, and of the others their factors, as one
     sorted array of (pos, size, ref).  base: a frame with doc_id, text and _th, which is xxhash64 of the text; it
@@ -256,19 +295,12 @@ def factors(base: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     firsts = small(cut(own.groupBy("_sha").agg(F.min("doc_id").alias("_first"), F.count("*").alias("n")).where("n > 1").drop("n")))
     copies = cut(own.select("doc_id", "_th", "_sha").join(firsts, "_sha").where("_first < doc_id").select("doc_id", "_th", "_first").dropDuplicates(["doc_id", "_th"]))
     rest = own.join(small(copies.select("doc_id", "_th")), ["doc_id", "_th"], "left_anti").select("doc_id", "_th", F.explode("anchors").alias("anchor"))
-    common = rest.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    is_hot = F.col("n") > HOT
-    lists = F.collect_set(F.when(~is_hot, F.col("anchor"))).alias("shared"), F.collect_set(F.when(is_hot, F.col("anchor"))).alias("hot")
-    shared = cut(rest.join(common, "anchor").groupBy("doc_id", "_th").agg(*lists))
-    schema = "anchor long, doc_id long, _th long, pos int, words binary, h1 long, h2 long"
-    looked = base.join(shared, ["doc_id", "_th"], "left").mapInArrow(_segments(window), schema)
-    looked = cut(looked)
-    cold = looked.where("anchor is not null").select("anchor", "doc_id", "_th", "pos", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "_th")
-    parsed = cold.mapInArrow(_factors(window), "doc_id long, _th long, pos int, size int, ref long")
-    runs = looked.where("anchor is null").select("doc_id", "_th", "pos", "h1", "h2")
-    firsts = runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("end")).where("ref < end").drop("end")
-    hot = runs.join(firsts, ["h1", "h2"]).where("ref < doc_id").select("doc_id", "_th", "pos", F.lit(window).alias("size"), "ref")
-    return copies, parsed.union(hot).groupBy("doc_id", "_th").agg(F.array_sort(F.collect_set(F.struct("pos", "size", "ref"))).alias("_factors"))
+    common = rest.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = cut(rest.join(common, "anchor").groupBy("doc_id", "_th").agg(F.collect_set("anchor").alias("shared")))
+    sizes = grams(window)
+    found = base.join(shared, ["doc_id", "_th"], "left").mapInArrow(_segments(window, sizes[0], "text", ("doc_id", "_th")), SEGMENTS)
+    parsed = _matched(found, window, sizes).withColumnRenamed("a", "_th")
+    return copies, parsed.groupBy("doc_id", "_th").agg(F.array_sort(F.collect_set(F.struct("pos", "size", "ref"))).alias("_factors"))
 
 
 def merged(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -287,7 +319,7 @@ def _spans(batch: pa.RecordBatch, window: int) -> list[list[tuple[int, int]]]:
     some = np.flatnonzero(col.is_valid().to_numpy(zero_copy_only=False))
     if len(some):
         rows = batch.take(pa.array(some))
-        part = Part(rows)
+        part = Part(raw(rows, "text"))
         runs = part.runs(window, WORDS)
         for i, k in enumerate(some.tolist()):
             found = rows.column(rows.schema.get_field_index("_factors"))[i].values

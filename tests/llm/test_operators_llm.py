@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -183,6 +184,52 @@ def test_hot_anchors_lose_no_run(spark, monkeypatch, hot):
     assert by_id(substring.dedup(frame(spark, rows), 20)) == brute_removed(rows, 20)
 
 
+@pytest.mark.parametrize("hot", [1, 3000, substring.HOT])
+def test_every_level_of_anchors_finds_all_runs(spark, monkeypatch, hot):
+    """A phrase of 25 words in many contexts, a passage of 70 words with edges of its own, long texts that repeat one phrase, and repeated rows."""
+    monkeypatch.setattr(substring, "HOT", hot)
+    rng = random.Random(11)
+    some = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    phrase, passage, contexts = some(25), some(70), [some(40) for _ in range(4)]
+    rows = [(i, " ".join(rng.choice(contexts)[rng.randrange(12) :] + phrase + rng.choice(contexts)[: rng.randrange(20, 40)] + some(9))) for i in range(30)]
+    rows += [(i, " ".join(some(i % 7) + passage[i % 3 : 68 + i % 2] + some(5))) for i in range(30, 50)]
+    rows += [(i, " ".join((phrase + ["and"]) * (40 + i % 3) + some(i % 2))) for i in range(50, 56)]
+    rows += [rows[31], rows[31], (None, rows[31][1]), (60, None), (61, "")]
+    assert by_id(substring.dedup(frame(spark, rows), 50)) == brute_removed(rows, 50)
+
+
+def test_segments_are_bounded_whatever_a_text_repeats():
+    """A million bytes of one phrase give a handful of segments, texts that only come near to that give none above 80 words."""
+    rng = random.Random(3)
+    phrase = [f"p{i}" for i in range(23)]
+    again = " ".join(phrase * 13_000)
+    near = " ".join(x for _ in range(2000) for x in phrase[:20] + [f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(3))])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([0, 0]), pa.array([again, near])], ["doc_id", "_th", "text"])
+    out = pa.Table.from_batches(list(substring._segments(50, 20, "text", ("doc_id", "_th"))(iter([batch])))).to_pylist()
+    assert len([r for r in out if r["doc_id"] == 1]) <= 4 and len(out) > 100
+    assert all(len(r["words"].split()) == r["runs"] + 49 <= 80 for r in out)
+
+
+def test_a_hot_anchor_makes_no_large_block(spark, monkeypatch):
+    """300 texts that repeat one phrase, each with ends of its own: what a block gets stays below its bounds."""
+    monkeypatch.setattr(substring, "HOT", 4000)
+    factors = substring._factors
+    monkeypatch.setattr(substring, "_factors", lambda window: factors(window, 4000))
+    sizes = spark.sparkContext.accumulator(0)
+
+    class Bounded(substring.Block):
+        def __init__(self, texts, doc, window):
+            if sum(map(len, texts)) > 8000:
+                sizes.add(1)
+            super().__init__(texts, doc, window)
+
+    monkeypatch.setattr(substring, "Block", Bounded)
+    phrase = [f"p{i}" for i in range(27)]
+    rows = [(i, " ".join([f"a{i}", f"b{i}"] + phrase * 12 + [f"c{i}", f"d{i}"])) for i in range(300)]
+    assert by_id(substring.dedup(frame(spark, rows), 50)) == brute_removed(rows, 50)
+    assert sizes.value == 0
+
+
 def test_base_rules(spark):
     rows = odd_rows()
     out = quality_rules.judge(frame(spark, rows), None)
