@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assetspan.functions.scalars import client_keys, derived_rate, finite, is_iso_date, nonempty
 from assetspan.operators.intervals import overlapping_pairs
+from assetspan.session import cut, kept, small
 
 #: Fixed values of the response format.
 ACTIONS = ["upsert", "withdraw", "no-change", "hold"]
@@ -32,7 +33,14 @@ def _text(item: Column, path: str) -> Column:
 PLACES = {"": ["vesselId", "contractId", "action", "reasonKo", "quote", "locator"], "row.": ["startDate", "endDate", "client", "region", "status"], "row.interpretation.": [*TEXTS, "awardType"]}
 NUMBERS = ["row.dayRate", "row.interpretation.valueUsd", "row.interpretation.baseDurationDays"]
 LISTS = ["row.interpretation.includes", "row.interpretation.excludes"]
-OBJECTS = ["row", "row.interpretation"]
+#: Fields of each object, without the names before them.
+WITHIN = {p: [f.removeprefix(p) for f in [*(p + f for f in PLACES[p]), *NUMBERS, *LISTS] if f.rpartition(".")[0] == p.rstrip(".")] for p in PLACES}
+UPDATE = ["vesselId", "status", "statusAsOf"]
+
+
+def _shape(names: list[str]) -> str:
+    """The type of an object of which these fields are read; what is no object is null in it."""
+    return f"struct<{','.join(f'{n}:variant' for n in names)}>"
 
 
 def _name(path: str) -> str:
@@ -40,13 +48,19 @@ def _name(path: str) -> str:
 
 
 def _fields(items: DataFrame) -> DataFrame:
-    """items with every field that is read as plain columns, each looked up once: <field>__kind and its text, number or list."""
+    """items with every field that is read as plain columns, each object looked into once: <field>__kind and its text, number or list, and whether the
+    item, its row and the row's interpretation are objects."""
     texts = [p + f for p, fields in PLACES.items() for f in fields]
-    found = items.select("*", *(F.try_variant_get("item", f"$.{f}", "variant").alias(_name(f)) for f in [*texts, *NUMBERS, *LISTS, *OBJECTS]))
-    kept = [c for c in items.columns if c != "item"]
-    kinds = [F.schema_of_variant(_name(f)).alias(_name(f) + "__kind") for f in [*texts, *NUMBERS, *LISTS, *OBJECTS]]
+    rest = [c for c in items.columns if c != "item"]
+    leaves = lambda p, of: [F.col(f"{of}.{f}").alias(_name(p + f)) for f in WITHIN[p]]
+    outer = items.select(*rest, F.col("item").isNotNull().alias("item__object"), *leaves("", "item"), F.try_variant_get("item.row", "$", _shape([*WITHIN["row."], "interpretation"])).alias("_row"))
+    found = [c for c in outer.columns if c != "_row"]
+    inner = outer.select(*found, F.col("_row").isNotNull().alias("row__object"), *leaves("row.", "_row"), (F.col("_row.interpretation").isNull() | F.is_variant_null("_row.interpretation")).alias("row__interpretation__absent"),
+                         F.try_variant_get("_row.interpretation", "$", _shape(WITHIN["row.interpretation."])).alias("_read"))
+    flat = inner.select(*[c for c in inner.columns if c != "_read"], F.col("_read").isNotNull().alias("row__interpretation__object"), *leaves("row.interpretation.", "_read"))
+    kinds = [F.schema_of_variant(_name(f)).alias(_name(f) + "__kind") for f in [*texts, *NUMBERS, *LISTS]]
     values = [F.try_variant_get(_name(f), "$", k).alias(_name(f)) for fs, k in ((texts, "string"), (NUMBERS, "double"), (LISTS, "array<string>")) for f in fs]
-    return found.select(*kept, F.schema_of_variant("item").alias("item__kind"), *kinds, *values)
+    return flat.select(*rest, "item__object", "row__object", "row__interpretation__object", "row__interpretation__absent", *kinds, *values)
 
 
 def _kind(field: str) -> Column:
@@ -77,12 +91,17 @@ def _is_object(kind: Column) -> Column:
     return F.coalesce(kind.startswith("OBJECT"), F.lit(False))
 
 
+def _list(name: str) -> Column:
+    """A list of the response, whatever its elements are; null where the field is none."""
+    return F.try_variant_get("v", f"$.{name}", "array<struct<vesselId:variant>>")
+
+
 def envelopes(responses: DataFrame) -> DataFrame:
     """responses with `v` and, where the whole response must be rejected, reject_reason."""
-    v = F.try_parse_json("payload")
-    lists = F.coalesce(_type(F.col("v"), "$.decisions").startswith("ARRAY") & _type(F.col("v"), "$.vesselUpdates").startswith("ARRAY"), F.lit(False))
-    reason = F.when(F.col("v").isNull(), "response is not JSON").when(~_is_object(F.schema_of_variant("v")), "response must be an object").when(~lists, "decisions and vesselUpdates must be arrays")
-    return responses.withColumn("v", v).withColumn("reject_reason", reason)
+    parsed = responses.select("*", F.explode(F.array(F.try_parse_json("payload"))).alias("v"))  # parsed once, however often v is asked
+    lists = _list("decisions").isNotNull() & _list("vesselUpdates").isNotNull()
+    reason = F.when(F.col("v").isNull(), "response is not JSON").when(lists, F.lit(None).cast("string")).when(~_is_object(F.schema_of_variant("v")), "response must be an object").otherwise("decisions and vesselUpdates must be arrays")
+    return parsed.withColumn("reject_reason", reason)
 
 
 def report_dates(responses: DataFrame) -> DataFrame:
@@ -93,15 +112,15 @@ def report_dates(responses: DataFrame) -> DataFrame:
     return e.select("job_id", F.when(ok, F.try_to_date(day, "yyyy-MM-dd")).alias("report_date"), F.when(~ok & F.coalesce(_type(F.col("v"), "$.reportDate") != "VOID", F.lit(False)), "reportDate is no real date").alias("hold_reason"))
 
 
-def _items(responses: DataFrame, name: str) -> DataFrame:
+def _items(responses: DataFrame, name: str, shape: str) -> DataFrame:
     e = envelopes(responses).where("reject_reason is null")
-    return e.select("job_id", "company", F.posexplode(F.try_variant_get("v", f"$.{name}", "array<variant>")).alias("index", "item"))
+    return e.select("job_id", "company", F.posexplode(F.try_variant_get("v", f"$.{name}", f"array<{shape}>")).alias("index", "item"))
 
 
 def _interpretation_reason() -> Column:
     p = "row.interpretation"
     amount, days = (p + ".valueUsd", p + ".baseDurationDays")
-    reason = F.when(_absent(p), F.lit(None).cast("string")).when(~_is_object(_kind(p)), "interpretation must be an object")
+    reason = F.when(F.col(_name(p) + "__absent"), F.lit(None).cast("string")).when(~F.col(_name(p) + "__object"), "interpretation must be an object")
     for t in TEXTS:
         reason = reason.when(~_absent(f"{p}.{t}") & _given(f"{p}.{t}").isNull(), f"interpretation.{t} must be text")
     reason = reason.when(~_absent(p + ".awardType") & ~F.coalesce(_given(p + ".awardType").isin(*AWARD_TYPES), F.lit(False)), "interpretation.awardType is invalid")
@@ -115,7 +134,7 @@ def _interpretation_reason() -> Column:
 def _row_reason(contract_states: list[str]) -> Column:
     start, end = _given("row.startDate"), _given("row.endDate")
     reason = (
-        F.when(~_is_object(_kind("row")), "upsert requires a row")
+        F.when(~F.col("row__object"), "upsert requires a row")
         .when(~is_iso_date(start), "row.startDate is no real date")
         .when(~is_iso_date(end), "row.endDate is no real date")
         .when(start > end, "row.startDate is after row.endDate")
@@ -137,20 +156,7 @@ def validate_decisions(responses: DataFrame, assets: DataFrame, contracts: DataF
     Checks in this order: an object, an asset of the company, a known action, a contract of that asset, an id to withdraw, a valid row to upsert.
     The derived rate of a row is computed here, whatever the response says.  A row has all that the interpretation says.
     """
-    d = _fields(_items(responses, "decisions"))
-    d = d.select("*", _given("vesselId").alias("asset_id"), _given("contractId").alias("contract_id"), (~_absent("contractId")).alias("_named")).withColumn("action", _given("action"))
-    owners = assets.select("asset_id", F.col("company").alias("_owner")).dropDuplicates(["asset_id"])
-    parents = contracts.select("contract_id", F.col("asset_id").alias("_parent")).dropDuplicates(["contract_id"])
-    d = d.join(owners, "asset_id", "left").join(parents, "contract_id", "left")
-    upsert = F.col("action") == "upsert"
-    reason = (
-        F.when(~_is_object(F.col("item__kind")), "decision must be an object")
-        .when(~F.coalesce(F.col("_owner") == F.col("company"), F.lit(False)), "asset is not registered for this company")
-        .when(~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), "action is invalid")
-        .when(F.col("_named") & ~F.coalesce(F.col("_parent") == F.col("asset_id"), F.lit(False)), "contractId is no contract of the asset")
-        .when((F.col("action") == "withdraw") & ~F.col("_named"), "withdraw requires contractId")
-        .when(upsert, _row_reason(contract_states))
-    )
+    d = _fields(_items(responses, "decisions", _shape([*WITHIN[""], "row"])))
     p = "row.interpretation."
     value, days = _number(p + "valueUsd"), _number(p + "baseDurationDays")
     day = lambda f: F.try_to_date(_given(f), "yyyy-MM-dd")
@@ -159,19 +165,41 @@ def validate_decisions(responses: DataFrame, assets: DataFrame, contracts: DataF
         _given("row.status").alias("status"), value.alias("value_usd"), days.alias("base_days"), derived_rate(value, days).alias("derived_usd_per_day"), _given(p + "awardType").alias("award_type"),
         *(_given(p + t).alias(_snake(t)) for t in TEXTS), *(F.when(_texts_only(t), F.col(_name(t))).alias(t.rpartition(".")[2]) for t in LISTS),
     )
-    d = d.withColumn("hold_reason", reason)
     texts = [F.when(nonempty(_given(k)), _given(k)).alias(n) for k, n in (("reasonKo", "reason"), ("quote", "quote"), ("locator", "locator"))]
-    return d.select("job_id", "company", "index", "asset_id", "contract_id", "action", F.when(upsert & F.col("hold_reason").isNull(), row).alias("row"), *texts, "hold_reason")
+    own = d.withColumn("_upsert", F.coalesce(_given("action") == "upsert", F.lit(False))).withColumn("_why", F.when(F.col("_upsert"), _row_reason(contract_states)))
+    # All that the response itself tells; what the tables tell is looked up for ids alone, and only ids that they lack come back to the rows.
+    read = kept(own.select("job_id", "company", "index", _given("vesselId").alias("asset_id"), _given("contractId").alias("contract_id"), (~_absent("contractId")).alias("_named"), _given("action").alias("action"), "item__object", "_why",
+                           F.when(F.col("_upsert") & F.col("_why").isNull(), row).alias("row"), *texts))
+    strange = _lacking(read.select("company", "asset_id"), assets)
+    unknown = _lacking(read.where("_named").select("asset_id", "contract_id"), contracts)
+    d = read.join(strange.withColumn("_strange", F.lit(True)), ["company", "asset_id"], "left").join(unknown.withColumn("_unknown", F.lit(True)), ["asset_id", "contract_id"], "left")
+    reason = (
+        F.when(~F.col("item__object"), "decision must be an object")
+        .when(F.col("company").isNull() | F.col("asset_id").isNull() | F.col("_strange"), "asset is not registered for this company")
+        .when(~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), "action is invalid")
+        .when(F.col("_named") & (F.col("contract_id").isNull() | F.col("_unknown")), "contractId is no contract of the asset")
+        .when((F.col("action") == "withdraw") & ~F.col("_named"), "withdraw requires contractId")
+        .when(F.col("action") == "upsert", F.col("_why"))
+    )
+    d = d.withColumn("hold_reason", reason)
+    return d.select("job_id", "company", "index", "asset_id", "contract_id", "action", F.when(F.col("hold_reason").isNull(), F.col("row")).alias("row"), "reason", "quote", "locator", "hold_reason")
+
+
+def _lacking(named: DataFrame, table: DataFrame) -> DataFrame:
+    """What of the pairs named the table has not; pairs with a null are left out."""
+    pairs = named.dropna().distinct()
+    return small(cut(pairs.join(table.select(pairs.columns), pairs.columns, "left_anti")))
 
 
 def validate_updates(responses: DataFrame, assets: DataFrame, asset_states: list[str]) -> DataFrame:
     """(job_id, company, index, asset_id, status, status_as_of, hold_reason) of the responses' asset updates."""
-    i = _items(responses, "vesselUpdates")
-    item = F.col("item")
-    day = _text(item, "$.statusAsOf")
-    d = i.select("*", _text(item, "$.vesselId").alias("asset_id"), _text(item, "$.status").alias("status")).join(assets.select("asset_id", F.col("company").alias("_owner")).dropDuplicates(["asset_id"]), "asset_id", "left")
+    i = _items(responses, "vesselUpdates", _shape(UPDATE))
+    found = i.select("job_id", "company", "index", F.col("item").isNotNull().alias("item__object"), *(F.col(f"item.{f}").alias(f) for f in UPDATE))
+    texts = found.select("job_id", "company", "index", "item__object", *(F.when(F.schema_of_variant(f) == "STRING", F.try_variant_get(f, "$", "string")).alias(n) for f, n in zip(UPDATE, ("asset_id", "status", "_day"))))
+    d = texts.join(assets.select("asset_id", F.col("company").alias("_owner")).dropDuplicates(["asset_id"]), "asset_id", "left")
+    day = F.col("_day")
     reason = (
-        F.when(~_is_object(F.schema_of_variant("item")), "update must be an object")
+        F.when(~F.col("item__object"), "update must be an object")
         .when(~F.coalesce(F.col("_owner") == F.col("company"), F.lit(False)), "asset is not registered for this company")
         .when(~F.coalesce(F.col("status").isin(*asset_states), F.lit(False)), "status is invalid")
         .when(~is_iso_date(day), "statusAsOf must be a real date")

@@ -9,7 +9,7 @@ from assetspan.functions import hashes, scalars
 from assetspan.operators import apply, decisions, diff, documents, feed, jobs, market, observations, quality, status
 from assetspan.plans.model import AS_OF, ASSET_STATES, COMPANIES, CONTRACT_STATES, GENERATIONS, assets, contracts, periods, table
 from assetspan.queries import query
-from assetspan.session import cut
+from assetspan.session import cut, kept
 
 NOW = 1_700_000_000
 
@@ -268,18 +268,23 @@ def responses(spark, sf) -> DataFrame:
     """One response per asset: its firm contracts written anew (a rate of 0 as text, an undisclosed client blank), options withdrawn without an id,
     the others left as they are."""
     c = contracts(spark, sf)
-    firm = F.col("status") == "Firm"
-    interpretation = F.struct(F.col("value_usd").alias("valueUsd"), F.col("base_days").alias("baseDurationDays"))
-    rate = F.when(F.col("day_rate") > 0, F.to_json(F.struct(F.col("day_rate").alias("v")))).otherwise('{"v":"0"}')
-    row = F.concat(
-        F.lit('{"startDate":"'), F.date_format("start_date", "yyyy-MM-dd"), F.lit('","endDate":"'), F.date_format("end_date", "yyyy-MM-dd"), F.lit('","dayRate":'), F.regexp_extract(rate, r'^\{"v":(.*)\}$', 1),
-        F.lit(',"client":"'), F.when(F.col("client") == "Undisclosed", "").otherwise(F.col("client")), F.lit('","region":"'), F.col("region"), F.lit('","status":"Firm","interpretation":'), F.to_json(interpretation), F.lit("}"),
-    )
-    action = F.when(firm, "upsert").when(F.col("status") == "Option", "withdraw").otherwise("no-change")
-    named = F.when(F.col("status") == "Option", "null").otherwise(F.concat(F.lit('"'), F.col("contract_id"), F.lit('"')))
-    item = F.concat(F.lit('{"vesselId":"'), F.col("asset_id"), F.lit('","contractId":'), named, F.lit(',"action":"'), action, F.lit('","row":'), F.when(firm, row).otherwise("null"), F.lit("}"))
-    lists = c.select("asset_id", F.struct("contract_id", item.alias("item")).alias("x")).groupBy("asset_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    payload = F.concat(F.lit('{"reportDate":"1999-06-30","vesselUpdates":[{"vesselId":"'), F.col("asset_id"), F.lit('","status":"'), F.col("status"), F.lit('","statusAsOf":"1999-06-30"}],"decisions":['), F.array_join(F.transform("xs", lambda x: x["item"]), ","), F.lit("]}"))
+    # Contracts meet by asset as they are, and are put into words there.
+    given = ["contract_id", "asset_id", "start_date", "end_date", "status", "day_rate", "client", "region", "value_usd", "base_days"]
+    lists = c.select("asset_id", F.struct(*given).alias("x")).groupBy("asset_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+
+    def item(x):
+        firm = x["status"] == "Firm"
+        interpretation = F.struct(x["value_usd"].alias("valueUsd"), x["base_days"].alias("baseDurationDays"))
+        rate = F.when(x["day_rate"] > 0, F.to_json(F.struct(x["day_rate"].alias("v")))).otherwise('{"v":"0"}')
+        row = F.concat(
+            F.lit('{"startDate":"'), F.date_format(x["start_date"], "yyyy-MM-dd"), F.lit('","endDate":"'), F.date_format(x["end_date"], "yyyy-MM-dd"), F.lit('","dayRate":'), F.regexp_extract(rate, r'^\{"v":(.*)\}$', 1),
+            F.lit(',"client":"'), F.when(x["client"] == "Undisclosed", "").otherwise(x["client"]), F.lit('","region":"'), x["region"], F.lit('","status":"Firm","interpretation":'), F.to_json(interpretation), F.lit("}"),
+        )
+        action = F.when(firm, "upsert").when(x["status"] == "Option", "withdraw").otherwise("no-change")
+        named = F.when(x["status"] == "Option", "null").otherwise(F.concat(F.lit('"'), x["contract_id"], F.lit('"')))
+        return F.concat(F.lit('{"vesselId":"'), x["asset_id"], F.lit('","contractId":'), named, F.lit(',"action":"'), action, F.lit('","row":'), F.when(firm, row).otherwise("null"), F.lit("}"))
+
+    payload = F.concat(F.lit('{"reportDate":"1999-06-30","vesselUpdates":[{"vesselId":"'), F.col("asset_id"), F.lit('","status":"'), F.col("status"), F.lit('","statusAsOf":"1999-06-30"}],"decisions":['), F.array_join(F.transform("xs", item), ","), F.lit("]}"))
     return assets(spark, sf).join(lists, "asset_id").select(F.concat(F.lit("job-"), F.col("asset_id")).alias("job_id"), "company", payload.alias("payload"))
 
 
@@ -291,7 +296,7 @@ DECISIONS = """, decided AS (
 
 @query(DECISIONS + " SELECT job_id, index, action, hold_reason, CASE WHEN hold_reason IS NULL AND action = 'upsert' THEN value_usd / base_days END AS derived FROM decided")
 def validate_decisions(spark, sf):
-    d = decisions.validate_decisions(responses(spark, sf), assets(spark, sf), contracts(spark, sf), CONTRACT_STATES)
+    d = decisions.validate_decisions(responses(spark, sf), assets(spark, sf), periods(spark, sf), CONTRACT_STATES)
     return d.select("job_id", "index", "action", "hold_reason", F.col("row.derived_usd_per_day").alias("derived"))
 
 
@@ -307,7 +312,7 @@ SELECT DISTINCT a.job_id, a.index, b.contract_id AS other_contract_id FROM ok AS
  AND least(a.end_date, b.end_date) - greatest(a.start_date, b.start_date) > 31 WHERE a.action = 'upsert'""")
 def suspected_duplicates(spark, sf):
     c = contracts(spark, sf)
-    d = cut(decisions.validate_decisions(responses(spark, sf), assets(spark, sf), c, CONTRACT_STATES))
+    d = decisions.validate_decisions(responses(spark, sf), assets(spark, sf), periods(spark, sf), CONTRACT_STATES)
     return decisions.suspected_duplicates(d, c).select("job_id", "index", "other_contract_id")
 
 
@@ -318,33 +323,33 @@ def _documented(d: DataFrame) -> DataFrame:
 @query(""" SELECT contract_id, asset_id, CASE WHEN status = 'Firm' AND day_rate > 0 AND client <> 'Undisclosed' THEN 'https://reports.example.com/' END AS source_url, day_rate, status FROM contracts""")
 def apply_decisions(spark, sf):
     c = contracts(spark, sf)
-    d = cut(decisions.validate_decisions(responses(spark, sf), assets(spark, sf), c, CONTRACT_STATES))
+    d = decisions.validate_decisions(responses(spark, sf), assets(spark, sf), periods(spark, sf), CONTRACT_STATES)
     done = apply.apply_decisions(assets(spark, sf), c.withColumn("source_url", F.lit(None).cast("string")), _documented(d))
     return done.contracts.select("contract_id", "asset_id", "source_url", "day_rate", "status")
 
 
 @query(DECISIONS + " SELECT job_id, CASE WHEN bool_or(hold_reason IS NOT NULL) THEN 'held' WHEN bool_or(action = 'upsert') THEN 'applied' ELSE 'no-change' END AS outcome FROM decided GROUP BY job_id")
 def decision_outcomes(spark, sf):
-    c = contracts(spark, sf)
-    d = cut(decisions.validate_decisions(responses(spark, sf), assets(spark, sf), c, CONTRACT_STATES))
+    c = periods(spark, sf)
+    d = decisions.validate_decisions(responses(spark, sf), assets(spark, sf), c, CONTRACT_STATES)
     return apply.apply_decisions(assets(spark, sf), c, _documented(d)).outcomes
 
 
 def _rounds(spark, sf):
     """(documents, result) of three documents per company in reading order, with the updates and decisions of a third of its assets each.  The registry has
     another name for one company, whose documents fail for that."""
-    a, c = assets(spark, sf), contracts(spark, sf)
+    a, c = assets(spark, sf), kept(contracts(spark, sf))
     third = F.pmod(F.col("asset_id").cast("long"), F.lit(3))
     job = F.concat(F.lit("job-"), "company", F.lit("-"), third.cast("string")).alias("job_id")
     found = a.join(c.select("asset_id").distinct(), "asset_id", "left_semi").select(job, "company", third.alias("k")).distinct()
     listed = found.withColumns({"kind": F.when(F.col("k") == 0, "official-news").otherwise("fleet-report"), "published_at": F.lit("1999-06-30"), "url": F.lit("https://reports.example.com/"), "input_mode": F.lit(None).cast("string"), "open_holds": F.array(F.lit("old"))})
     docs = cut(jobs.reading_order(listed))
-    r = cut(responses(spark, sf))
+    r = kept(responses(spark, sf))
     ids = docs.select("job_id", "round")
     # A document's items are counted on from asset to asset.
     own = lambda d: d.withColumns({"asset_id": F.coalesce("asset_id", F.substring("job_id", 5, 99)), "index": F.substring("job_id", 5, 99).cast("long") * 100000 + F.col("index")}).withColumn("job_id", job).join(F.broadcast(ids), "job_id")
-    d = cut(_documented(own(decisions.validate_decisions(r, a, c, CONTRACT_STATES))))
-    u = cut(own(decisions.validate_updates(r, a, ASSET_STATES)))
+    d = kept(_documented(own(decisions.validate_decisions(r, a, periods(spark, sf), CONTRACT_STATES))))
+    u = kept(own(decisions.validate_updates(r, a, ASSET_STATES)))
     registered = a.withColumn("company", F.when(F.col("company") == "C3", "C9").otherwise(F.col("company")))
     broken = lambda x, y: quality.integrity_violations(x, y, registered, GENERATIONS, ASSET_STATES, CONTRACT_STATES)
     done = apply.apply_rounds(a, c.withColumn("source_url", F.lit(None).cast("string")), d, broken, u)

@@ -13,7 +13,7 @@ from assetspan.operators import apply, decisions, documents, feed, jobs, observa
 from assetspan.plans.model import ASSET_STATES, CONTRACT_STATES, GENERATIONS, assets, contracts, periods, table
 from assetspan.queries import query
 from assetspan.queries_documents import DECISIONS, FEED, JOURNAL, announcements, journal
-from assetspan.session import cut
+from assetspan.session import cut, kept
 from assetspan.sources import snapshots
 from assetspan.streaming import streams
 
@@ -130,7 +130,7 @@ def held_decisions(spark, sf):
     items = F.replace(F.lit(",".join(i for i, _ in BAD_ITEMS)), F.lit("@"), F.col("asset_id"))
     a = assets(spark, sf)
     r = a.select(F.col("asset_id").alias("job_id"), "company", F.concat(F.lit('{"vesselUpdates":[],"decisions":['), items, F.lit("]}")).alias("payload"))
-    d = decisions.validate_decisions(r, a, contracts(spark, sf), CONTRACT_STATES)
+    d = decisions.validate_decisions(r, a, periods(spark, sf), CONTRACT_STATES)
     return d.select(F.col("job_id").alias("asset_id"), F.col("index").cast("int").alias("k"), "hold_reason")
 
 
@@ -162,16 +162,19 @@ def response_envelopes(spark, sf):
 
 def _turns(spark, sf) -> DataFrame:
     """Decisions of one document per asset: contingent contracts are proposed anew without an id, options withdrawn, firm ones held."""
-    c = contracts(spark, sf)
-    body = F.concat(F.lit('{"startDate":"'), F.date_format("start_date", "yyyy-MM-dd"), F.lit('","endDate":"'), F.date_format("end_date", "yyyy-MM-dd"), F.lit('","dayRate":1,"client":"New","region":"R","status":"Firm"}'))
-    new = F.col("status") == "Contingent"
-    named = F.when(new, "null").otherwise(F.concat(F.lit('"'), "contract_id", F.lit('"')))
-    action = F.when(new, "upsert").when(F.col("status") == "Option", "withdraw").otherwise("hold")
-    item = F.concat(F.lit('{"vesselId":"'), "asset_id", F.lit('","reasonKo":"why","contractId":'), named, F.lit(',"action":"'), action, F.lit('","row":'), F.when(new, body).otherwise("null"), F.lit("}"))
-    lists = c.select("asset_id", F.struct("contract_id", item.alias("item")).alias("x")).groupBy("asset_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    payload = F.concat(F.lit('{"vesselUpdates":[],"decisions":['), F.array_join(F.transform("xs", lambda x: x["item"]), ","), F.lit("]}"))
+    c = periods(spark, sf)
+    lists = c.select("asset_id", F.struct("contract_id", "asset_id", "start_date", "end_date", "status").alias("x")).groupBy("asset_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+
+    def item(x):
+        body = F.concat(F.lit('{"startDate":"'), F.date_format(x["start_date"], "yyyy-MM-dd"), F.lit('","endDate":"'), F.date_format(x["end_date"], "yyyy-MM-dd"), F.lit('","dayRate":1,"client":"New","region":"R","status":"Firm"}'))
+        new = x["status"] == "Contingent"
+        named = F.when(new, "null").otherwise(F.concat(F.lit('"'), x["contract_id"], F.lit('"')))
+        action = F.when(new, "upsert").when(x["status"] == "Option", "withdraw").otherwise("hold")
+        return F.concat(F.lit('{"vesselId":"'), x["asset_id"], F.lit('","reasonKo":"why","contractId":'), named, F.lit(',"action":"'), action, F.lit('","row":'), F.when(new, body).otherwise("null"), F.lit("}"))
+
+    payload = F.concat(F.lit('{"vesselUpdates":[],"decisions":['), F.array_join(F.transform("xs", item), ","), F.lit("]}"))
     r = assets(spark, sf).join(lists, "asset_id").select(F.concat(F.lit("job-"), "asset_id").alias("job_id"), "company", payload.alias("payload"))
-    d = cut(decisions.validate_decisions(r, assets(spark, sf), c, CONTRACT_STATES))
+    d = decisions.validate_decisions(r, assets(spark, sf), c, CONTRACT_STATES)
     return d.withColumns({"source_id": F.concat(F.lit("source-"), "job_id"), "document_sha256": F.sha2("job_id", 256), "kind": F.lit("official-news"), "url": F.lit("https://news.example.com/"), "published_at": F.lit("1999-06-30")})
 
 
@@ -189,7 +192,7 @@ def new_contracts(spark, sf):
  'reading-' || sha256('["' || job_id || '","decisions",' || CAST(index AS VARCHAR) || ']')[1:20] AS event_id, CASE WHEN status = 'Firm' THEN 'why' END AS held, CASE WHEN status = 'Option' THEN client END AS was FROM decided""")
 def decision_records(spark, sf):
     """Events, holds and changes of the same documents."""
-    done = apply.apply_decisions(assets(spark, sf), contracts(spark, sf), _turns(spark, sf))
+    done = apply.apply_decisions(assets(spark, sf), contracts(spark, sf), _turns(spark, sf), store=kept)
     changes = done.changes.select("job_id", "index", F.col("contract_id").alias("_c"), F.col("before.client").alias("was"))
     holds = done.holds.select("job_id", "index", F.col("contract_id").alias("_h"), F.col("hold_reason").alias("held"))
     e = done.events.select("job_id", "index", "review_status", "event_id").join(changes, ["job_id", "index"], "left").join(holds, ["job_id", "index"], "left")

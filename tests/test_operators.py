@@ -468,3 +468,13 @@ def test_feeds_and_captured_files(spark, tmp_path):
     found = {r.url.rpartition("/")[2]: r for r in snapshots.read_captures(spark, str(tmp_path / "landed")).collect()}
     assert [(found[k].content_type, found[k].html) for k in sorted(found)] == [("text/html", " <html><p>é</p></html>"), ("application/pdf", None), (None, None)]
     assert bytes(found["b.pdf"].content) == b"%PDF-1.4 x"
+
+
+def test_responses_are_parsed_once_and_results_ask_for_what_they_need(spark):
+    told = validated(spark, [GOOD, '{"vesselId":"a","contractId":"k0","action":"withdraw","row":null}', '{"vesselId":"a","contractId":"none","action":"withdraw"}', "null"])
+    assert "parseJson" not in plan_of(told)
+    assert [r.hold_reason for r in told.orderBy("index").collect()] == [None, None, "contractId is no contract of the asset", "decision must be an object"]
+    documented = told.withColumns({"source_id": F.lit("s"), "document_sha256": F.lit("h"), "kind": F.lit("fleet-report"), "url": F.lit("u"), "published_at": F.lit("2026-01-01")})
+    done = apply.apply_decisions(fleet(spark), contracts(spark), documented)
+    assert [r.outcome for r in done.outcomes.collect()] == ["held"] and done.changes.count() == 2
+    assert "before#" not in plan_of(done.outcomes)
