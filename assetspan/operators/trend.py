@@ -1,8 +1,9 @@
 """A robust local trend of rates per group, with a band of local dispersion.
 
 Local linear regression with tricube weights over the nearest span * n observations, and bisquare weights on the residuals in
-two more passes, scaled by their exact median.  Dates have day resolution, so that each pass works on (group, day) sums: their number is bounded
-by the calendar, however many observations there are; only these sums meet in one task per group.
+two more passes, scaled by their exact median.  Equal rates of a group's day are one point with their number, and dates have day resolution, so that
+each pass works on (group, day) sums: their number is bounded by the calendar, however many observations there are; only these sums meet in one task per
+group, and only they are sent to the points.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetspan.functions.scalars import positive
-from assetspan.session import cut, small
+from assetspan.session import cut, kept, small
 
 PASSES = 3
 BINS = 4096
@@ -85,20 +86,21 @@ def _spread(by: str):
     return run
 
 
-def medians(df: DataFrame, by: str, value: str) -> DataFrame:
+def medians(df: DataFrame, by: str, value: str, times: str | None = None) -> DataFrame:
     """(by, median) of each group, exactly, without gathering it: values are counted into BINS ranges, and only the ranges that hold the middle are ranked.
 
-    df is read three times, so it had better be stored.
+    A row counts as often as its column `times` says.  df is read three times, so it had better be stored or cheap.
     """
-    stats = cut(df.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n")))
+    times = F.lit(1) if times is None else F.col(times)
+    stats = cut(df.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum(F.when(F.col(value).isNotNull(), times)).alias("_n")))
     at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(BINS - 1), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS))).otherwise(0)
-    binned = df.where(F.col(value).isNotNull()).join(small(stats), by).select(by, value, "_n", at.cast("int").alias("_bin"))
+    binned = df.where(F.col(value).isNotNull()).join(small(stats), by).select(by, value, "_n", times.alias("_t"), at.cast("int").alias("_bin"))
     upto = lambda c: F.sum("_k").over(Window.partitionBy(by).orderBy(c))
     lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    counts = binned.groupBy(by, "_n", "_bin").agg(F.count("*").alias("_k")).withColumn("_upto", upto("_bin"))
+    counts = binned.groupBy(by, "_n", "_bin").agg(F.sum("_t").alias("_k")).withColumn("_upto", upto("_bin"))
     middle = counts.where((F.col("_upto") >= lower) & (F.col("_upto") - F.col("_k") < upper))
     middle = small(cut(middle.withColumn("_before", F.min(F.col("_upto") - F.col("_k")).over(Window.partitionBy(by))).select(by, "_bin", "_before")))
-    inside = binned.join(middle, [by, "_bin"]).groupBy(by, "_n", "_before", value).agg(F.count("*").alias("_k"))
+    inside = binned.join(middle, [by, "_bin"]).groupBy(by, "_n", "_before", value).agg(F.sum("_t").alias("_k"))
     ranked = inside.withColumn("_upto", F.col("_before") + upto(value))
     middles = [F.min(F.when(F.col("_upto") >= r, F.col(value))) for r in (lower, upper)]
     return ranked.groupBy(by).agg(((middles[0] + middles[1]) / 2).alias("median"))
@@ -111,28 +113,32 @@ def rate_trend(observations: DataFrame, by: str = "generation") -> DataFrame:
     and not below 0.
     """
     rows = observations.where(positive(F.col("rate")) & F.col("start_date").isNotNull()).select(by, F.unix_date("start_date").alias("x"), F.col("rate").alias("y"))
-    sizes = rows.groupBy(by).agg(F.count("*").alias("n"), F.countDistinct("x").alias("dates"))
+    points = kept(rows.groupBy(by, "x", "y").agg(F.count("*").alias("c")))
+    days = cut(points.groupBy(by, "x").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("y")).alias("wy")))
+    sizes = days.groupBy(by).agg(F.sum("m").alias("n"), F.count("*").alias("dates"))
     span = F.greatest(F.lit(LEAST_SPAN), F.least(F.lit(1.0), F.lit(4.0) / F.col("n")))
     sizes = sizes.withColumn("span", span).withColumn("few", (F.col("n") < LEAST_ROWS) | (F.col("dates") < LEAST_DATES))
     window = F.greatest(F.lit(2), F.floor(F.col("span") * F.col("n"))).alias("window")
     sizes = cut(sizes)
     enough = small(sizes.where("not few").select(by, "n", "span", window))  # one row per group that is charted
-    rows = cut(rows.join(enough, by))
-    counts = rows.groupBy(by, "x", "window").agg(F.count("*").alias("m"))
-    weights = rows.groupBy(by, "x").agg(F.count("*").cast("double").alias("w"), F.sum("y").alias("wy"))
+    days = days.join(enough, by)
+    counts = days.select(by, "x", "window", "m")
+    weights = days.select(by, "x", F.col("m").cast("double").alias("w"), "wy")
     fits = None
     for p in range(PASSES):
         fits = cut(counts.join(weights, [by, "x"]).groupBy(by).applyInPandas(_smooth(by), f"{by} string, x int, fit double"))
-        residual = cut(rows.join(fits, [by, "x"]).withColumn("r", F.col("y") - F.col("fit")))
+        # Days are few beside points, which stay where they are and are not written again.
+        residual = points.join(small(fits), [by, "x"]).withColumn("r", F.col("y") - F.col("fit"))
         if p == PASSES - 1:
             break
-        scale = cut(medians(residual.select(by, F.abs("r").alias("a")), by, "a").withColumnRenamed("median", "s"))
+        scale = cut(medians(residual.select(by, F.abs("r").alias("a"), "c"), by, "a", "c").withColumnRenamed("median", "s"))
         ratio = F.abs("r") / (6 * F.col("s"))
         bisquare = F.when(F.col("s") < 1e-9, 1.0).when(ratio >= 1, 0.0).otherwise(F.pow(1 - ratio * ratio, 2))
-        weighed = residual.join(small(scale), by).withColumn("b", bisquare)
+        weighed = residual.join(small(scale), by).withColumn("b", F.col("c") * bisquare)
         weights = weighed.groupBy(by, "x").agg(F.sum("b").alias("w"), F.sum(F.col("b") * F.col("y")).alias("wy"))
     nearest = F.greatest(F.lit(4), F.ceil(F.col("n") * F.col("span"))).alias("k")
-    sums = residual.groupBy(by, "x", nearest).agg(F.count("*").alias("m"), F.sum("r").alias("r1"), F.sum(F.col("r") * F.col("r")).alias("r2"))
+    sums = residual.groupBy(by, "x").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("r")).alias("r1"), F.sum(F.col("c") * F.col("r") * F.col("r")).alias("r2"))
+    sums = sums.join(enough, by).select(by, "x", nearest, "m", "r1", "r2")
     band = sums.groupBy(by).applyInPandas(_spread(by), f"{by} string, x int, sd double")
     # a day whose whole neighbourhood was weighed down to nothing has no fit, and its group then no valid trend
     whole = counts.groupBy(by).agg(F.count("*").alias("_days")).join(fits.groupBy(by).agg(F.count("*").alias("_fits")), by, "left")

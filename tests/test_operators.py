@@ -448,6 +448,21 @@ def test_trend_equals_a_fit_over_all_points(spark, seed):
         assert r.rate == pytest.approx(fit, rel=1e-7) and r.band_hi - r.rate == pytest.approx(sd, rel=1e-6, abs=1e-6)
 
 
+def test_equal_rates_of_a_day_are_stored_once_and_count_as_often_as_they_stand(spark, monkeypatch):
+    real, stored = trend.kept, []
+    monkeypatch.setattr(trend, "kept", lambda d: stored.append(real(d)) or stored[-1])
+    rng = np.random.default_rng(2)
+    distinct = [(int(d), float(100 + d / 3 + round(rng.normal() * 8))) for d in range(0, 400, 9)]
+    points = [p for i, p in enumerate(distinct) for _ in range(1 + i % 4)]
+    found = sorted(((r.date - D(2026, 1, 1)).days, r) for r in trend.rate_trend(series(spark, points)).collect())
+    expected = sorted(brute_trend(points).items())
+    assert [s.count() for s in stored] == [len(set(points))] and len(found) == len(expected)
+    for (_, (fit, sd)), (_, r) in zip(expected, found):
+        assert r.n == len(points) and r.rate == pytest.approx(fit, rel=1e-7) and r.band_hi - r.rate == pytest.approx(sd, rel=1e-6, abs=1e-6)
+    df = spark.createDataFrame([("a", 1.0, 1), ("a", 2.0, 5), ("a", 9.0, 3), ("b", 1.0, 2), ("b", 4.0, 2), ("b", None, 7)], "g string, v double, k long")
+    assert {r.g: r["median"] for r in trend.medians(df, "g", "v", "k").collect()} == {"a": 2.0, "b": 2.5}
+
+
 def test_medians_are_exact(spark):
     rng = np.random.default_rng(0)
     items = [("a", float(v)) for v in rng.normal(size=501)] + [("b", float(v)) for v in rng.integers(0, 3, 400)] + [("c", 7.0)] * 6 + [("d", 1.0), ("d", 4.0)] + [("e", 1e9), ("e", 0.0), ("e", 1.0), ("e", 2.0)]
