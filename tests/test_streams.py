@@ -149,6 +149,24 @@ def test_decisions_advance_the_state_once(spark, tmp_path, monkeypatch):
     assert out == [(2, "j1", "applied"), (2, "j2", "applied"), (2, "j3", "applied"), (2, "j4", "failed"), (3, "j4", "applied")]
 
 
+def test_a_failed_document_goes_without_applying_the_others_twice(spark, monkeypatch):
+    from assetspan.operators import decisions, quality
+
+    real, calls, left = apply.apply_decisions, [], []
+    monkeypatch.setattr(apply, "apply_decisions", lambda *of: calls.append(1) or real(*of))
+    monkeypatch.setattr(apply, "freed", lambda *of: left.extend(of))
+    a = spark.createDataFrame([(i, i, "X", "7G", "Active", None, 2010) for i in "ab"], "asset_id string, name string, company string, generation string, status string, status_as_of date, year_built int")
+    day = dt.date(2026, 1, 1)
+    c = spark.createDataFrame([(f"k{i}", i, day, day, 1.0, "C", "R", "Firm", None, None) for i in "ab"], "contract_id string, asset_id string, start_date date, end_date date, day_rate double, client string, region string, status string, value_usd double, base_days double")
+    check = lambda x, y: quality.integrity_violations(x, y, a, *RULES).unionByName(y.where("day_rate = 9").select(F.lit("nine").alias("rule"), "asset_id", "contract_id", F.lit("").alias("detail")))
+    told = decisions.validate_decisions(spark.createDataFrame([answer("j1", [upsert("a", 9, "ka")]), answer("j2", [upsert("b", 2, "kb")])], ANSWER), a, c, RULES[2])
+    given = told.join(spark.createDataFrame([(f"j{i}", i, "s", "d", "official-news", "u", "2026-01-01") for i in (1, 2)], "job_id string, round int, source_id string, document_sha256 string, kind string, url string, published_at string"), "job_id")
+    done = apply.apply_rounds(a, c, given, check)
+    assert calls == [1] and not left  # one round for two documents that share no asset: one way through, and nothing copied on the way
+    assert sorted((r.contract_id, r.day_rate) for r in done.contracts.collect()) == [("ka", 1.0), ("kb", 2.0)]
+    assert sorted(tuple(r) for r in done.outcomes.collect()) == [("j1", "failed"), ("j2", "applied")] and [r.job_id for r in done.changes.collect()] == ["j2"] == [r.job_id for r in done.events.collect()]
+
+
 def test_levels_keep_the_order_of_documents_that_share_an_asset(spark):
     rng = random.Random(4)
     docs = {f"j{i:02}": (i % 3, [rng.choice("abcdefgh") + str(i % 3) for _ in range(rng.randrange(4))]) for i in range(40)}
