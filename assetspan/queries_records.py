@@ -291,9 +291,8 @@ def fault_counts(spark, sf):
 def fleet_files(spark, sf):
     """The model's tables nested, written as a fleet file, read again and flattened."""
     path = _folder(spark)
-    snapshots.export_fleet(snapshots.nest(assets(spark, sf), contracts(spark, sf)), path)
-    a, c = snapshots.flatten(snapshots.import_fleet(spark, path))
-    rows = c.join(a.select("asset_id", "name"), "asset_id")
+    snapshots.export_fleet(snapshots.nest(assets(spark, sf), contracts(spark, sf)), path, "gzip")
+    rows = snapshots.flatten(snapshots.import_fleet(spark, path), ("name",))[1]
     return rows.select("contract_id", "asset_id", "start_date", "end_date", "day_rate", "client", "region", "status", "value_usd", "base_days", "name")
 
 

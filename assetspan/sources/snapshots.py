@@ -46,24 +46,25 @@ def _day(text: Column) -> Column:
     return F.when(is_iso_date(text), F.try_to_date(text, "yyyy-MM-dd"))
 
 
-def flatten(fleet: DataFrame) -> tuple[DataFrame, DataFrame]:
+def flatten(fleet: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(assets, contracts); assets without contracts stay among the assets.
 
     Dates are strict; what was written stays beside them as `_text`, as does the parent that a contract names (vessel_id).  The rest of a
-    contract's fields stay as they are, so that nest() gives the file back.
+    contract's fields stay as they are, so that nest() gives the file back.  Columns of the asset named in `carry` stand at its contracts too: they are
+    at hand here, and a join would shuffle both tables.
     """
     whole = F.schema_of_variant("yearBuilt").isin("BIGINT", "INT")
     assets = fleet.select(
         F.col("id").alias("asset_id"), "name", "company", "generation", "status", _day(F.col("statusAsOf")).alias("status_as_of"), F.col("statusAsOf").alias("status_as_of_text"),
         F.when(whole, F.try_variant_get("yearBuilt", "$", "int")).alias("year_built"), F.to_json("yearBuilt").alias("year_built_text"),
     )
-    rows = fleet.select(F.col("id").alias("_asset"), F.inline("contracts"))
+    rows = fleet.select(F.col("id").alias("_asset"), *carry, F.inline("contracts"))
     contracts = rows.select(
         F.col("id").alias("contract_id"), F.col("_asset").alias("asset_id"), F.col("vesselId").alias("vessel_id"), _day(F.col("startDate")).alias("start_date"), _day(F.col("endDate")).alias("end_date"),
         F.col("startDate").alias("start_text"), F.col("endDate").alias("end_text"), F.col("dayRate").alias("day_rate"), "client", "region", "status", F.col("sourceUrl").alias("source_url"),
         F.col("sourcePublishedAt").alias("source_published_at"), F.col("newsReviewed").alias("news_reviewed"), F.col("inputMode").alias("input_mode"), F.to_json("storedReading").alias("stored_reading"),
         F.col("datePrecision").alias("date_precision"), "interpretation",
-        F.col("interpretation.valueUsd").alias("value_usd"), F.col("interpretation.baseDurationDays").alias("base_days"), F.col("interpretation.awardType").alias("award_type"),
+        F.col("interpretation.valueUsd").alias("value_usd"), F.col("interpretation.baseDurationDays").alias("base_days"), F.col("interpretation.awardType").alias("award_type"), *carry,
     )
     return assets, contracts
 
@@ -129,9 +130,9 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), kind.alias("content_type"), F.when(kind == "text/html", F.col("content").cast("string")).alias("html"), "content")
 
 
-def export_fleet(fleet: DataFrame, path: str) -> None:
-    """One JSON object a line, fields without a value left out; read_fleet reads it back."""
-    fleet.write.mode("overwrite").option("ignoreNullFields", True).json(path)
+def export_fleet(fleet: DataFrame, path: str, compression: str | None = None) -> None:
+    """One JSON object a line, fields without a value left out; read_fleet reads it back, compressed (gzip, zstd) or not."""
+    fleet.write.mode("overwrite").option("ignoreNullFields", True).json(path, compression=compression)
 
 
 def publish(tables: dict[str, DataFrame], path: str) -> dict:

@@ -182,6 +182,21 @@ def test_levels_keep_the_order_of_documents_that_share_an_asset(spark):
     assert got == want and apply.levels(items.limit(0), spark.createDataFrame([], "company string")).count() == 0
 
 
+# --- fleet files
+
+def test_fleet_files_may_be_compressed_and_contracts_carry_what_their_asset_has(spark, tmp_path):
+    from assetspan.sources import snapshots
+
+    day = dt.date(2026, 1, 1)
+    a = spark.createDataFrame([(i, f"name {i}", "X", "7G", "Active", None, 2010) for i in "ab"], "asset_id string, name string, company string, generation string, status string, status_as_of date, year_built int")
+    c = spark.createDataFrame([("k1", "a", day, day, 1.0, "C", "R", "Firm"), ("k2", "a", day, day, 2.0, "C", "R", "Firm")], "contract_id string, asset_id string, start_date date, end_date date, day_rate double, client string, region string, status string")
+    snapshots.export_fleet(snapshots.nest(a, c), str(tmp_path / "fleet"), "gzip")
+    assert {p.suffix for p in (tmp_path / "fleet").glob("part-*")} == {".gz"}
+    assets, found = snapshots.flatten(snapshots.import_fleet(spark, str(tmp_path / "fleet")), ("name",))
+    assert sorted(tuple(r) for r in found.select("contract_id", "asset_id", "day_rate", "name").collect()) == [("k1", "a", 1.0, "name a"), ("k2", "a", 2.0, "name a")] and assets.count() == 2
+    assert "name" not in snapshots.flatten(snapshots.import_fleet(spark, str(tmp_path / "fleet")))[1].columns
+
+
 # --- hash trees
 
 
