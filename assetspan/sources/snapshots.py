@@ -141,10 +141,15 @@ def publish(tables: dict[str, DataFrame], path: str) -> dict:
     Nothing that a reader may hold is ever overwritten: a payload that is there is kept as it is, and the manifest with the highest number
     counts, so that a reader sees the old snapshot or the new one whole.  A table is evaluated once: it is written to a folder of its own, its digest
     is taken from there, and the folder is renamed.  Of several publishers at once each gets a number and a complete snapshot.
+
+    A table just as load_table() gave it from this folder has not changed: its payload is named again, neither written nor digested; verify() does that.
     """
     spark = next(iter(tables.values())).sparkSession
     manifest = {}
     for name, df in tables.items():
+        if (known := _published(df, path)) is not None:
+            manifest[name] = known
+            continue
         draft = f"{path}/_draft.{name}.{uuid.uuid4().hex}"
         df.write.parquet(draft)
         rows, digest = table_digest(spark.read.parquet(draft)).first()
@@ -156,6 +161,15 @@ def publish(tables: dict[str, DataFrame], path: str) -> dict:
     return manifest
 
 
+def _published(df: DataFrame, path: str) -> dict | None:
+    """What the manifest says of df if it is a table of this folder as load_table() gave it, and its payload is still there."""
+    folder, entry = vars(df).get("_published", (None, None))
+    if folder != path:
+        return None
+    fs, p = file_system(df.sparkSession, f"{path}/{entry['file']}")
+    return dict(entry) if fs.exists(p) else None
+
+
 def read_manifest(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The latest manifest, or that of a version; no rows where there is none."""
     schema = "name string, file string, rows long, digest string"
@@ -170,10 +184,13 @@ def state_fingerprint(manifest: DataFrame) -> DataFrame:
 
 
 def load_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    file = read_manifest(spark, path).where(F.col("name") == name).select("file").first()
-    if file is None:
+    """A table of the latest snapshot; handed to publish() as it is, it is carried over."""
+    found = read_manifest(spark, path).where(F.col("name") == name).select("rows", "digest", "file").first()
+    if found is None:
         raise ValueError(f"{path} has no table {name}")
-    return spark.read.parquet(f"{path}/{file[0]}")
+    out = spark.read.parquet(f"{path}/{found['file']}")
+    out._published = (path, found.asDict())
+    return out
 
 
 def verify(spark: SparkSession, path: str) -> DataFrame:

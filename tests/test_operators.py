@@ -372,6 +372,27 @@ def test_publishing_overwrites_nothing_that_is_read(spark, tmp_path):
     assert snapshots.prune(spark, path) == [first["assets"]["file"]]
 
 
+def test_an_unchanged_table_is_carried_over(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "snap")
+    first = snapshots.publish({"assets": fleet(spark), "contracts": contracts(spark)}, path)
+    held = snapshots.load_table(spark, path, "contracts")
+    digested = []
+    digest = snapshots.table_digest
+    monkeypatch.setattr(snapshots, "table_digest", lambda df: digested.append(df.columns) or digest(df))
+    some = fleet(spark).where("asset_id = 'a'")
+    second = snapshots.publish({"assets": some, "contracts": held}, path)
+    assert digested == [some.columns] and second["contracts"] == first["contracts"] and second["assets"]["rows"] == 1
+    assert all(r.ok for r in snapshots.verify(spark, path).collect()) and snapshots.read_manifest(spark, path).count() == 2
+    assert snapshots.prune(spark, path) == [first["assets"]["file"]] and snapshots.load_table(spark, path, "contracts").count() == held.count()
+    other = str(tmp_path / "other")  # another folder has no such payload, and a changed table is another
+    assert snapshots.publish({"contracts": held}, other) == {"contracts": first["contracts"]} and all(r.ok for r in snapshots.verify(spark, other).collect())
+    assert snapshots.publish({"contracts": held.limit(1)}, path)["contracts"]["rows"] == 1
+    snapshots.prune(spark, path)
+    with pytest.raises(Exception):  # the payload is gone: no manifest names it
+        snapshots.publish({"contracts": held}, path)
+    assert all(r.ok for r in snapshots.verify(spark, path).collect()) and snapshots.load_table(spark, path, "contracts").count() == 1
+
+
 def test_backlogs(spark):
     from assetspan.operators import jobs as j
 
