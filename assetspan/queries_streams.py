@@ -107,18 +107,18 @@ def decision_stream(spark, sf):
 def concurrent_publishers(spark, sf):
     """Two publishers at once: each gets a number and a complete version; then what load_snapshot gives if the rows are not those expected, and how many
     payloads prune() takes away."""
-    path, a, c = _folder(spark), cut(assets(spark, sf)), cut(contracts(spark, sf))
+    path, a, c = _folder(spark), kept(assets(spark, sf)), kept(contracts(spark, sf))
     both = [{"assets": a, "contracts": c}, {"assets": a.where("company <> 'C3'"), "contracts": c}]
     threads = [threading.Thread(target=snapshots.publish, args=(t, path)) for t in both]
     for t in threads:
         t.start()
     for t in threads:
         t.join()
-    rows = []
-    for n in commits.numbers(spark, path, "manifest"):
-        of = {r["name"]: r for r in snapshots.read_manifest(spark, path, n).collect()}  # two rows
-        found = {k: hashes.table_digest(spark.read.parquet(f"{path}/{r['file']}")).first() for k, r in of.items()}
-        rows.append(("version", of["assets"]["rows"], of["contracts"]["rows"], all((found[k]["rows"], found[k]["digest"]) == (r["rows"], r["digest"]) for k, r in of.items())))
+    versions = [{r["name"]: r for r in snapshots.read_manifest(spark, path, n).collect()} for n in commits.numbers(spark, path, "manifest")]  # two rows each
+    files = {r["file"] for of in versions for r in of.values()}  # versions share payloads
+    found = {file: hashes.table_digest(spark.read.parquet(f"{path}/{file}")).first() for file in files}
+    told = lambda r: (r["rows"], r["digest"])
+    rows = [("version", of["assets"]["rows"], of["contracts"]["rows"], all(told(found[r["file"]]) == told(r) for r in of.values())) for of in versions]
     seed = {"assets": a.where("company = 'C3'")}
     rows.append(("seed", snapshots.load_snapshot(spark, path, seed, {"assets": -1})["assets"].count(), 0, True))
     rows.append(("pruned", len(snapshots.prune(spark, path)), 0, True))

@@ -257,3 +257,17 @@ def test_overlapping_pairs_meet_once_however_many_a_key_has(spark):
         got = intervals.overlapping_pairs(spark.createDataFrame(rows, schema), ["key"], ["n"], 31, ask, size).select("earlier.n", F.col("later.n").alias("m"), (F.col("earlier.start_date") <= F.col("later.start_date")).alias("ok")).collect()
         assert sorted(tuple(sorted((r.n, r.m))) for r in got) == want and all(r.ok for r in got) and len(want) > 50
     assert intervals.overlapping_pairs(spark.createDataFrame(rows, schema).limit(0), ["key"], ["n"], 31).count() == 0
+
+
+def test_publishers_share_payloads_and_each_is_digested_once(spark, tmp_path, monkeypatch):
+    from assetspan import queries_streams as q
+
+    one = lambda kind: spark.range(4).select(F.col("id").cast("string").alias("asset_id"), F.when(F.col("id") == 0, "C3").otherwise("C0").alias("company"), F.lit(kind).alias("kind"))
+    monkeypatch.setattr(q, "assets", lambda *_: one("asset"))
+    monkeypatch.setattr(q, "contracts", lambda *_: one("contract"))
+    digested = []
+    digest = q.hashes.table_digest
+    monkeypatch.setattr(q.hashes, "table_digest", lambda df: digested.append(1) or digest(df))
+    rows = sorted(tuple(r) for r in q.concurrent_publishers(spark, str(tmp_path)).collect())
+    assert rows == [("pruned", 1, 0, True), ("seed", 1, 0, True), ("version", 3, 4, True), ("version", 4, 4, True)]
+    assert len(digested) == 3  # two tables of assets, and the contracts that both versions name
