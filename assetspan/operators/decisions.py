@@ -170,7 +170,7 @@ def validate_decisions(responses: DataFrame, assets: DataFrame, contracts: DataF
     # All that the response itself tells; what the tables tell is looked up for ids alone, and only ids that they lack come back to the rows.
     read = kept(own.select("job_id", "company", "index", _given("vesselId").alias("asset_id"), _given("contractId").alias("contract_id"), (~_absent("contractId")).alias("_named"), _given("action").alias("action"), "item__object", "_why",
                            F.when(F.col("_upsert") & F.col("_why").isNull(), row).alias("row"), *texts))
-    strange = lacking(read.select("company", "asset_id"), assets)
+    strange = lacking(read.select("company", "asset_id").distinct(), assets)
     unknown = lacking(read.where("_named").select("asset_id", "contract_id"), contracts)
     d = read.join(strange.withColumn("_strange", F.lit(True)), ["company", "asset_id"], "left").join(unknown.withColumn("_unknown", F.lit(True)), ["asset_id", "contract_id"], "left")
     reason = (
@@ -186,9 +186,10 @@ def validate_decisions(responses: DataFrame, assets: DataFrame, contracts: DataF
 
 
 def lacking(named: DataFrame, table: DataFrame) -> DataFrame:
-    """What of the pairs named the table has not; pairs with a null are left out."""
-    pairs = named.dropna().distinct()
-    return small(cut(pairs.join(table.select(pairs.columns), pairs.columns, "left_anti")))
+    """What of the pairs named the table has not; pairs with a null are left out.  Equal pairs are made one after the look-up: where there are many of
+    them the caller does so before."""
+    pairs = named.dropna()
+    return small(cut(pairs.join(table.select(pairs.columns), pairs.columns, "left_anti").distinct()))
 
 
 def validate_updates(responses: DataFrame, assets: DataFrame, asset_states: list[str]) -> DataFrame:

@@ -57,7 +57,7 @@ def kept(df: DataFrame) -> DataFrame:
     """As cut(), for wide tables that several readers take a few columns of: compressed columns in a folder of their own beside the checkpoints, which
     goes with them."""
     path = f"{_shared(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    with _shuffles_removed(df.sparkSession):
+    with _shuffles_removed(df.sparkSession), _compiled(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kept = path
@@ -74,17 +74,28 @@ def freed(*tables: DataFrame) -> None:
 
 #: Whether Spark removes the shuffle files of a query when it has ended, and not only when the driver has forgotten it.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Above so many bytes the JVM interprets a method instead of compiling it; Spark then makes one of a whole stage no more, but several small ones.
+HUGE, HUGE_BYTES = "spark.sql.codegen.hugeMethodLimit", "8000"
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """What is written here leaves no shuffle files behind: it is read from where it was written."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _shuffles_removed(spark: SparkSession):
+    """What is written here leaves no shuffle files behind: it is read from where it was written."""
+    return _set(spark, CLEANUP, "true")
+
+
+def _compiled(spark: SparkSession):
+    """What is written here, often from many columns, is not interpreted for being one method too large to compile."""
+    return _set(spark, HUGE, HUGE_BYTES)
 
 
 #: Up to so many rows of a few values each are broadcast; beyond it Spark shuffles both sides.

@@ -167,6 +167,32 @@ def test_a_failed_document_goes_without_applying_the_others_twice(spark, monkeyp
     assert sorted(tuple(r) for r in done.outcomes.collect()) == [("j1", "failed"), ("j2", "applied")] and [r.job_id for r in done.changes.collect()] == ["j2"] == [r.job_id for r in done.events.collect()]
 
 
+def test_documents_that_cannot_mend_their_company_fail_without_a_round_of_their_own(spark, monkeypatch):
+    from assetspan.operators import decisions, quality
+
+    real, calls = apply.apply_decisions, []
+    monkeypatch.setattr(apply, "apply_decisions", lambda *of: calls.append(1) or real(*of))
+    a = spark.createDataFrame([(i, i, co, "7G", "Active", None, 2010) for i, co in (("a", "X"), ("b", "X"), ("c", "Y"))], "asset_id string, name string, company string, generation string, status string, status_as_of date, year_built int")
+    day = dt.date(2026, 1, 1)
+    c = spark.createDataFrame([(f"k{i}", i, day, day, 1.0, "C", "" if i in "ab" else "R", "Firm", None, None) for i in "abc"], "contract_id string, asset_id string, start_date date, end_date date, day_rate double, client string, region string, status string, value_usd double, base_days double")
+    check = lambda x, y: quality.integrity_violations(x, y, a, *RULES)  # noqa: E731  the regions of ka and kb are blank
+
+    def run(*docs):
+        told = decisions.validate_decisions(spark.createDataFrame([answer(f"j{i}", of, co) for i, (co, of) in enumerate(docs)], ANSWER), a, c, RULES[2])
+        given = told.join(spark.createDataFrame([(f"j{i}", i, "s", "d", "official-news", "u", "2026-01-01") for i in range(len(docs))], "job_id string, round int, source_id string, document_sha256 string, kind string, url string, published_at string"), "job_id")
+        calls.clear()
+        done = apply.apply_rounds(a, c, given, check)
+        changed = sorted((r.job_id, r.after.day_rate, r.before.day_rate) for r in done.changes.collect())
+        return len(calls), {r.job_id: r.outcome for r in done.outcomes.collect()}, {r.contract_id: r.day_rate for r in done.contracts.collect()}, changed
+
+    one = lambda i, rate: upsert(i, rate, f"k{i}")
+    n, out, rates, changed = run(("X", [one("a", 2)]), ("X", [one("b", 3)]), ("Y", [one("c", 4)]), ("X", [one("a", 5)]))
+    assert n == 1 and out == {"j0": "failed", "j1": "failed", "j2": "applied", "j3": "failed"} and rates == {"ka": 1, "kb": 1, "kc": 4} and changed == [("j2", 4, 1)]
+    n, out, rates, changed = run(("X", [one("a", 2)]), ("X", [one("a", 3), one("b", 3)]), ("X", [one("b", 4)]), ("Y", [one("c", 5)]))
+    assert n == 2 and out == {"j0": "failed", "j1": "applied", "j2": "applied", "j3": "applied"}  # the second mends both, and the third finds its company whole
+    assert rates == {"ka": 3, "kb": 4, "kc": 5} and changed == [("j1", 3, 1), ("j1", 3, 1), ("j2", 4, 3), ("j3", 5, 1)]
+
+
 def test_levels_keep_the_order_of_documents_that_share_an_asset(spark):
     rng = random.Random(4)
     docs = {f"j{i:02}": (i % 3, [rng.choice("abcdefgh") + str(i % 3) for _ in range(rng.randrange(4))]) for i in range(40)}
